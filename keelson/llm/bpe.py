@@ -9,6 +9,8 @@ in the id-to-piece table, which the vocabulary file bounds.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,28 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, row_ids, split_head
+from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, row_ids, slices, split_head
 from keelson.llm.tokens import Cached, load, segments, specials, whitespace_words
 
 #: Stands in a document's ids for a word that the head hasn't.
 GAP = np.uint32(0xFFFFFFFF)
 
 
-@lru_cache(maxsize=2)
-def word_cache(path: str) -> Cached:
-    """The tokenizer's words of a chunk without white space."""
+def word_cut(path: str) -> Callable[[str], tuple]:
+    """A function to the tokenizer's words of a chunk without white space."""
     tok = load(path)
 
     def cut(chunk):
         return tuple(p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(chunk) if tok.normalizer else chunk))
 
-    return Cached(cut)
+    return cut
+
+
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> Cached:
+    return Cached(word_cut(path))
 
 
 def distinct_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``(word, n)``: the distinct words of the corpus and how often they occur."""
-    from collections import Counter
-
     def counter(texts):
         chunks: Counter = Counter()
         for x in texts:
@@ -89,11 +93,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
     def looked_up():
         """(ids with gaps, missing words) of a chunk, from a cache."""
-        ids, words = dict(zip(*known.value)), word_cache(tokenizer)
+        ids, cut = dict(zip(*known.value)), word_cut(tokenizer)
 
         def of(chunk):
-            found = [ids.get(w) for w in words[chunk]]
-            return b"".join(gap if x is None else x for x in found), tuple(w for w, x in zip(words[chunk], found) if x is None)
+            words = cut(chunk)
+            found = [ids.get(w) for w in words]
+            return b"".join(gap if x is None else x for x in found), tuple(w for w, x in zip(words, found) if x is None)
 
         return Cached(of)
 
@@ -112,7 +117,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
     def gapped(it):
         cache, ids = looked_up(), row_ids()
-        for batch in it:
+        for batch in slices(it):
             bodies = [b"".join([p[0] for p in parts_of(cache, x)]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([next(ids) for _ in bodies], pa.int64()), batch.column(0), pa.array(bodies, pa.binary())], schema=whole)
 
@@ -122,7 +127,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
         cache, ids = looked_up(), row_ids()
 
         def rows():
-            for batch in it:
+            for batch in slices(it):
                 for x in batch.column(1).to_pylist():
                     row, at = next(ids), 0
                     for _, words in parts_of(cache, x):
@@ -143,7 +148,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     done = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def filled(it):
-        for batch in it:
+        for batch in slices(it):
             out = []
             for body, fill in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if fill:
@@ -170,7 +175,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", between: str =
 
     def of(it):
         pieces = piece_table(tokenizer)
-        for batch in it:
+        for batch in slices(it):
             texts = [None if b is None else between.join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rest, ids, "decoded"])
 

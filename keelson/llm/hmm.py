@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import HEAD_WORDS, count_words, key_of, row_ids, split_head
+from keelson.llm.lexicon import HEAD_WORDS, SLICE, count_words, key_of, row_ids, slices, split_head
 from keelson.llm.tokens import Cached, contract_words
 
 STATES = 8
@@ -212,7 +212,7 @@ def gather(train: DataFrame, model: Model, text: str = "text") -> np.ndarray | N
     def partial(it):
         model = known.value
         symbol, total = Cached(lambda w: model.classes.of(lower(w))), None
-        for batch in it:
+        for batch in slices(it, 2 * SLICE):
             flat, starts, lengths = _flat([x or "" for x in batch.column(0).to_pylist()], symbol, 0)
             for g in groups(lengths):
                 found = expected(model, *side_by_side(flat, starts, lengths, g))
@@ -283,8 +283,8 @@ def score(docs: DataFrame, model: Model, lexicon: DataFrame, text: str = "text",
             return len(entries) - 1
 
         index = Cached(add, 1 << 62)
-        for batch in it:
-            if len(entries) > 600_000 or not entries:
+        for batch in slices(it, 2 * SLICE):
+            if len(entries) > 250_000 or not entries:
                 index.clear()
                 entries[:] = [(0, int(ends > 0), base_of(ends), 0.0, math.nan, None)]
             flat, starts, lengths = _flat(batch.column(1).to_pylist(), index, 0)

@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The head's bounds: entries, and UTF-8 bytes of one word.
-HEAD_WORDS = 400_000
+HEAD_WORDS = 200_000
 HEAD_WORD_BYTES = 64
 #: Distinct words that one task counts before it hands them on.
-FLUSH = 400_000
+FLUSH = 200_000
+#: Rows that a task has as Python objects at a time.
+SLICE = 1000
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
@@ -36,6 +38,13 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+def slices(it: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at once."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def count_words(texts: DataFrame, counter: Callable[[Iterable[str]], Iterable[tuple[str, int]]]) -> DataFrame:
     """``(word, n)`` over all rows of the one-column frame ``texts``.
 
@@ -46,7 +55,7 @@ def count_words(texts: DataFrame, counter: Callable[[Iterable[str]], Iterable[tu
 
     def partial(it):
         seen: Counter = Counter()
-        for batch in it:
+        for batch in slices(it):
             for word, n in counter(x or "" for x in batch.column(0).to_pylist()):
                 seen[word] += n
             if len(seen) > FLUSH:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import bitmap_of, components, durable, marked, words_text
+from keelson.llm.lexicon import slices
 from keelson.llm.tokens import Cached, contract_words
 
 NGRAM = 5
@@ -204,7 +205,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
 
     def sets(it):
         shingles = Shingler(ngram)
-        for batch in it:
+        for batch in slices(it):
             grams = [shingles(x) for x in batch.column(1).to_pylist()]
             full = [g for g in grams if len(g)]
             keys = iter(band_keys(np.stack([minhash(g) for g in full])).view(np.int64) if full else ())
@@ -227,7 +228,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
 
     def contents(it):
         shingles = Shingler(ngram)
-        for batch in it:
+        for batch in slices(it):
             grams = [shingles(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([minhash(g).tobytes() if len(g) else b"" for g in grams], pa.binary())], schema=full)
 

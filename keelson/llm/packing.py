@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import batches
+from keelson.llm.lexicon import batches, slices
 from keelson.llm.tokens import Cached, load, segments, spaced_chunks, specials
 
 CAPACITY = 1024
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
         ids, part, seen, end = IdBytes(tokenizer), TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
 
         def rows():
-            for batch in it:
+            for batch in slices(it):
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     raw = ids(body or "") + end
                     total, start = len(raw) // 4, 0
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
                         seen[k] += 1
                         start += size
 
-        yield from batches(rows(), schema, 2048)
+        yield from batches(rows(), schema, 1024)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, k int, part int, at long")
 

@@ -9,6 +9,7 @@ by a shuffle join; see :mod:`keelson.llm.lexicon`.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,18 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, key_of, row_ids, split_head
+from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, key_of, row_ids, slices, split_head
 from keelson.llm.tokens import Cached, load, segments, spaced_chunks
 
 #: Marks an added token among pre-tokens, whose letters are all from the byte alphabet.
 SPECIAL = "\u0001"
 
 
+def chunk_cuts(path: str) -> tuple[Callable[[str], tuple], Callable[[str], tuple]]:
+    """Functions to a chunk's pre-tokens, and to those of a chunk after a space."""
+    cut = load(path).pre_tokenizer.pre_tokenize_str
+    return lambda c: tuple(p for p, _ in cut(c)), lambda c: tuple(p for p, _ in cut(" " + c))
+
+
 @lru_cache(maxsize=2)
 def pre_token_cache(path: str) -> tuple[Cached, Cached]:
-    """Pre-tokens of a chunk, and of a chunk after a space."""
-    cut = load(path).pre_tokenizer.pre_tokenize_str
-    return Cached(lambda c: tuple(p for p, _ in cut(c))), Cached(lambda c: tuple(p for p, _ in cut(" " + c)))
+    plain, spaced = chunk_cuts(path)
+    return Cached(plain), Cached(spaced)
 
 
 def chunk_bag(path: str, text: str) -> tuple[Counter, Counter, int]:
@@ -88,17 +94,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
 
     def split(it):
         pieces = dict(zip(*known.value))
-        plain, spaced = pre_token_cache(tokenizer)
+        plain, spaced = chunk_cuts(tokenizer)
 
-        def worth(cache):
+        def worth(cut):
             def of(chunk):
-                found = [pieces.get(p) for p in cache[chunk]]
-                return sum(x for x in found if x is not None), tuple(p for p, x in zip(cache[chunk], found) if x is None)
+                words = cut(chunk)
+                found = [pieces.get(p) for p in words]
+                return sum(x for x in found if x is not None), tuple(p for p, x in zip(words, found) if x is None)
 
             return Cached(of)
 
         known_plain, known_spaced, ids = worth(plain), worth(spaced), row_ids()
-        for batch in it:
+        for batch in slices(it):
             rows, words, freqs, sizes, at = [], [], [], [], []
             for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 a, b, total = chunk_bag(tokenizer, x)

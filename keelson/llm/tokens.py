@@ -13,8 +13,8 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Entries that a worker's cache holds before it is emptied.
-CACHE = 600_000
+#: Entries in each of a cache's two generations.
+CACHE = 120_000
 
 #: A space that a space or the end follows: then splitting at single spaces isn't enough.
 _ODD = re.compile(r" (?:\s|$)")
@@ -87,14 +87,19 @@ def contract_words(text: str) -> list[str]:
 
 
 class Cached(dict):
-    """A dict that works out what is missing, and is emptied when it is full."""
+    """A dict that works out what is missing, of bounded size: when it is full it becomes the old
+    generation, and what is used again comes back from there. So frequent keys stay."""
 
     def __init__(self, make, most: int = CACHE):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value

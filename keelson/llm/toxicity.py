@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
+from keelson.llm.lexicon import slices
 from keelson.llm.tokens import Cached
 
 SIZES = (2, 3, 4, 5)
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     def features(it):
         of = Cached(lambda w: grams(w, bits))
-        for batch in it:
+        for batch in slices(it):
             at, times = [], []
             for x in batch.column(1).to_pylist():
                 found = [of[w] for w in text_words(x)]
@@ -145,7 +146,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
 
     def of(it):
         score = known.value.scorer()
-        for batch in it:
+        for batch in slices(it):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(x) for x in batch.column(1).to_pylist()], pa.float64())], schema=out)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(of, "doc_id long, score double")
