@@ -46,8 +46,8 @@ def transpose(t: str | Column) -> Column:
 
 
 def angle_of(cosine: Column) -> Column:
-    """Degrees; the clip is needed, as rounding can leave the cosine's range."""
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    """Degrees; the clip is needed, as rounding can leave the cosine's range. Null stays null (greatest() skips it)."""
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def rotation_distance(a: str | Column, b: str | Column) -> Column:

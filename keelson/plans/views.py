@@ -53,7 +53,7 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ordinal", F.row_number().over(w) - 1)
     return e.select(
         F.col("user_id").alias("sequence_id"), "ordinal", F.col("event_id").alias("frame_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_us"), "event_type",
-        F.expr("ordinal * 2.5D + value * 0.01D").alias("yaw"), F.expr("ordinal * 0.05D + value * 0.001D").alias("x"), F.expr("(event_id % 11) * 0.02D").alias("y"),
+        F.expr("ordinal * 2.5D + value * 0.0100007D").alias("yaw"), F.expr("ordinal * 0.0500003D + value * 0.0010000711D").alias("x"), F.expr("(event_id % 11) * 0.0200001D").alias("y"),
         F.expr("CASE WHEN event_type <> 'error' THEN ordinal * 2.5D END").alias("true_yaw"), F.expr("CASE WHEN event_type <> 'error' THEN ordinal * 0.05D END").alias("true_x"), F.expr("CASE WHEN event_type <> 'error' THEN 0.1D END").alias("true_y"),
     )
 
@@ -89,7 +89,7 @@ SQL = {
     "anchors": "SELECT a.pair_id, a.node AS s, b.node AS r FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY node) AS i FROM nodes WHERE side = 0) a JOIN (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY node) AS i FROM nodes WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i",
     "relations": "SELECT l_linenumber AS scan_id, l_suppkey AS sub, l_partkey % 40 AS obj, l_returnflag || '/' || o_orderpriority AS name, l_orderkey * 8 + l_linenumber AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "points": "SELECT l_linenumber AS scan_id, l_suppkey % 97 AS label, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS row_id, (l_quantity * 0.05::DOUBLE + l_discount) / 1.0301007::DOUBLE AS x, (l_tax * 10::DOUBLE + (l_suppkey % 10) * 0.25::DOUBLE) / 1.0701013::DOUBLE AS y, l_extendedprice / 43051::DOUBLE AS z FROM lineitem",
-    "poses": """SELECT user_id AS sequence_id, ordinal, event_id AS frame_id, epoch_us(ts) AS timestamp_us, event_type, ordinal * 2.5::DOUBLE + value * 0.01::DOUBLE AS yaw, ordinal * 0.05::DOUBLE + value * 0.001::DOUBLE AS x, (event_id % 11) * 0.02::DOUBLE AS y,
+    "poses": """SELECT user_id AS sequence_id, ordinal, event_id AS frame_id, epoch_us(ts) AS timestamp_us, event_type, ordinal * 2.5::DOUBLE + value * 0.0100007::DOUBLE AS yaw, ordinal * 0.0500003::DOUBLE + value * 0.0010000711::DOUBLE AS x, (event_id % 11) * 0.0200001::DOUBLE AS y,
       CASE WHEN event_type <> 'error' THEN ordinal * 2.5::DOUBLE END AS true_yaw, CASE WHEN event_type <> 'error' THEN ordinal * 0.05::DOUBLE END AS true_x, CASE WHEN event_type <> 'error' THEN 0.1::DOUBLE END AS true_y
       FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS ordinal FROM events)""",
     "workers": """SELECT o_custkey AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'forward' ELSE 'reverse' END AS direction, replicate, o_orderkey AS signature,
