@@ -10,7 +10,6 @@ in the id-to-piece table, which the vocabulary file bounds.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -20,25 +19,16 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, row_ids, slices, split_head
-from keelson.llm.tokens import Cached, load, segments, specials, whitespace_words
+from keelson.llm.tokens import Cached, load, segments, specials, whitespace_words, word_pre_tokens
 
 #: Stands in a document's ids for a word that the head hasn't.
-GAP = np.uint32(0xFFFFFFFF)
-
-
-def word_cut(path: str) -> Callable[[str], tuple]:
-    """A function to the tokenizer's words of a chunk without white space."""
-    tok = load(path)
-
-    def cut(chunk):
-        return tuple(p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(chunk) if tok.normalizer else chunk))
-
-    return cut
+GAP = 0xFFFFFFFF
 
 
 @lru_cache(maxsize=2)
 def word_cache(path: str) -> Cached:
-    return Cached(word_cut(path))
+    """The tokenizer's words of a chunk without white space."""
+    return Cached(word_pre_tokens(path))
 
 
 def distinct_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -89,11 +79,15 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     head, tail = split_head(lexicon, head_words)
     known = docs.sparkSession.sparkContext.broadcast((head.column("word").to_pylist(), head.column("ids").to_pylist()))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text"))
-    gap = GAP.tobytes()
+    # two bytes an id on the way, if the vocabulary leaves one value free for the gap
+    narrow = len(piece_table(tokenizer)) < 0xFFFF
+    kind, gap_id = ("<u2", 0xFFFF) if narrow else ("<u4", int(GAP))
+    gap = np.array([gap_id], kind).tobytes()
 
     def looked_up():
         """(ids with gaps, missing words) of a chunk, from a cache."""
-        ids, cut = dict(zip(*known.value)), word_cut(tokenizer)
+        words, found = known.value
+        ids, cut = {w: np.frombuffer(b, "<u4").astype(kind).tobytes() for w, b in zip(words, found)}, word_pre_tokens(tokenizer)
 
         def of(chunk):
             words = cut(chunk)
@@ -102,7 +96,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
         return Cached(of)
 
-    added = {s: (np.array([i], "<u4").tobytes(), ()) for s, i in specials(tokenizer).items()}
+    added = {s: (np.array([i], kind).tobytes(), ()) for s, i in specials(tokenizer).items()}
 
     def parts_of(cache, x):
         out = []
@@ -151,13 +145,14 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
         for batch in slices(it):
             out = []
             for body, fill in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.frombuffer(body, kind)
+                wide = ids.astype("<u4").tobytes()
                 if fill:
-                    ids = np.frombuffer(body, "<u4")
-                    at = np.flatnonzero(ids == GAP)
+                    at = np.flatnonzero(ids == gap_id)
                     edges = [0, *(4 * (at + 1)).tolist()]
-                    ends = [*(4 * at).tolist(), len(body)]
-                    body = b"".join(x for i, (a, b) in enumerate(zip(edges, ends)) for x in (body[a:b], fill[i] if i < len(fill) else b""))
-                out.append(body)
+                    ends = [*(4 * at).tolist(), len(wide)]
+                    wide = b"".join([x for i, (a, b) in enumerate(zip(edges, ends)) for x in (wide[a:b], fill[i] if i < len(fill) else b"")])
+                out.append(wide)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=done)
 
     return joined.mapInArrow(filled, "doc_id long, ids binary")

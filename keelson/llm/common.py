@@ -1,55 +1,17 @@
-"""Pieces the operators share: durable tables, bounded bitmaps, connected components."""
+"""Pieces the operators share: bounded bitmaps, connected components, and the durable tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.sources.durable import drop_durable, durable
+
 #: The white space that the contracts name, as a regular-expression class.
 SPACES = r"[\x20\x09-\x0D]"
 NON_SPACES = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="keelson-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def durable(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: its lineage ends there,
-    so a lost executor costs a read and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keelson/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_durable(df: DataFrame) -> None:
-    """Delete a table that :func:`durable` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/keelson/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow``; a task gets its own partition's batches only."""
-    return df.mapInArrow(fn, schema)
-
-
 def words_text(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import batches, slices
-from keelson.llm.tokens import Cached, load, segments, spaced_chunks, specials
+from keelson.llm.tokens import Cached, byte_pre_tokens, load, segments, spaced_chunks, specials
 
 CAPACITY = 1024
 END_ID = 0
@@ -62,14 +62,12 @@ class IdBytes:
     """A text's ids as little-endian 32-bit bytes, chunk by chunk from a cache."""
 
     def __init__(self, path: str):
-        self.path, self.tok = path, load(path)
-        self.plain = Cached(self._ids)
-        self.spaced = Cached(lambda w: self._ids(" " + w))
+        self.path, tokenize, cut = path, load(path).model.tokenize, byte_pre_tokens(path)
+        word = Cached(lambda p: np.array([t.id for t in tokenize(p)], "<u4").tobytes())
+        self.plain = Cached(lambda c: b"".join(map(word.__getitem__, cut(c))))
+        self.spaced = Cached(lambda c: b"".join(map(word.__getitem__, cut(" " + c))))
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in specials(path).items()}
 
-    def _ids(self, chunk: str) -> bytes:
-        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
     def __call__(self, text: str) -> bytes:
         out = []
         for part, is_special in segments(self.path, text):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, key_of, row_ids, slices, split_head
-from keelson.llm.tokens import Cached, load, segments, spaced_chunks
+from keelson.llm.tokens import Cached, byte_pre_tokens, load, segments, spaced_chunks
 
 #: Marks an added token among pre-tokens, whose letters are all from the byte alphabet.
 SPECIAL = "\u0001"
@@ -26,8 +26,8 @@ SPECIAL = "\u0001"
 
 def chunk_cuts(path: str) -> tuple[Callable[[str], tuple], Callable[[str], tuple]]:
     """Functions to a chunk's pre-tokens, and to those of a chunk after a space."""
-    cut = load(path).pre_tokenizer.pre_tokenize_str
-    return lambda c: tuple(p for p, _ in cut(c)), lambda c: tuple(p for p, _ in cut(" " + c))
+    cut = byte_pre_tokens(path)
+    return cut, lambda c: cut(" " + c)
 
 
 @lru_cache(maxsize=2)

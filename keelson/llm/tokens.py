@@ -74,6 +74,57 @@ def whitespace_words(text: str) -> list[str]:
     return text.split()
 
 
+# -- pre-tokens of plain words -----------------------------------------------------------------
+#
+# Asking the library for a chunk's pre-tokens costs ten times what looking them up does. For chunks of
+# printable ASCII, white space and the letters of Latin-1 - where Python's \\w, \\d and \\s mean what the
+# files' \\p{L}, \\p{N} and \\s mean, lower case is letter by letter and no two characters combine - the
+# same split is a regular expression; every other chunk goes to the library.
+
+#: The pre-tokenization patterns of the two files, restricted to those characters.
+_PLAIN_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte alphabet: printable bytes stand for themselves, the others for 256, 257..., in order; here for the
+    UTF-8 bytes of the plain characters that aren't ASCII, and for white space."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in [9, 10, 13, 32, *range(0xC0, 0x100)]}
+
+
+_LETTERS = _byte_letters()
+
+
+def byte_pre_tokens(path: str):
+    """A function from a chunk of the byte-level file to its pre-tokens in the byte alphabet."""
+    ask = load(path).pre_tokenizer.pre_tokenize_str
+
+    def cut(chunk: str) -> tuple[str, ...]:
+        if _PLAIN.fullmatch(chunk):
+            return tuple([p.translate(_LETTERS) for p in _PLAIN_BYTE.findall(chunk)])
+        return tuple([p for p, _ in ask(chunk)])
+
+    return cut
+
+
+def word_pre_tokens(path: str):
+    """A function from a chunk of the word file to its (normalised) pre-tokens in the byte alphabet."""
+    tok = load(path)
+    normal, ask = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
+
+    def cut(chunk: str) -> tuple[str, ...]:
+        if _PLAIN.fullmatch(chunk):
+            words = _PLAIN_WORD.findall(chunk.lower())
+            return tuple(words if chunk.isascii() else [w.translate(_LETTERS) for w in words])
+        return tuple([p for p, _ in ask(normal(chunk))])
+
+    return cut
+
+
 #: What ``str.split`` takes for white space and the contracts don't.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACES = re.compile("[\x20\x09-\x0d]+")

@@ -96,3 +96,26 @@ def test_round_trip(docs, corpus, head):
 
 def test_encode_nothing(empty):
     assert bpe.decode(bpe.encode(empty, WORD), WORD).count() == 0
+
+
+def test_plain_pre_tokens_are_the_library_s():
+    """The regular expressions against the library, for every plain character next to others and at random."""
+    from keelson.llm import tokens
+
+    byte, word = tokens.load(BYTE), tokens.load(WORD)
+    chars = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7)]
+    rng = np.random.default_rng(0)
+    samples = ["".join(x) for c in chars for x in (c, c + c, "a" + c + "b", " " + c, c + " ", "1" + c + "2", "'" + c)]
+    samples += ["".join(rng.choice(chars, rng.integers(1, 12))) for _ in range(20_000)]
+    cut_byte, cut_word = tokens.byte_pre_tokens(BYTE), tokens.word_pre_tokens(WORD)
+    for s in samples:
+        assert tokens._PLAIN.fullmatch(s)
+        assert cut_byte(s) == tuple(p for p, _ in byte.pre_tokenizer.pre_tokenize_str(s)), repr(s)
+        assert cut_word(s) == tuple(p for p, _ in word.pre_tokenizer.pre_tokenize_str(word.normalizer.normalize_str(s))), repr(s)
+
+
+def test_library_finds_no_plain_text_in_others():
+    from keelson.llm import tokens
+
+    for c in "×÷ªº²¼½µ\x1c\x85 ́İſŉ":
+        assert not tokens._PLAIN.fullmatch(c)
