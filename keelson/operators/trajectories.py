@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from keelson.functions import se3
 
-BY_ORDER = Window.partitionBy("sequence_id").orderBy("ordinal")
+
+def by_order():
+    return Window.partitionBy("sequence_id").orderBy("ordinal")
 
 
 def manifest_violations(frames: DataFrame, datasets: tuple[str, ...]) -> DataFrame:
@@ -47,7 +49,7 @@ def uncovered(frames: DataFrame, poses: DataFrame, most: int = 10) -> DataFrame:
 
 def relative_steps(poses: DataFrame, forward: bool = False) -> DataFrame:
     """WIN-06 (lag), WIN-08 (lead): the transform from the previous pose to this one, or from this to the next."""
-    other = (F.lead if forward else F.lag)("t").over(BY_ORDER)
+    other = (F.lead if forward else F.lag)("t").over(by_order())
     a, b = (F.col("t"), F.col("other")) if forward else (F.col("other"), F.col("t"))
     return poses.withColumn("other", other).where("other IS NOT NULL").withColumn("step", se3.compose(se3.inverse(a), b)).drop("other")
 

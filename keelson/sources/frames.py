@@ -23,14 +23,15 @@ def depth_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-07, SRC-18: lines "key = value" of a header file: ``file, key, value``; other lines are left out."""
+    """SRC-07, SRC-18: lines "key = value" of a header file: ``file, key, value``; other lines are left out.
+    Spark's readers skip files whose names begin with an underscore or a dot; such headers need another name."""
     t = spark.read.text(path).select(F.input_file_name().alias("file"), F.split("value", " = ", 2).alias("kv")).where(F.size("kv") == 2)
     return t.select("file", F.trim(F.get("kv", F.lit(0))).alias("key"), F.trim(F.get("kv", F.lit(1))).alias("value"))
 
 
 def intrinsics(header: DataFrame, key: str) -> DataFrame:
     """SRC-07: fx, fy, cx, cy from places 0, 5, 2, 6 of the 16 numbers under a key."""
-    v = F.transform(F.split("value", "\\s+"), lambda x: x.cast("double"))
+    v = F.transform(F.split("value", "\\s+"), lambda x: x.try_cast("double"))
     return header.where(F.col("key") == key).select("file", *[F.get(v, F.lit(i)).alias(n) for n, i in (("fx", 0), ("fy", 5), ("cx", 2), ("cy", 6))])
 
 
@@ -54,7 +55,7 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
 def read_legacy_trajectory(spark: SparkSession, path: str, allowed: DataFrame | None = None) -> DataFrame:
     """SRC-11: lines of frame id, timestamp and 16 numbers, world to camera in millimetres; gives camera to world
     in metres, of the allowed frames only."""
-    f = F.transform(F.split(F.trim("value"), "\\s+"), lambda x: x.cast("double"))
+    f = F.transform(F.split(F.trim("value"), "\\s+"), lambda x: x.try_cast("double"))
     x = spark.read.text(path).withColumn("f", f).where(F.size("f") == 18)
     metres = F.transform(F.slice("f", 3, 16), lambda v, i: F.when(i.isin(3, 7, 11), v / 1000).otherwise(v))
     out = x.select(F.get("f", F.lit(0)).cast("long").alias("frame_id"), F.get("f", F.lit(1)).cast("long").alias("timestamp_us"), metres.alias("m")).select("frame_id", "timestamp_us", inverse("m").alias("t"))
