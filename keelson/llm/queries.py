@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, exact_dedup, hmm, ngram_join, packing, quality, token_counts, toxicity, url_rules
+from keelson.llm import bpe, exact_dedup, hmm, ngram_join, packing, quality, token_counts, toxicity, url_rules, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 TOKEN_LIMIT = 512
@@ -39,6 +39,18 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archive records, and a second replica of them in which every 41st record is damaged and every 59th
+    lost: one row a page with what the audit found."""
+    from keelson.sources.durable import durable
+
+    records = durable(warc.archived(_table(spark, sf_dir, "pages")), "records")
+    replica = records.where("page_id % 59 <> 0").withColumn("record_sha256", F.when((F.col("page_id") % 41 == 0) & F.col("damaged_sha256").isNotNull(), F.col("damaged_sha256")).otherwise(F.col("record_sha256")))
+    found = warc.audit(records, replica).select("archive", "offset", "status", "right_sha256")
+    out = records.join(found, ["archive", "offset"], "left")
+    return out.select("page_id", "archive", "offset", "length", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"), "right_sha256")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -60,12 +72,12 @@ def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_harmonic_packing, op2_token_counts, op3_ngram_jaccard_join, op4_exact_dedup, op5_bpe_round_trip, op7_url_rules, op8_quality_rules, op9_toxicity, op10_hmm_scoring]
+    found = [op1_harmonic_packing, op2_token_counts, op3_ngram_jaccard_join, op4_exact_dedup, op5_bpe_round_trip, op6_merkle_fixity, op7_url_rules, op8_quality_rules, op9_toxicity, op10_hmm_scoring]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": NEAR_SQL, "op4_exact_dedup": EXACT_SQL, "op8_quality_rules": QUALITY_SQL}
+    return {"op3_ngram_jaccard_join": NEAR_SQL, "op4_exact_dedup": EXACT_SQL, "op6_merkle_fixity": FIXITY_SQL, "op8_quality_rules": QUALITY_SQL}
 
 
 EXACT_SQL = r"""
@@ -108,3 +120,15 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (removed_words > 0 AND n_words - removed_words < n_words * 0.2) AS kept
 FROM b
 """
+
+FIXITY_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(html, '') <> '' AS has FROM pages),
+r AS (SELECT page_id, page_id // 500 AS archive, has, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ') AS head,
+  html, '#' || html[2:] AS bad, concat(chr(13), chr(10), chr(13), chr(10)) AS gap FROM p),
+t AS (SELECT page_id, archive, has, concat(head, strlen(html), gap, html, gap) AS good, concat(head, strlen(bad), gap, bad, gap) AS bad FROM r),
+h AS (SELECT page_id, archive, has, strlen(good) AS length, sha256(good) AS record_sha256, sha256(bad) AS bad_sha256 FROM t),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h)
+SELECT page_id, archive, "offset", length, record_sha256, CASE WHEN page_id % 59 = 0 THEN 'missing' WHEN page_id % 41 = 0 AND has AND bad_sha256 <> record_sha256 THEN 'corrupt' ELSE 'intact' END AS status,
+  CASE WHEN page_id % 59 <> 0 AND page_id % 41 = 0 AND has AND bad_sha256 <> record_sha256 THEN bad_sha256 END AS right_sha256
+FROM o
+"""
