@@ -50,6 +50,15 @@ def marked(df: DataFrame, hashed: Column, bitmap: DataFrame, bits: int = 24, nam
     )
 
 
+def without(docs: DataFrame, gone: DataFrame, hashed: Column, gone_hashed: Column, same: Column, bits: int = 24) -> DataFrame:
+    """``docs`` less the rows that match a row of ``gone``. A bitmap of the keys to go lets most rows pass while
+    scanning; only rows that it marks are shuffled for the exact anti join, so the kept texts stay where they are."""
+    gone = durable(gone, "gone")
+    told = marked(docs, hashed, durable(bitmap_of(gone, gone_hashed, bits), "gone-bits"), bits)
+    doubtful = told.where("_marked").select(*docs.columns).join(gone, same, "left_anti")
+    return told.where("NOT _marked").select(*docs.columns).unionByName(doubtful)
+
+
 # -- connected components ----------------------------------------------------------------------
 
 

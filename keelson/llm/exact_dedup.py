@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SPACES, bitmap_of, durable, marked, words_text
+from keelson.llm.common import SPACES, bitmap_of, durable, marked, without, words_text
 
 PREFIX_CHARS = 64
 SALTS = 32
@@ -56,4 +56,4 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     ``doc_id`` is taken to identify a text; rows without one all stay.
     """
     gone = exact_groups(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return without(docs, gone, F.xxhash64(F.col(doc_id).cast("long")), F.xxhash64("_gone"), F.col(doc_id) == F.col("_gone"))

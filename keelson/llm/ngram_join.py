@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import bitmap_of, components, durable, marked, words_text
+from keelson.llm.common import bitmap_of, components, durable, marked, without, words_text
 from keelson.llm.lexicon import slices
 from keelson.llm.tokens import Cached, contract_words
 
@@ -292,4 +292,4 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     ``doc_id`` is taken to identify a text; rows without one all stay.
     """
     gone = near_groups(docs, text, doc_id).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return without(docs, gone, F.xxhash64(F.col(doc_id).cast("long")), F.xxhash64("_gone"), F.col(doc_id) == F.col("_gone"))

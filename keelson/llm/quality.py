@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SPACES, words_text
+from keelson.llm.common import SPACES, without, words_text
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words
@@ -117,4 +117,5 @@ def judge_quality(
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns."""
     bad = judge_quality(docs, text, doc_id, host).where("NOT kept").select(F.col("doc_id").alias("_bad"), F.col("_row").alias("_bad_row")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")) & (F.xxhash64(words_text(text)) == F.col("_bad_row")), "left_anti")
+    row = F.xxhash64(words_text(text))
+    return without(docs, bad, row, F.col("_bad_row"), F.col(doc_id).eqNullSafe(F.col("_bad")) & (row == F.col("_bad_row")))

@@ -153,7 +153,14 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``most``, with all their columns. Ids are taken to identify
-    texts; a row without an id stays."""
-    bad = score_texts(docs, fit(docs, labels, text, doc_id), text, doc_id).where(F.col("score") >= most).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that score under ``most``, with all their columns: filtered while scanning, without a
+    join. Null and empty texts get the intercept's score."""
+    known = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, doc_id))
+    at = docs.columns.index(text)
+
+    def of(it):
+        score = known.value.scorer()
+        for batch in slices(it):
+            yield batch.filter(pa.array([score(x or "") < most for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)

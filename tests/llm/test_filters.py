@@ -214,3 +214,12 @@ def test_baum_welch_climbs():
 
 def test_language_model_nothing(empty):
     assert hmm.score_corpus(empty).count() == 0
+
+
+def test_drop_toxic_filters_rows(spark, docs, empty):
+    some = spark.createDataFrame([(1000 + i, i % 3 == 0) for i in range(60)], "doc_id long, t boolean").select("doc_id", F.col("t").cast("int").alias("toxic"))
+    model = toxicity.fit(docs, some)
+    kept = toxicity.drop_toxic(docs, some)
+    assert kept.columns == docs.columns
+    assert kept.count() == toxicity.score_texts(docs, model).where("score < 0.5").count()
+    assert toxicity.drop_toxic(empty, some.limit(0)).count() == 0
