@@ -10,7 +10,7 @@ in the id-to-piece table, which the vocabulary file bounds.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +19,21 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, row_ids, slices, split_head
-from keelson.llm.tokens import Cached, load, segments, specials, whitespace_words, word_pre_tokens
+from keelson.llm.tokens import load, piece_ids, segments, specials, word_pre_tokens
 
 #: Stands in a document's ids for a word that the head hasn't.
 GAP = 0xFFFFFFFF
 
 
-@lru_cache(maxsize=2)
-def word_cache(path: str) -> Cached:
-    """The tokenizer's words of a chunk without white space."""
-    return Cached(word_pre_tokens(path))
-
-
 def distinct_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``(word, n)``: the distinct words of the corpus and how often they occur."""
     def counter(texts):
-        chunks: Counter = Counter()
+        cut, seen = word_pre_tokens(tokenizer), Counter()
         for x in texts:
             for part, is_special in segments(tokenizer, x):
                 if not is_special:
-                    chunks.update(whitespace_words(part))
-        cache = word_cache(tokenizer)
-        for chunk, n in chunks.items():
-            for w in cache[chunk]:
-                yield w, n
+                    seen.update(cut(part))
+        return seen.items()
 
     return count_words(docs.select(words_text(text)), counter)
 
@@ -52,9 +43,9 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def of(it):
-        cut = load(tokenizer).model.tokenize
+        cut = piece_ids(tokenizer)
         for batch in it:
-            ids = [np.array([t.id for t in cut(w)], "<u4").tobytes() for w in batch.column(0).to_pylist()]
+            ids = [np.array(cut(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], schema=schema)
 
     return words.mapInArrow(of, "word string, n long, ids binary")
@@ -84,50 +75,36 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     kind, gap_id = ("<u2", 0xFFFF) if narrow else ("<u4", int(GAP))
     gap = np.array([gap_id], kind).tobytes()
 
-    def looked_up():
-        """(ids with gaps, missing words) of a chunk, from a cache."""
-        words, found = known.value
-        ids, cut = {w: np.frombuffer(b, "<u4").astype(kind).tobytes() for w, b in zip(words, found)}, word_pre_tokens(tokenizer)
-
-        def of(chunk):
-            words = cut(chunk)
-            found = [ids.get(w) for w in words]
-            return b"".join(gap if x is None else x for x in found), tuple(w for w, x in zip(words, found) if x is None)
+    added = {s: np.array([i], kind).tobytes() for s, i in specials(tokenizer).items()}
 
-        return Cached(of)
+    class Head(dict):
+        """The head's ids; the gap for any other word."""
 
-    added = {s: (np.array([i], kind).tobytes(), ()) for s, i in specials(tokenizer).items()}
+        def __missing__(self, word):
+            return gap
 
-    def parts_of(cache, x):
-        out = []
-        for part, is_special in segments(tokenizer, x):
-            if is_special:
-                out.append(added[part])
-            else:
-                out += map(cache.__getitem__, whitespace_words(part))
-        return out
+    def head_ids() -> Head:
+        return Head((w, np.frombuffer(b, "<u4").astype(kind).tobytes()) for w, b in zip(*known.value))
 
     whole = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("gapped", pa.binary())])
 
     def gapped(it):
-        cache, ids = looked_up(), row_ids()
+        of, cut, ids = head_ids(), word_pre_tokens(tokenizer), row_ids()
         for batch in slices(it):
-            bodies = [b"".join([p[0] for p in parts_of(cache, x)]) for x in batch.column(1).to_pylist()]
+            bodies = [b"".join([added[part] if is_special else b"".join(map(of.__getitem__, cut(part))) for part, is_special in segments(tokenizer, x)]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([next(ids) for _ in bodies], pa.int64()), batch.column(0), pa.array(bodies, pa.binary())], schema=whole)
 
     missing = pa.schema([("row", pa.int64()), ("gap", pa.int32()), ("word", pa.string())])
 
     def rare(it):
-        cache, ids = looked_up(), row_ids()
+        common, cut, ids = set(known.value[0]), word_pre_tokens(tokenizer), row_ids()
 
         def rows():
             for batch in slices(it):
                 for x in batch.column(1).to_pylist():
-                    row, at = next(ids), 0
-                    for _, words in parts_of(cache, x):
-                        for w in words:
-                            yield row, at, w
-                            at += 1
+                    row = next(ids)
+                    lacking = [w for part, is_special in segments(tokenizer, x) if not is_special for w in cut(part) if w not in common]
+                    yield from zip(repeat(row), count(), lacking)
 
         yield from batches(rows(), missing, 16384)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import batches, slices
-from keelson.llm.tokens import Cached, byte_pre_tokens, load, segments, spaced_chunks, specials
+from keelson.llm.tokens import text_ids
 
 CAPACITY = 1024
 END_ID = 0
@@ -58,29 +58,7 @@ def pieces_of(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(capacity, 1)] * (total // capacity) + list(cuts(total % capacity, capacity))
 
 
-class IdBytes:
-    """A text's ids as little-endian 32-bit bytes, chunk by chunk from a cache."""
-
-    def __init__(self, path: str):
-        self.path, tokenize, cut = path, load(path).model.tokenize, byte_pre_tokens(path)
-        word = Cached(lambda p: np.array([t.id for t in tokenize(p)], "<u4").tobytes())
-        self.plain = Cached(lambda c: b"".join(map(word.__getitem__, cut(c))))
-        self.spaced = Cached(lambda c: b"".join(map(word.__getitem__, cut(" " + c))))
-        self.special = {s: np.array([i], "<u4").tobytes() for s, i in specials(path).items()}
-
-    def __call__(self, text: str) -> bytes:
-        out = []
-        for part, is_special in segments(self.path, text):
-            if is_special:
-                out.append(self.special[part])
-                continue
-            first, rest = spaced_chunks(part)
-            out.extend(map(self.plain.__getitem__, first))
-            out.extend(map(self.spaced.__getitem__, rest))
-        return b"".join(out)
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Cut every document into class pieces: ``doc_id, start, length, ids (little-endian bytes), doc_tokens, k, part, at``.
 
     ``part`` and ``at`` are the partition that read the row and the piece's number of its class there.
@@ -88,7 +66,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("at", pa.int64())])
 
     def cut(it):
-        ids, part, seen, end = IdBytes(tokenizer), TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
+        ids, part, seen, end = text_ids(tokenizer, ranks), TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
 
         def rows():
             for batch in slices(it):
@@ -149,14 +127,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Pack whole documents: one row a piece with ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, class_k``, and its ids as little-endian 32-bit bytes unless ``keep_ids`` is off.
 
-    Null and empty texts are the end id alone. A null ``doc_id`` stays null; rows with the same
+    ``tokenizer`` is a tokenizer file; ``ranks`` may name the rank file of the same vocabulary, which is faster. Null
+    and empty texts are the end id alone. A null ``doc_id`` stays null; rows with the same
     ``doc_id`` are packed as documents of their own. Other columns are left out. Every id of every row
     lies in exactly one piece.
     """
-    found = token_pieces(docs, tokenizer, text, doc_id, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    found = token_pieces(docs, tokenizer, ranks, text, doc_id, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
     out = pack(durable(found if keep_ids else found.drop("ids"), "pieces"), capacity)
     return out.select("doc_id", "start", "length", "ids_crc32", *["ids"] * keep_ids, "doc_tokens", "sequence_id", "offset", F.col("k").alias("class_k"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,50 +17,32 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, key_of, row_ids, slices, split_head
-from keelson.llm.tokens import Cached, byte_pre_tokens, load, segments, spaced_chunks
+from keelson.llm.tokens import byte_pre_tokens, piece_ids, segments
 
-#: Marks an added token among pre-tokens, whose letters are all from the byte alphabet.
-SPECIAL = "\u0001"
-
-
-def chunk_cuts(path: str) -> tuple[Callable[[str], tuple], Callable[[str], tuple]]:
-    """Functions to a chunk's pre-tokens, and to those of a chunk after a space."""
+def bag(path: str) -> Callable[[str], tuple[Counter, int]]:
+    """A function from a text to (pre-tokens with their frequencies, added tokens)."""
     cut = byte_pre_tokens(path)
-    return cut, lambda c: cut(" " + c)
-
-
-@lru_cache(maxsize=2)
-def pre_token_cache(path: str) -> tuple[Cached, Cached]:
-    plain, spaced = chunk_cuts(path)
-    return Cached(plain), Cached(spaced)
 
+    def of(text: str) -> tuple[Counter, int]:
+        words, added = Counter(), 0
+        for part, is_special in segments(path, text):
+            if is_special:
+                added += 1
+            else:
+                words.update(cut(part))
+        return words, added
 
-def chunk_bag(path: str, text: str) -> tuple[Counter, Counter, int]:
-    """(chunks, chunks after a space, added tokens) of a text with their frequencies."""
-    plain, spaced, special = Counter(), Counter(), 0
-    for part, is_special in segments(path, text):
-        if is_special:
-            special += 1
-            continue
-        first, rest = spaced_chunks(part)
-        plain.update(first)
-        spaced.update(rest)
-    return plain, spaced, special
+    return of
 
 
 def pre_tokens(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``(word, n)``: the corpus's distinct pre-tokens with their frequencies."""
 
     def counter(texts):
-        plain, spaced = Counter(), Counter()
+        of, seen = bag(tokenizer), Counter()
         for x in texts:
-            a, b, _ = chunk_bag(tokenizer, x)
-            plain.update(a)
-            spaced.update(b)
-        for cache, seen in zip(pre_token_cache(tokenizer), (plain, spaced)):
-            for chunk, n in seen.items():
-                for p in cache[chunk]:
-                    yield p, n
+            seen.update(of(x)[0])
+        return seen.items()
 
     return count_words(docs.select(words_text(text)), counter)
 
@@ -71,7 +52,7 @@ def count_pieces(words: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("pieces", pa.int64())])
 
     def of(it):
-        cut = load(tokenizer).model.tokenize
+        cut = piece_ids(tokenizer)
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(cut(w)) for w in batch.column(0).to_pylist()], pa.int64())], schema=schema)
 
@@ -94,32 +75,21 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
 
     def split(it):
         pieces = dict(zip(*known.value))
-        plain, spaced = chunk_cuts(tokenizer)
-
-        def worth(cut):
-            def of(chunk):
-                words = cut(chunk)
-                found = [pieces.get(p) for p in words]
-                return sum(x for x in found if x is not None), tuple(p for p, x in zip(words, found) if x is None)
-
-            return Cached(of)
-
-        known_plain, known_spaced, ids = worth(plain), worth(spaced), row_ids()
+        of, ids = bag(tokenizer), row_ids()
         for batch in slices(it):
             rows, words, freqs, sizes, at = [], [], [], [], []
             for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                a, b, total = chunk_bag(tokenizer, x)
-                row, rare = next(ids), Counter()
-                for cache, bag in ((known_plain, a), (known_spaced, b)):
-                    for chunk, n in bag.items():
-                        sure, others = cache[chunk]
-                        total += sure * n
-                        for p in others:
-                            rare[p] += n
+                (found, total), row, rare = of(x), next(ids), []
+                for word, n in found.items():
+                    k = pieces.get(word)
+                    if k is None:
+                        rare.append((word, n))
+                    else:
+                        total += k * n
                 rows += [row] * (1 + len(rare))
-                words += [None, *rare]
-                freqs += [total, *rare.values()]
-                sizes += [len(x.encode("utf-8", "surrogatepass"))] + [None] * len(rare)
+                words += [None, *[w for w, _ in rare]]
+                freqs += [total, *[n for _, n in rare]]
+                sizes += [len(x.encode())] + [None] * len(rare)
                 at += [i] + [None] * len(rare)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(freqs, pa.int64()), pa.array(sizes, pa.int64())] + [batch.column(j).take(pa.array(at, pa.int32())) for j in range(batch.num_columns - 1)],

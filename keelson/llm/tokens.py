@@ -1,24 +1,30 @@
-"""What the tokenizer files say, in the units that operators cache: chunks between spaces and pre-tokens.
+"""Texts as pre-tokens and ids, as the tokenizer files define them.
 
-Both tokenizers used here treat the text between two pre-token boundaries on its own, so a text's
-ids are its pre-tokens' ids in a row. A boundary lies before every space that a non-space follows
-(byte-level file) or around white space (word file). Texts are cut there with ``str.split``; what a
-chunk's pre-tokens and ids are is asked of the library itself, once for each distinct chunk.
+Asking the tokenizers library for every pre-token of every text costs many times what a regular expression does. For
+texts of printable ASCII, white space and the letters of Latin-1 - where Python's ``\\w``, ``\\d`` and ``\\s`` mean what
+the files' ``\\p{L}``, ``\\p{N}`` and ``\\s`` mean, lower case is letter by letter and no two characters combine - the
+split is one expression over the text, and the byte-level vocabulary's ids come from its rank file; tests compare both
+with the library. Every other text goes to the library as a whole.
 """
 
 from __future__ import annotations
 
+import base64
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries in each of a cache's two generations.
 CACHE = 120_000
 
-#: A space that a space or the end follows: then splitting at single spaces isn't enough.
-_ODD = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r"(?= \S)")
+#: The pre-tokenization patterns of the two files, the second pair for plain texts in Python's terms.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
 
 @lru_cache(maxsize=4)
@@ -37,7 +43,6 @@ def specials(path: str) -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def _special_split(path: str):
-    """None if the file has no added tokens."""
     names = sorted(specials(path), key=len, reverse=True)
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
@@ -46,83 +51,71 @@ def segments(path: str, text: str) -> list[tuple[str, bool]]:
     """The text cut at added tokens: (part, is an added token)."""
     cut = _special_split(path)
     if cut is None or not any(s in text for s in specials(path)):
-        return [(text, False)]
+        return [(text, False)] if text else []
     return [(part, i % 2 == 1) for i, part in enumerate(cut.split(text)) if part]
 
 
-def spaced_chunks(text: str) -> tuple[list[str], list[str]]:
-    """A text of the byte-level file as chunks: (chunks as they are, chunks that a space goes before).
+def is_plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None
 
-    The two lists hold the first chunk and the others, in order.
-    """
-    if not text:
-        return [], []
-    if _ODD.search(text) is None:
-        first, *rest = text.split(" ")
-        return ([first] if first else []), rest
-    parts = [p for p in _CUT.split(text) if p]
-    if parts[0][0] == " " and len(parts[0]) > 1 and not parts[0][1].isspace():
-        return [], [p[1:] for p in parts]
-    return parts[:1], [p[1:] for p in parts[1:]]
 
+def byte_pre_tokens(path: str) -> Callable[[str], list[str]]:
+    """A function from a part of a text to its pre-tokens under the byte-level file."""
+    ask = load(path).pre_tokenizer.pre_tokenize_str
+    return lambda text: _PLAIN_BYTE.findall(text) if is_plain(text) else [text[a:b] for _, (a, b) in ask(text)]
 
-def whitespace_words(text: str) -> list[str]:
-    """A text of the word file as chunks without white space. The four separators that Python alone
-    takes for white space (1C to 1F) keep the text whole."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [text]
-    return text.split()
 
+def word_pre_tokens(path: str) -> Callable[[str], list[str]]:
+    """A function from a part of a text to its normalised pre-tokens under the word file."""
+    tok = load(path)
+    normal, ask = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
 
-# -- pre-tokens of plain words -----------------------------------------------------------------
-#
-# Asking the library for a chunk's pre-tokens costs ten times what looking them up does. For chunks of
-# printable ASCII, white space and the letters of Latin-1 - where Python's \\w, \\d and \\s mean what the
-# files' \\p{L}, \\p{N} and \\s mean, lower case is letter by letter and no two characters combine - the
-# same split is a regular expression; every other chunk goes to the library.
+    def cut(text: str) -> list[str]:
+        if is_plain(text):
+            return _PLAIN_WORD.findall(text.lower())
+        text = normal(text)
+        return [text[a:b] for _, (a, b) in ask(text)]
 
-#: The pre-tokenization patterns of the two files, restricted to those characters.
-_PLAIN_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    return cut
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte alphabet: printable bytes stand for themselves, the others for 256, 257..., in order; here for the
-    UTF-8 bytes of the plain characters that aren't ASCII, and for white space."""
+@lru_cache(maxsize=1)
+def byte_alphabet() -> dict[int, str]:
+    """The letters of byte-level vocabularies: printable bytes stand for themselves, the others for 256, 257..., in
+    order."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
-    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in [9, 10, 13, 32, *range(0xC0, 0x100)]}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_LETTERS = _byte_letters()
+def piece_ids(path: str) -> Callable[[str], list[int]]:
+    """A function from a pre-token to its ids."""
+    tokenize, letters = load(path).model.tokenize, byte_alphabet()
+    return lambda word: [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
 
 
-def byte_pre_tokens(path: str):
-    """A function from a chunk of the byte-level file to its pre-tokens in the byte alphabet."""
-    ask = load(path).pre_tokenizer.pre_tokenize_str
+@lru_cache(maxsize=2)
+def rank_encoding(path: str):
+    """The byte-level vocabulary from its rank file."""
+    import tiktoken
 
-    def cut(chunk: str) -> tuple[str, ...]:
-        if _PLAIN.fullmatch(chunk):
-            return tuple([p.translate(_LETTERS) for p in _PLAIN_BYTE.findall(chunk)])
-        return tuple([p for p, _ in ask(chunk)])
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    return cut
 
+def text_ids(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian 32-bit bytes. ``ranks``: the rank file of the same
+    byte-level vocabulary, for plain texts; without it the library encodes every text."""
+    ask, added = load(path).encode, tuple(specials(path))
+    fast = rank_encoding(ranks).encode_ordinary if ranks else None
 
-def word_pre_tokens(path: str):
-    """A function from a chunk of the word file to its (normalised) pre-tokens in the byte alphabet."""
-    tok = load(path)
-    normal, ask = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
-
-    def cut(chunk: str) -> tuple[str, ...]:
-        if _PLAIN.fullmatch(chunk):
-            words = _PLAIN_WORD.findall(chunk.lower())
-            return tuple(words if chunk.isascii() else [w.translate(_LETTERS) for w in words])
-        return tuple([p for p, _ in ask(normal(chunk))])
+    def ids(text: str) -> bytes:
+        if fast and is_plain(text) and not any(s in text for s in added):
+            return np.array(fast(text), "<u4").tobytes()
+        return np.array(ask(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return cut
+    return ids
 
 
 #: What ``str.split`` takes for white space and the contracts don't.

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from keelson.llm import bpe, packing, token_counts
 
-BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTE, RANKS, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 
 
 def ids_of(path, text):
@@ -25,7 +25,7 @@ def byte_ids(corpus):
 
 
 def test_every_id_lies_in_one_piece(docs, byte_ids):
-    rows = packing.pack_documents(docs, BYTE).collect()
+    rows = packing.pack_documents(docs, BYTE, RANKS).collect()
     assert {r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) for r in rows} == {True}
     by_doc = defaultdict(list)
     for r in rows:
@@ -98,24 +98,26 @@ def test_encode_nothing(empty):
     assert bpe.decode(bpe.encode(empty, WORD), WORD).count() == 0
 
 
-def test_plain_pre_tokens_are_the_library_s():
-    """The regular expressions against the library, for every plain character next to others and at random."""
+def test_plain_pre_tokens_are_the_library_s(corpus):
+    """The regular expressions and ranks against the library, for every plain character next to others and at random."""
     from keelson.llm import tokens
 
     byte, word = tokens.load(BYTE), tokens.load(WORD)
     chars = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7)]
     rng = np.random.default_rng(0)
     samples = ["".join(x) for c in chars for x in (c, c + c, "a" + c + "b", " " + c, c + " ", "1" + c + "2", "'" + c)]
-    samples += ["".join(rng.choice(chars, rng.integers(1, 12))) for _ in range(20_000)]
-    cut_byte, cut_word = tokens.byte_pre_tokens(BYTE), tokens.word_pre_tokens(WORD)
+    samples += ["".join(rng.choice(chars, rng.integers(1, 12))) for _ in range(20_000)] + [t for _, t, *_ in corpus if t and tokens.is_plain(t)]
+    cut_byte, cut_word, ids = tokens.byte_pre_tokens(BYTE), tokens.word_pre_tokens(WORD), tokens.text_ids(BYTE, RANKS)
     for s in samples:
-        assert tokens._PLAIN.fullmatch(s)
-        assert cut_byte(s) == tuple(p for p, _ in byte.pre_tokenizer.pre_tokenize_str(s)), repr(s)
-        assert cut_word(s) == tuple(p for p, _ in word.pre_tokenizer.pre_tokenize_str(word.normalizer.normalize_str(s))), repr(s)
+        assert tokens.is_plain(s)
+        assert cut_byte(s) == [s[a:b] for _, (a, b) in byte.pre_tokenizer.pre_tokenize_str(s)], repr(s)
+        n = word.normalizer.normalize_str(s)
+        assert cut_word(s) == [n[a:b] for _, (a, b) in word.pre_tokenizer.pre_tokenize_str(n)], repr(s)
+        assert ids(s) == np.array(byte.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), repr(s)
 
 
 def test_library_finds_no_plain_text_in_others():
     from keelson.llm import tokens
 
-    for c in "×÷ªº²¼½µ\x1c\x85 ́İſŉ":
-        assert not tokens._PLAIN.fullmatch(c)
+    for c in "×÷ªº²¼½µ\x1c\x85\u0301İſŉ":
+        assert not tokens.is_plain(c)
