@@ -95,3 +95,36 @@ def grade(rre: Column, rte: Column) -> tuple[Column, Column, Column]:
     """SEM-12: (strict, relaxed, catastrophic); bounds inclusive, null errors are never a success."""
     no = F.lit(False)
     return (F.coalesce((rre <= 5) & (rte <= 0.20), no), F.coalesce((rre <= 10) & (rte <= 0.30), no), F.coalesce((rre > 20) | (rte > 0.50), no))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value``, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def interpolate(a: str | Column, b: str | Column, alpha: Column) -> Column:
+    """SE3-07: from a to b at ``alpha`` (clipped to 0..1): the rotation turns about the one axis between them, the
+    shift moves on the straight line. Half turns have no single axis and take the one of the skew part."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha))
+    zero = F.lit(0.0)
+
+    def axis(r: Column) -> Column:
+        """The turn's angle and axis from the nine entries of the relative rotation."""
+        e = lambda i, j: F.get(r, F.lit(3 * i + j))
+        theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (e(0, 0) + e(1, 1) + e(2, 2) - 1) / 2)))
+        return F.array(theta, e(2, 1) - e(1, 2), e(0, 2) - e(2, 0), e(1, 0) - e(0, 1))
+
+    def turn(q: Column) -> Column:
+        """The nine entries of the partial rotation."""
+        theta = F.get(q, F.lit(0))
+        x, y, z = (F.when(F.sin(theta) > 1e-9, F.get(q, F.lit(i)) / (2 * F.sin(theta))).otherwise(0.0) for i in (1, 2, 3))
+        skew = [[zero, -z, y], [z, zero, -x], [-y, x, zero]]
+        s, c = F.sin(theta * t), 1 - F.cos(theta * t)
+        return F.array(*[F.lit(1.0 * (i == j)) + s * skew[i][j] + c * total([skew[i][k] * skew[k][j] for k in range(3)]) for i in range(3) for j in range(3)])
+
+    def placed(r: Column) -> Column:
+        rows = [[total([at(a, i, k) * F.get(r, F.lit(3 * k + j)) for k in range(3)]) for j in range(3)] + [at(a, i, 3) + t * (at(b, i, 3) - at(a, i, 3))] for i in range(3)]
+        return F.array(*[v for row in rows for v in row], zero, zero, zero, F.lit(1.0))
+
+    relative = F.array(*[total([at(a, k, i) * at(b, k, j) for k in range(3)]) for i in range(3) for j in range(3)])
+    return _let(_let(_let(relative, axis), turn), placed)

@@ -1,4 +1,4 @@
-"""The registry of queries: name -> (builder, SQL). Builders take (spark, sf_dir)."""
+"""EXT-23, EXT-24: the registry of queries: name -> (builder, SQL). Builders take (spark, sf_dir)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["matching", "graphs", "points", "correspondences", "trajectories", "consensus", "experiments", "ledgers", "geometry", "labels"]
+MODULES = ["matching", "graphs", "points", "correspondences", "trajectories", "consensus", "experiments", "ledgers", "geometry", "labels", "decisions"]
 
 
 def query(name: str, sql: str | None = None):

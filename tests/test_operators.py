@@ -306,3 +306,79 @@ def test_empty_inputs(spark):
     assert spark.createDataFrame(empty, "pair_id long").count() == 0
     assert consensus.maximal_cliques(records(spark, [(0, 0, 0)]).limit(0), ["grp"], 1.0, 1.0).count() == 0
     assert points.object_statistics(spark.createDataFrame([], "scan_id int, label int, row_id long, x double, y double, z double")).count() == 0
+
+
+def test_interpolation_on_the_shortest_turn(spark):
+    rng = np.random.default_rng(12)
+    ts = [(random_rigid(rng), random_rigid(rng)) for _ in range(10)]
+    df = spark.createDataFrame([(a.ravel().tolist(), b.ravel().tolist()) for a, b in ts], "a array<double>, b array<double>")
+    m = F.col("m")
+    for r in df.withColumn("m", se3.interpolate("a", "b", F.lit(0.25))).select(se3.rotation_distance("a", "b").alias("all"), se3.rotation_distance("a", m).alias("part"), se3.is_valid(m).alias("ok"), se3.interpolate("a", "b", F.lit(2.0)).alias("end"), "b").collect():
+        assert r["part"] == pytest.approx(0.25 * r["all"], abs=1e-5) and r["ok"] and np.allclose(r["end"], r["b"], atol=1e-7)
+
+
+def test_hull_against_half_spaces():
+    from keelson.operators import decisions
+
+    rng = np.random.default_rng(2)
+    for n in (4, 8, 30, 120):
+        p = rng.normal(size=(n, 3))
+        v = set(decisions.hull_vertices(p).tolist())
+        assert all(int((p @ d).argmax()) in v for d in rng.normal(size=(400, 3)))
+        inner = set(range(n)) - v
+        h = p[sorted(v)]
+        for i in inner:  # a hull of the others has it inside: no direction sets it apart
+            assert all((h @ d).max() >= p[i] @ d - 1e-7 for d in rng.normal(size=(50, 3)))
+    cube = np.array([[x, y, z] for x in (0.0, 1) for y in (0.0, 1) for z in (0.0, 1)] + [[0.5, 0.5, 0.5], [0.5, 0.5, 0.4]])
+    assert set(decisions.hull_vertices(cube).tolist()) == set(range(8))
+    assert len(decisions.hull_vertices(np.zeros((6, 3)))) == 6
+
+
+def test_face_samples_lie_on_the_mesh(spark):
+    from keelson.operators import decisions
+
+    t = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1, 0.0, 0.0, 5.0, 0.1, 0.0, 5.0, 0.0, 0.1, 5.0)], "key long, " + ", ".join(f"{v}{c} double" for v in "abc" for c in "xyz"))
+    got = decisions.face_samples(t, "key", 2000).toPandas()
+    assert ((got["x"] >= 0) & (got["y"] >= 0) & (got["x"] + got["y"] <= 1 + 1e-9)).all() and 0.002 < (got["z"] == 5).mean() < 0.03
+    flat = t.select("key", *[F.lit(0.0).alias(c) for c in t.columns[1:]])
+    assert decisions.face_samples(flat, "key", 5).count() == 0
+
+
+def test_strict_bag_and_manifest(spark):
+    from keelson.operators import decisions
+
+    voc = spark.createDataFrame([("a", 0)], "name string, slot int")
+    words = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "key int, name string")
+    assert decisions.bag_strict(words.where("key = 1"), voc).first()["n"] == 2
+    with pytest.raises(Exception, match="unknown word b"):
+        decisions.bag_strict(words, voc).collect()
+    m = spark.createDataFrame([(1, "x")], "i int, s string").withColumn("payload_sha256", F.sha2(F.to_json(F.struct("i", "s")), 256))
+    assert decisions.verified_manifest(m, ["s", "i"]).count() == 1
+    with pytest.raises(Exception, match="doesn't match"):
+        decisions.verified_manifest(m.withColumn("i", F.lit(2)), ["s", "i"]).collect()
+
+
+def test_stage_order_needs_both_directions(spark):
+    from keelson.operators import decisions
+
+    near = [(0, 0, 0), (0.5, 0.01, 0), (0.2, 0, 0.01), (0.1, 0.02, 0)]
+    rows = [(g, d, i, i, yaw(*v)) for g in (1, 2) for d in ("forward", "reverse") for i, v in enumerate(near) if g == 1 or d == "forward"]
+    df = spark.createDataFrame(rows, "pair_id int, direction string, replicate int, signature long, transform array<double>")
+    got = {r["pair_id"]: (r["usable"], r["reasons"]) for r in decisions.stage_order(df, ["pair_id"]).collect()}
+    assert got == {1: (True, []), 2: (False, ["reverse:missing"])}
+    s = {r["pair_id"]: r for r in decisions.stability(df, ["pair_id"], quorum=4).collect()}
+    assert s[1]["scenarios"] == 8 and s[1]["stable"] and not s[2]["stable"]
+
+
+def test_budget_rounds_half_to_even(spark):
+    from keelson.operators import decisions
+
+    f = spark.createDataFrame([(0.5, 100), (1.5, 100), (50.0, 7), (-9.0, 7)], "v double, sources long")
+    assert [r["budget"] for r in decisions.budget(f, {"v": 1.0}, 0.0, 1, F.col("sources")).collect()] == [1, 2, 7, 1]
+
+
+def test_merged_sets(spark):
+    from keelson.operators import labels
+
+    m = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12), (4, 11), (5, 13), (5, 12)], "set_id long, item long")
+    assert {r["set_id"]: r["grp"] for r in labels.merged_sets(m).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 3}
