@@ -111,9 +111,10 @@ def budget(features: DataFrame, coefficients: dict[str, float], intercept: float
     return features.withColumn("budget", F.greatest(F.lit(least), F.least(F.bround(raw, 0).cast("long"), most)))
 
 
-def ordered_clusters(candidates: DataFrame, compatible: DataFrame, key: str) -> DataFrame:
+def ordered_clusters(candidates: DataFrame, compatible: DataFrame, key: str, by_degree: bool = True, most: int | None = None) -> DataFrame:
     """CLU-14: candidates by falling degree, then id; each opens a cluster that takes every later free candidate which
-    is compatible with all of its members. ``key, id``; ``key, a, b``. A pair's candidates are one group."""
+    is compatible with all of its members. CLU-13: by id alone (``by_degree`` off), and all after the first ``most``
+    clusters are merged into one residual. ``key, id``; ``key, a, b``. A pair's candidates are one group."""
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         near: dict = {int(i): set() for i in left["id"]}
@@ -121,7 +122,7 @@ def ordered_clusters(candidates: DataFrame, compatible: DataFrame, key: str) ->
             if a in near and b in near:
                 near[a].add(int(b))
                 near[b].add(int(a))
-        free, out, place = sorted(near, key=lambda i: (-len(near[i]), i)), [], 0
+        free, out, place = sorted(near, key=lambda i: (-len(near[i]) * by_degree, i)), [], 0
         while free:
             got = [free[0]]
             for i in free[1:]:
@@ -130,6 +131,9 @@ def ordered_clusters(candidates: DataFrame, compatible: DataFrame, key: str) ->
             out.append((left[key].iloc[0], place, len(got), sorted(got)))
             free = [i for i in free if i not in got]
             place += 1
+        if most is not None and len(out) > most:
+            rest = sorted(i for row in out[most:] for i in row[3])
+            out[most:] = [(left[key].iloc[0], most, len(rest), rest)]
         return pd.DataFrame(out, columns=[key, "cluster", "size", "members"])
 
     return candidates.groupBy(key).cogroup(compatible.groupBy(key)).applyInPandas(one, f"{key} long, cluster int, size int, members array<long>")

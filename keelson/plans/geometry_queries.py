@@ -82,7 +82,7 @@ def planes(spark, d):
 
 @query("udf_beam_hypotheses")
 def beam(spark, d):
-    """CLU-12, CLU-13."""
+    """CLU-12."""
     c = C.best_correspondences(corr(spark, d), 30)
     other = C.best_correspondences(corr(spark, d), 30)  # read anew: the two sides of a cogroup need columns of their own
     return G.beam_hypotheses(c.select("pair_id", F.col("idx").alias("id"), F.col("rank").cast("long").alias("rank")), C.compatible_pairs(other, 0.0203, 0.5), "pair_id")

@@ -382,3 +382,14 @@ def test_merged_sets(spark):
 
     m = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12), (4, 11), (5, 13), (5, 12)], "set_id long, item long")
     assert {r["set_id"]: r["grp"] for r in labels.merged_sets(m).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 3}
+
+
+def test_ordered_clusters(spark):
+    from keelson.operators import decisions
+
+    c = spark.createDataFrame([(1, i) for i in range(5)], "pair_id long, id long")
+    e = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 1, 3), (1, 2, 3)], "pair_id long, a long, b long")
+    rows = lambda **k: [r["members"] for r in decisions.ordered_clusters(c, e, "pair_id", **k).orderBy("cluster").collect()]
+    assert rows() == [[1, 2, 3], [0], [4]]
+    assert rows(by_degree=False) == [[0, 1], [2, 3], [4]]
+    assert rows(by_degree=False, most=1) == [[0, 1], [2, 3, 4]]
