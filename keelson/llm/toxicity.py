@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 A text's features are the character n-grams of its distinct words, each word between two marks; the
-value of a feature is how many of the words have it. Every feature is scaled by r = log((p / |p|) /
+value of a feature is how often the distinct words have it. Every feature is scaled by r = log((p / |p|) /
 (q / |q|)), p and q being its smoothed counts in toxic and other training texts, and Spark's logistic
 regression is fitted on the scaled features. As the model is linear and the features add up over
 words, a word's part of a score is a number, worked out once for each distinct word a task meets.
@@ -13,7 +13,6 @@ rows, chosen by a hash of the id); scoring reads every text whole.
 from __future__ import annotations
 
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
 from keelson.llm.lexicon import slices
-from keelson.llm.tokens import Cached
 
 SIZES = (2, 3, 4, 5)
 BITS = 18
@@ -36,6 +34,8 @@ SMOOTHING = 1.0
 MIN_RATIO = 0.5  # features with a smaller |r| tell nothing and are left out
 REGULARISATION = 1e-3
 FOLDS = 5
+#: Words whose part of a score a task keeps.
+CACHED_WORDS = 300_000
 
 
 def held_out(doc_id: str | Column, folds: int = FOLDS, fold: int = 0) -> Column:
@@ -44,10 +44,25 @@ def held_out(doc_id: str | Column, folds: int = FOLDS, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % folds == fold, F.lit(False))
 
 
-def grams(word: str, bits: int = BITS) -> np.ndarray:
-    """The distinct hashed n-grams of a word between marks."""
-    w = f"\x02{word}\x03"
-    return np.unique(np.array([zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for n in SIZES for i in range(len(w) - n + 1)], np.int32))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def windows(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of words, each between two marks: (features, number of the word), for all words at once."""
+    codes = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters from here to the word's end
+    features, of = [], []
+    for n in SIZES:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            h = (h ^ codes[at + i]) * _ODD
+            h ^= h >> np.uint64(29)
+        features.append((h * _ODD >> np.uint64(64 - bits)).astype(np.int64))
+        of.append(word[at])
+    return np.concatenate(features), np.concatenate(of)
 
 
 def text_words(text: str) -> set[str]:
@@ -60,13 +75,19 @@ class Model:
     intercept: float
 
     def scorer(self):
-        """text -> probability."""
-        weights, bits = self.weights, int(math.log2(len(self.weights)))
-        parts = Cached(lambda w: float(weights[grams(w, bits)].sum()))
-
-        def score(text: str) -> float:
-            z = self.intercept + math.fsum(map(parts.__getitem__, text_words(text)))
-            return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+        """texts -> probabilities. Words' parts are worked out together, for all words that are new."""
+        weights, bits, parts = self.weights, int(math.log2(len(self.weights))), {}
+
+        def score(texts: list[str]) -> list[float]:
+            bags = [text_words(x) for x in texts]
+            if len(parts) > CACHED_WORDS:
+                parts.clear()
+            new = list(set().union(*bags) - parts.keys())
+            if new:
+                features, of = windows(new, bits)
+                parts.update(zip(new, np.bincount(of, weights=weights[features], minlength=len(new)).tolist()))
+            z = [self.intercept + math.fsum(map(parts.__getitem__, b)) for b in bags]
+            return [1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) for x in z]
 
         return score
 
@@ -91,13 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counted = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
     def features(it):
-        of = Cached(lambda w: grams(w, bits))
         for batch in slices(it):
             at, times = [], []
             for x in batch.column(1).to_pylist():
-                found = [of[w] for w in text_words(x)]
-                a, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int32), np.empty(0, np.int64))
-                at.append(a)
+                words = list(text_words(x))
+                a, n = np.unique(windows(words, bits)[0], return_counts=True) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
+                at.append(a.astype(np.int32))
                 times.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], schema=counted)
 
@@ -147,7 +167,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
     def of(it):
         score = known.value.scorer()
         for batch in slices(it):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(x) for x in batch.column(1).to_pylist()], pa.float64())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], schema=out)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(of, "doc_id long, score double")
 
@@ -161,6 +181,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     def of(it):
         score = known.value.scorer()
         for batch in slices(it):
-            yield batch.filter(pa.array([score(x or "") < most for x in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([p < most for p in score([x or "" for x in batch.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)
