@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SPACES, without, words_text
+from keelson.llm.common import SPACES, bitmap_of, durable, marked, words_text
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words
@@ -71,22 +71,23 @@ def statistics(text: Column) -> list[Column]:
     ]
 
 
-def judge_quality(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, the statistics, ``base_failed``, ``removed_words``
-    (words in lines above the limits), ``kept`` and ``_row``, a key of the row's content.
+def _key(docs: DataFrame, text: str, doc_id: str, host: str) -> list[Column]:
+    """``doc_id, _host, _row`` of a row; ``_row`` is a hash of the text."""
+    return [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.xxhash64(words_text(text)).alias("_row")]
 
-    A null text is empty and fails; a null host is a host of its own. A host's first document with a
-    line is the one with the smallest ``doc_id``; null ids come first. Repeated rows are judged alike.
-    Line and text identities are 64-bit hashes. Other columns are left out.
-    """
+
+def normalised_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), f"{SPACES}+", " "))
+
+
+def _judged(docs: DataFrame, text: str, doc_id: str, host: str, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """:func:`judge_quality` with the key's ``_host`` and ``_gone``, the hashes of the row's lines above the limits."""
     t = words_text(text)
-    key = [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.xxhash64(t).alias("_row")]
+    key = _key(docs, text, doc_id, host)
     base = docs.select(*key, *statistics(F.col(text))).withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_words") * max_repeated < F.col("n_repeat_words") * 100))
     lines = (
         docs.select(*key, F.explode(F.split(t, "\n")).alias("line"))
-        .withColumn("line", F.trim(F.regexp_replace(F.lower("line"), f"{SPACES}+", " ")))
+        .withColumn("line", normalised_line(F.col("line")))
         .where("line <> ''")
         .select("doc_id", "_host", "_row", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("in_line"))
     )
@@ -105,17 +106,40 @@ def judge_quality(
     copies = docs.select(*key).groupBy("doc_id", "_host", "_row").agg(F.count("*").alias("copies"))
     lost = (
         removed.groupBy(F.col("doc_id").alias("d"), F.col("_host").alias("h"), F.col("_row").alias("r"))
-        .agg(F.sum(F.col("in_line") * F.col("times")).alias("lost"))
+        .agg(F.sum(F.col("in_line") * F.col("times")).alias("lost"), F.sort_array(F.collect_set("line")).alias("_gone"))
         .join(copies, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("_host")) & (F.col("r") == F.col("_row")))
-        .select("d", "h", "r", F.floor(F.col("lost") / F.col("copies")).alias("removed_words"))
+        .select("d", "h", "r", F.floor(F.col("lost") / F.col("copies")).alias("removed_words"), "_gone")
     )
     out = base.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_host") == F.col("h")) & (F.col("_row") == F.col("r")), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < F.col("n_words") * min_left)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"), "_row")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"), "_row", "_host", "_gone")
+
 
+def judge_quality(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id``, the statistics, ``base_failed``, ``removed_words``
+    (words in lines above the limits), ``kept`` and ``_row``, a key of the row's content.
 
-def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns."""
-    bad = judge_quality(docs, text, doc_id, host).where("NOT kept").select(F.col("doc_id").alias("_bad"), F.col("_row").alias("_bad_row")).distinct()
-    row = F.xxhash64(words_text(text))
-    return without(docs, bad, row, F.col("_bad_row"), F.col(doc_id).eqNullSafe(F.col("_bad")) & (row == F.col("_bad_row")))
+    A null text is empty and fails; a null host is a host of its own. A host's first document with a
+    line is the one with the smallest ``doc_id``; null ids come first. Repeated rows are judged alike.
+    Line and text identities are 64-bit hashes. Other columns are left out.
+    """
+    return _judged(docs, text, doc_id, host, min_words, max_repeated, line_docs, line_share, min_left).drop("_host", "_gone")
+
+
+def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", bits: int = 24, **limits) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns; ``text`` is without the lines above
+    the limits. Texts without such lines, and all other columns, stay as they are.
+
+    A bitmap of the rows to drop or to rewrite lets the others pass while scanning; only rows that it marks are shuffled.
+    """
+    judged = _judged(docs, text, doc_id, host, **limits).where("NOT kept OR removed_words > 0")
+    told = durable(judged.select(F.col("doc_id").alias("_d"), F.col("_host").alias("_h"), F.col("_row").alias("_r"), (~F.col("kept")).alias("_bad"), F.when(F.col("kept"), F.col("_gone")).alias("_gone")).distinct(), "told")
+    key = _key(docs, text, doc_id, host)
+    rows = marked(docs, F.xxhash64(*key), durable(bitmap_of(told, F.xxhash64("_d", "_h", "_r"), bits), "told-bits"), bits)
+    same = key[0].eqNullSafe(F.col("_d")) & (key[1] == F.col("_h")) & (key[2] == F.col("_r"))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normalised_line(x)))), "\n")
+    doubtful = rows.where("_marked").select(*docs.columns).join(told, same, "left").where("NOT coalesce(_bad, false)")
+    doubtful = doubtful.withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text)))
+    return rows.where("NOT _marked").select(*docs.columns).unionByName(doubtful.select(*docs.columns))

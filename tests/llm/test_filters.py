@@ -223,3 +223,24 @@ def test_drop_toxic_filters_rows(spark, docs, empty):
     assert kept.columns == docs.columns
     assert kept.count() == toxicity.score_texts(docs, model).where("score < 0.5").count()
     assert toxicity.drop_toxic(empty, some.limit(0)).count() == 0
+
+
+def test_keep_good_removes_lines(spark):
+    """Lines above the limits are gone from the kept texts, except in the host's first document with them."""
+    own = lambda i: " ".join(f"u{i}_{k}" for k in range(60))
+    rows = [(i, f"Nav  bar\n{own(i)}\n\n nav BAR\t\nlast {i}\n", "a", i) for i in range(100)]
+    rows += [(5, rows[5][1], "a", 5), (1000, rows[7][1], "b", 0), (1001, f"{own(0)}\n\n{own(1)}", "a", 0), (1002, "nav bar", "a", 0), (1003, None, "a", 0)]
+    rows += [(5, rows[5][1], "b", 1)]  # the same id and text on a host where the line is rare
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(3)
+    wanted = Counter()
+    for d, t, host, other in rows:
+        if d in (1002, 1003):
+            continue
+        if host == "a" and 0 < d < 100:
+            t = "\n".join(x for x in t.split("\n") if " ".join(x.lower().split()) != "nav bar")
+        wanted[d, t, host, other] += 1
+    assert Counter(map(tuple, quality.keep_good(docs).collect())) == wanted
+    # null ids: all of them are the first document
+    nulls = spark.createDataFrame([(None, t, h, o) for _, t, h, o in rows[:100]], docs.schema)
+    assert {r["text"] for r in quality.keep_good(nulls).collect()} == {r[1] for r in rows[:100]}
+    assert quality.keep_good(docs, line_docs=1000).where("source = 'a' AND text LIKE 'Nav%'").count() == 101
