@@ -7,7 +7,8 @@ regression is fitted on the scaled features. As the model is linear and the feat
 words, a word's part of a score is a number, worked out once for each distinct word a task meets.
 
 The model is fitted on a sample of labelled rows of bounded size (``MOST_TOXIC`` + ``MOST_OTHER``
-rows, chosen by a hash of the id); scoring reads every text whole.
+rows, chosen by a hash of the id), and the intercept is corrected for the rates at which the two classes
+were taken, so that a score doesn't depend on where the bound cuts; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -92,22 +93,34 @@ class Model:
         return score
 
 
+def _labelled(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """``(doc_id, toxic)`` of the labelled ids outside the held-out fold. Null labels and ids are left out; an id with
+    several labels counts as toxic if one says so."""
+    ok = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
+    return ok.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> DataFrame:
     """``(doc_id, toxic)`` of at most ``most_toxic`` + ``most_other`` labelled ids outside the held-out fold.
 
-    Null labels and ids are left out; an id with several labels counts as toxic if one says so. Two
-    ordered takes, so no task gathers more than the bound.
+    Two ordered takes, so no task gathers more than the bound.
     """
-    ok = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
-    ok = ok.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ok = _labelled(labels, doc_id, label)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return ok.where("toxic = 1").orderBy(*order).limit(most_toxic).union(ok.where("toxic <> 1").orderBy(*order).limit(most_other).withColumn("toxic", F.lit(0)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", bits: int = BITS) -> Model:
-    """Fit on the labelled sample. Without rows of both classes the model gives the share of toxic rows
-    (one half without any)."""
-    chosen = sample(labels, doc_id, label)
+def log_rates(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> float:
+    """log(rate of toxic / rate of other) at which :func:`sample` takes the two classes: by so much a fit on the sample
+    has its log-odds too high. 0 if it takes all, or a class is empty."""
+    toxic, other = _labelled(labels, doc_id, label).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    return math.log(min(1, most_toxic / toxic) / min(1, most_other / other)) if toxic and other else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", bits: int = BITS, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> Model:
+    """Fit on the labelled sample; the intercept is set back to the classes' shares among all labelled rows. Without rows
+    of both classes the model gives the share of toxic rows (one half without any)."""
+    chosen, extra = sample(labels, doc_id, label, most_toxic, most_other), log_rates(labels, doc_id, label, most_toxic, most_other)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     counted = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
@@ -142,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     width = int(use.sum())
     if not width:
         share = classes[1] / n
-        return Model(np.zeros(size), math.log(share / (1 - share)))
+        return Model(np.zeros(size), math.log(share / (1 - share)) - extra)
     spread = docs.sparkSession.sparkContext.broadcast((use, number.astype(np.int32), ratio))
 
     @F.udf(VectorUDT())
@@ -155,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     found = LogisticRegression(maxIter=60, regParam=REGULARISATION, standardization=False).fit(stored.select(F.col("toxic").cast("double").alias("label"), vector("at", "times").alias("features")))
     weights = np.zeros(size)
     weights[use] = found.coefficients.toArray()
-    return Model(weights * ratio, float(found.intercept))
+    return Model(weights * ratio, float(found.intercept) - extra)
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

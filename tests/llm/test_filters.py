@@ -244,3 +244,18 @@ def test_keep_good_removes_lines(spark):
     nulls = spark.createDataFrame([(None, t, h, o) for _, t, h, o in rows[:100]], docs.schema)
     assert {r["text"] for r in quality.keep_good(nulls).collect()} == {r[1] for r in rows[:100]}
     assert quality.keep_good(docs, line_docs=1000).where("source = 'a' AND text LIKE 'Nav%'").count() == 101
+
+
+def test_toxicity_bound_leaves_the_class_ratio(spark):
+    """A sample that takes one class at a lower rate scores as one that takes all: with features, and without any."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'bad' if k < (6 if i % 10 == 0 else 2) else 'w'}{rng.integers(4)}" for k in rng.integers(0, 10, 4))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    whole, part = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most_toxic=4000, most_other=300)
+    assert part.intercept == pytest.approx(whole.intercept, abs=0.7)  # the rates are 1 and about 1/7: 2 in log-odds
+    odds = lambda m: np.mean(m.scorer()([t for _, t in rows]))
+    assert odds(whole) == pytest.approx(0.1, abs=0.02) and odds(part) == pytest.approx(0.1, abs=0.04)
+    plain = docs.withColumn("text", F.lit(""))
+    a, b = toxicity.fit(plain, labels), toxicity.fit(plain, labels, most_other=300)
+    assert a.intercept == pytest.approx(b.intercept, abs=1e-9)
