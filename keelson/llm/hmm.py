@@ -8,8 +8,8 @@ has a fixed size whatever the vocabulary.
 
 States: Baum-Welch. A task runs the scaled forward-backward recursion over its texts, many side by
 side, and hands on expected counts - a vector of fixed size - which are added up in two levels. The
-training texts are dealt into slices by a hash of their id; each step takes the next slice, so all of
-them are used, each once, and the last step, with half of them, counts most.
+training texts are dealt into slices by a hash of their id; the first steps take a slice each and give the
+start for the last one, which takes all texts and sets the model from its counts alone.
 
 Scoring: the scaled forward recursion gives the exact likelihood of a text's class sequence; the
 words' probabilities in their classes are added, those of rare words by a join.
@@ -36,9 +36,9 @@ STATES = 8
 TOP_WORDS = 2000
 SUFFIX_CLASSES = 512
 SUFFIX_CHARS = 3
-#: Sixteenths of the training texts that each Baum-Welch step takes; together all of them.
-STEPS = (1, 1, 2, 4, 8)
-#: Weight of what earlier steps have counted, when a step's counts come in.
+#: Sixteenths of the training texts that each Baum-Welch step takes; the last step takes all of them.
+STEPS = (1, 1, 2, 4, 16)
+#: Weight of what earlier slices have counted, when a slice's counts come in.
 MEMORY = 0.25
 SMOOTHING = 0.01
 #: Cells (texts x positions) that one recursion holds.
@@ -237,16 +237,18 @@ def updated(model: Model, counts: np.ndarray) -> Model:
 
 
 def fit(train: DataFrame, lexicon: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, steps: tuple[int, ...] = STEPS, top_words: int = TOP_WORDS, suffixes: int = SUFFIX_CLASSES) -> Model:
-    """Baum-Welch over all training texts, a slice a step. Without texts the model stays as it began."""
+    """Baum-Welch: all steps but the last over a slice each, the last over all training texts, whose counts alone give
+    the model. Without texts the model stays as it began."""
     model = first_model(*make_classes(lexicon, top_words, suffixes), states)
-    slot, at, memory = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))), F.lit(sum(steps))), 0, None
-    for step in steps:
+    slot, at, memory = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))), F.lit(steps[-1])), 0, None
+    for step in steps[:-1]:
         counts = gather(train.where((slot >= at) & (slot < at + step)), model, text)
         at += step
         if counts is not None:
             memory = counts if memory is None else MEMORY * memory + counts
             model = updated(model, memory)
-    return model
+    counts = gather(train, model, text)
+    return model if counts is None else updated(model, counts)
 
 
 def score(docs: DataFrame, model: Model, lexicon: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD_WORDS) -> DataFrame:

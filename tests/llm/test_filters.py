@@ -259,3 +259,17 @@ def test_toxicity_bound_leaves_the_class_ratio(spark):
     plain = docs.withColumn("text", F.lit(""))
     a, b = toxicity.fit(plain, labels), toxicity.fit(plain, labels, most_other=300)
     assert a.intercept == pytest.approx(b.intercept, abs=1e-9)
+
+
+def test_last_step_counts_all_texts(spark, monkeypatch):
+    """The model comes from expected counts over every training token, none of them at a lower weight."""
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b a a", "c b"] * 20)], "doc_id long, text string")
+    lexicon = hmm.token_counts(train).cache()
+    found, gather = [], hmm.gather
+    monkeypatch.setattr(hmm, "gather", lambda *a, **b: found.append(gather(*a, **b)) or found[-1])
+    model = hmm.fit(train, lexicon, states=2, top_words=3, suffixes=2)
+    words = Counter(w for t in ["a b", "b a a", "c b"] * 20 for w in [*t.split(), ""])
+    seen = found[-1][2 + 4 :].reshape(2, -1).sum(0)
+    assert {w: seen[model.classes.top[w] if w else 0] for w in words} == pytest.approx(dict(words))
+    last = hmm.updated(model, found[-1])
+    assert model.emit == pytest.approx(last.emit) and model.move == pytest.approx(last.move)
