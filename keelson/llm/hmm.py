@@ -6,10 +6,11 @@ frequent words and the end mark are classes of their own, all others fall into c
 letters, and a word's probability in its class comes from its count. So the latent part of the model
 has a fixed size whatever the vocabulary.
 
-States: Baum-Welch. A task runs the scaled forward-backward recursion over its texts, many side by
-side, and hands on expected counts - a vector of fixed size - which are added up in two levels. The
-training texts are dealt into slices by a hash of their id; the first steps take a slice each and give the
-start for the last one, which takes all texts and sets the model from its counts alone.
+Words are mapped to classes once: a text becomes a row of 16-bit class numbers, stored in the shared folder with what its
+scores need besides. Every Baum-Welch step and the scoring read those rows.
+
+States: Baum-Welch over all training texts in every step. A task runs the scaled forward-backward recursion over its
+texts, many side by side, and hands on expected counts - a vector of fixed size - which are added up in two levels.
 
 Scoring: the scaled forward recursion gives the exact likelihood of a text's class sequence; the
 words' probabilities in their classes are added, those of rare words by a join.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,20 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import HEAD_WORDS, SLICE, count_words, key_of, row_ids, slices, split_head
+from keelson.llm.lexicon import HEAD_WORDS, SLICE, count_words, row_ids, slices, split_head
 from keelson.llm.tokens import Cached, contract_words
 
 STATES = 8
 TOP_WORDS = 2000
 SUFFIX_CLASSES = 512
 SUFFIX_CHARS = 3
-#: Sixteenths of the training texts that each Baum-Welch step takes; the last step takes all of them.
-STEPS = (1, 1, 2, 4, 16)
-#: Weight of what earlier slices have counted, when a slice's counts come in.
-MEMORY = 0.25
+#: Baum-Welch steps, each over all training texts.
+STEPS = 3
 SMOOTHING = 0.01
 #: Cells (texts x positions) that one recursion holds.
-CELLS = 400_000
+CELLS = 200_000
+#: Positions between two scalings of a recursion: so many factors, each of a class's probability, don't underflow.
+SCALED = 8
 #: The end mark's key: no word is empty.
 END = ""
 _LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -61,18 +61,7 @@ def held_out(doc_id: str | Column, folds: int = 7, fold: int = 2) -> Column:
 
 def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` of the training texts, the end mark among them."""
-
-    def counter(texts):
-        seen, n = Counter(), 0
-        for x in texts:
-            seen.update(contract_words(x))
-            n += 1
-        for w, k in seen.items():
-            yield lower(w), k
-        if n:
-            yield END, n
-
-    return count_words(train.select(words_text(text)), counter)
+    return count_words(train.select(words_text(text)), lambda: (lambda x: [*contract_words(x), END], lambda w: (lower(w),)))
 
 
 @dataclass
@@ -148,60 +137,83 @@ def side_by_side(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, g
     return symbols[at], np.searchsorted(-n, -np.arange(n[0]), side="left")
 
 
-def forward(model: Model, x: np.ndarray, active: np.ndarray, keep: bool = False):
-    """Natural log likelihood of each column of ``x``; with ``keep`` also the scaled alphas and the scales."""
-    emit = np.ascontiguousarray(model.emit.T)
-    total = np.zeros(x.shape[1])
-    alphas = np.zeros((*x.shape, len(model.start))) if keep else None
-    scales = np.ones(x.shape) if keep else None
-    a = None
-    for t in range(len(x)):
+def _ahead(model: Model, a: np.ndarray, x: np.ndarray, active: np.ndarray, low: int, high: int, keep: np.ndarray | None, log: np.ndarray, scale: dict[int, np.ndarray]) -> np.ndarray:
+    """The scaled forward recursion from position ``low`` up to ``high``: ``a`` (states x columns) is the state before it. Adds
+    the logs of the scales to ``log``, keeps them in ``scale`` and the alphas in ``keep``; gives the state behind the last
+    position. A column is scaled at its last position too, so that its scales multiply to its likelihood."""
+    turn = np.ascontiguousarray(model.move.T)
+    for t in range(low, high):
         d = active[t]
-        a = (np.broadcast_to(model.start, (d, len(model.start))) if t == 0 else a[:d] @ model.move) * emit[x[t, :d]]
-        c = a.sum(axis=1)
-        a = a / c[:, None]
-        total[:d] += np.log(c)
-        if keep:
-            alphas[t, :d], scales[t, :d] = a, c
-    return total, alphas, scales
-
-
-def expected(model: Model, x: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Baum's expected counts over the columns of ``x``: starts, moves, emissions, one after another."""
+        e = active[t + 1] if t + 1 < len(x) else 0
+        a = model.emit.take(x[t, :d], axis=1) * (model.start[:, None] if t == 0 else turn @ a[:, :d])
+        first = 0 if t % SCALED == SCALED - 1 else e  # columns from here on are scaled
+        if first < d:
+            c = a[:, first:].sum(axis=0)
+            a[:, first:] /= c
+            log[first:d] += np.log(c)
+            scale[t] = c if first == 0 else np.concatenate([np.ones(first), c])
+        if keep is not None:
+            keep[t - low, :, :d] = a
+    return a
+
+
+def forward(model: Model, x: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each column of ``x``."""
+    log = np.zeros(x.shape[1])
+    _ahead(model, np.empty((len(model.start), 0)), x, active, 0, len(x), None, log, {})
+    return log
+
+
+def expected(model: Model, x: np.ndarray, active: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, float]:
+    """Baum's expected counts over the columns of ``x`` - starts, moves, emissions, one after another - and the sum of the
+    columns' natural log likelihoods.
+
+    Alphas are kept for ``cells`` cells at a time: of longer recursions only the state before each such part, from
+    which the part's alphas are worked out again."""
     states, symbols = model.emit.shape
-    _, alphas, scales = forward(model, x, active, keep=True)
-    emit = np.ascontiguousarray(model.emit.T)
-    moves = np.zeros((states, states))
-    beta = np.ones((x.shape[1], states))
-    for t in range(len(x) - 1, -1, -1):  # alphas become gammas
-        d = active[t]
-        alpha = alphas[t, :d].copy()
-        if t + 1 < len(x) and active[t + 1]:
-            e = active[t + 1]
-            ahead = emit[x[t + 1, :e]] * beta[:e] / scales[t + 1, :e, None]
-            moves += alpha[:e].T @ ahead
-            beta[:e] = ahead @ model.move.T
-        alphas[t, :d] = alpha * beta[:d]
-    on = np.arange(x.shape[1])[None, :] < active[:, None]
-    gammas, seen = alphas[on], x[on]
-    emissions = np.stack([np.bincount(seen, weights=gammas[:, k], minlength=symbols) for k in range(states)])
-    return np.concatenate([alphas[0].sum(axis=0), (moves * model.move).ravel(), emissions.ravel()])
-
-
-def _flat(texts: list[str], index: Cached, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entries, starts, lengths) of texts, the end mark behind each."""
-    words = [contract_words(x) for x in texts]
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    out = np.full(int(lengths.sum()), end, np.int64)
-    for w, s in zip(words, starts.tolist()):
-        if w:
-            out[s : s + len(w)] = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
-    return out, starts, lengths
-
-
-def gather(train: DataFrame, model: Model, text: str = "text") -> np.ndarray | None:
-    """Expected counts over all rows of ``train``; None if there are none.
+    step = max(1, cells // x.shape[1])
+    lows = list(range(0, len(x), step))
+    log, scale, before, a = np.zeros(x.shape[1]), {}, [], np.empty((states, 0))
+    keep = np.empty((min(step, len(x)), states, x.shape[1]))
+    for low in lows:
+        before.append(a)
+        a = _ahead(model, a, x, active, low, min(low + step, len(x)), keep if low == lows[-1] else None, log, scale)
+    moves, emissions, start = np.zeros((states, states)), np.zeros((states, symbols)), np.zeros(states)
+    beta = np.ones((states, x.shape[1]))
+    ahead = None  # what the next position hands back
+    for low in reversed(lows):
+        high = min(low + step, len(x))
+        if low != lows[-1]:
+            _ahead(model, before[lows.index(low)], x, active, low, high, keep, np.zeros(x.shape[1]), {})
+        for t in range(high - 1, low - 1, -1):
+            d = active[t]
+            gamma = keep[t - low, :, :d]
+            if ahead is not None:
+                e = ahead.shape[1]
+                moves += gamma[:, :e] @ ahead.T
+                beta[:, :e] = model.move @ ahead
+            ahead = model.emit.take(x[t, :d], axis=1) * beta[:, :d]
+            if t in scale:
+                ahead /= scale[t]
+            gamma *= beta[:, :d]
+        if low == 0:
+            start += keep[0, :, : active[0]].sum(axis=1)
+        on = np.arange(x.shape[1])[None, :] < active[low:high, None]
+        seen = x[low:high][on]
+        for k in range(states):
+            emissions[k] += np.bincount(seen, weights=keep[: high - low, k][on], minlength=symbols)
+    return np.concatenate([start, (moves * model.move).ravel(), emissions.ravel()]), float(log.sum())
+
+
+def _columns(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, starts, lengths) of the rows' 16-bit symbols in column ``at``."""
+    parts = [np.frombuffer(b, "<u2") for b in batch.column(at).to_pylist()]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    return np.concatenate(parts).astype(np.int64), np.cumsum(lengths) - lengths, lengths
+
+
+def gather(train: DataFrame, model: Model) -> tuple[np.ndarray, float] | None:
+    """Expected counts and log likelihood over all rows of ``train`` (``symbols``); None if there are none.
 
     A task adds up its own texts; the tasks' vectors are added in groups of about the square root of
     their number, so neither a task nor the driver meets more of them than that.
@@ -210,12 +222,12 @@ def gather(train: DataFrame, model: Model, text: str = "text") -> np.ndarray | N
     out = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
     def partial(it):
-        model = known.value
-        symbol, total = Cached(lambda w: model.classes.of(lower(w))), None
+        model, total = known.value, None
         for batch in slices(it, 2 * SLICE):
-            flat, starts, lengths = _flat([x or "" for x in batch.column(0).to_pylist()], symbol, 0)
+            flat, starts, lengths = _columns(batch, 0)
             for g in groups(lengths):
-                found = expected(model, *side_by_side(flat, starts, lengths, g))
+                counts, log = expected(model, *side_by_side(flat, starts, lengths, g))
+                found = np.concatenate([counts, [log]])
                 total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=out)
@@ -223,115 +235,169 @@ def gather(train: DataFrame, model: Model, text: str = "text") -> np.ndarray | N
     def added(table: pa.Table) -> pa.Table:
         return pa.Table.from_arrays([pa.array([0], pa.int32()), pa.array([sum(np.frombuffer(b) for b in table.column("counts").to_pylist()).tobytes()], pa.binary())], schema=out)
 
-    parts = train.select(words_text(text)).mapInArrow(partial, "part int, counts binary")
+    parts = train.select("symbols").mapInArrow(partial, "part int, counts binary")
     some = max(1, math.isqrt(train.rdd.getNumPartitions()))
     rows = parts.groupBy((F.col("part") % some).alias("g")).applyInArrow(added, "part int, counts binary").collect()
-    return sum(np.frombuffer(r["counts"]) for r in rows) if rows else None
+    known.unpersist()
+    if not rows:
+        return None
+    total = sum(np.frombuffer(r["counts"]) for r in rows)
+    return total[:-1], float(total[-1])
 
 
-def updated(model: Model, counts: np.ndarray) -> Model:
+def updated(model: Model, counts: np.ndarray, smoothing: float = SMOOTHING) -> Model:
     """The model that expected counts give."""
     k, symbols = model.emit.shape
-    start, move, emit = counts[:k] + SMOOTHING, counts[k : k + k * k].reshape(k, k) + SMOOTHING, counts[k + k * k :].reshape(k, symbols) + SMOOTHING
+    start, move, emit = counts[:k] + smoothing, counts[k : k + k * k].reshape(k, k) + smoothing, counts[k + k * k :].reshape(k, symbols) + smoothing
     return Model(model.classes, start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def fit(train: DataFrame, lexicon: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, steps: tuple[int, ...] = STEPS, top_words: int = TOP_WORDS, suffixes: int = SUFFIX_CLASSES) -> Model:
-    """Baum-Welch: all steps but the last over a slice each, the last over all training texts, whose counts alone give
-    the model. Without texts the model stays as it began."""
-    model = first_model(*make_classes(lexicon, top_words, suffixes), states)
-    slot, at, memory = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))), F.lit(steps[-1])), 0, None
-    for step in steps[:-1]:
-        counts = gather(train.where((slot >= at) & (slot < at + step)), model, text)
-        at += step
-        if counts is not None:
-            memory = counts if memory is None else MEMORY * memory + counts
-            model = updated(model, memory)
-    counts = gather(train, model, text)
-    return model if counts is None else updated(model, counts)
+def fit(train: DataFrame, model: Model, steps: int = STEPS, smoothing: float = SMOOTHING) -> tuple[Model, list[float]]:
+    """Baum-Welch: every step counts over all rows of ``train`` (``symbols``) and sets the model from its counts alone. Also
+    gives the texts' log likelihood before each step. Without texts the model stays as it began."""
+    logs = []
+    for _ in range(steps):
+        found = gather(train, model)
+        if found is None:
+            break
+        model = updated(model, found[0], smoothing)
+        logs.append(found[1])
+    return model, logs
 
 
-def score(docs: DataFrame, model: Model, lexicon: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD_WORDS) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
+def _flat(texts: list[str], index: Cached) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries, starts, lengths) of texts, the end mark (0) behind each."""
+    words = [contract_words(x) for x in texts]
+    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros(int(lengths.sum()), np.int64)
+    for w, s in zip(words, starts.tolist()):
+        if w:
+            out[s : s + len(w)] = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
+    return out, starts, lengths
 
-    Scores are log10 probabilities. A null or empty text is the end mark alone. A word that training
-    hasn't seen has count 0. Repeated rows get the same scores. Other columns are left out.
-    """
+
+class Entries:
+    """What a task knows of the words it has met, by number; entry 0 is the end mark. Numbers stay while a slice is worked
+    on; ``tidy`` forgets all words if there are too many."""
+
+    def __init__(self, make, end: tuple, most: int = 250_000):
+        self.make, self.end, self.most = make, end, most
+        self.tidy(True)
+
+    def tidy(self, now: bool = False) -> None:
+        if now or len(self.words) > self.most:
+            self.words, self.new, self.columns = [END], [self.end], None
+            self.index = Cached(self._add, 1 << 62)
+
+    def _add(self, word: str) -> int:
+        word = lower(word)
+        self.words.append(word)
+        self.new.append(self.make(word))
+        return len(self.words) - 1
+
+    def arrays(self) -> list[np.ndarray]:
+        """By entry: the columns of what ``make`` gives."""
+        if self.new:
+            more = [np.array(c) for c in zip(*self.new)]
+            self.columns = more if self.columns is None else [np.concatenate(x) for x in zip(self.columns, more)]
+            self.new = []
+        return self.columns
+
+
+def code(docs: DataFrame, lexicon: DataFrame, classes: Classes, head_words: int = HEAD_WORDS) -> DataFrame:
+    """``docs`` (``doc_id, text, train``) as class numbers: one row for each row with ``row`` (a number of its own), ``doc_id,
+    train, symbols`` (16 bits each, the end mark's last), ``n_tokens``, the sums over the tokens of the head - ``n_known``, ``base``
+    (base score), ``own`` (log10 probabilities in their classes) - and the other words with their frequencies and the log10 of
+    their classes' denominators: ``words, times, below``."""
     n, v = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head, tail = split_head(lexicon, head_words)
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((model, head.column("word").to_pylist(), head.column("n").to_pylist()))
     ends = sum(r["n"] for r in lexicon.where(F.col("word") == END).collect())
+    head, _ = split_head(lexicon, head_words)
+    known = docs.sparkSession.sparkContext.broadcast((classes, head.column("word").to_pylist(), head.column("n").to_pylist()))
     base_of = lambda c: math.log10((c + 1) / (n + v + 1))
-    # a row's own entry has no word; an entry for a rare word has the log10 of its class's denominator
-    schema = "row long, word string, times long, below double, doc_id long, n_tokens long, n_known long, base double, own double"
-    out = pa.schema([("row", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("below", pa.float64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
+    out = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("symbols", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())]
+        + [("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("below", pa.list_(pa.float64()))]
+    )
 
-    def split(it):
-        model, words, counts = known.value
-        count, classes, ids = dict(zip(words, counts)), model.classes, row_ids()
+    def coded(it):
+        classes, words, counts = known.value
+        count, rows = dict(zip(words, counts)), row_ids()
         base_size = 1 + len(classes.top)
-        # by entry: symbol, seen, base, log10 in the class, below (rare words only), the word
-        entries: list[tuple] = []
 
-        def add(w):
-            w = lower(w)
+        def entry(w: str) -> tuple:
+            """Symbol, known, base, own, below: nan for words of the head, infinite for classes of one word."""
             symbol, c = classes.of(w), count.get(w)
-            below = math.log10(classes.denominators[symbol - base_size]) if symbol >= base_size else 0.0
-            if c is None:  # a class of one word has no part of its own: infinite, to be told from a class
-                entries.append((symbol, 0, 0.0, 0.0, below if symbol >= base_size else math.inf, w))
-            else:
-                entries.append((symbol, 1, base_of(c), math.log10(c + 1) - below if symbol >= base_size else 0.0, math.nan, None))
-            return len(entries) - 1
-
-        index = Cached(add, 1 << 62)
-        for batch in slices(it, 2 * SLICE):
-            if len(entries) > 250_000 or not entries:
-                index.clear()
-                entries[:] = [(0, int(ends > 0), base_of(ends), 0.0, math.nan, None)]
-            flat, starts, lengths = _flat(batch.column(1).to_pylist(), index, 0)
-            symbols, seen, base, own, below = (np.array(c) for c in list(zip(*entries))[:5])
-            total = np.zeros(len(lengths))
-            sequence = symbols[flat]
-            for g in groups(lengths):
-                x, active = side_by_side(sequence, starts, lengths, g)
-                total[g] = forward(model, x, active)[0]
-            total = total / math.log(10) + np.add.reduceat(own[flat], starts)
-            rows = np.array([next(ids) for _ in range(len(lengths))], np.int64)
+            shared = symbol >= base_size
+            below = math.log10(classes.denominators[symbol - base_size]) if shared else math.inf
+            return (symbol, 0, 0.0, 0.0, below) if c is None else (symbol, 1, base_of(c), math.log10(c + 1) - below if shared else 0.0, math.nan)
+
+        entries = Entries(entry, (0, int(ends > 0), base_of(ends), 0.0, math.nan))
+        for batch in slices(it):
+            entries.tidy()
+            flat, starts, lengths = _flat(batch.column(1).to_pylist(), entries.index)
+            symbol, seen, base, own, below = entries.arrays()
+            symbols, offsets = symbol[flat].astype("<u2"), np.concatenate([2 * starts, [2 * len(flat)]]).astype(np.int64)
+            rare = np.flatnonzero(~np.isnan(below[flat]))
+            pair, times = np.unique(np.searchsorted(starts, rare, side="right") - 1 << 32 | flat[rare], return_counts=True)
+            which = pair & 0xFFFFFFFF
+            cuts = pa.array(np.searchsorted(pair >> 32, np.arange(len(lengths) + 1)), pa.int32())
+            rest = [pa.array([entries.words[i] for i in which.tolist()], pa.string()), pa.array(times, pa.int64()), pa.array(below[which], pa.float64())]
+            bodies = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(symbols)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.float64()), batch.column(0), pa.array(lengths), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(np.add.reduceat(base[flat], starts)), pa.array(total)],
+                [pa.array([next(rows) for _ in range(len(lengths))], pa.int64()), batch.column(0), batch.column(2), bodies, pa.array(lengths), pa.array(np.add.reduceat(seen[flat], starts), pa.int64()), pa.array(np.add.reduceat(base[flat], starts)), pa.array(np.add.reduceat(own[flat], starts))]
+                + [pa.ListArray.from_arrays(cuts, x) for x in rest],
                 schema=out,
             )
-            rare = np.flatnonzero(~np.isnan(below[flat]))
-            if len(rare):
-                pair, times = np.unique(np.searchsorted(starts, rare, side="right") - 1 << 32 | flat[rare], return_counts=True)
-                which = pair & 0xFFFFFFFF
-                k = len(pair)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[pair >> 32]), pa.array([entries[i][5] for i in which.tolist()], pa.string()), pa.array(times, pa.int64()), pa.array(below[which]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())],
-                    schema=out,
-                )
-
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(split, schema)
-    joined = found.withColumn("key", key_of("word", "row")).join(tail.where(F.col("word") != END).select(F.col("word").alias("key"), "n"), "key", "left")
+
+    return docs.select("doc_id", "text", "train").mapInArrow(coded, "row long, doc_id long, train boolean, symbols binary, n_tokens long, n_known long, base double, own double, words array<string>, times array<long>, below array<double>")
+
+
+def score(coded: DataFrame, model: Model, lexicon: DataFrame) -> DataFrame:
+    """One row for each row of ``coded`` (see :func:`code`): ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
+
+    Scores are log10 probabilities. A null or empty text is the end mark alone. A word that training
+    hasn't seen has count 0. Repeated rows get the same scores.
+    """
+    n, v = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = coded.sparkSession.sparkContext.broadcast(model)
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "own"]
+    out = pa.schema([(c, pa.float64() if c in ("base", "own") else pa.int64()) for c in names])
+
+    def scored(it):
+        model = known.value
+        for batch in slices(it, 2 * SLICE):
+            flat, starts, lengths = _columns(batch, len(names))
+            total = np.zeros(len(lengths))
+            for g in groups(lengths):
+                total[g] = forward(model, *side_by_side(flat, starts, lengths, g))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(total / math.log(10) + batch.column(len(names) - 1).to_numpy())], schema=out)
+
+    found = coded.select(*names, "symbols").mapInArrow(scored, "row long, doc_id long, n_tokens long, n_known long, base double, own double")
+    entry = F.explode(F.arrays_zip("words", "times", "below")).alias("e")
+    rare = coded.where(F.size("words") > 0).select("row", entry).select("row", F.col("e.words").alias("word"), F.col("e.times").alias("times"), F.col("e.below").alias("below"))
     log_c = F.log10(F.coalesce("n", F.lit(0)) + 1)
-    rare = F.col("word").isNotNull()
-    return (
-        joined.groupBy("row")
+    sums = (
+        rare.join(lexicon.where(F.col("word") != END).select("word", "n"), "word", "left")
+        .groupBy("row")
         .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum(F.when(rare, F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"),
-            F.sum(F.when(rare, F.col("times") * (log_c - F.lit(math.log10(n + v + 1)))).otherwise(F.col("base"))).alias("base_score"),
-            F.sum(F.when(rare & (F.col("below") > 1e300), 0.0).when(rare, F.col("times") * (log_c - F.col("below"))).otherwise(F.col("own"))).alias("score"),
+            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+            F.sum(F.col("times") * (log_c - F.lit(math.log10(n + v + 1)))).alias("more_base"),
+            F.sum(F.when(F.col("below") > 1e300, 0.0).otherwise(F.col("times") * (log_c - F.col("below")))).alias("more_own"),
         )
-        .select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
     )
-
-
-def score_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train: Column | None = None, head_words: int = HEAD_WORDS, **fitting) -> DataFrame:
-    """Learn from the rows where ``train`` holds (default: not :func:`held_out`) and score all rows."""
-    mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text"), (~held_out(doc_id) if train is None else train).alias("train"))
-    learn = mine.where("train").select("doc_id", "text")
-    lexicon = durable(token_counts(learn), "words")
-    return score(mine, fit(learn, lexicon, **fitting), lexicon, head_words=head_words)
+    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return found.join(sums, "row", "left").select("doc_id", "n_tokens", add("n_known", "more_known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), add("base", "more_base").alias("base_score"), add("own", "more_own").alias("score"))
+
+
+def score_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train: Column | None = None, head_words: int = HEAD_WORDS, states: int = STATES, steps: int = STEPS, top_words: int = TOP_WORDS, suffixes: int = SUFFIX_CLASSES) -> DataFrame:
+    """Learn from the rows where ``train`` holds (default: not :func:`held_out`) and score all rows, see :func:`score`.
+    Other columns are left out."""
+    if 1 + top_words + suffixes > 1 << 16:
+        raise ValueError("more classes than 16 bits tell apart")
+    mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text"), F.coalesce(~held_out(doc_id) if train is None else train, F.lit(False)).alias("train"))
+    lexicon = durable(token_counts(mine.where("train").select("text")), "words")
+    classes, totals = make_classes(lexicon, top_words, suffixes)
+    coded = durable(code(mine, lexicon, classes, head_words), "coded")
+    model, _ = fit(coded.where("train"), first_model(classes, totals, states), steps)
+    return score(coded, model, lexicon)

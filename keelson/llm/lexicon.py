@@ -45,23 +45,32 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.Recor
             yield batch.slice(at, rows)
 
 
-def count_words(texts: DataFrame, counter: Callable[[Iterable[str]], Iterable[tuple[str, int]]]) -> DataFrame:
+def count_words(texts: DataFrame, tools: Callable[[], tuple[Callable[[str], Iterable[str]], Callable[[str], Iterable[str]]]]) -> DataFrame:
     """``(word, n)`` over all rows of the one-column frame ``texts``.
 
-    ``counter`` turns some texts into (word, count) pairs. Counts are added up in the task before the
-    shuffle, so a frequent word is one row a task.
+    ``tools`` gives, in the task, two functions: from a text to its units, and from a unit to its words. Units are
+    counted in the task and split once for each time that they are handed on, so a frequent word is one row a task.
     """
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def partial(it):
+        units, words = tools()
+
+        def handed_on(seen: Counter) -> Iterator[pa.RecordBatch]:
+            out: Counter = Counter()
+            for unit, n in seen.items():
+                for word in words(unit):
+                    out[word] += n
+            yield from batches(out.items(), schema)
+
         seen: Counter = Counter()
-        for batch in slices(it):
-            for word, n in counter(x or "" for x in batch.column(0).to_pylist()):
-                seen[word] += n
+        for batch in slices(it, SLICE // 4):
+            for x in batch.column(0).to_pylist():
+                seen.update(units(x or ""))
             if len(seen) > FLUSH:
-                yield from batches(seen.items(), schema)
+                yield from handed_on(seen)
                 seen = Counter()
-        yield from batches(seen.items(), schema)
+        yield from handed_on(seen)
 
     return texts.mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

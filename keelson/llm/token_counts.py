@@ -16,35 +16,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, key_of, row_ids, slices, split_head
-from keelson.llm.tokens import byte_pre_tokens, piece_ids, segments
-
-def bag(path: str) -> Callable[[str], tuple[Counter, int]]:
-    """A function from a text to (pre-tokens with their frequencies, added tokens)."""
-    cut = byte_pre_tokens(path)
-
-    def of(text: str) -> tuple[Counter, int]:
-        words, added = Counter(), 0
-        for part, is_special in segments(path, text):
-            if is_special:
-                added += 1
-            else:
-                words.update(cut(part))
-        return words, added
-
-    return of
+from keelson.llm.lexicon import HEAD_WORDS, count_words, key_of, row_ids, slices, split_head
+from keelson.llm.tokens import Cached, all_units, byte_pre_tokens, byte_units, piece_ids, segments, specials
 
 
 def pre_tokens(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``(word, n)``: the corpus's distinct pre-tokens with their frequencies."""
+    return count_words(docs.select(words_text(text)), lambda: (all_units(tokenizer, byte_units), byte_pre_tokens(tokenizer)))
+
+
+def bag(path: str, pieces: dict[str, int]) -> Callable[[str], tuple[int, dict[str, int]]]:
+    """A function from a text to (its pieces as far as ``pieces`` has its pre-tokens, the frequencies of the others)."""
+    cut, units, added = byte_pre_tokens(path), all_units(path, byte_units), specials(path)
 
-    def counter(texts):
-        of, seen = bag(tokenizer), Counter()
-        for x in texts:
-            seen.update(of(x)[0])
-        return seen.items()
+    def known(unit: str) -> tuple[int, tuple[str, ...]]:
+        words = cut(unit)
+        return sum(pieces.get(w, 0) for w in words), tuple([w for w in words if w not in pieces])
 
-    return count_words(docs.select(words_text(text)), counter)
+    split = Cached(known)
+
+    def of(text: str) -> tuple[int, dict[str, int]]:
+        total, rare = 0, {}
+        for unit, n in Counter(units(text)).items():
+            k, words = split[unit]
+            total += k * n
+            for w in words:
+                rare[w] = rare.get(w, 0) + n
+        if any(s in text for s in added):
+            total += sum(is_special for _, is_special in segments(path, text))
+        return total, rare
+
+    return of
 
 
 def count_pieces(words: DataFrame, tokenizer: str) -> DataFrame:
@@ -74,21 +76,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
     schema = "row long, word string, freq long, n_bytes long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
     def split(it):
-        pieces = dict(zip(*known.value))
-        of, ids = bag(tokenizer), row_ids()
+        of, ids = bag(tokenizer, dict(zip(*known.value))), row_ids()
         for batch in slices(it):
             rows, words, freqs, sizes, at = [], [], [], [], []
             for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                (found, total), row, rare = of(x), next(ids), []
-                for word, n in found.items():
-                    k = pieces.get(word)
-                    if k is None:
-                        rare.append((word, n))
-                    else:
-                        total += k * n
+                (total, rare), row = of(x), next(ids)
                 rows += [row] * (1 + len(rare))
-                words += [None, *[w for w, _ in rare]]
-                freqs += [total, *[n for _, n in rare]]
+                words += [None, *rare]
+                freqs += [total, *rare.values()]
                 sizes += [len(x.encode())] + [None] * len(rare)
                 at += [i] + [None] * len(rare)
             yield pa.RecordBatch.from_arrays(

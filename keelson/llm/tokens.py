@@ -5,6 +5,9 @@ texts of printable ASCII, white space and the letters of Latin-1 - where Python'
 the files' ``\\p{L}``, ``\\p{N}`` and ``\\s`` mean, lower case is letter by letter and no two characters combine - the
 split is one expression over the text, and the byte-level vocabulary's ids come from its rank file; tests compare both
 with the library. Every other text goes to the library as a whole.
+
+No pre-token of either file begins in a word and goes on behind white space. So a text falls into *units* - words with the
+white space before them - that can be split one by one, and a unit that was met before needn't be split again.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _PLAIN_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: Plain, and without the long runs of white space on which the rank file's matcher recurses too deeply.
+_TAME = re.compile("(?:[\t\n\r ]{0,256}+[\x21-\x7eÀ-ÖØ-öø-ÿ]++)*+[\t\n\r ]{0,256}+")
 
 
 @lru_cache(maxsize=4)
@@ -71,6 +76,9 @@ def word_pre_tokens(path: str) -> Callable[[str], list[str]]:
     normal, ask = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
 
     def cut(text: str) -> list[str]:
+        word = text.rstrip(".,;:!?")
+        if word.isalpha() and (word.isascii() or is_plain(word)):  # most units: a word and the marks behind it
+            return [word.lower(), text[len(word) :]] if len(word) < len(text) else [word.lower()]
         if is_plain(text):
             return _PLAIN_WORD.findall(text.lower())
         text = normal(text)
@@ -106,12 +114,12 @@ def rank_encoding(path: str):
 
 def text_ids(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit bytes. ``ranks``: the rank file of the same
-    byte-level vocabulary, for plain texts; without it the library encodes every text."""
+    byte-level vocabulary, for plain texts without long runs of white space; the library encodes all others."""
     ask, added = load(path).encode, tuple(specials(path))
     fast = rank_encoding(ranks).encode_ordinary if ranks else None
 
     def ids(text: str) -> bytes:
-        if fast and is_plain(text) and not any(s in text for s in added):
+        if fast and _TAME.fullmatch(text) and not any(s in text for s in added):
             return np.array(fast(text), "<u4").tobytes()
         return np.array(ask(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -130,6 +138,33 @@ def contract_words(text: str) -> list[str]:
     return [w for w in _SPACES.split(text) if w]
 
 
+#: A unit: white space and what follows it.
+_UNIT = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+
+
+def byte_units(text: str) -> list[str]:
+    """The units of a text under the byte-level file; a text with other white space is one unit."""
+    return _UNIT.findall(text) if _OTHER_SPACE.search(text) is None else [text]
+
+
+def all_units(path: str, cut: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
+    """A function from a text to its units without the added tokens: ``cut`` splits what lies between those."""
+    added = tuple(specials(path))
+
+    def units(text: str) -> list[str]:
+        if not any(s in text for s in added):
+            return cut(text)
+        return [u for part, is_special in segments(path, text) if not is_special for u in cut(part)]
+
+    return units
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i], first[i] + 1, ...``, ``size[i]`` of them, for all i one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Cached(dict):
     """A dict that works out what is missing, of bounded size: when it is full it becomes the old
     generation, and what is used again comes back from there. So frequent keys stay."""

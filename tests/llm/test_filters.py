@@ -160,7 +160,7 @@ def test_language_model_base(docs, corpus, head):
             counts.update([*tokens(t), ""])
     n, v = sum(counts.values()), len(counts)
     wanted = sorted((str(d), len(tokens(t)) + 1, sum(counts[w] > 0 for w in [*tokens(t), ""]), sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*tokens(t), ""])) for d, t, *_ in corpus)
-    got = hmm.score_corpus(docs, head_words=head, steps=(1, 1)).collect()
+    got = hmm.score_corpus(docs, head_words=head, steps=1).collect()
     assert {r["train_tokens"] for r in got} == {n}
     rows = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"]) for r in got)
     assert [r[:3] for r in rows] == [r[:3] for r in wanted]
@@ -173,9 +173,11 @@ def test_forward_is_exact_and_scores_rare_words(spark):
 
     train = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b a a", "c b"] * 3)], "doc_id long, text string")
     lexicon = hmm.token_counts(train).cache()
-    model = hmm.fit(train, lexicon, states=2, top_words=2, suffixes=3)
+    classes, totals = hmm.make_classes(lexicon, top_words=2, suffixes=3)
+    coded = lambda df: hmm.code(df.withColumn("train", F.lit(True)), lexicon, classes, head_words=1)
+    model, _ = hmm.fit(coded(train), hmm.first_model(classes, totals, 2))
     texts = ["a b", "", "c zz a", "b"]
-    out = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, lexicon, head_words=1).collect()}
+    out = {r["doc_id"]: r["score"] for r in hmm.score(coded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), model, lexicon).collect()}
     counts = {r["word"]: r["n"] for r in lexicon.collect()}
     for i, t in enumerate(texts):
         seq = [*tokens(t), ""]
@@ -192,24 +194,46 @@ def test_forward_is_exact_and_scores_rare_words(spark):
         assert out[i] == pytest.approx(math.log10(p))
 
 
-def test_baum_welch_climbs():
-    """Each full step raises the likelihood of what it counted."""
+def test_expected_counts_in_parts():
+    """Counts and likelihoods don't depend on how many positions are kept at a time, or on which are scaled."""
     rng = np.random.default_rng(0)
     classes = hmm.Classes({f"w{i}": i + 1 for i in range(6)}, 1, np.ones(1))
     model = hmm.first_model(classes, np.ones(classes.size), 3)
-    seqs = [np.concatenate([(np.arange(n) + rng.integers(6)) % 6 + 1, [0]]) for n in rng.integers(1, 30, 40)]
+    seqs = [np.concatenate([(np.arange(n) + rng.integers(6)) % 6 + 1, [0]]) for n in [0, 0, *rng.integers(1, 70, 40)]]
     flat, lengths = np.concatenate(seqs), np.array([len(s) for s in seqs])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    last = -np.inf
-    for _ in range(5):
-        total, counts = 0.0, 0.0
-        for g in hmm.groups(lengths, 100):
-            x, active = hmm.side_by_side(flat, starts, lengths, g)
-            total += hmm.forward(model, x, active)[0].sum()
-            counts = counts + hmm.expected(model, x, active)
-        assert total > last
-        last, model = total, hmm.updated(model, counts)
-        assert counts[3 + 9 :].sum() == pytest.approx(lengths.sum())
+    log = 0.0
+    for s in seqs:  # plain recursion
+        a = model.start * model.emit[:, s[0]]
+        for x in s[1:]:
+            a = (a @ model.move) * model.emit[:, x]
+        log += math.log(a.sum())
+    found = []
+    for cells in (10**9, 100, 1):
+        counts, total = 0.0, 0.0
+        for g in hmm.groups(lengths, 500):
+            more, part = hmm.expected(model, *hmm.side_by_side(flat, starts, lengths, g), cells)
+            counts, total = counts + more, total + part
+        assert total == pytest.approx(log)
+        assert counts[:3].sum() == pytest.approx(len(seqs)) and counts[3:12].sum() == pytest.approx(lengths.sum() - len(seqs))
+        assert np.bincount(flat, minlength=8) == pytest.approx(counts[12:].reshape(3, 8).sum(0))
+        found.append(counts)
+    assert found[0] == pytest.approx(found[1]) and found[0] == pytest.approx(found[2])
+
+
+def test_every_baum_welch_step_climbs_and_counts_all(spark):
+    """``fit`` itself: the likelihood of the training texts never falls, and every step counts every token once."""
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b", "b a a", "c b", "", "zz a"] * 20)], "doc_id long, text string").repartition(4)
+    lexicon = hmm.token_counts(train).cache()
+    classes, totals = hmm.make_classes(lexicon, top_words=3, suffixes=2)
+    coded = hmm.code(train.withColumn("train", F.lit(True)), lexicon, classes).cache()
+    model, logs = hmm.fit(coded, hmm.first_model(classes, totals, 2), steps=8, smoothing=1e-9)
+    assert len(logs) == 8 and all(b >= a - 1e-6 for a, b in zip(logs, logs[1:])) and logs[-1] > logs[0]
+    counts, log = hmm.gather(coded, model)
+    assert log >= logs[-1] - 1e-6
+    assert counts[2 + 4 :].reshape(2, -1).sum(0) == pytest.approx(totals)
+    last = hmm.updated(model, counts)
+    assert hmm.fit(coded, model, steps=1)[0].emit == pytest.approx(last.emit)
 
 
 def test_language_model_nothing(empty):
@@ -259,17 +283,3 @@ def test_toxicity_bound_leaves_the_class_ratio(spark):
     plain = docs.withColumn("text", F.lit(""))
     a, b = toxicity.fit(plain, labels), toxicity.fit(plain, labels, most_other=300)
     assert a.intercept == pytest.approx(b.intercept, abs=1e-9)
-
-
-def test_last_step_counts_all_texts(spark, monkeypatch):
-    """The model comes from expected counts over every training token, none of them at a lower weight."""
-    train = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b a a", "c b"] * 20)], "doc_id long, text string")
-    lexicon = hmm.token_counts(train).cache()
-    found, gather = [], hmm.gather
-    monkeypatch.setattr(hmm, "gather", lambda *a, **b: found.append(gather(*a, **b)) or found[-1])
-    model = hmm.fit(train, lexicon, states=2, top_words=3, suffixes=2)
-    words = Counter(w for t in ["a b", "b a a", "c b"] * 20 for w in [*t.split(), ""])
-    seen = found[-1][2 + 4 :].reshape(2, -1).sum(0)
-    assert {w: seen[model.classes.top[w] if w else 0] for w in words} == pytest.approx(dict(words))
-    last = hmm.updated(model, found[-1])
-    assert model.emit == pytest.approx(last.emit) and model.move == pytest.approx(last.move)
