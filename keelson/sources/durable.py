@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,13 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame, what: str) -> DataFrame:
+def durable(df: DataFrame, what: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: its lineage ends there,
-    so a lost executor costs a read and not a recomputation."""
+    so a lost executor costs a read and not a recomputation. ``schema``: to read it with, for types that are stored as
+    others."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keelson/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def drop_durable(df: DataFrame) -> None:
