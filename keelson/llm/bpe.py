@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, slices, split_head
+from keelson.llm.lexicon import HEAD_WORDS, batches, count_words, released, slices, split_head
 from keelson.llm.tokens import Cached, all_units, contract_words, load, piece_ids, segments, spans, specials, word_pre_tokens
 
 #: Rows that are decoded at a time.
@@ -158,8 +158,8 @@ def _parts(docs: DataFrame, tokenizer: str, text: str, doc_id: str, head_words:
 
         yield from batches(found(), missing, 16384)
 
-    fills = source.mapInArrow(rare, "row long, at int, word string").join(tail.select("word", "ids"), "word").select("row", F.lit(None).cast("long").alias("doc_id"), "at", F.col("ids").alias("data"))
-    parts = source.mapInArrow(bodies, "row long, doc_id long, at int, data binary").union(fills)
+    fills = source.mapInArrow(released(rare), "row long, at int, word string").join(tail.select("word", "ids"), "word").select("row", F.lit(None).cast("long").alias("doc_id"), "at", F.col("ids").alias("data"))
+    parts = source.mapInArrow(released(bodies), "row long, doc_id long, at int, data binary").union(fills)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(n, "row").sortWithinPartitions("row", "at"), lambda it: _filled(it, *table.value)
 
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
         for doc_ids, ids, bounds in filled(it):
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], schema=_ENCODED)
 
-    return parts.mapInArrow(of, "doc_id long, ids binary")
+    return parts.mapInArrow(released(of), "doc_id long, ids binary")
 
 
 def pieces_of(tokenizer: str):
@@ -214,4 +214,4 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
             all_pieces, at = pieces(ids), list(zip(bounds, bounds[1:]))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in at], pa.binary()), pa.array([between.join(all_pieces[a:b]) for a, b in at], pa.string())], schema=schema)
 
-    return parts.mapInArrow(of, "doc_id long, ids binary, decoded string")
+    return parts.mapInArrow(released(of), "doc_id long, ids binary, decoded string")

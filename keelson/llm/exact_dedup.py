@@ -1,10 +1,10 @@
 """Exact deduplication by progressive refinement.
 
-Rows are grouped by the length of their normalised text, then by a hash of its first characters; only
-rows whose (length, prefix) group has company have their whole content hashed. That set is a bitmap
-of fixed size, so the second reading of the texts is a filter while scanning and no text is shuffled.
-A full group is its SHA-256. Hot groups are counted with partial sums; a group's result goes back to
-its rows over salted keys.
+Rows are grouped by the length of their normalised text; of lengths that more than one row has, by a hash of the first
+characters; only rows whose (length, prefix) group has company have their whole content hashed. That set goes to the second
+reading of the texts as a bitmap of bounded size, so no text is shuffled. (If the groups with company are too many for
+a bitmap, all rows are hashed: the same result.) A full group is its SHA-256. Groups are counted with partial sums; their
+results go back to the rows by a join that keeps the rows of large groups where they are.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SPACES, bitmap_of, durable, marked, without, words_text
+from keelson.llm.common import SPACES, durable, join_hot, marked, without, words_text
 
 PREFIX_CHARS = 64
-SALTS = 32
 
 
 def normalised(text: str):
@@ -23,7 +22,7 @@ def normalised(text: str):
     return F.regexp_replace(words_text(text), f"{SPACES}+", " ")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest_all: bool = False, bits: int = 24) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest_all: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Equal texts (after :func:`normalised`; null is empty) form a group; the row with the smallest
@@ -34,20 +33,17 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
     """
     # projected before the bitmap join, so that only these columns meet it
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("_text")).withColumn("_len", F.length("_text")).withColumn("_prefix", F.xxhash64("_len", F.substring("_text", 1, PREFIX_CHARS)))
-    lengths = rows.groupBy("_len", "_prefix").agg(F.count("*").alias("n"))
-    # by length first: one that occurs once needs no prefix; then by prefix within the length
-    crowded = lengths.where("n > 1").select("_prefix")
-    maybe = marked(rows, F.col("_prefix"), durable(bitmap_of(crowded, F.col("_prefix"), bits), "crowded"), bits)
+    prefixes = durable(rows.groupBy("_len", "_prefix").agg(F.count("*").alias("n")), "prefixes")
+    lengths = prefixes.groupBy("_len").agg(F.sum("n").alias("rows")).where("rows > 1").select("_len")
+    crowded = durable(prefixes.where("n > 1").join(lengths, "_len", "left_semi").select("_prefix"), "crowded")
+    maybe = marked(rows, F.col("_prefix"), crowded, F.col("_prefix"), "_maybe")
     sha = F.sha2(F.encode("_text", "UTF-8"), 256)
-    hashed = maybe.select("doc_id", F.col("_marked").alias("maybe"), (sha if digest_all else F.when(F.col("_marked"), sha)).alias("text_sha256"))
-    table = durable(hashed, "digests")
-    groups = table.where("maybe").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # rows that are alone get a key of their own, so that no two of them meet
-    keyed = table.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("key", F.when(F.col("maybe"), F.col("text_sha256")).otherwise(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
-    found = keyed.join(salted.select(F.col("text_sha256").alias("key"), "salt", "keep_id", "group_size"), ["key", "salt"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    table = durable(maybe.select("doc_id", F.col("_maybe").alias("maybe"), (sha if digest_all else F.when(F.col("_maybe"), sha)).alias("text_sha256")), "digests")
+    together = table.where("maybe").select("doc_id", "text_sha256")
+    groups = durable(together.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("n", F.col("group_size")), "groups")
+    found = join_hot(together, groups, ["text_sha256"], "n", together.count())
+    alone = table.where("NOT maybe").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return found.unionByName(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -55,5 +51,4 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     ``doc_id`` is taken to identify a text; rows without one all stay.
     """
-    gone = exact_groups(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return without(docs, gone, F.xxhash64(F.col(doc_id).cast("long")), F.xxhash64("_gone"), F.col(doc_id) == F.col("_gone"))
+    return without(docs, exact_groups(docs, text, doc_id).where("NOT kept").select("doc_id"), F.col(doc_id).cast("long"))

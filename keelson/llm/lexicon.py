@@ -9,6 +9,8 @@ between them and never changes a result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -45,6 +47,21 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.Recor
             yield batch.slice(at, rows)
 
 
+def released(f):
+    """A function over batches that gives the memory it used back when it has ended: Python workers live on, and what one
+    task has used would stay with its worker while other tasks run."""
+
+    def of(it):
+        yield from f(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return of
+
+
 def count_words(texts: DataFrame, tools: Callable[[], tuple[Callable[[str], Iterable[str]], Callable[[str], Iterable[str]]]]) -> DataFrame:
     """``(word, n)`` over all rows of the one-column frame ``texts``.
 
@@ -72,7 +89,7 @@ def count_words(texts: DataFrame, tools: Callable[[], tuple[Callable[[str], Iter
                 seen = Counter()
         yield from handed_on(seen)
 
-    return texts.mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(released(partial), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def split_head(lexicon: DataFrame, most: int = HEAD_WORDS) -> tuple[pa.Table, DataFrame]:

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import bitmap_of, components, durable, marked, without, words_text
-from keelson.llm.lexicon import slices
+from keelson.llm.common import components, durable, join_hot, marked, without, words_text
+from keelson.llm.lexicon import released, slices
 from keelson.llm.tokens import Cached, contract_words
 
 NGRAM = 5
@@ -39,7 +39,6 @@ TOLERANCE = 1e-9
 BLOCK = 256
 #: Columns of the incidence matrices that are multiplied at a time.
 WIDE = 4096
-SALTS = 16
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -190,7 +189,7 @@ def _unit(low: int, high: int, members: dict[int, list], threshold, tolerance):
         yield every[k][0], int(links[k]), every[order[label[k]]][0]
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, bits: int = 24) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, class_id, n_links, same_set``.
 
     ``class_id`` is the smallest ``doc_id`` of the connected component of links (Jaccard similarity of
@@ -211,7 +210,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
             keys = iter(band_keys(np.stack([minhash(g) for g in full])).view(np.int64) if full else ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], pa.binary()), pa.array([next(keys) if len(g) else None for g in grams], pa.list_(pa.int64()))], schema=flat)
 
-    table = durable(rows.mapInArrow(sets, "doc_id long, set_id binary, keys array<long>"), "sets")
+    table = durable(rows.mapInArrow(released(sets), "doc_id long, set_id binary, keys array<long>"), "sets")
     classes = table.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     # copies have the same keys: one row for each (key, class)
     buckets = table.where("set_id IS NOT NULL").select("set_id", F.explode("keys").alias("key")).distinct()
@@ -223,7 +222,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
     dealt = durable(dealt, "dealt")
 
     # second reading: the sets of the classes' first documents only, picked by a bitmap while scanning
-    picked = marked(rows, F.xxhash64("doc_id"), durable(bitmap_of(dealt.select("first"), F.xxhash64("first"), bits), "picked"), bits).where("_marked").select("doc_id", "text")
+    picked = marked(rows, F.xxhash64("doc_id"), dealt.select("first"), F.xxhash64("first"), "_marked").where("_marked").select("doc_id", "text")
     full = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("grams", pa.binary()), ("values", pa.binary())])
 
     def contents(it):
@@ -232,7 +231,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
             grams = [shingles(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([minhash(g).tobytes() if len(g) else b"" for g in grams], pa.binary())], schema=full)
 
-    have = picked.mapInArrow(contents, "doc_id long, set_id binary, grams binary, values binary")
+    have = picked.mapInArrow(released(contents), "doc_id long, set_id binary, grams binary, values binary")
     mine, other = F.col("mine"), F.col("other")
     units = (
         have.join(dealt.withColumnsRenamed({"first": "_first", "set_id": "_set"}), (F.col("set_id") == F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("_first")))
@@ -271,19 +270,17 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), linked.types)], schema=linked)
 
-    links = durable(units.mapInArrow(work, "set_id binary, links long, root binary"), "links")
+    links = durable(units.mapInArrow(released(work), "set_id binary, links long, root binary"), "links")
     groups = components(links, "set_id", "root")
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     of_set = classes.join(counts, "set_id", "left").join(groups.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     class_ids = of_set.groupBy("root").agg(F.min("first").alias("class_id"))
-    of_set = of_set.join(class_ids, "root").select("set_id", "first", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("same_set"))
-    # copies may be a third of all rows: the row of a class with copies goes to every salt, the row of a
-    # class of one to the salt of its only document; empty texts don't meet anything
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    of_set = of_set.withColumn("salt", F.explode(F.when(F.col("same_set") > 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(salt("first"))))).drop("first")
+    of_set = of_set.join(class_ids, "root").select("set_id", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("same_set"))
+    of_set = durable(of_set, "classes")
     alone = table.where("set_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("same_set"))
-    member = table.where("set_id IS NOT NULL").select("doc_id", "set_id", salt("doc_id").alias("salt"))
-    return member.join(of_set, ["set_id", "salt"]).select("doc_id", "class_id", "n_links", "same_set").union(alone)
+    member = table.where("set_id IS NOT NULL").select("doc_id", "set_id")
+    # copies of one text may be a third of all rows
+    return join_hot(member, of_set, ["set_id"], "copies", member.count()).select("doc_id", "class_id", "n_links", "same_set").union(alone)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -291,5 +288,4 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     ``doc_id`` is taken to identify a text; rows without one all stay.
     """
-    gone = near_groups(docs, text, doc_id).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return without(docs, gone, F.xxhash64(F.col(doc_id).cast("long")), F.xxhash64("_gone"), F.col(doc_id) == F.col("_gone"))
+    return without(docs, near_groups(docs, text, doc_id).where("doc_id <> class_id").select("doc_id"), F.col(doc_id).cast("long"))

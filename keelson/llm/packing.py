@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import words_text
-from keelson.llm.lexicon import batches, slices
+from keelson.llm.lexicon import batches, released, slices
 from keelson.llm.tokens import text_ids
 
 CAPACITY = 1024
@@ -139,5 +139,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, te
 
         yield from batches(all_rows(), schema, 1024)
 
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, class_k int")
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(released(pack), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, class_k int")
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * keep_ids, "doc_tokens", "sequence_id", "offset", "class_k")

@@ -1,11 +1,14 @@
 """Quality rules: text statistics, and line frequency across the documents of a host.
 
-Everything is DataFrame expressions. Statistics of one text are higher-order functions over its word
-array: repeated windows are found by sorting (window hash, position) pairs inside the row, so a long
-text costs n log n and no row is exploded. Across documents, normalised lines are hashed, the distinct
-texts of a host that have a line are counted (copies of one text count once), lines above the limits
-are removed from all but the host's first document with them, and a document that loses too much of
-its words is rejected. As the first document keeps its lines, no content disappears altogether.
+Everything is DataFrame expressions. One reading of the texts stores the statistics of every row and the hashes of its
+normalised lines; repeated windows are found by sorting (window hash, position) pairs inside the row, so a long
+text costs n log n and no row is exploded for them. Across documents, the distinct documents of a host that have a line are
+counted, lines above the limit are removed from all but the host's first document with them, and a document that loses too
+much of its words is rejected. As the first document keeps its lines, no content disappears altogether.
+
+The limit of a host: a line is above it if more than ``LINE_SHARE`` of the host's documents have it, but never with
+``LINE_LEAST`` documents or fewer and always with more than ``LINE_MOST``: on a large host, boilerplate needn't be in a large
+part of the pages.
 """
 
 from __future__ import annotations
@@ -13,16 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SPACES, bitmap_of, durable, marked, words_text
+from keelson.llm.common import SPACES, durable, fresh, join_hot, marked, words_text
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate of its host if more distinct documents than both limits have it.
-LINE_DOCS = 50
-LINE_SHARE = 0.2
+LINE_LEAST, LINE_MOST = 5, 50
+LINE_SHARE = 0.05
 #: A document is depleted if fewer than this share of its words is left.
-MIN_LEFT = 0.2
+MIN_LEFT = 0.5
+_NO_ID = -(1 << 63)
 
 
 def _let(value: Column, body) -> Column:
@@ -80,66 +83,59 @@ def normalised_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), f"{SPACES}+", " "))
 
 
-def _judged(docs: DataFrame, text: str, doc_id: str, host: str, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def _lines(text: Column) -> Column:
+    """(hash, words) of the lines of a text that have a word, normalised."""
+    normal = F.filter(F.transform(F.split(text, "\n"), normalised_line), lambda x: x != "")
+    return F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("in_line")))
+
+
+def _judged(docs: DataFrame, text: str, doc_id: str, host: str, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, line_least: int = LINE_LEAST, line_most: int = LINE_MOST, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """:func:`judge_quality` with the key's ``_host`` and ``_gone``, the hashes of the row's lines above the limits."""
-    t = words_text(text)
-    key = _key(docs, text, doc_id, host)
-    base = docs.select(*key, *statistics(F.col(text))).withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_words") * max_repeated < F.col("n_repeat_words") * 100))
-    lines = (
-        docs.select(*key, F.explode(F.split(t, "\n")).alias("line"))
-        .withColumn("line", normalised_line(F.col("line")))
-        .where("line <> ''")
-        .select("doc_id", "_host", "_row", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("in_line"))
-    )
-    first = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))
-    texts = lines.groupBy("_host", "line", "_row").agg(first.alias("first"))
-    often = texts.groupBy("_host", "line").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") > line_docs)
-    sizes = docs.select(*key[1:]).distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
-    above = often.join(sizes, "_host").where(F.col("texts") > F.col("host_texts") * line_share).select("_host", "line", "first")
-    removed = (
-        lines.join(above, ["_host", "line"])
-        .where(F.coalesce("doc_id", F.lit(-(1 << 63))) > F.col("first"))
-        .groupBy("doc_id", "_host", "_row", "line")
-        .agg(F.max("in_line").alias("in_line"), F.count("*").alias("times"))
-    )
-    # repeated rows: each has the lines as often as its own text
-    copies = docs.select(*key).groupBy("doc_id", "_host", "_row").agg(F.count("*").alias("copies"))
-    lost = (
-        removed.groupBy(F.col("doc_id").alias("d"), F.col("_host").alias("h"), F.col("_row").alias("r"))
-        .agg(F.sum(F.col("in_line") * F.col("times")).alias("lost"), F.sort_array(F.collect_set("line")).alias("_gone"))
-        .join(copies, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("_host")) & (F.col("r") == F.col("_row")))
-        .select("d", "h", "r", F.floor(F.col("lost") / F.col("copies")).alias("removed_words"), "_gone")
-    )
-    out = base.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_host") == F.col("h")) & (F.col("_row") == F.col("r")), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    read = docs.select(*_key(docs, text, doc_id, host), *statistics(F.col(text)), _lines(words_text(text)).alias("lines"), F.monotonically_increasing_id().alias("_at"))
+    base = durable(read, "lines")
+    first = F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first")
+    each = base.select("doc_id", "_host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    often = durable(each.groupBy("_host", "line").agg(F.count("*").alias("n"), first).where(F.col("n") > line_least), "often")
+    sizes = base.groupBy("_host").agg(F.count("*").alias("size")).where(F.col("size") * line_share < line_most)
+    some = often.where(F.col("n") <= line_most).join(sizes, "_host").where(F.col("n") > F.col("size") * line_share).select(*often.columns)
+    above = durable(often.where(F.col("n") > line_most).unionByName(some), "above")
+    # a line of many documents is a hot key; lines that aren't above the limits don't take part
+    all_lines = base.select("doc_id", "_host", "_at", F.explode("lines").alias("x")).select("doc_id", "_host", "_at", "x.line", "x.in_line")
+    known = marked(all_lines, F.xxhash64("_host", "line"), above, F.xxhash64("_host", "line"), "_known").where("_known").drop("_known")
+    removed = join_hot(known, above, ["_host", "line"], "n", above.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).where(F.coalesce("doc_id", F.lit(_NO_ID)) > F.col("first"))
+    lost = removed.groupBy("_at").agg(F.sum("in_line").alias("lost"), F.sort_array(F.collect_set("line")).alias("_gone"))
+    out = base.drop("lines").join(lost, "_at", "left").withColumn("removed_words", F.coalesce("lost", F.lit(0).cast("long")))
+    out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_words") * max_repeated < F.col("n_repeat_words") * 100))
     depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < F.col("n_words") * min_left)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"), "_row", "_host", "_gone")
 
 
-def judge_quality(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
+def judge_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", **limits) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, the statistics, ``base_failed``, ``removed_words``
     (words in lines above the limits), ``kept`` and ``_row``, a key of the row's content.
 
     A null text is empty and fails; a null host is a host of its own. A host's first document with a
-    line is the one with the smallest ``doc_id``; null ids come first. Repeated rows are judged alike.
-    Line and text identities are 64-bit hashes. Other columns are left out.
+    line is the one with the smallest ``doc_id``; null ids come first. Repeated rows count as documents of their own and
+    are judged alike. Line and text identities are 64-bit hashes. Other columns are left out. ``limits``: ``min_words,
+    max_repeated, line_least, line_most, line_share, min_left`` for the constants of these names.
     """
-    return _judged(docs, text, doc_id, host, min_words, max_repeated, line_docs, line_share, min_left).drop("_host", "_gone")
+    return _judged(docs, text, doc_id, host, **limits).drop("_host", "_gone")
 
 
-def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", bits: int = 24, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns; ``text`` is without the lines above
     the limits. Texts without such lines, and all other columns, stay as they are.
 
     A bitmap of the rows to drop or to rewrite lets the others pass while scanning; only rows that it marks are shuffled.
     """
+    mark, d, h, r, bad, gone = fresh(docs.columns, "_marked", "_d", "_h", "_r", "_bad", "_gone")
     judged = _judged(docs, text, doc_id, host, **limits).where("NOT kept OR removed_words > 0")
-    told = durable(judged.select(F.col("doc_id").alias("_d"), F.col("_host").alias("_h"), F.col("_row").alias("_r"), (~F.col("kept")).alias("_bad"), F.when(F.col("kept"), F.col("_gone")).alias("_gone")).distinct(), "told")
+    told = judged.select(F.col("doc_id").alias(d), F.col("_host").alias(h), F.col("_row").alias(r), (~F.col("kept")).alias(bad), F.when(F.col("kept"), F.col("_gone")).alias(gone))
+    told = durable(told.distinct(), "told")
     key = _key(docs, text, doc_id, host)
-    rows = marked(docs, F.xxhash64(*key), durable(bitmap_of(told, F.xxhash64("_d", "_h", "_r"), bits), "told-bits"), bits)
-    same = key[0].eqNullSafe(F.col("_d")) & (key[1] == F.col("_h")) & (key[2] == F.col("_r"))
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normalised_line(x)))), "\n")
-    doubtful = rows.where("_marked").select(*docs.columns).join(told, same, "left").where("NOT coalesce(_bad, false)")
-    doubtful = doubtful.withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text)))
-    return rows.where("NOT _marked").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    rows = marked(docs, F.xxhash64(*key), told, F.xxhash64(d, h, r), mark)
+    same = key[0].eqNullSafe(F.col(d)) & (key[1] == F.col(h)) & (key[2] == F.col(r))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(normalised_line(x)))), "\n")
+    doubtful = rows.where(F.col(mark)).select(*docs.columns).join(told, same, "left").where(~F.coalesce(F.col(bad), F.lit(False)))
+    doubtful = doubtful.withColumn(text, F.when(F.col(gone).isNotNull(), left).otherwise(F.col(text)))
+    return rows.where(~F.col(mark)).select(*docs.columns).unionByName(doubtful.select(*docs.columns))

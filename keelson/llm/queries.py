@@ -45,7 +45,7 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.sources.durable import durable
 
     records = durable(warc.archived(_table(spark, sf_dir, "pages")), "records")
-    replica = records.where("page_id % 59 <> 0").withColumn("record_sha256", F.when((F.col("page_id") % 41 == 0) & F.col("damaged_sha256").isNotNull(), F.col("damaged_sha256")).otherwise(F.col("record_sha256")))
+    replica = records.where("coalesce(page_id % 59 <> 0, true)").withColumn("record_sha256", F.when((F.col("page_id") % 41 == 0) & F.col("damaged_sha256").isNotNull(), F.col("damaged_sha256")).otherwise(F.col("record_sha256")))
     found = warc.audit(records, replica).select("archive", "offset", "status", "right_sha256")
     out = records.join(found, ["archive", "offset"], "left")
     return out.select("page_id", "archive", "offset", "length", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"), "right_sha256")
@@ -109,15 +109,15 @@ tri AS (SELECT doc_id, i, array_to_string(a[i:i + 2], ' ') AS s FROM (SELECT doc
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM tri) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) v(d) GROUP BY doc_id),
 lines AS (SELECT doc_id, host, text, trim(regexp_replace(lower(x), '{_S}+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, host, text, unnest(l) AS x FROM w)),
-often AS (SELECT host, line, count(DISTINCT text) AS n, min(doc_id) AS first FROM lines GROUP BY ALL),
-sizes AS (SELECT host, count(DISTINCT text) AS n FROM t GROUP BY host),
-above AS (SELECT host, line, first FROM often JOIN sizes USING (host) WHERE often.n > 50 AND often.n > sizes.n * 0.2),
+often AS (SELECT host, line, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM lines GROUP BY ALL),
+sizes AS (SELECT host, count(*) AS n FROM t GROUP BY host),
+above AS (SELECT host, line, first FROM often JOIN sizes USING (host) WHERE often.n > 5 AND (often.n > 50 OR often.n > sizes.n * 0.05)),
 lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM lines JOIN above USING (host, line) WHERE doc_id > first GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(a) AS n_words, len(regexp_replace(text, '{_S}', '', 'g')) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
       FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (removed_words > 0 AND n_words - removed_words < n_words * 0.2) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (removed_words > 0 AND n_words - removed_words < n_words * 0.5) AS kept
 FROM b
 """
 

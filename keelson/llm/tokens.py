@@ -13,6 +13,7 @@ white space before them - that can be split one by one, and a unit that was met
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -43,7 +44,8 @@ def load(path: str) -> Tokenizer:
 @lru_cache(maxsize=4)
 def specials(path: str) -> dict[str, int]:
     """Added tokens, which the library finds in a text before anything else."""
-    return {t.content: i for i, t in load(path).get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 @lru_cache(maxsize=4)
@@ -115,13 +117,13 @@ def rank_encoding(path: str):
 def text_ids(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit bytes. ``ranks``: the rank file of the same
     byte-level vocabulary, for plain texts without long runs of white space; the library encodes all others."""
-    ask, added = load(path).encode, tuple(specials(path))
+    added = tuple(specials(path))
     fast = rank_encoding(ranks).encode_ordinary if ranks else None
 
     def ids(text: str) -> bytes:
         if fast and _TAME.fullmatch(text) and not any(s in text for s in added):
             return np.array(fast(text), "<u4").tobytes()
-        return np.array(ask(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(load(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return ids
 

@@ -19,12 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from keelson.llm.common import durable, words_text
-from keelson.llm.lexicon import slices
+from keelson.llm.lexicon import released, slices
 
 SIZES = (2, 3, 4, 5)
 BITS = 18
@@ -36,7 +37,9 @@ MIN_RATIO = 0.5  # features with a smaller |r| tell nothing and are left out
 REGULARISATION = 1e-3
 FOLDS = 5
 #: Words whose part of a score a task keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+#: Words whose n-grams are worked out at a time.
+TOGETHER = 10_000
 
 
 def held_out(doc_id: str | Column, folds: int = FOLDS, fold: int = 0) -> Column:
@@ -83,8 +86,9 @@ class Model:
             bags = [text_words(x) for x in texts]
             if len(parts) > CACHED_WORDS:
                 parts.clear()
-            new = list(set().union(*bags) - parts.keys())
-            if new:
+            all_new = list(set().union(*bags) - parts.keys())
+            for low in range(0, len(all_new), TOGETHER):
+                new = all_new[low : low + TOGETHER]
                 features, of = windows(new, bits)
                 parts.update(zip(new, np.bincount(of, weights=weights[features], minlength=len(new)).tolist()))
             z = [self.intercept + math.fsum(map(parts.__getitem__, b)) for b in bags]
@@ -134,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 times.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], schema=counted)
 
-    stored = durable(rows.mapInArrow(features, "toxic int, at array<int>, times array<int>"), "features")
+    stored = durable(rows.mapInArrow(released(features), "toxic int, at array<int>, times array<int>"), "features")
     classes = {r["toxic"]: r["n"] for r in stored.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     size, n = 1 << bits, sum(classes.values())
     if len(classes) < 2:
@@ -157,15 +161,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         share = classes[1] / n
         return Model(np.zeros(size), math.log(share / (1 - share)) - extra)
     spread = docs.sparkSession.sparkContext.broadcast((use, number.astype(np.int32), ratio))
+    scaled = pa.schema([("label", pa.float64()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
-    @F.udf(VectorUDT())
-    def vector(at, times):
+    def vectors(it):
         use, number, ratio = spread.value
-        a, t = np.array(at, np.int64), np.array(times, float)
-        on = use[a] if len(a) else np.zeros(0, bool)
-        return Vectors.sparse(width, number[a[on]] if len(a) else [], t[on] * ratio[a[on]] if len(a) else [])
-
-    found = LogisticRegression(maxIter=60, regParam=REGULARISATION, standardization=False).fit(stored.select(F.col("toxic").cast("double").alias("label"), vector("at", "times").alias("features")))
+        for batch in slices(it):
+            at, offsets = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            on = use[at]
+            cuts = pa.array(np.concatenate([[0], np.cumsum(on)])[offsets], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(number[at[on]])), pa.ListArray.from_arrays(cuts, pa.array(batch.column(2).flatten().to_numpy()[on] * ratio[at[on]]))], schema=scaled
+            )
+
+    # a sparse vector is stored as this struct
+    parts = stored.mapInArrow(released(vectors), "label double, indices array<int>, values array<double>")
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"), "indices", "values").alias("features")
+    training = durable(parts.select("label", vector), "vectors", StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
+    found = LogisticRegression(maxIter=60, regParam=REGULARISATION, standardization=False).fit(training)
+    spread.unpersist()
     weights = np.zeros(size)
     weights[use] = found.coefficients.toArray()
     return Model(weights * ratio, float(found.intercept) - extra)
@@ -182,7 +195,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
         for batch in slices(it):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], schema=out)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(of, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text")).mapInArrow(released(of), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: float = 0.5) -> DataFrame:
@@ -196,4 +209,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         for batch in slices(it):
             yield batch.filter(pa.array([p < most for p in score([x or "" for x in batch.column(at).to_pylist()])], pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(released(of), docs.schema)

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from keelson.llm import exact_dedup, ngram_join
-from keelson.llm.common import bitmap_of, components, marked
+from keelson.llm import common, quality
+from keelson.llm.common import components, join_hot, marked
 from pyspark.sql import functions as F
 
 
@@ -120,6 +121,36 @@ def test_components(spark):
 def test_bitmap_has_no_false_negatives(spark):
     rows = spark.range(2000)
     odd = rows.where("id % 2 = 1")
-    out = marked(rows, F.xxhash64("id"), bitmap_of(odd, F.xxhash64("id"), 20), 20)
-    assert out.where("id % 2 = 1 AND NOT _marked").count() == 0
-    assert out.where("id % 2 = 0 AND _marked").count() < 20
+    out = marked(rows, F.xxhash64("id"), odd, F.xxhash64("id"), "m")
+    assert out.where("id % 2 = 1 AND NOT m").count() == 0
+    assert out.where("id % 2 = 0 AND m").count() < 60
+
+
+def test_too_many_keys_for_a_bitmap(spark, docs, monkeypatch):
+    wanted = Counter(tuple(r) for r in exact_dedup.exact_groups(docs, digest_all=True).collect())
+    monkeypatch.setattr(common, "MOST_BITS", -2)
+    rows = spark.range(20)
+    assert marked(rows, F.xxhash64("id"), rows.where("id < 3"), F.xxhash64("id"), "m").where("m").count() == 20
+    assert Counter(tuple(r) for r in exact_dedup.exact_groups(docs, digest_all=True).collect()) == wanted
+    assert common.without(rows, rows.where("id < 3").select("id"), F.col("id")).count() == 17
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_hot(spark, how):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("x"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("top")).where("top % 2 = 1")
+    got = Counter(tuple(r) for r in join_hot(rows, facts, ["k"], "n", 3000, how).collect())
+    assert got == Counter(tuple(r) for r in rows.join(facts.drop("n"), "k", how).collect())
+
+
+CLASHES = ["_bucket", "_bits", "_marked", "_key", "_gone", "_d", "_h", "_r", "_bad", "_row", "_host", "_at", "text_sha256", "class_id", "kept", "line", "n"]
+
+
+def test_clashing_columns(docs):
+    """Rows of documents may have columns of any names: the stages that drop rows keep them."""
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    for drop in (exact_dedup.drop_exact_copies, ngram_join.drop_near_copies, quality.keep_good):
+        out = drop(wide)
+        assert out.columns == wide.columns
+        assert Counter(map(tuple, out.select(docs.columns).collect())) == Counter(map(tuple, drop(docs).collect()))
+        assert {tuple(r) for r in out.select(CLASHES).collect()} == {tuple(range(len(CLASHES)))}

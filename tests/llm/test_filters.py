@@ -39,14 +39,33 @@ def test_line_frequency(spark):
     page = "\n".join([nav, " ".join(f"boiler{k}" for k in range(60))])
     rows = [(i, f"{nav.upper()}\n{own(i)}", "a") for i in range(100)]
     rows += [(1000 + i, f"{page}\nx{i}", "a") for i in range(100)]
-    rows += [(2000 + i, page, "b") for i in range(100)]  # copies of one text count once
+    rows += [(2000 + i, page, "b") for i in range(100)]  # copies are documents of their own
     rows += [(3000, page, None), (3000, page, None), (None, page, "a")]
     out = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(out[i]["kept"] and out[i]["removed_words"] == (10 if i else 0) or out[i]["removed_words"] == 10 for i in range(100))
     # the page's long line goes from all but the host's first document with it (the row without an id)
     assert [i for i in range(1000, 1100) if out[i]["kept"]] == []
     assert out[None]["kept"] and out[3000]["kept"]
-    assert all(out[2000 + i]["kept"] for i in range(100))
+    assert [i for i in range(2000, 2100) if out[i]["kept"]] == [2000]
+
+
+def test_line_limit_goes_by_the_host_s_size(spark):
+    """At most 5 documents on a small host, a twentieth of a larger one, 50 on the largest."""
+    own = lambda h, i: " ".join(f"{h}{i}_{k}" for k in range(60))
+    rows = []
+    for host, size in (("small", 20), ("middle", 400), ("large", 2000)):
+        for i in range(size):
+            lines = [f"line {n} of all" for n in (5, 6, 20, 21, 50, 51) if i < n]
+            rows.append((len(rows), "\n".join([*lines, own(host, i)]), host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.judge_quality(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("removed_words").alias("n")).collect()
+    gone = lambda n: 4 * (n - 1)
+    assert {r["source"]: r["n"] for r in out} == {"small": gone(6) + 4 * gone(20), "middle": gone(21) + gone(50) + gone(51), "large": gone(51)}
+
+
+def test_quality_removes_lines_from_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert quality.judge_quality(docs).where("removed_words > 0").count() > 50
 
 
 def test_quality_nothing(empty):
@@ -108,13 +127,25 @@ def test_mined_rules_and_matches(spark):
         t = sorted({f"t{k}" for k in rng.integers(0, 6, 4)})
         rows.append((t, "block" if "t1" in t and "t2" in t else "allow"))
     frame = spark.createDataFrame(rows, "tokens array<string>, label string")
-    found = url_rules.mine_rules(frame, 0.02, 0.9)
+    found, items = url_rules.mine_rules(frame, 0.02, 0.9)
     wanted = brute_rules(rows, 0.02, 0.9)
-    got = {(tuple(r["tokens"]), r["label"]): r["confidence"] for r in found.collect()}
+    got = {(tuple(r["items"]), r["label"]): r["confidence"] for r in found.collect()}
     assert got == pytest.approx(wanted)
     urls = spark.createDataFrame([("x://a.b/c/d",), ("x://b.a/d",), ("",)], "url string")
-    rules = spark.createDataFrame([("1", ["h:a", "p:c"], "block", 1.0, 0.1, "p:c"), ("2", ["h:a"], "allow", 0.95, 0.2, "h:a")], "rule_id string, tokens array<string>, label string, confidence double, support double, rarest string")
-    assert {r["url"]: r["label"] for r in url_rules.match_rules(urls, rules).collect()} == {"x://a.b/c/d": "block", "x://b.a/d": "allow"}
+    rules = spark.createDataFrame([("1", ["h:a", "p:c"], "block", 1.0, 0.1, "p:c"), ("2", ["h:a"], "allow", 0.95, 0.2, "h:a")], "rule_id string, items array<string>, label string, confidence double, support double, rarest string")
+    items = spark.createDataFrame([("h:a", "h:a", 2), ("p:c", "p:c", 1)], "token string, item string, freq long")
+    assert {r["url"]: r["label"] for r in url_rules.match_rules(urls, rules, items).collect()} == {"x://a.b/c/d": "block", "x://b.a/d": "allow"}
+
+
+def test_long_paths_that_recur_are_one_item(spark):
+    """30 parts that always occur together: the rules are those of one part, and any of the parts fits them."""
+    path = "/".join(f"part{i}" for i in range(30))
+    rows = [(["h:a", f"p:own{i}"], "allow") for i in range(390)] + [(["h:a", *[f"p:{x}" for x in path.split("/")]], "block")] * 10
+    found, items = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.005, 0.9)
+    short = [(["h:a"], "allow")] * 390 + [(["h:a", "p:part0"], "block")] * 10
+    assert {(tuple(r["items"]), r["label"]): r["confidence"] for r in found.collect()} == pytest.approx(brute_rules(short, 0.005, 0.9))
+    urls = spark.createDataFrame([("x://b/part29",), ("x://a/else",)], "url string")
+    assert {r["url"]: r["label"] for r in url_rules.match_rules(urls, found, items).collect()} == {"x://b/part29": "block", "x://a/else": "allow"}
 
 
 def test_urls_nothing(spark):
@@ -267,7 +298,7 @@ def test_keep_good_removes_lines(spark):
     # null ids: all of them are the first document
     nulls = spark.createDataFrame([(None, t, h, o) for _, t, h, o in rows[:100]], docs.schema)
     assert {r["text"] for r in quality.keep_good(nulls).collect()} == {r[1] for r in rows[:100]}
-    assert quality.keep_good(docs, line_docs=1000).where("source = 'a' AND text LIKE 'Nav%'").count() == 101
+    assert quality.keep_good(docs, line_most=1000, line_share=1).where("source = 'a' AND text LIKE 'Nav%'").count() == 101
 
 
 def test_toxicity_bound_leaves_the_class_ratio(spark):
