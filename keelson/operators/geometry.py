@@ -55,6 +55,12 @@ def nearest(points: np.ndarray, target: np.ndarray, block: int = 512) -> tuple[n
     return index, dist
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups dealt out over all shuffle partitions: their rows are few bytes, which adaptive execution would put into one
+    task, and much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fitted(corr: DataFrame, key: str) -> DataFrame:
     """EXT-01 by key: ``key, n, transform`` (null if degenerate), ``rmse``."""
 
@@ -64,42 +70,70 @@ def fitted(corr: DataFrame, key: str) -> DataFrame:
         rmse = None if t is None else float(np.sqrt(((moved(t, s) - r) ** 2).sum(axis=1).mean()))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(pdf)], "transform": [None if t is None else t.ravel().tolist()], "rmse": [rmse]})
 
-    return corr.groupBy(key).applyInPandas(one, f"{key} long, n long, transform array<double>, rmse double")
+    return _dealt(corr, key).groupBy(key).applyInPandas(one, f"{key} long, n long, transform array<double>, rmse double")
+
 
+def kabsch_triples(src: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`kabsch` for many triples of points (n x 3 x 3) at once: transforms (n x 4 x 4), and which of them aren't degenerate."""
+    a, b = src.mean(axis=1, keepdims=True), ref.mean(axis=1, keepdims=True)
+    u, s, vt = np.linalg.svd((src - a).transpose(0, 2, 1) @ (ref - b))
+    v, ut = vt.transpose(0, 2, 1), u.transpose(0, 2, 1)
+    v[:, :, 2] *= np.sign(np.linalg.det(v @ ut))[:, None]
+    t = np.tile(np.eye(4), (len(src), 1, 1))
+    t[:, :3, :3] = v @ ut
+    t[:, :3, 3] = (b - a @ t[:, :3, :3].transpose(0, 2, 1))[:, 0]
+    return t, s[:, 1] > np.maximum(1e-12, 1e-8 * s[:, 0])
 
-def refine(s: np.ndarray, r: np.ndarray, t: np.ndarray, inlier: float, times: int) -> tuple[np.ndarray, np.ndarray]:
-    """Refit on the inliers a few times, as long as there are three and the fit isn't degenerate."""
-    keep = np.linalg.norm(moved(t, s) - r, axis=1) <= inlier
+
+def refine(s: np.ndarray, r: np.ndarray, keep: np.ndarray, inlier: float, times: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """Refit on the inliers a few times, as long as there are three and the fit isn't degenerate: None if it never was."""
+    t = None
     for _ in range(times):
         better = kabsch(s[keep], r[keep])
         if better is None:
             break
-        t = better
+        t, before = better, keep
         keep = np.linalg.norm(moved(t, s) - r, axis=1) <= inlier
+        if (keep == before).all():
+            break
     return t, keep
 
 
+def best_of_triples(s: np.ndarray, r: np.ndarray, picks: np.ndarray, inlier: float, refinements: int, median: bool) -> tuple[int, float, np.ndarray] | None:
+    """(support, median residual, transform) of the refined fit with the most inliers, then (with ``median``) the smallest
+    median residual, then the earliest triple. Triples with the same inliers are refined once."""
+    if not len(picks):
+        return None
+    fits, ok = kabsch_triples(s[picks], r[picks])
+    best, seen = None, {}
+    for at in np.flatnonzero(ok).tolist():
+        keep = np.linalg.norm(moved(fits[at], s) - r, axis=1) <= inlier
+        code = keep.tobytes()
+        found = seen.get(code)
+        if found is None or found[2] is None:
+            t, kept = refine(s, r, keep, inlier, refinements)
+            own = fits[at] if t is None else t
+            found = (int(kept.sum()), round(float(np.median(np.linalg.norm(moved(own, s) - r, axis=1))), 12), t, own)
+            seen[code] = found
+        rank = (-found[0], found[1] if median else 0.0, at)
+        if best is None or rank < best[0]:
+            best = (rank, found[1], found[3])
+    return None if best is None else (-best[0][0], best[1], best[2])
+
+
 def consensus_fit(corr: DataFrame, key: str, inlier: float = 0.05, top: int = 32, triples: int = 256, refinements: int = 4) -> DataFrame:
     """EXT-04: of the first ``triples`` triples (in lexicographic order) of a key's best ``top`` correspondences, the
     refined fit with the most inliers, then the smallest median residual, then the earliest triple."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "idx"], ascending=[False, True])
-        s, r = pdf[SRC].to_numpy(float), pdf[REF].to_numpy(float)
-        best = None
-        for at, tri in enumerate(islice(combinations(range(min(top, len(pdf))), 3), triples)):
-            t = kabsch(s[list(tri)], r[list(tri)])
-            if t is None:
-                continue
-            t, keep = refine(s, r, t, inlier, refinements)
-            rank = (-int(keep.sum()), round(float(np.median(np.linalg.norm(moved(t, s) - r, axis=1))), 12), at)
-            if best is None or rank < best[0]:
-                best = (rank, t)
+        picks = np.array(list(islice(combinations(range(min(top, len(pdf))), 3), triples)), np.int64)
+        best = best_of_triples(pdf[SRC].to_numpy(float), pdf[REF].to_numpy(float), picks, inlier, refinements, True)
         k = pdf[key].iloc[0]
-        row = (k, 0, None, None) if best is None else (k, -best[0][0], best[0][1], best[1].ravel().tolist())
+        row = (k, 0, None, None) if best is None else (k, best[0], best[1], best[2].ravel().tolist())
         return pd.DataFrame([row], columns=[key, "support", "median", "transform"])
 
-    return corr.groupBy(key).applyInPandas(one, f"{key} long, support long, median double, transform array<double>")
+    return _dealt(corr, key).groupBy(key).applyInPandas(one, f"{key} long, support long, median double, transform array<double>")
 
 
 def sampled_fit(corr: DataFrame, key: str, context: str = "", inlier: float = 0.05, trials: int = 64, refinements: int = 2) -> DataFrame:
@@ -108,22 +142,13 @@ def sampled_fit(corr: DataFrame, key: str, context: str = "", inlier: float = 0.
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         k = pdf[key].iloc[0]
-        s, r = pdf[SRC].to_numpy(float), pdf[REF].to_numpy(float)
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{context}:{k}".encode()).digest()[:8], "little"))
-        best = None
-        for at in range(trials if len(pdf) >= 3 else 0):
-            pick = rng.choice(len(pdf), 3, replace=False)
-            t = kabsch(s[pick], r[pick])
-            if t is None:
-                continue
-            t, keep = refine(s, r, t, inlier, refinements)
-            rank = (-int(keep.sum()), at)
-            if best is None or rank < best[0]:
-                best = (rank, t)
-        row = (k, 0, None) if best is None else (k, -best[0][0], best[1].ravel().tolist())
+        picks = np.array([rng.choice(len(pdf), 3, replace=False) for _ in range(trials if len(pdf) >= 3 else 0)], np.int64)
+        best = best_of_triples(pdf[SRC].to_numpy(float), pdf[REF].to_numpy(float), picks, inlier, refinements, False)
+        row = (k, 0, None) if best is None else (k, best[0], best[2].ravel().tolist())
         return pd.DataFrame([row], columns=[key, "support", "transform"])
 
-    return corr.groupBy(key).applyInPandas(one, f"{key} long, support long, transform array<double>")
+    return _dealt(corr, key).groupBy(key).applyInPandas(one, f"{key} long, support long, transform array<double>")
 
 
 def registered(clouds: DataFrame, key: str, reach: float = 0.20, iterations: int = 30, least: int = 10) -> DataFrame:
@@ -150,7 +175,7 @@ def registered(clouds: DataFrame, key: str, reach: float = 0.20, iterations: int
             t = step @ t
         return pd.DataFrame([(pdf[key].iloc[0], t.ravel().tolist(), trace)], columns=[key, "transform", "trace"])
 
-    return clouds.groupBy(key).applyInPandas(one, f"{key} long, transform array<double>, trace array<struct<rmse_before:double,rmse_after:double,deg:double,m:double>>")
+    return _dealt(clouds, key).groupBy(key).applyInPandas(one, f"{key} long, transform array<double>, trace array<struct<rmse_before:double,rmse_after:double,deg:double,m:double>>")
 
 
 def greedy_cliques(edges: DataFrame, key: str, seeds: int = 64) -> DataFrame:
@@ -174,7 +199,7 @@ def greedy_cliques(edges: DataFrame, key: str, seeds: int = 64) -> DataFrame:
                 best = got
         return pd.DataFrame([(pdf[key].iloc[0], len(best), best)], columns=[key, "size", "members"])
 
-    return edges.groupBy(key).applyInPandas(one, f"{key} long, size long, members array<long>")
+    return _dealt(edges, key).groupBy(key).applyInPandas(one, f"{key} long, size long, members array<long>")
 
 
 def suppressed(sets: DataFrame, key: str, similar: float = 0.8, keep: int = 8) -> DataFrame:

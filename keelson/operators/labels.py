@@ -97,17 +97,19 @@ def prefix_children(children: DataFrame, separator: str = "_") -> DataFrame:
     return x.groupBy(F.substring_index("id", separator, 1).alias("scan")).agg(F.array_sort(F.collect_list("id")).alias("children"))
 
 
-def merged_sets(members: DataFrame, rounds: int = 50) -> DataFrame:
+def merged_sets(members: DataFrame) -> DataFrame:
     """SET-06: sets (``set_id, item``) that share an item, directly or over others, get one group: the smallest set id.
-    Labels pass from sets to items and back until they stay; the state is one stored row a set."""
+    Labels pass from sets to items and back, and each set then takes its group's own label, so a chain shrinks to less than
+    half in a round; until they stay. The state is one stored row a set."""
     m = members.select("set_id", "item").distinct()
     now = durable(m.select("set_id").distinct().withColumn("grp", F.col("set_id")), "groups")
-    for _ in range(rounds):
+    while True:
         low = m.join(now, "set_id").groupBy("item").agg(F.min("grp").alias("low"))
-        new = durable(m.join(low, "item").groupBy("set_id").agg(F.min("low").alias("grp")), "groups")
-        changed = new.join(now.withColumnRenamed("grp", "old"), "set_id").where("grp <> old").isEmpty()
+        met = durable(m.join(low, "item").groupBy("set_id").agg(F.min("low").alias("grp")), "groups")
+        new = durable(met.join(met.select(F.col("set_id").alias("grp"), F.col("grp").alias("up")), "grp").select("set_id", F.col("up").alias("grp")), "groups")
+        settled = new.join(now.withColumnRenamed("grp", "old"), "set_id").where("grp <> old").isEmpty()
         drop_durable(now)
+        drop_durable(met)
         now = new
-        if changed:
+        if settled:
             return now
-    raise RuntimeError("groups did not settle")

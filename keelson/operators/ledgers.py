@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,15 +66,19 @@ def ready_tasks(tasks: DataFrame, edges: DataFrame, done: DataFrame) -> DataFram
     return ready.join(F.broadcast(low)).select("task", "ordinal", (F.col("ordinal") == F.col("low")).alias("first"))
 
 
-def levels(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """CLU-26: the depth of every task below the roots: one join a level over the new tasks only, each level stored
-    so that the plan doesn't grow. A task that several levels reach has the largest."""
+    so that the plan doesn't grow. A task that several levels reach has the largest. A cycle is an error: no chain is longer
+    than there are tasks."""
+    most = edges.select("task").distinct().count()
     front = durable(roots.select("task", F.lit(0).alias("level")), "level")
     found = [front]
-    for level in range(1, most + 1):
+    for level in count(1):
         front = durable(edges.join(front.select(F.col("task").alias("parent")), "parent").select("task", F.lit(level).alias("level")).distinct(), "level")
         if front.isEmpty():
             break
+        if level > most:
+            raise ValueError("the tasks' dependencies have a cycle")
         found.append(front)
     return reduce(DataFrame.union, found).groupBy("task").agg(F.max("level").alias("level"))
 

@@ -140,9 +140,9 @@ def unique(spark, d):
     return _unique(spark, d)
 
 
-@query("decide_fixed_gate", V.sql("workers", f"WITH {SAFE}, r AS (SELECT pair_id // 19 AS grp, (pair_id + 18) % 19 AS position, verdict FROM v WHERE (pair_id + 18) % 19 < 3 OR pair_id % 19 = 0) SELECT CAST((pair_id - 1) // 19 AS BIGINT) AS grp, count(*) AS rows, count(*) FILTER (WHERE pair_id % 19 > 0 AND verdict = 'accepted') AS accepted, count(*) FILTER (WHERE pair_id % 19 = 0 AND verdict = 'vetoed') AS vetoed, count(*) = 4 AND count(*) FILTER (WHERE pair_id % 19 > 0 AND verdict = 'accepted') = 3 AND count(*) FILTER (WHERE pair_id % 19 = 0 AND verdict = 'vetoed') = 1 AS passed FROM v WHERE pair_id % 19 <= 3 AND pair_id > 0 GROUP BY 1"))
+@query("decide_fixed_gate", V.sql("workers", f"WITH {SAFE} SELECT pair_id // 4 AS grp, count(*) AS rows, count(*) FILTER (WHERE pair_id % 4 > 0 AND verdict = 'accepted') AS accepted, count(*) FILTER (WHERE pair_id % 4 = 0 AND verdict = 'vetoed') AS vetoed, count(*) = 4 AND count(*) FILTER (WHERE pair_id % 4 > 0 AND verdict = 'accepted') = 3 AND count(*) FILTER (WHERE pair_id % 4 = 0 AND verdict = 'vetoed') = 1 AS passed FROM v GROUP BY 1"))
 def gate(spark, d):
     """CLU-21 to CLU-24, SEM-16."""
-    u = _unique(spark, d).where("pair_id > 0 AND pair_id % 19 <= 3").select(F.floor((F.col("pair_id") - 1) / 19).alias("grp"), F.when(F.col("pair_id") % 19 == 0, 3).otherwise(F.col("pair_id") % 19 - 1).alias("position"), "verdict")
+    u = _unique(spark, d).select(F.expr("pair_id div 4").alias("grp"), ((F.col("pair_id") + 3) % 4).alias("position"), "verdict")
     control = u.withColumn("arm", F.lit("control")).withColumn("verdict", F.lit("accepted"))
     return C.fixed_gate(u.withColumn("arm", F.lit("primary")).unionByName(control), "grp")

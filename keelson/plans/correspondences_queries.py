@@ -7,15 +7,15 @@ from keelson.operators import points as P
 from keelson.plans import views as V
 from keelson.plans.registry import query
 
-#: Correspondences from line items: a part is a pair, a supplier a node pair.
-CORR = """corr AS (SELECT l_partkey % 50 AS pair_id, l_suppkey % 5 AS node_pair, l_orderkey * 1000 + l_suppkey AS idx, l_quantity * 0.07::DOUBLE AS sx, l_discount * 9::DOUBLE AS sy, l_extendedprice / 31000::DOUBLE AS sz,
+#: Correspondences from line items: parts of some orders are a pair, a supplier a node pair.
+CORR = """corr AS (SELECT l_partkey % 50 + 50 * (l_orderkey // 1500) AS pair_id, l_suppkey % 5 AS node_pair, l_orderkey * 1000 + l_suppkey AS idx, l_quantity * 0.07::DOUBLE AS sx, l_discount * 9::DOUBLE AS sy, l_extendedprice / 31000::DOUBLE AS sz,
   l_quantity * 0.07::DOUBLE + 0.3::DOUBLE + (l_orderkey % 5) * 0.013::DOUBLE AS rx, l_discount * 9::DOUBLE - (l_orderkey % 7) * 0.011::DOUBLE AS ry, l_extendedprice / 31000::DOUBLE + 0.1::DOUBLE AS rz, l_tax + (l_orderkey % 97) / 97::DOUBLE AS score FROM lineitem)"""
 TOP = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, idx) AS rank FROM corr) WHERE rank <= 40)"
 
 
 def corr(spark, d):
     return V.table(spark, d, "lineitem").select(
-        F.expr("l_partkey % 50").alias("pair_id"), F.expr("l_suppkey % 5").alias("node_pair"), F.expr("l_orderkey * 1000 + l_suppkey").alias("idx"), F.expr("l_quantity * 0.07D").alias("sx"), F.expr("l_discount * 9D").alias("sy"), F.expr("l_extendedprice / 31000D").alias("sz"),
+        F.expr("l_partkey % 50 + 50 * (l_orderkey div 1500)").alias("pair_id"), F.expr("l_suppkey % 5").alias("node_pair"), F.expr("l_orderkey * 1000 + l_suppkey").alias("idx"), F.expr("l_quantity * 0.07D").alias("sx"), F.expr("l_discount * 9D").alias("sy"), F.expr("l_extendedprice / 31000D").alias("sz"),
         F.expr("l_quantity * 0.07D + 0.3D + (l_orderkey % 5) * 0.013D").alias("rx"), F.expr("l_discount * 9D - (l_orderkey % 7) * 0.011D").alias("ry"), F.expr("l_extendedprice / 31000D + 0.1D").alias("rz"), F.expr("l_tax + (l_orderkey % 97) / 97D").alias("score"),
     )
 

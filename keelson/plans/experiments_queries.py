@@ -128,9 +128,9 @@ def acceptance(spark, d):
     return E.gate(s, {"catastrophic": F.col("catastrophic") / F.col("requested") <= 0.2503, "coverage": F.col("mean_coverage") >= 0.5003, "median_rre": F.col("median_rre") <= 12.003, "precision": F.col("precision") >= 0.0503}).select("dataset", "failed_checks", "passed")
 
 
-@query("join_three_way_cycles", V.sql("workers", """WITH e AS (SELECT pair_id AS grp, replicate AS i, CASE WHEN replicate = 2 THEN 0 ELSE replicate + 1 END AS j, yaw, x, y FROM workers WHERE direction = 'forward' AND replicate < 3 AND yaw < 10), n AS (SELECT grp, i FROM e UNION SELECT grp, j FROM e), t AS (SELECT grp FROM n GROUP BY grp HAVING count(*) = 3)
+@query("join_three_way_cycles", V.sql("workers", """WITH e AS (SELECT pair_id * 2 + replicate // 3 AS grp, replicate % 3 AS i, (replicate + 1) % 3 AS j, yaw, x, y FROM workers WHERE direction = 'forward' AND yaw < 10), n AS (SELECT grp, i FROM e UNION SELECT grp, j FROM e), t AS (SELECT grp FROM n GROUP BY grp HAVING count(*) = 3)
    SELECT grp, 0 AS a, 1 AS b, 2 AS c, p.grp IS NOT NULL AND q.grp IS NOT NULL AND r.grp IS NOT NULL AS available, round(abs(p.yaw + q.yaw + r.yaw), 4) AS dr FROM t LEFT JOIN (SELECT * FROM e WHERE i = 0) p USING (grp) LEFT JOIN (SELECT * FROM e WHERE i = 1) q USING (grp) LEFT JOIN (SELECT * FROM e WHERE i = 2) r USING (grp)"""))
 def cycles(spark, d):
     """JOI-23, CMP-20."""
-    e = V.workers(spark, d).where("direction = 'forward' AND replicate < 3 AND yaw < 10").select(F.col("pair_id").alias("grp"), F.col("replicate").alias("i"), F.when(F.col("replicate") == 2, 0).otherwise(F.col("replicate") + 1).alias("j"), F.col("transform").alias("t"))
+    e = V.workers(spark, d).where("direction = 'forward' AND yaw < 10").select(F.expr("pair_id * 2 + replicate div 3").alias("grp"), (F.col("replicate") % 3).alias("i"), ((F.col("replicate") + 1) % 3).alias("j"), F.col("transform").alias("t"))
     return E.three_way_cycles(e).select("grp", "a", "b", "c", "available", rounded("dr", 4).alias("dr"))

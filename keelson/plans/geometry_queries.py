@@ -11,10 +11,9 @@ from keelson.plans.registry import query
 from keelson.plans.trajectories_queries import _loops, _poses
 
 
-def _node_pairs(spark, d):
-    """A pair's node pairs as keys of their own, with their 60 best correspondences."""
-    c = corr(spark, d).withColumn("pair_id", F.col("pair_id") * 10 + F.col("node_pair"))
-    return C.best_correspondences(c, 60).drop("rank", "too_few")
+def _best(spark, d):
+    """A pair's best correspondences: all of them, as a pair has fewer than 1,000."""
+    return C.best_correspondences(corr(spark, d), 1000).drop("rank", "too_few")
 
 
 def _flat(df, digits=6):
@@ -24,33 +23,33 @@ def _flat(df, digits=6):
 @query("udf_rigid_fit")
 def fit(spark, d):
     """EXT-01."""
-    return _flat(G.fitted(_node_pairs(spark, d), "pair_id")).withColumn("rmse", rounded("rmse"))
+    return _flat(G.fitted(_best(spark, d), "pair_id")).withColumn("rmse", rounded("rmse"))
 
 
 @query("udf_consensus_fit")
 def consensus(spark, d):
     """EXT-04, EXT-06."""
-    return _flat(G.consensus_fit(_node_pairs(spark, d), "pair_id", triples=64)).withColumn("median", rounded("median"))
+    return _flat(G.consensus_fit(_best(spark, d), "pair_id")).withColumn("median", rounded("median"))
 
 
 @query("udf_sampled_fit")
 def sampled(spark, d):
     """EXT-05."""
-    return _flat(G.sampled_fit(_node_pairs(spark, d), "pair_id", "run", trials=24))
+    return _flat(G.sampled_fit(_best(spark, d), "pair_id", "run"))
 
 
 @query("udf_registration")
 def registration(spark, d):
-    """EXT-02, EXT-03, EXT-20: scans of one label against the next, shifted by half a bin."""
-    p = V.points(spark, d).withColumn("side", (F.col("label") % 10 == 4).cast("int")).where("label % 10 IN (3, 4)").withColumn("key", F.col("scan_id") * 100 + F.floor(F.col("label") / 10))
+    """EXT-02, EXT-03, EXT-20: odd labels' points of a scan against the label before, shifted by half a bin."""
+    p = V.points(spark, d).withColumn("side", (F.col("label") % 2 == 1).cast("int")).withColumn("key", F.col("scan_id") * 100 + F.floor(F.col("label") / 2))
     p = p.withColumn("y", F.col("y") - F.when(F.col("side") == 1, 0.23).otherwise(0.0))
-    return _flat(G.registered(p.select("key", "side", "row_id", "x", "y", "z"), "key", iterations=10)).select("key", "transform", F.size("trace").alias("rounds"))
+    return _flat(G.registered(p.select("key", "side", "row_id", "x", "y", "z"), "key")).select("key", "transform", F.size("trace").alias("rounds"))
 
 
 @query("udf_greedy_cliques")
 def cliques(spark, d):
     """CLU-11, EXT-07."""
-    return G.greedy_cliques(C.compatible_pairs(C.best_correspondences(corr(spark, d), 40), 0.0203, 0.5), "pair_id")
+    return G.greedy_cliques(C.compatible_pairs(C.best_correspondences(corr(spark, d), 1000), 0.0203, 0.5), "pair_id")
 
 
 @query("udf_suppressed_sets")
@@ -63,7 +62,7 @@ def sets(spark, d):
 @query("udf_farthest_points")
 def farthest(spark, d):
     """EXT-10."""
-    return G.farthest_points(V.points(spark, d), ["scan_id", "label"], 64)
+    return G.farthest_points(V.points(spark, d), ["scan_id", "label"])
 
 
 @query("udf_shape_descriptors")
@@ -83,8 +82,8 @@ def planes(spark, d):
 @query("udf_beam_hypotheses")
 def beam(spark, d):
     """CLU-12."""
-    c = C.best_correspondences(corr(spark, d), 30)
-    other = C.best_correspondences(corr(spark, d), 30)  # read anew: the two sides of a cogroup need columns of their own
+    c = C.best_correspondences(corr(spark, d), 1000)
+    other = C.best_correspondences(corr(spark, d), 1000)  # read anew: the two sides of a cogroup need columns of their own
     return G.beam_hypotheses(c.select("pair_id", F.col("idx").alias("id"), F.col("rank").cast("long").alias("rank")), C.compatible_pairs(other, 0.0203, 0.5), "pair_id")
 
 

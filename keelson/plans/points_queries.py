@@ -50,28 +50,28 @@ def iou(spark, d):
 
 
 #: Even rows against odd ones.
-NN = """nn AS (SELECT s.scan_id, s.row_id AS s, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 10 = 3 AND abs(s.x - t.x) <= 0.1 AND abs(s.y - t.y) <= 0.1 AND abs(s.z - t.z) <= 0.1
-     AND sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) <= 0.1 WHERE s.label % 10 = 4 GROUP BY ALL), bb AS (SELECT s.scan_id, s.row_id AS s, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 10 = 4 AND abs(s.x - t.x) <= 0.1 AND abs(s.y - t.y) <= 0.1 AND abs(s.z - t.z) <= 0.1
-     AND sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) <= 0.1 WHERE s.label % 10 = 3 GROUP BY ALL)"""
+NN = """nn AS (SELECT s.scan_id, s.row_id AS s, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 2 = 0 AND abs(s.x - t.x) <= 0.1 AND abs(s.y - t.y) <= 0.1 AND abs(s.z - t.z) <= 0.1
+     AND sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) <= 0.1 WHERE s.label % 2 = 1 GROUP BY ALL), bb AS (SELECT s.scan_id, s.row_id AS s, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 2 = 1 AND abs(s.x - t.x) <= 0.1 AND abs(s.y - t.y) <= 0.1 AND abs(s.z - t.z) <= 0.1
+     AND sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) <= 0.1 WHERE s.label % 2 = 0 GROUP BY ALL)"""
 
 
 def _sides(spark, d):
     p = V.points(spark, d)
-    shift = p.where("label % 10 = 4").withColumn("y", F.col("y") - 0.2)
-    return shift, p.where("label % 10 = 3")
+    shift = p.where("label % 2 = 1").withColumn("y", F.col("y") - 0.2)
+    return shift, p.where("label % 2 = 0")
 
 
-NN = NN.replace("points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 10 = 3", "(SELECT * REPLACE (y - 0.2 AS y) FROM points WHERE label % 10 = 4) s JOIN points t ON s.scan_id = t.scan_id AND t.label % 10 = 3").replace("points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 10 = 4", "points s JOIN (SELECT * REPLACE (y - 0.2 AS y) FROM points WHERE label % 10 = 4) t ON s.scan_id = t.scan_id")
+NN = NN.replace("points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 2 = 0", "(SELECT * REPLACE (y - 0.2 AS y) FROM points WHERE label % 2 = 1) s JOIN points t ON s.scan_id = t.scan_id AND t.label % 2 = 0").replace("points s JOIN points t ON s.scan_id = t.scan_id AND t.label % 2 = 1", "points s JOIN (SELECT * REPLACE (y - 0.2 AS y) FROM points WHERE label % 2 = 1) t ON s.scan_id = t.scan_id")
 
 
-@query("join_nearest_within", V.sql("points", f"WITH {NN} SELECT p.scan_id, p.row_id AS s, round(nn.d, 6) AS d FROM points p LEFT JOIN nn ON nn.scan_id = p.scan_id AND nn.s = p.row_id WHERE p.label % 10 = 4"))
+@query("join_nearest_within", V.sql("points", f"WITH {NN} SELECT p.scan_id, p.row_id AS s, round(nn.d, 6) AS d FROM points p LEFT JOIN nn ON nn.scan_id = p.scan_id AND nn.s = p.row_id WHERE p.label % 2 = 1"))
 def nearest(spark, d):
     """JOI-13, radius-bounded."""
     s, t = _sides(spark, d)
     return P.nearest_within(s, t, 0.1).withColumn("d", rounded("d"))
 
 
-@query("agg_surface_metrics", V.sql("points", f"""WITH {NN}, f AS (SELECT p.scan_id, p.row_id AS s, nn.d FROM points p LEFT JOIN nn ON nn.s = p.row_id AND nn.scan_id = p.scan_id WHERE p.label % 10 = 4), b AS (SELECT p.scan_id, p.row_id AS s, bb.d FROM points p LEFT JOIN bb ON bb.s = p.row_id AND bb.scan_id = p.scan_id WHERE p.label % 10 = 3),
+@query("agg_surface_metrics", V.sql("points", f"""WITH {NN}, f AS (SELECT p.scan_id, p.row_id AS s, nn.d FROM points p LEFT JOIN nn ON nn.s = p.row_id AND nn.scan_id = p.scan_id WHERE p.label % 2 = 1), b AS (SELECT p.scan_id, p.row_id AS s, bb.d FROM points p LEFT JOIN bb ON bb.s = p.row_id AND bb.scan_id = p.scan_id WHERE p.label % 2 = 0),
    fk AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY d NULLS LAST, s) AS k, greatest(floor(count(d) OVER (PARTITION BY scan_id) * 0.9), 1) AS keep FROM f), bk AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY d NULLS LAST, s) AS k, greatest(floor(count(d) OVER (PARTITION BY scan_id) * 0.9), 1) AS keep FROM b),
    fm AS (SELECT scan_id, avg(CASE WHEN d < 0.05 THEN 1.0 ELSE 0.0 END) AS forward_overlap, avg(d) FILTER (WHERE k <= keep) AS forward_trimmed, median(d) AS forward_median, quantile_cont(d, 0.9) AS forward_p90, sqrt(avg(d * d)) AS forward_rmse FROM fk GROUP BY scan_id),
    bm AS (SELECT scan_id, avg(CASE WHEN d < 0.05 THEN 1.0 ELSE 0.0 END) AS backward_overlap, avg(d) FILTER (WHERE k <= keep) AS backward_trimmed, median(d) AS backward_median, quantile_cont(d, 0.9) AS backward_p90, sqrt(avg(d * d)) AS backward_rmse FROM bk GROUP BY scan_id),
@@ -84,18 +84,18 @@ def surface(spark, d):
     return out.select("scan_id", *[rounded(c).alias(c) for c in out.columns[1:]])
 
 
-@query("join_overlap_ratio", V.sql("points", "WITH s AS (SELECT DISTINCT scan_id, round_even(x / 0.01, 0) AS i, round_even(y / 0.01, 0) AS j, round_even(z / 0.01, 0) AS k FROM points WHERE label % 2 = 0), t AS (SELECT DISTINCT scan_id, round_even(x / 0.01, 0) AS i, round_even(y / 0.01, 0) AS j, round_even(z / 0.01, 0) AS k, 1 AS hit FROM points WHERE label % 3 = 0) SELECT scan_id, count(*) AS n, round_even(avg(coalesce(hit, 0)), 4) AS overlap FROM s LEFT JOIN t USING (scan_id, i, j, k) GROUP BY scan_id"))
+@query("join_overlap_ratio", V.sql("points", "WITH s AS (SELECT DISTINCT scan_id, round_even(x / 0.01, 0) AS i, round_even(y / 0.01, 0) AS j, round_even(z / 0.01, 0) AS k FROM points WHERE label % 2 = 0), t AS (SELECT DISTINCT scan_id, round_even(x / 0.01, 0) AS i, round_even(y / 0.01, 0) AS j, round_even(z / 0.01, 0) AS k, 1 AS hit FROM points WHERE label % 2 = 1) SELECT scan_id, count(*) AS n, round_even(avg(coalesce(hit, 0)), 4) AS overlap FROM s LEFT JOIN t USING (scan_id, i, j, k) GROUP BY scan_id"))
 def overlap(spark, d):
     """JOI-15, JOI-16, SET-05."""
     p = V.points(spark, d)
-    return P.overlap_ratio(p.where("label % 2 = 0"), p.where("label % 3 = 0"), 0.01)
+    return P.overlap_ratio(p.where("label % 2 = 0"), p.where("label % 2 = 1"), 0.01)
 
 
-@query("join_grid_membership", V.sql("points", "WITH r AS (SELECT scan_id, round_even(x / 0.02, 0) AS i, round_even(y / 0.02, 0) AS j, round_even(z / 0.02, 0) AS k, count(*) AS n, min(row_id) AS raw FROM points WHERE label % 5 > 0 GROUP BY ALL) SELECT p.scan_id, p.row_id AS picked, CASE WHEN n = 1 THEN raw END AS raw_row, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'one' END AS status FROM points p LEFT JOIN r ON r.scan_id = p.scan_id AND i = round_even(x / 0.02, 0) AND j = round_even(y / 0.02, 0) AND k = round_even(z / 0.02, 0) WHERE label % 7 = 1"))
+@query("join_grid_membership", V.sql("points", "WITH r AS (SELECT scan_id, round_even(x / 0.02, 0) AS i, round_even(y / 0.02, 0) AS j, round_even(z / 0.02, 0) AS k, count(*) AS n, min(row_id) AS raw FROM points WHERE label % 2 = 0 GROUP BY ALL) SELECT p.scan_id, p.row_id AS picked, CASE WHEN n = 1 THEN raw END AS raw_row, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'one' END AS status FROM points p LEFT JOIN r ON r.scan_id = p.scan_id AND i = round_even(x / 0.02, 0) AND j = round_even(y / 0.02, 0) AND k = round_even(z / 0.02, 0) WHERE label % 2 = 1"))
 def grid(spark, d):
     """JOI-31."""
     p = V.points(spark, d)
-    return P.grid_membership(p.where("label % 7 = 1"), p.where("label % 5 > 0"), 0.02)
+    return P.grid_membership(p.where("label % 2 = 1"), p.where("label % 2 = 0"), 0.02)
 
 
 @query("join_box_neighbours", V.sql("points", "WITH b AS (SELECT scan_id, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM points GROUP BY ALL) SELECT a.scan_id, a.label, b.label AS neighbour FROM b a JOIN b ON a.scan_id = b.scan_id AND a.label <> b.label WHERE a.x0 - 0.05 <= b.x1 AND b.x0 <= a.x1 + 0.05 AND a.y0 - 0.05 <= b.y1 AND b.y0 <= a.y1 + 0.05 AND a.z0 - 0.05 <= b.z1 AND b.z0 <= a.z1 + 0.05"))

@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object nodes of a pair of graphs: ``pair_id, side (0 source, 1 reference), node, v``."""
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("pair_id"), (F.col("vec_id") % 2).cast("int").alias("side"), F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("v"))
+    """Object nodes of a pair of graphs: ``pair_id, side (0 source, 1 reference), node, v``. A pair has at most 500 nodes."""
+    return table(spark, sf_dir, "embeddings").select(F.expr("label + 1000 * (vec_id div 500)").alias("pair_id"), (F.col("vec_id") % 2).cast("int").alias("side"), F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +34,14 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relation triples ``scan_id, sub, obj, name, pos``."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("l_linenumber").alias("scan_id"), F.col("l_suppkey").alias("sub"), (F.col("l_partkey") % 40).alias("obj"), F.concat_ws("/", "l_returnflag", "o_orderpriority").alias("name"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos")
+        F.expr("l_orderkey div 2000").alias("scan_id"), F.col("l_suppkey").alias("sub"), (F.col("l_partkey") % 40).alias("obj"), F.concat_ws("/", "l_returnflag", "o_orderpriority").alias("name"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos")
     )
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled points ``scan_id, label, row_id, x, y, z``; label 0 is background."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_linenumber").alias("scan_id"), (F.col("l_suppkey") % 97).alias("label"), F.expr("(l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey").alias("row_id"),
+        F.expr("l_orderkey div 2000").alias("scan_id"), (F.col("l_suppkey") % 97).alias("label"), F.expr("(l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey").alias("row_id"),
         F.expr("(l_quantity * 0.05D + l_discount) / 1.0301007D").alias("x"), F.expr("(l_tax * 10D + (l_suppkey % 10) * 0.25D) / 1.0701013D").alias("y"), F.expr("l_extendedprice / 43051D").alias("z"),
     )
 
@@ -60,11 +60,11 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated direction records ``pair_id, direction, replicate (0..4), signature, yaw, x, y, transform,
-    overlap, rmse, accepted, solver``: at most five a direction."""
+    overlap, rmse, accepted, solver``: five a direction; further ones are those of further pairs."""
     w = Window.partitionBy("o_custkey", F.col("o_orderkey") % 2).orderBy("o_orderkey")
-    o = table(spark, sf_dir, "orders").withColumn("replicate", F.row_number().over(w) - 1).where("replicate < 5")
+    o = table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(w) - 1).withColumn("replicate", F.col("nth") % 5)
     o = o.select(
-        F.col("o_custkey").alias("pair_id"), F.expr("IF(o_orderkey % 2 = 0, 'forward', 'reverse')").alias("direction"), "replicate", F.col("o_orderkey").alias("signature"),
+        F.expr("o_custkey + (nth div 5) * 4294967296").alias("pair_id"), F.expr("IF(o_orderkey % 2 = 0, 'forward', 'reverse')").alias("direction"), "replicate", F.col("o_orderkey").alias("signature"),
         F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 40D ELSE 0D END + (CAST(o_totalprice AS BIGINT) % 900) / 200D").alias("yaw"), F.expr("(CAST(o_totalprice AS BIGINT) % 500) / 2500D").alias("x"), F.expr("(o_orderkey % 13) / 200D").alias("y"),
         F.expr("0.2D + (CAST(o_totalprice AS BIGINT) % 61) / 100D").alias("overlap"), F.expr("0.02D + (o_orderkey % 17) / 200D").alias("rmse"), F.expr("o_orderstatus <> 'P' OR o_orderkey % 3 > 0").alias("accepted"), F.col("o_orderpriority").alias("solver"),
     )
@@ -85,17 +85,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for DuckDB.
 SQL = {
-    "nodes": "SELECT label AS pair_id, CAST(vec_id % 2 AS INT) AS side, vec_id AS node, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    "nodes": "SELECT label + 1000 * (vec_id // 500) AS pair_id, CAST(vec_id % 2 AS INT) AS side, vec_id AS node, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "anchors": "SELECT a.pair_id, a.node AS s, b.node AS r FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY node) AS i FROM nodes WHERE side = 0) a JOIN (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY node) AS i FROM nodes WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i",
-    "relations": "SELECT l_linenumber AS scan_id, l_suppkey AS sub, l_partkey % 40 AS obj, l_returnflag || '/' || o_orderpriority AS name, l_orderkey * 8 + l_linenumber AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
-    "points": "SELECT l_linenumber AS scan_id, l_suppkey % 97 AS label, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS row_id, (l_quantity * 0.05::DOUBLE + l_discount) / 1.0301007::DOUBLE AS x, (l_tax * 10::DOUBLE + (l_suppkey % 10) * 0.25::DOUBLE) / 1.0701013::DOUBLE AS y, l_extendedprice / 43051::DOUBLE AS z FROM lineitem",
+    "relations": "SELECT l_orderkey // 2000 AS scan_id, l_suppkey AS sub, l_partkey % 40 AS obj, l_returnflag || '/' || o_orderpriority AS name, l_orderkey * 8 + l_linenumber AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "points": "SELECT l_orderkey // 2000 AS scan_id, l_suppkey % 97 AS label, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS row_id, (l_quantity * 0.05::DOUBLE + l_discount) / 1.0301007::DOUBLE AS x, (l_tax * 10::DOUBLE + (l_suppkey % 10) * 0.25::DOUBLE) / 1.0701013::DOUBLE AS y, l_extendedprice / 43051::DOUBLE AS z FROM lineitem",
     "poses": """SELECT user_id AS sequence_id, ordinal, event_id AS frame_id, epoch_us(ts) AS timestamp_us, event_type, ordinal * 2.5::DOUBLE + value * 0.0100007::DOUBLE AS yaw, ordinal * 0.0500003::DOUBLE + value * 0.0010000711::DOUBLE AS x, (event_id % 11) * 0.0200001::DOUBLE AS y,
       CASE WHEN event_type <> 'error' THEN ordinal * 2.5::DOUBLE END AS true_yaw, CASE WHEN event_type <> 'error' THEN ordinal * 0.05::DOUBLE END AS true_x, CASE WHEN event_type <> 'error' THEN 0.1::DOUBLE END AS true_y
       FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS ordinal FROM events)""",
-    "workers": """SELECT o_custkey AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'forward' ELSE 'reverse' END AS direction, replicate, o_orderkey AS signature,
+    "workers": """SELECT o_custkey + (nth // 5) * 4294967296 AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'forward' ELSE 'reverse' END AS direction, CAST(nth % 5 AS INT) AS replicate, o_orderkey AS signature,
       CASE WHEN o_orderkey % 7 = 0 THEN 40 ELSE 0 END + (CAST(trunc(o_totalprice) AS BIGINT) % 900) / 200::DOUBLE AS yaw, (CAST(trunc(o_totalprice) AS BIGINT) % 500) / 2500::DOUBLE AS x, (o_orderkey % 13) / 200::DOUBLE AS y,
       0.2::DOUBLE + (CAST(trunc(o_totalprice) AS BIGINT) % 61) / 100::DOUBLE AS overlap, 0.02::DOUBLE + (o_orderkey % 17) / 200::DOUBLE AS rmse, o_orderstatus <> 'P' OR o_orderkey % 3 > 0 AS accepted, o_orderpriority AS solver
-      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS INT) AS replicate FROM orders) WHERE replicate < 5""",
+      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS INT) AS nth FROM orders)""",
     "runs": """SELECT c_mktsegment AS dataset, CASE WHEN c_nationkey % 2 = 0 THEN 'held_out' ELSE 'development' END AS split, o_custkey AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS arm, o_orderkey AS repeat,
       CASE WHEN o_orderstatus IN ('F', 'O') THEN 'completed' ELSE 'failed' END AS status, o_orderstatus <> 'P' AND o_orderkey % 5 < 3 AS accepted, CASE WHEN o_orderstatus <> 'P' THEN (CAST(trunc(o_totalprice) AS BIGINT) % 2400) / 100::DOUBLE END AS rre,
       CASE WHEN o_orderstatus <> 'P' THEN (CAST(trunc(o_totalprice) AS BIGINT) % 700) / 1000::DOUBLE END AS rte, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 101) / 100::DOUBLE END AS coverage, o_orderpriority AS combo

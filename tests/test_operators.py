@@ -393,3 +393,51 @@ def test_ordered_clusters(spark):
     assert rows() == [[1, 2, 3], [0], [4]]
     assert rows(by_degree=False) == [[0, 1], [2, 3], [4]]
     assert rows(by_degree=False, most=1) == [[0, 1], [2, 3, 4]]
+
+
+def test_merged_sets_along_a_chain(spark):
+    from keelson.operators import labels
+
+    m = spark.createDataFrame([(s, i) for s in range(120) for i in (s, s + 1)], "set_id long, item long")
+    assert {r["grp"] for r in labels.merged_sets(m).collect()} == {0}
+
+
+def test_levels_have_no_bound(spark):
+    from keelson.operators import ledgers
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(70)], "task long, parent long").coalesce(1)
+    roots = spark.createDataFrame([(0,)], "task long")
+    assert {r["task"]: r["level"] for r in ledgers.levels(edges, roots).collect()} == {i: i for i in range(71)}
+    ring = spark.createDataFrame([(1, 0), (2, 1), (1, 2)], "task long, parent long")
+    with pytest.raises(ValueError):
+        ledgers.levels(ring, roots)
+
+
+def test_triples_fit_as_one_by_one():
+    """All triples at once against the plain fit of each, and the refined best against a plain search."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    s = rng.normal(size=(14, 3))
+    r = geometry.moved(geometry.kabsch(s, s @ np.diag([-1.0, -1.0, 1.0]) + [0.1, 0.2, 0.3]), s)
+    r[9:] += rng.normal(size=(5, 3))
+    s[3], r[3] = s[2], r[2]  # a degenerate triple with any third point
+    picks = np.array(list(combinations(range(14), 3)))
+    fits, ok = geometry.kabsch_triples(s[picks], r[picks])
+    ranks = []
+    for at, pick in enumerate(picks):
+        t = geometry.kabsch(s[pick], r[pick])
+        assert (t is None) == (not ok[at])
+        if t is None:
+            continue
+        assert fits[at] == pytest.approx(t, abs=1e-9)
+        for _ in range(4):
+            keep = np.linalg.norm(geometry.moved(t, s) - r, axis=1) <= 0.05
+            better = geometry.kabsch(s[keep], r[keep])
+            if better is None:
+                break
+            t = better
+        d = np.linalg.norm(geometry.moved(t, s) - r, axis=1)
+        ranks.append((-int((d <= 0.05).sum()), round(float(np.median(d)), 9), at))
+    best = geometry.best_of_triples(s, r, picks, 0.05, 4, True)
+    assert best[0] == -min(ranks)[0] == 9 and best[1] == pytest.approx(min(ranks)[1], abs=1e-8)
