@@ -38,7 +38,7 @@ def direction(spark, d):
     return C.direction_cluster(V.workers(spark, d), KEYS, 5.0003, 0.10003, 3)
 
 
-@query("cluster_accepted_consensus", V.sql("workers", f"WITH {cliques(5.0003, 0.15003)}, {VERDICT.format(rival=2, deg=5.0003, m=0.15003, quorum=2)}").replace("WHERE replicate < 5", "WHERE replicate < 5 AND (o_orderstatus <> 'P' OR o_orderkey % 3 > 0)"))
+@query("cluster_accepted_consensus", V.sql("workers", f"WITH {cliques(5.0003, 0.15003)}, {VERDICT.format(rival=2, deg=5.0003, m=0.15003, quorum=2)}").replace("AS nth FROM orders)", "AS nth FROM orders) WHERE (o_orderstatus <> 'P' OR o_orderkey % 3 > 0)"))
 def accepted(spark, d):
     """CLU-03, CLU-05: accepted runs only, and no other clique of two."""
     return C.direction_cluster(V.workers(spark, d).where("accepted"), KEYS, 5.0003, 0.15003, 2, rival=2)
