@@ -13,18 +13,19 @@ from itertools import combinations, islice
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SRC, REF = ["sx", "sy", "sz"], ["rx", "ry", "rz"]
 
 
-def kabsch(src: np.ndarray, ref: np.ndarray) -> np.ndarray | None:
+def kabsch(src: np.ndarray, ref: np.ndarray, relative: float = 1e-8, absolute: float = 1e-12) -> np.ndarray | None:
     """EXT-01: the proper rigid transform of the least squared error; None for fewer than three points or points on
-    a line (second singular value at most 1e-8 of the first)."""
+    a line (second singular value at most ``relative`` x the first, or ``absolute``)."""
     if len(src) < 3:
         return None
     a, b = src.mean(axis=0), ref.mean(axis=0)
     u, s, vt = np.linalg.svd((src - a).T @ (ref - b))
-    if s[1] <= max(1e-12, 1e-8 * s[0]):
+    if s[1] <= max(absolute, relative * s[0]):
         return None
     flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T))])
     t = np.eye(4)
@@ -57,8 +58,9 @@ def nearest(points: np.ndarray, target: np.ndarray, block: int = 512) -> tuple[n
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Groups dealt out over all shuffle partitions: their rows are few bytes, which adaptive execution would put into one
-    task, and much work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    task, and much work. The keys are made anew, as a repartition by keys that the rows are grouped by already is left out."""
+    fresh = df.withColumns({k: F.when(F.col(k).isNotNull(), F.col(k)) for k in keys})
+    return fresh.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def fitted(corr: DataFrame, key: str) -> DataFrame:
@@ -73,7 +75,7 @@ def fitted(corr: DataFrame, key: str) -> DataFrame:
     return _dealt(corr, key).groupBy(key).applyInPandas(one, f"{key} long, n long, transform array<double>, rmse double")
 
 
-def kabsch_triples(src: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def kabsch_triples(src: np.ndarray, ref: np.ndarray, relative: float = 1e-8, absolute: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
     """:func:`kabsch` for many triples of points (n x 3 x 3) at once: transforms (n x 4 x 4), and which of them aren't degenerate."""
     a, b = src.mean(axis=1, keepdims=True), ref.mean(axis=1, keepdims=True)
     u, s, vt = np.linalg.svd((src - a).transpose(0, 2, 1) @ (ref - b))
@@ -82,7 +84,7 @@ def kabsch_triples(src: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.nda
     t = np.tile(np.eye(4), (len(src), 1, 1))
     t[:, :3, :3] = v @ ut
     t[:, :3, 3] = (b - a @ t[:, :3, :3].transpose(0, 2, 1))[:, 0]
-    return t, s[:, 1] > np.maximum(1e-12, 1e-8 * s[:, 0])
+    return t, s[:, 1] > np.maximum(absolute, relative * s[:, 0])
 
 
 def refine(s: np.ndarray, r: np.ndarray, keep: np.ndarray, inlier: float, times: int) -> tuple[np.ndarray | None, np.ndarray]:
@@ -178,26 +180,68 @@ def registered(clouds: DataFrame, key: str, reach: float = 0.20, iterations: int
     return _dealt(clouds, key).groupBy(key).applyInPandas(one, f"{key} long, transform array<double>, trace array<struct<rmse_before:double,rmse_after:double,deg:double,m:double>>")
 
 
+def registered_from(clouds: DataFrame, starts: DataFrame, key: str, reach: float = 0.20, iterations: int = 30, least: int = 10, most: int = 30_000, seed: int = 42) -> DataFrame:
+    """EXT-02 from a given transform (``starts``: ``key, transform``): each round fits the source points to their nearest
+    reference points within ``reach``, until ``iterations`` or fewer than ``least`` are. Sides of over ``most`` points are
+    sampled, the source first. ``key, transform, converged, fitness`` (share within reach at the end), ``rmse`` (of those; null
+    without any), ``update_deg, update_m`` (from the start), ``rounds`` (begun). Keys without a start have no row, an empty side fits nothing."""
+
+    def one(points: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        columns = [key, "transform", "converged", "fitness", "rmse", "update_deg", "update_m", "rounds"]
+        if start.empty:
+            return pd.DataFrame([], columns=columns)
+        rng, points = np.random.default_rng(seed), points.sort_values("row_id")
+        sides = [points.loc[points["side"] == side, ["x", "y", "z"]].to_numpy(float) for side in (0, 1)]
+        a, b = (p[rng.choice(len(p), most, replace=False)] if len(p) > most else p for p in sides)
+        first = t = np.array(start["transform"].iloc[0], float).reshape(4, 4)
+        match = lambda: nearest(moved(t, a), b) if len(b) else (np.zeros(len(a), int), np.full(len(a), np.inf))
+        rounds = 0
+        while rounds < iterations:
+            rounds += 1
+            index, d = match()
+            on = d <= reach
+            better = kabsch(a[on], b[index[on]]) if on.sum() >= least else None
+            if better is None:
+                break
+            t = better
+        d = match()[1]
+        on = d <= reach
+        deg, m = distance(t, first)[0], float(np.linalg.norm(t[:3, 3] - first[:3, 3]))
+        row = (start[key].iloc[0], t.ravel().tolist(), bool(on.any()), float(on.mean()) if len(on) else 0.0, float(np.sqrt((d[on] ** 2).mean())) if on.any() else None, deg, m, rounds)
+        return pd.DataFrame([row], columns=columns)
+
+    return clouds.groupBy(key).cogroup(starts.groupBy(key)).applyInPandas(one, f"{key} long, transform array<double>, converged boolean, fitness double, rmse double, update_deg double, update_m double, rounds long")
+
+
+def greedy_clique(near: np.ndarray, seeds: int = 64) -> list[int]:
+    """The largest clique (then the first by members) of growths from the ``seeds`` nodes of the highest degree, always
+    adding the common neighbour with the most neighbours among the candidates, then the highest degree, then the lowest."""
+    degree, best = near.sum(axis=1).astype(np.int64), []
+    for seed in np.lexsort((np.arange(len(near)), -degree))[:seeds].tolist():
+        got, free = [seed], near[seed].copy()
+        inside = near[:, free].sum(axis=1).astype(np.int64)
+        while free.any():
+            add = int(np.where(free, inside * (len(near) + 1) + degree, -1).argmax())
+            got.append(add)
+            gone = free & ~near[add]
+            free &= near[add]
+            inside -= near[:, gone].sum(axis=1)
+        got.sort()
+        if (-len(got), got) < (-len(best), best):
+            best = got
+    return best
+
+
 def greedy_cliques(edges: DataFrame, key: str, seeds: int = 64) -> DataFrame:
-    """CLU-11, EXT-07: of growths from the ``seeds`` nodes of the highest degree - always adding the common neighbour
-    with the most neighbours among the candidates, then the lowest - the largest clique (then the first by members)."""
+    """CLU-11: :func:`greedy_clique` of a key's graph of (``a``, ``b``): ``size, members``."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(int(a), set()).add(int(b))
-            near.setdefault(int(b), set()).add(int(a))
-        best: list[int] = []
-        for seed in sorted(near, key=lambda x: (-len(near[x]), x))[:seeds]:
-            got, open_ = [seed], set(near[seed])
-            while open_:
-                add = min(open_, key=lambda x: (-len(near[x] & open_), x))
-                got.append(add)
-                open_ &= near[add]
-            got.sort()
-            if (-len(got), got) < (-len(best), best):
-                best = got
-        return pd.DataFrame([(pdf[key].iloc[0], len(best), best)], columns=[key, "size", "members"])
+        ids, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        at = at.reshape(-1, 2)
+        near = np.zeros((len(ids), len(ids)), bool)
+        near[at[:, 0], at[:, 1]] = near[at[:, 1], at[:, 0]] = True
+        got = ids[greedy_clique(near, seeds)].tolist()
+        return pd.DataFrame([(pdf[key].iloc[0], len(got), got)], columns=[key, "size", "members"])
 
     return _dealt(edges, key).groupBy(key).applyInPandas(one, f"{key} long, size long, members array<long>")
 

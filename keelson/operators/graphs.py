@@ -17,6 +17,17 @@ def surviving_triples(relations: DataFrame, objects: DataFrame) -> DataFrame:
     return relations.join(s, ["scan_id", "sub"], "left_semi").join(o, ["scan_id", "obj"], "left_semi").select("scan_id", "sub", "obj", "name", "pos")
 
 
+def predicted_triples(graphs: DataFrame, points: DataFrame, least: int = 50) -> DataFrame:
+    """SRC-03: a predicted graph's labelled edges (``scan_id, edges`` array of (sub, obj, pos), ``names`` array in the same
+    order) without those named none and those with an end that is no segment (label 0, or fewer than ``least`` points).
+    Pairs stay as often as they occur; edges beyond the shorter of the arrays have no name and go too."""
+    ids = points.where("label <> 0").groupBy("scan_id", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    e = graphs.select("scan_id", F.explode(F.arrays_zip("edges", "names")).alias("e")).select("scan_id", "e.edges.*", F.col("e.names").alias("name")).where("name <> 'none'")
+    for end in ("sub", "obj"):
+        e = e.join(ids.select("scan_id", F.col("label").alias(end)), ["scan_id", end], "left_semi")
+    return e.select("scan_id", "sub", "obj", "name", "pos")
+
+
 def explicit_edges(relations: DataFrame) -> DataFrame:
     """JOI-05, SRC-02: distinct (sub, obj) in the order of their first occurrence."""
     first = relations.groupBy("scan_id", "sub", "obj").agg(F.min("pos").alias("pos"))
@@ -112,6 +123,17 @@ def perturb(items: DataFrame, keys: list[str], share: float, seed: int) -> DataF
     return items.where(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1000 >= int(share * 1000))
 
 
+def relabelled(items: DataFrame, keys: list[str], column: str, vocabulary: list[str], share: float, seed: int) -> DataFrame:
+    """CMP-24: about ``share`` of the rows, by a hash of the key, get another label than they have, drawn from the
+    vocabulary by the same hash; labels that the vocabulary lacks may become any of it. ``changed`` marks them.
+    A vocabulary of one label changes only others; a null label stays."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
+    draw = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    others = F.array_remove(F.array(*[F.lit(v) for v in sorted(set(vocabulary))]), F.col(column))
+    hit = (draw(1) % 1000 < int(share * 1000)) & F.coalesce(F.size(others) > 0, F.lit(False)) & F.col(column).isNotNull()
+    return items.withColumn("changed", hit).withColumn(column, F.when(hit, F.get(others, (draw(9) % F.size(others)).cast("int"))).otherwise(F.col(column)))
+
+
 def hash_ordered_subset(groups: DataFrame, key: str, n: int) -> DataFrame:
     """WIN-15, JOI-17: the first ``n`` groups by the SHA-256 of their key; each task keeps n."""
     h = F.sha2(F.col(key).cast("string"), 256)

@@ -81,6 +81,21 @@ def aggregate_metrics(per_pair: DataFrame) -> DataFrame:
     )
 
 
+def gate_metrics(per_pair: DataFrame) -> DataFrame:
+    """AGG-17: macro and micro metrics with fixed denominators: a pair without predictions (anchors) has precision
+    (recall, hits) 0, F1 is exactly 0 where both are, and every pair counts. Micro values are null if nothing is pooled."""
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    x = per_pair.withColumn("p", part("tp", "pred_count")).withColumn("r", part("tp", "anchor_count")).withColumn("f", part(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+    pooled = x.agg(
+        F.count("*").alias("pairs"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"), *[F.avg(part(f"{k}_hit", "anchor_count")).alias(f"macro_{k}") for k in ("top1", "top5")],
+        *[F.sum(c).alias(f"pooled_{c}") for c in ("tp", "pred_count", "anchor_count", "top1_hit", "top5_hit")],
+    )
+    over = lambda a, b: F.try_divide(f"pooled_{a}", f"pooled_{b}")
+    out = pooled.withColumn("micro_precision", over("tp", "pred_count")).withColumn("micro_recall", over("tp", "anchor_count")).withColumn("micro_top1", over("top1_hit", "anchor_count")).withColumn("micro_top5", over("top5_hit", "anchor_count"))
+    both = F.col("micro_precision") + F.col("micro_recall")
+    return out.withColumn("micro_f1", F.when(both == 0, 0.0).otherwise(2 * F.col("micro_precision") * F.col("micro_recall") / both))
+
+
 def rank_metrics(sims: DataFrame, anchors: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
     """AGG-25, AGG-26: per pair the mean reciprocal rank of the true matches and hits at k."""
     r = ranks(sims).select("pair_id", F.col("a").alias("s"), F.col("b").alias("r"), "rank")

@@ -24,11 +24,20 @@ def _vocabulary(rel):
 
 @query("scan_surviving_triples", V.sql("relations", f"WITH {OBJ} SELECT scan_id, sub, obj, name, pos FROM relations SEMI JOIN (SELECT scan_id, object_id AS sub FROM objects) USING (scan_id, sub) SEMI JOIN (SELECT scan_id, object_id AS obj FROM objects) USING (scan_id, obj)"))
 def triples(spark, d):
-    """SRC-02, SRC-03."""
+    """SRC-02."""
     r = V.relations(spark, d)
     return G.surviving_triples(r, _objects(r))
 
 
+@query("scan_predicted_triples", V.sql("relations points", "WITH k AS (SELECT scan_id, label FROM points WHERE label <> 0 GROUP BY ALL HAVING count(*) >= 50) SELECT r.scan_id, r.sub, r.obj, r.name, r.pos FROM (SELECT scan_id, sub % 97 AS sub, obj, name, pos FROM relations) r JOIN k a ON a.scan_id = r.scan_id AND a.label = r.sub JOIN k b ON b.scan_id = r.scan_id AND b.label = r.obj WHERE name NOT LIKE 'R/%'"))
+def predicted(spark, d):
+    """SRC-03: a scan's relations as the arrays of a predicted graph."""
+    r = V.relations(spark, d).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "obj", "name"))).alias("x"))
+    edges = F.transform("x", lambda e: F.struct((e["sub"] % 97).alias("sub"), e["obj"].alias("obj"), e["pos"].alias("pos")))
+    names = F.transform("x", lambda e: F.when(e["name"].startswith("R/"), "none").otherwise(e["name"]))
+    return G.predicted_triples(r.select("scan_id", edges.alias("edges"), names.alias("names")), V.points(spark, d))
+
+
 @query("join_explicit_edges", V.sql("relations", "SELECT scan_id, sub, obj, pos, row_number() OVER (PARTITION BY scan_id ORDER BY pos, sub, obj) - 1 AS edge FROM (SELECT scan_id, sub, obj, min(pos) AS pos FROM relations GROUP BY ALL)"))
 def edges(spark, d):
     """JOI-05."""
@@ -114,6 +123,16 @@ def perturbation(spark, d):
     return G.perturb(V.relations(spark, d).select("scan_id", "sub").distinct(), ["scan_id", "sub"], 0.25, 11)
 
 
+#: Labels of the perturbed edges.
+NAMES = ["A/1-URGENT", "A/2-HIGH", "N/1-URGENT", "N/2-HIGH", "R/1-URGENT", "R/2-HIGH"]
+
+
+@query("sample_relabelled_edges", V.sql("relations", f"WITH h AS (SELECT *, md5('7:' || scan_id || ':' || pos || ':' || sub) AS h, list_filter({NAMES}, lambda n: n <> name) AS others FROM relations), c AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 1000 < 300 AS changed FROM h) SELECT scan_id, sub, obj, pos, changed, CASE WHEN changed THEN others[1 + CAST('0x' || substr(h, 9, 8) AS BIGINT) % len(others)] ELSE name END AS name FROM c"))
+def relabelled(spark, d):
+    """CMP-24: edges with another label."""
+    return G.relabelled(V.relations(spark, d), ["scan_id", "pos", "sub"], "name", NAMES, 0.3, 7)
+
+
 @query("window_hash_subset", "SELECT c_custkey FROM customer ORDER BY sha256(CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 8")
 def subset(spark, d):
     """WIN-15, JOI-17: a sample is the feature."""

@@ -73,11 +73,21 @@ def per_pair(spark, d):
 @query("agg_macro_micro", V.sql("nodes anchors", f"""{PER_PAIR} SELECT count(*) AS pairs, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(coalesce(2 * sum(tp) / nullif(sum(pred_count) + sum(anchor_count), 0), 0), 6) AS micro_f1,
    round(sum(top1_hit) / greatest(sum(anchor_count), 1), 6) AS micro_top1, round(avg(top1_hit / greatest(anchor_count, 1)), 6) AS macro_top1, count(*) FILTER (WHERE pred_count = 0) AS zero_candidate, round(avg(margin), 6) AS margin FROM pp"""))
 def macro_micro(spark, d):
-    """AGG-16, AGG-17."""
+    """AGG-16."""
     out = M.aggregate_metrics(_per_pair(spark, d))
     return out.select("pairs", "zero_candidate", *[rounded(c).alias(c) for c in out.columns if c not in ("pairs", "zero_candidate")])
 
 
+@query("agg_gate_metrics", V.sql("nodes anchors", f"""{PER_PAIR}, z AS (SELECT *, tp / pred_count AS p, tp / anchor_count AS r FROM (SELECT tp, nullif(pred_count, 0) AS pred_count, nullif(anchor_count, 0) AS anchor_count, top1_hit, top5_hit FROM pp)),
+   g AS (SELECT count(*) AS pairs, avg(coalesce(p, 0)) AS macro_precision, avg(coalesce(r, 0)) AS macro_recall, avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS macro_f1, avg(coalesce(top1_hit / anchor_count, 0)) AS macro_top1, avg(coalesce(top5_hit / anchor_count, 0)) AS macro_top5,
+     sum(tp) / sum(pred_count) AS micro_precision, sum(tp) / sum(anchor_count) AS micro_recall, sum(top1_hit) / sum(anchor_count) AS micro_top1, sum(top5_hit) / sum(anchor_count) AS micro_top5, 2 * sum(tp) / (sum(pred_count) + sum(anchor_count)) AS micro_f1 FROM z)
+   SELECT pairs, {', '.join(f'round({k}_{c}, 6) AS {k}_{c}' for k in ('macro', 'micro') for c in ("precision", "recall", "f1", "top1", "top5"))} FROM g"""))
+def gate(spark, d):
+    """AGG-17."""
+    out = M.gate_metrics(_per_pair(spark, d))
+    return out.select("pairs", *[rounded(f"{k}_{c}").alias(f"{k}_{c}") for k in ("macro", "micro") for c in ("precision", "recall", "f1", "top1", "top5")])
+
+
 @query("agg_mrr_hits", V.sql("nodes anchors", f"""WITH {SIM} SELECT x.pair_id, count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, {', '.join(f'count(*) FILTER (WHERE rank <= {k}) AS hits_{k}' for k in range(1, 6))}
    FROM ranked x JOIN anchors y ON x.pair_id = y.pair_id AND x.a = y.s AND x.b = y.r GROUP BY x.pair_id"""))
 def mrr(spark, d):
