@@ -14,7 +14,9 @@ import gc
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ HEAD_WORD_BYTES = 64
 FLUSH = 200_000
 #: Rows that a task has as Python objects at a time.
 SLICE = 1000
+#: Bytes of text that a task works on at a time (a longer text is worked on alone).
+SLICE_BYTES = 8 << 20
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
@@ -47,6 +51,17 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.Recor
             yield batch.slice(at, rows)
 
 
+def by_bytes(it: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``most`` bytes of the string ``column``, or of one row; empty batches go."""
+    for batch in it:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
 def released(f):
     """A function over batches that gives the memory it used back when it has ended: Python workers live on, and what one
     task has used would stay with its worker while other tasks run."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, exact_dedup, hmm, ngram_join, packing, quality, token_counts, toxicity, url_rules, warc
+from keelson.llm import bpe, conversations, exact_dedup, fill_in_middle, hmm, ngram_join, packing, pii, quality, token_counts, toxicity, url_rules, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 TOKEN_LIMIT = 512
@@ -71,13 +71,25 @@ def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hmm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digested(_table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digested(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_after_damage(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    found = [op1_harmonic_packing, op2_token_counts, op3_ngram_jaccard_join, op4_exact_dedup, op5_bpe_round_trip, op6_merkle_fixity, op7_url_rules, op8_quality_rules, op9_toxicity, op10_hmm_scoring]
+    found = [op1_harmonic_packing, op2_token_counts, op3_ngram_jaccard_join, op4_exact_dedup, op5_bpe_round_trip, op6_merkle_fixity, op7_url_rules, op8_quality_rules, op9_toxicity, op10_hmm_scoring, op11_fill_in_middle, op12_personal_data, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": NEAR_SQL, "op4_exact_dedup": EXACT_SQL, "op6_merkle_fixity": FIXITY_SQL, "op8_quality_rules": QUALITY_SQL}
+    return {"op3_ngram_jaccard_join": NEAR_SQL, "op4_exact_dedup": EXACT_SQL, "op6_merkle_fixity": FIXITY_SQL, "op8_quality_rules": QUALITY_SQL, "op11_fill_in_middle": MIDDLE_SQL, "op13_conversation_repair": REPAIR_SQL}
 
 
 EXACT_SQL = r"""
@@ -132,3 +144,48 @@ SELECT page_id, archive, "offset", length, record_sha256, CASE WHEN page_id % 59
   CASE WHEN page_id % 59 <> 0 AND page_id % 41 = 0 AND has AND bad_sha256 <> record_sha256 THEN bad_sha256 END AS right_sha256
 FROM o
 """
+
+MIDDLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('7:', doc_id)) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS a, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || substr(h, 1 + 8 * k, 8) AS BIGINT)) AS r FROM t),
+c AS (SELECT *, len(a) AS n, least(r[1] % (len(a) + 1), r[2] % (len(a) + 1)) AS lo, greatest(r[1] % (len(a) + 1), r[2] % (len(a) + 1)) AS hi FROM u),
+p AS (SELECT *, array_to_string(a[1:lo], '') AS prefix, array_to_string(a[lo + 1:hi], '') AS middle, array_to_string(a[hi + 1:], '') AS suffix,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+raw AS (SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(concat(coalesce(CAST(c.conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+        FROM conversations c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id),
+hit AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda d, e: xor(d >> 1, CASE WHEN d % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS hit FROM raw),
+kept AS (SELECT g, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE hit <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, md5(concat_ws(':', length(role), role, text)), copy) AS pos FROM kept),
+fault AS (SELECT *, substr(role, 1, 1) AS i, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[.!?]{_S}*$') AS cut FROM pos),
+r AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN again THEN 'duplicate' WHEN cut THEN 'truncated' ELSE '' END AS f, lag(i) OVER (PARTITION BY g ORDER BY pos) || i AS pair FROM fault),
+k AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 'blank') AS blank, count(*) FILTER (WHERE f = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE f = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY g),
+e AS (SELECT g, pos, i, role, text, CASE f WHEN 'blank' THEN 1000000 WHEN 'duplicate' THEN 1000000 WHEN 'truncated' THEN 1 ELSE 0 END AS p FROM r),
+v AS (SELECT g, n + 1 AS pos, CAST([0, 4, 2, 0] AS BIGINT[]) AS c FROM k
+      UNION ALL
+      SELECT g, pos, [least(b[1], 2 + b[3], 4 + b[4]), least(b[2], 2 + b[3], 4 + b[4]), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])]
+      FROM (SELECT g, pos, [least(3 + c[1], us, CASE WHEN i = 's' THEN p + c[2] ELSE us END), least(3 + c[2], us), least(3 + c[3], asst), least(3 + c[4], us)] AS b
+            FROM (SELECT e.g, e.pos, i, p, c, p + CASE WHEN i = 'u' THEN 0 ELSE 2 END + c[3] AS us, p + CASE WHEN i = 'a' THEN 0 ELSE 2 END + c[4] AS asst FROM v JOIN e ON e.g = v.g AND e.pos = v.pos - 1))),
+f AS (SELECT g, CAST(1 AS BIGINT) AS pos, 0 AS st, '' AS audit, CAST([] AS VARCHAR[]) AS rep FROM k
+      UNION ALL
+      SELECT g, pos + CASE WHEN letter = 'I' THEN 0 ELSE 1 END, CASE letter WHEN 'D' THEN st WHEN 'K' THEN kto ELSE nx END, audit || letter,
+             CASE letter WHEN 'D' THEN rep WHEN 'K' THEN list_append(rep, role || ':' || text) ELSE list_append(rep, CASE nx WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'R' THEN text ELSE '' END) END
+      FROM (SELECT x.*, CASE WHEN there AND 3 + c2[st + 1] = c[st + 1] THEN 'D' WHEN 2 + c[nx + 1] = c[st + 1] THEN 'I' WHEN kto IS NOT NULL AND p + c2[kto + 1] = c[st + 1] THEN 'K' ELSE 'R' END AS letter
+            FROM (SELECT f.*, e.pos IS NOT NULL AS there, e.role, e.text, e.p, v.c, w.c AS c2, [2, 2, 3, 2][st + 1] AS nx, CASE WHEN e.i = 's' AND st = 0 THEN 1 WHEN e.i = 'u' AND st <> 2 THEN 2 WHEN e.i = 'a' AND st = 2 THEN 3 END AS kto
+                  FROM f JOIN v ON v.g = f.g AND v.pos = f.pos LEFT JOIN e ON e.g = f.g AND e.pos = f.pos LEFT JOIN v w ON w.g = f.g AND w.pos = f.pos + 1
+                  WHERE e.pos IS NOT NULL OR st IN (1, 2)) x)),
+done AS (SELECT f.g, audit, sha256(array_to_string(rep, chr(10))) AS sha FROM f JOIN k ON k.g = f.g AND f.pos = k.n + 1 AND st IN (0, 3)),
+cost AS (SELECT g, c[1] AS cost FROM v WHERE pos = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN k USING (g) LEFT JOIN done USING (g) LEFT JOIN cost USING (g)
+"""
