@@ -68,16 +68,6 @@ def marked(df: DataFrame, hashed: Column, keys: DataFrame, keys_hashed: Column,
     )
 
 
-def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    """``docs`` less the rows whose ``key`` is in the one column of ``gone``. A bitmap of the keys to go lets most rows pass while
-    scanning; only rows that it marks are shuffled for the exact anti join, so the kept texts stay where they are."""
-    mark, mine, theirs = fresh(docs.columns, "_marked", "_key", "_gone")
-    gone = durable(gone.toDF(theirs), "gone")
-    told = marked(docs.withColumn(mine, key), F.xxhash64(mine), gone, F.xxhash64(theirs), mark)
-    doubtful = told.where(F.col(mark)).join(gone, F.col(mine) == F.col(theirs), "left_anti")
-    return told.where(~F.col(mark)).select(*docs.columns).unionByName(doubtful.select(*docs.columns))
-
-
 # -- joins with hot keys -----------------------------------------------------------------------
 
 #: Keys of more than one in so many rows are hot: there are at most so many of them.
@@ -96,6 +86,35 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total:
     return there.unionByName(rest)
 
 
+# -- rows that stay --------------------------------------------------------------------------------
+
+
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """A key of a row's id and text; rows without an id are told apart by the text alone."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), digest.cast("string"))
+
+
+def keep_told(docs: DataFrame, told: DataFrame, doc_id: Column, digest: Column) -> DataFrame:
+    """``docs`` as ``told`` says: ``doc_id, digest, n, stays`` for keys of an id and a digest, ``n`` rows each. Rows of a key that
+    doesn't stay go, of a key that stays one row is kept (the one with the smallest hash), and rows of all other keys are kept.
+
+    A bitmap of the ids lets most rows pass while scanning; only rows that it marks are shuffled, so the other texts stay where
+    they are. ``digest`` is worked out for marked rows only.
+    """
+    mark, key, stays = fresh(docs.columns, "_marked", "_key", "_stays")
+    told = durable(told.select(F.xxhash64("doc_id").alias("id_hash"), row_key(F.col("doc_id"), F.col("digest")).alias(key), "n", F.col("stays").alias(stays)), "told")
+    rows = marked(docs, F.xxhash64(doc_id.cast("long")), told, F.col("id_hash"), mark)
+    doubtful = rows.where(F.col(mark)).drop(mark).withColumn(key, row_key(doc_id, digest))
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_hot(doubtful, told.drop("id_hash"), [key], "n", max(total, 1), "left")
+    out = rows.where(~F.col(mark)).select(*docs.columns).unionByName(joined.where(F.col(stays).isNull()).select(*docs.columns))
+    if told.where(F.col(stays)).isEmpty():
+        return out
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = joined.where(F.col(stays)).groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias("_one"))
+    return out.unionByName(one.select("_one.*"))
+
+
 # -- connected components ----------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import SPACES, durable, join_hot, marked, without, words_text
+from keelson.llm.common import SPACES, durable, join_hot, keep_told, marked, words_text
 
 PREFIX_CHARS = 64
 
@@ -47,8 +47,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """``docs`` less its exact copies, with all columns: of each group of equal texts one row, with the smallest ``doc_id``.
 
-    ``doc_id`` is taken to identify a text; rows without one all stay.
+    A row is told by its id and text, so rows that share an id but not a text are judged apart. Of repeated rows, and of rows without
+    an id in a group that has no other, one stays.
     """
-    return without(docs, exact_groups(docs, text, doc_id).where("NOT kept").select("doc_id"), F.col(doc_id).cast("long"))
+    rows = exact_groups(docs, text, doc_id).where("text_sha256 IS NOT NULL")
+    told = rows.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n"), F.max("kept").alias("stays")).where("NOT stays OR n > 1")
+    return keep_told(docs, told, F.col(doc_id), F.sha2(F.encode(normalised(text), "UTF-8"), 256))

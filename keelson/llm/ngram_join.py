@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import components, durable, join_hot, marked, without, words_text
+from keelson.llm.common import components, durable, join_hot, keep_told, marked, words_text
 from keelson.llm.lexicon import released, slices
 from keelson.llm.tokens import Cached, contract_words
 
@@ -189,18 +189,10 @@ def _unit(low: int, high: int, members: dict[int, list], threshold, tolerance):
         yield every[k][0], int(links[k]), every[order[label[k]]][0]
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, class_id, n_links, same_set``.
-
-    ``class_id`` is the smallest ``doc_id`` of the connected component of links (Jaccard similarity of
-    the sets of word n-grams at least ``threshold``); ``n_links`` counts the other rows that the row is
-    linked to, copies included; ``same_set`` those among them with an equal set. Words are what lies
-    between the contract's white space. A text with fewer words than ``ngram`` is one n-gram of all
-    its words; a null or empty text has none, is linked to nothing and is a class of its own. Null ids
-    rank after all others. Repeated rows are copies. Other columns are left out.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text"))
-    flat = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def _near_rows(docs: DataFrame, text: str, doc_id: str, ngram: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """:func:`near_groups` with ``text_hash`` and ``stays``: whether the row's id and text are the first of its group."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_text(text).alias("text"), F.xxhash64(words_text(text)).alias("text_hash"))
+    flat = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sets(it):
         shingles = Shingler(ngram)
@@ -208,17 +200,19 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
             grams = [shingles(x) for x in batch.column(1).to_pylist()]
             full = [g for g in grams if len(g)]
             keys = iter(band_keys(np.stack([minhash(g) for g in full])).view(np.int64) if full else ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], pa.binary()), pa.array([next(keys) if len(g) else None for g in grams], pa.list_(pa.int64()))], schema=flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], pa.binary()), pa.array([next(keys) if len(g) else None for g in grams], pa.list_(pa.int64()))], schema=flat)
 
-    table = durable(rows.mapInArrow(released(sets), "doc_id long, set_id binary, keys array<long>"), "sets")
-    classes = table.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    table = durable(rows.mapInArrow(released(sets), "doc_id long, text_hash long, set_id binary, keys array<long>"), "sets")
+    classes = table.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("lead"))
     # copies have the same keys: one row for each (key, class)
     buckets = table.where("set_id IS NOT NULL").select("set_id", F.explode("keys").alias("key")).distinct()
-    heads = buckets.groupBy("key").agg(F.min("set_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    stars = buckets.join(heads, "key").where("set_id <> head").select("set_id", "head")
+    heads = durable(buckets.groupBy("key").agg(F.min("set_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a large group of near copies meets in its buckets: joins by bucket, area and root keep such rows where they are
+    stars = join_hot(buckets, heads, ["key"], "n", max(total, 1)).where("set_id <> head").select("set_id", "head")
     areas = durable(components(stars, "set_id", "head").select(F.col("node").alias("set_id"), F.col("root").alias("area")), "areas")
-    blocks = areas.groupBy("area").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = areas.join(blocks, "area").join(classes, "set_id").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    blocks = areas.groupBy("area").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = join_hot(areas, blocks, ["area"], "n", areas.count()).join(classes.drop("lead"), "set_id").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = durable(dealt, "dealt")
 
     # second reading: the sets of the classes' first documents only, picked by a bitmap while scanning
@@ -274,18 +268,37 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngr
     groups = components(links, "set_id", "root")
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     of_set = classes.join(counts, "set_id", "left").join(groups.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    class_ids = of_set.groupBy("root").agg(F.min("first").alias("class_id"))
-    of_set = of_set.join(class_ids, "root").select("set_id", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("same_set"))
+    class_ids = of_set.groupBy("root").agg(F.min("first").alias("class_id"), F.min("lead").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    n_sets = class_ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    of_set = join_hot(of_set.withColumnsRenamed({"lead": "own", "first": "mine"}), class_ids, ["root"], "n", max(n_sets, 1), "left")
+    of_set = of_set.select("set_id", "copies", F.when(F.col("lead").isNull(), F.col("mine")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("lead", "own").alias("lead"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("same_set"))
     of_set = durable(of_set, "classes")
-    alone = table.where("set_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("same_set"))
-    member = table.where("set_id IS NOT NULL").select("doc_id", "set_id")
+    alone = table.where("set_id IS NULL").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("same_set"), F.lit(None).cast("boolean").alias("stays"))
+    member = table.where("set_id IS NOT NULL").select("doc_id", "text_hash", "set_id")
+    stays = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))
     # copies of one text may be a third of all rows
-    return join_hot(member, of_set, ["set_id"], "copies", member.count()).select("doc_id", "class_id", "n_links", "same_set").union(alone)
+    return join_hot(member, of_set, ["set_id"], "copies", member.count()).select("doc_id", "text_hash", "class_id", "n_links", "same_set", stays.alias("stays")).union(alone)
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, class_id, n_links, same_set``.
+
+    ``class_id`` is the smallest ``doc_id`` of the connected component of links (Jaccard similarity of
+    the sets of word n-grams at least ``threshold``); ``n_links`` counts the other rows that the row is
+    linked to, copies included; ``same_set`` those among them with an equal set. Words are what lies
+    between the contract's white space. A text with fewer words than ``ngram`` is one n-gram of all
+    its words; a null or empty text has none, is linked to nothing and is a class of its own. Null ids
+    rank after all others. Repeated rows are copies. Other columns are left out.
+    """
+    return _near_rows(docs, text, doc_id, ngram, threshold, tolerance, block).select("doc_id", "class_id", "n_links", "same_set")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are the first of their group (smallest ``doc_id``), with all their columns.
+    """``docs`` less its near copies, with all columns: of each group one row, with the smallest ``doc_id`` (and of rows with
+    that id, the smallest hash of the text).
 
-    ``doc_id`` is taken to identify a text; rows without one all stay.
+    A row is told by its id and text, so rows that share an id but not a text are judged apart; of repeated rows one stays.
+    Rows without a word are no copies of anything and all stay.
     """
-    return without(docs, near_groups(docs, text, doc_id).where("doc_id <> class_id").select("doc_id"), F.col(doc_id).cast("long"))
+    told = _near_rows(docs, text, doc_id).where("stays IS NOT NULL").groupBy("doc_id", F.col("text_hash").alias("digest")).agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    return keep_told(docs, told.where("NOT stays OR n > 1"), F.col(doc_id), F.xxhash64(words_text(text)))

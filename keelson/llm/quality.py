@@ -93,11 +93,22 @@ def _judged(docs: DataFrame, text: str, doc_id: str, host: str, min_words: int =
     """:func:`judge_quality` with the key's ``_host`` and ``_gone``, the hashes of the row's lines above the limits."""
     read = docs.select(*_key(docs, text, doc_id, host), *statistics(F.col(text)), _lines(words_text(text)).alias("lines"), F.monotonically_increasing_id().alias("_at"))
     base = durable(read, "lines")
-    first = F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first")
-    each = base.select("doc_id", "_host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    often = durable(each.groupBy("_host", "line").agg(F.count("*").alias("n"), first).where(F.col("n") > line_least), "often")
-    sizes = base.groupBy("_host").agg(F.count("*").alias("size")).where(F.col("size") * line_share < line_most)
-    some = often.where(F.col("n") <= line_most).join(sizes, "_host").where(F.col("n") > F.col("size") * line_share).select(*often.columns)
+    # a document is an id, or a text where there is no id; rows of documents that have several are counted apart
+    who = base.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("_row")).alias("_null_row"), "_host", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("each"))
+    several = durable(who.groupBy("doc_id", "_null_row").count().where("count > 1").select(F.xxhash64("doc_id", "_null_row").alias("who")), "several")
+    told = marked(who, F.xxhash64("doc_id", "_null_row"), several, F.col("who"), "_several")
+    least = F.coalesce("doc_id", F.lit(_NO_ID)).alias("least")
+    lines = told.select("_host", F.explode("each").alias("line"), least, "_null_row", "_several")
+    once = lines.where("NOT _several").groupBy("_host", "line").agg(F.count("*").alias("n"), F.min("least").alias("first"))
+    more = lines.where("_several").select("_host", "line", "least", "_null_row").distinct().groupBy("_host", "line").agg(F.count("*").alias("n"), F.min("least").alias("first"))
+    often = durable(once.unionByName(more).groupBy("_host", "line").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") > line_least), "often")
+    one_host = told.where("NOT _several").groupBy("_host").agg(F.count("*").alias("size"))
+    more_host = told.where("_several").select("_host", "doc_id", "_null_row").distinct().groupBy("_host").agg(F.count("*").alias("size"))
+    sizes = one_host.unionByName(more_host).groupBy("_host").agg(F.sum("size").alias("size")).where(F.col("size") * line_share < line_most)
+    sizes = durable(sizes, "hosts")
+    # lines of large hosts never meet on their host: a bitmap of the small ones lets them go first
+    rare = marked(often.where(F.col("n") <= line_most), F.xxhash64("_host"), sizes, F.xxhash64("_host"), "_small").where("_small").drop("_small")
+    some = rare.join(sizes, "_host").where(F.col("n") > F.col("size") * line_share).select(*often.columns)
     above = durable(often.where(F.col("n") > line_most).unionByName(some), "above")
     # a line of many documents is a hot key; lines that aren't above the limits don't take part
     all_lines = base.select("doc_id", "_host", "_at", F.explode("lines").alias("x")).select("doc_id", "_host", "_at", "x.line", "x.in_line")
@@ -115,8 +126,8 @@ def judge_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", h
     (words in lines above the limits), ``kept`` and ``_row``, a key of the row's content.
 
     A null text is empty and fails; a null host is a host of its own. A host's first document with a
-    line is the one with the smallest ``doc_id``; null ids come first. Repeated rows count as documents of their own and
-    are judged alike. Line and text identities are 64-bit hashes. Other columns are left out. ``limits``: ``min_words,
+    line is the one with the smallest ``doc_id``; null ids come first. Rows of one id are one document when documents are
+    counted, and so are rows without an id that have one text; each row is judged by its own text. Line and text identities are 64-bit hashes. Other columns are left out. ``limits``: ``min_words,
     max_repeated, line_least, line_most, line_share, min_left`` for the constants of these names.
     """
     return _judged(docs, text, doc_id, host, **limits).drop("_host", "_gone")

@@ -122,7 +122,7 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s
 rep AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) v(d) GROUP BY doc_id),
 lines AS (SELECT doc_id, host, text, trim(regexp_replace(lower(x), '{_S}+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, host, text, unnest(l) AS x FROM w)),
 often AS (SELECT host, line, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM lines GROUP BY ALL),
-sizes AS (SELECT host, count(*) AS n FROM t GROUP BY host),
+sizes AS (SELECT host, count(DISTINCT doc_id) AS n FROM t GROUP BY host),
 above AS (SELECT host, line, first FROM often JOIN sizes USING (host) WHERE often.n > 5 AND (often.n > 50 OR often.n > sizes.n * 0.05)),
 lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM lines JOIN above USING (host, line) WHERE doc_id > first GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(a) AS n_words, len(regexp_replace(text, '{_S}', '', 'g')) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import durable, join_hot
+from keelson.llm.common import HOT, durable, join_hot
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.9
@@ -130,7 +130,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     open_ = F.col("_fixed").isNull() & F.contains(F.col("_url"), F.lit("://"))
     urls = durable(judged.where(open_).groupBy("_url").agg(F.count("*").alias("n")), "urls")
     fits = match_rules(urls, mined, items, "_url").select(F.col("url").alias("_url"), "label", "confidence")
-    fits = durable(urls.join(fits, "_url").select("_url", "n", "label", "confidence"), "fits")
-    told = join_hot(judged.where(open_), fits, ["_url"], "n", urls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "left").select(*judged.columns, "label", "confidence")
+    total = urls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # urls that no rule fits are left out, but for hot ones: their rows stay where they are as well
+    fits = durable(urls.join(fits, "_url", "left").where(F.col("label").isNotNull() | (F.col("n") * HOT > total)).select("_url", "n", "label", "confidence"), "fits")
+    told = join_hot(judged.where(open_), fits, ["_url"], "n", total, "left").select(*judged.columns, "label", "confidence")
     out = told.unionByName(judged.where(~open_).select("*", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence")))
     return out.select(*keep, "host", "path", "rule", F.coalesce("_fixed", "label", F.lit(default)).alias("verdict"), "confidence")

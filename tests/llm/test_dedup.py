@@ -132,7 +132,8 @@ def test_too_many_keys_for_a_bitmap(spark, docs, monkeypatch):
     rows = spark.range(20)
     assert marked(rows, F.xxhash64("id"), rows.where("id < 3"), F.xxhash64("id"), "m").where("m").count() == 20
     assert Counter(tuple(r) for r in exact_dedup.exact_groups(docs, digest_all=True).collect()) == wanted
-    assert common.without(rows, rows.where("id < 3").select("id"), F.col("id")).count() == 17
+    told = rows.where("id < 3").select(F.col("id").alias("doc_id"), F.lit("d").alias("digest"), F.lit(1).alias("n"), F.lit(False).alias("stays"))
+    assert common.keep_told(rows, told, F.col("id"), F.lit("d")).count() == 17
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
