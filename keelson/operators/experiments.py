@@ -6,6 +6,10 @@ metrics and stays in every denominator (SEM-05); a ratio without a base is null
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,28 +132,59 @@ def strata(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return out
 
 
-def paired_bootstrap(pairs: DataFrame, baseline: str, candidate: str, group: str, samples: int = 10_000, seed: int = 0, block: int = 100) -> DataFrame:
+#: Where a Poisson(1) count steps up, on 32-bit numbers.
+POISSON_STEPS = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(7)]
+#: Groups whose sums a task holds at a time, and rows that it draws for at a time.
+GROUPS_HELD, ROWS_DRAWN = 32, 64
+
+
+def resample_weights(ids: np.ndarray, samples: int) -> np.ndarray:
+    """(rows, samples) Poisson(1) counts from 32-bit row hashes, by two rounds of congruential steps and shifts."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = ids.astype(np.uint64)[:, None] ^ ((np.arange(samples, dtype=np.uint64) * np.uint64(2654435769)) & mask)
+    x = (x * np.uint64(1664525) + np.uint64(1013904223)) & mask
+    x ^= x >> np.uint64(16)
+    x = (x * np.uint64(22695477) + np.uint64(1)) & mask
+    x ^= x >> np.uint64(15)
+    return np.searchsorted(np.array(POISSON_STEPS, np.uint64), x, side="right").astype(np.float64)
+
+
+def paired_bootstrap(pairs: DataFrame, baseline: str, candidate: str, group: str, key: str, samples: int = 10_000) -> DataFrame:
     """AGG-12: relative improvement of the mean (1 - candidate / baseline) over paired rows, with the 2.5 and 97.5
     percentiles over ``samples`` resamples, and the gate (at least 10 %, lower end above 0).
 
-    A resample weighs every row by a Poisson(1) count drawn from a hash of (seed, resample, row), so rows stay where
-    they are: each gives its weights for all resamples as one array, and arrays add up in partial aggregates. Per group
-    the state is as large as the number of resamples, whatever the number of rows."""
-    x = pairs.where(F.col(baseline).isNotNull() & F.col(candidate).isNotNull()).select(group, F.col(baseline).alias("b"), F.col(candidate).alias("c"), F.xxhash64(*[F.col(c) for c in pairs.columns]).alias("id"))
-    # the Poisson(1) distribution's steps, as thresholds on a uniform number
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    ids = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // block))))
-    rep = F.explode(F.sequence(F.col("block") * block, F.least(F.col("block") * block + block - 1, F.lit(samples - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "id"), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = ids.withColumn("rep", rep).withColumn("w", weight).where("w > 0").groupBy(group, "rep").agg((1 - F.sum(F.col("w") * F.col("c")) / F.sum(F.col("w") * F.col("b"))).alias("gain"))
-    ci = drawn.groupBy(group).agg(F.percentile("gain", F.lit(0.025)).alias("low"), F.percentile("gain", F.lit(0.975)).alias("high"))
-    seen = x.groupBy(group).agg(F.count("*").alias("n"), (1 - F.avg("c") / F.avg("b")).alias("improvement"))
-    return seen.join(ci, group).withColumn("passed", (F.col("improvement") >= 0.10) & (F.col("low") > 0))
+    A resample weighs every row by a Poisson(1) count drawn from the resample's number and a hash of ``key``. Rows stay where
+    they are: a task adds weights times values to one array of ``samples`` sums a group and side, and hands the arrays on;
+    only those sums are shuffled, ``samples`` rows a group and task, whatever the number of rows. Resamples whose
+    baseline sums to 0 are left out."""
+    x = pairs.where(F.col(baseline).isNotNull() & F.col(candidate).isNotNull())
+    rows = x.select(F.col(group).cast("string").alias("group"), F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long").alias("id"), F.col(baseline).cast("double").alias("b"), F.col(candidate).cast("double").alias("c"))
+
+    def partial(it):
+        held: dict = {}
+
+        def handed_on():
+            for name, sums in held.items():
+                yield pa.RecordBatch.from_pydict({"group": pa.array([name] * samples, pa.string()), "rep": pa.array(range(samples), pa.int32()), "b": sums[0], "c": sums[1]})
+            held.clear()
+
+        for batch in it:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, b, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            for name in dict.fromkeys(names):
+                at = np.flatnonzero(names == name) if name is not None else np.flatnonzero([n is None for n in names])
+                if name not in held and len(held) >= GROUPS_HELD:
+                    yield from handed_on()
+                sums = held.setdefault(name, np.zeros((2, samples)))
+                for k in range(0, len(at), ROWS_DRAWN):
+                    part = at[k : k + ROWS_DRAWN]
+                    sums += np.stack([b[part], c[part]]) @ resample_weights(ids[part], samples)
+        yield from handed_on()
+
+    sums = rows.mapInArrow(partial, "group string, rep int, b double, c double").groupBy("group", "rep").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    ci = sums.where("b <> 0").groupBy("group").agg(F.percentile(1 - F.col("c") / F.col("b"), F.lit(0.025)).alias("low"), F.percentile(1 - F.col("c") / F.col("b"), F.lit(0.975)).alias("high"))
+    seen = x.groupBy(group).agg(F.count("*").alias("n"), (1 - F.avg(candidate) / F.avg(baseline)).alias("improvement"))
+    return seen.join(ci.withColumnRenamed("group", "_group"), F.col(group).cast("string").eqNullSafe(F.col("_group"))).drop("_group").withColumn("passed", (F.col("improvement") >= 0.10) & (F.col("low") > 0))
 
 
 def gate(summary: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -57,21 +57,21 @@ def dispersion(spark, d):
     return x.select(*KEYS, rounded("dr", 4).alias("dr"), rounded("dt").alias("dt"), rounded("dispersion", 4).alias("dispersion"))
 
 
-@query("cluster_safe_candidates", V.sql("workers", """WITH e AS (SELECT pair_id, direction, signature % 3 AS candidate, yaw, x, y FROM workers WHERE signature % 7 > 0), p AS (SELECT a.pair_id, a.candidate AS a, b.candidate AS b, max(abs(a.yaw - b.yaw)) AS dr, max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS dt FROM e a JOIN e b ON a.pair_id = b.pair_id AND a.candidate <> b.candidate GROUP BY ALL),
+@query("cluster_safe_candidates", V.sql("workers", """WITH e AS (SELECT pair_id, direction, signature % 3 AS candidate, yaw, x, y FROM workers), p AS (SELECT a.pair_id, a.candidate AS a, b.candidate AS b, max(abs(a.yaw - b.yaw)) AS dr, max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS dt FROM e a JOIN e b ON a.pair_id = b.pair_id AND a.candidate <> b.candidate GROUP BY ALL),
    w AS (SELECT pair_id, a, max(greatest(dr / 3.0003, dt / 0.15003)) AS worst, bool_and(dr <= 3.0003 AND dt <= 0.15003) AS ok FROM p GROUP BY ALL), s AS (SELECT pair_id, bool_and(ok) AS ok, arg_min(a, (round(worst, 6), a)) AS best FROM w GROUP BY ALL)
    SELECT pair_id, n, coalesce(ok, true) AS accepted, coalesce(best, only_) AS medoid FROM (SELECT pair_id, count(DISTINCT candidate) AS n, min(candidate) AS only_ FROM e GROUP BY ALL) LEFT JOIN s USING (pair_id)"""))
 def safe(spark, d):
     """CLU-15, CLU-16."""
-    e = V.workers(spark, d).where("signature % 7 > 0").withColumn("candidate", F.col("signature") % 3)
+    e = V.workers(spark, d).withColumn("candidate", F.col("signature") % 3)
     return C.all_compatible(e, "pair_id", "candidate", 3.0003, 0.15003)
 
 
 #: Forward against inverted reverse records; the inverse of (yaw, x, y) in closed form.
-FR = """fr AS (SELECT f.pair_id, f.signature AS f, r.signature AS r, round(abs(f.yaw + r.yaw), 6) AS dr, round(sqrt((f.x + cos(radians(r.yaw)) * r.x + sin(radians(r.yaw)) * r.y) ** 2 + (f.y - sin(radians(r.yaw)) * r.x + cos(radians(r.yaw)) * r.y) ** 2), 9) AS dt FROM workers f JOIN workers r ON f.pair_id = r.pair_id AND f.direction = 'forward' AND r.direction = 'reverse' AND f.yaw < 10 AND r.yaw < 10)"""
+FR = """fr AS (SELECT f.pair_id, f.signature AS f, r.signature AS r, round(abs(f.yaw + r.yaw), 6) AS dr, round(sqrt((f.x + cos(radians(r.yaw)) * r.x + sin(radians(r.yaw)) * r.y) ** 2 + (f.y - sin(radians(r.yaw)) * r.x + cos(radians(r.yaw)) * r.y) ** 2), 9) AS dt FROM workers f JOIN workers r ON f.pair_id = r.pair_id AND f.direction = 'forward' AND r.direction = 'reverse')"""
 
 
 def _matches(spark, d):
-    w = V.workers(spark, d).where("yaw < 10")
+    w = V.workers(spark, d)
     return C.forward_reverse(w.where("direction = 'forward'"), w.where("direction = 'reverse'"), "pair_id", 4.0003, 0.20003)
 
 

@@ -10,7 +10,7 @@ from keelson.plans.registry import query
 #: Correspondences from line items: parts of some orders are a pair, a supplier a node pair.
 CORR = """corr AS (SELECT l_partkey % 50 + 50 * (l_orderkey // 1500) AS pair_id, l_suppkey % 5 AS node_pair, l_orderkey * 1000 + l_suppkey AS idx, l_quantity * 0.07::DOUBLE AS sx, l_discount * 9::DOUBLE AS sy, l_extendedprice / 31000::DOUBLE AS sz,
   l_quantity * 0.07::DOUBLE + 0.3::DOUBLE + (l_orderkey % 5) * 0.013::DOUBLE AS rx, l_discount * 9::DOUBLE - (l_orderkey % 7) * 0.011::DOUBLE AS ry, l_extendedprice / 31000::DOUBLE + 0.1::DOUBLE AS rz, l_tax + (l_orderkey % 97) / 97::DOUBLE AS score FROM lineitem)"""
-TOP = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, idx) AS rank FROM corr) WHERE rank <= 40)"
+TOP = "top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, idx) AS rank FROM corr) WHERE rank <= 1000)"
 
 
 def corr(spark, d):
@@ -20,42 +20,43 @@ def corr(spark, d):
     )
 
 
-@query("scan_best_correspondences", f"WITH {CORR}, {TOP}, n AS (SELECT pair_id, count(*) < 1000 AS too_few FROM corr GROUP BY pair_id) SELECT pair_id, idx, rank, too_few FROM top JOIN n USING (pair_id)")
+@query("scan_best_correspondences", f"WITH {CORR}, {TOP}, n AS (SELECT pair_id, count(*) < 40 AS too_few FROM corr GROUP BY pair_id) SELECT pair_id, idx, rank, too_few FROM top JOIN n USING (pair_id)")
 def best(spark, d):
     """SRC-14."""
-    return C.best_correspondences(corr(spark, d), 40, 1000).select("pair_id", "idx", F.col("rank").cast("long").alias("rank"), "too_few")
+    return C.best_correspondences(corr(spark, d)).select("pair_id", "idx", F.col("rank").cast("long").alias("rank"), "too_few")
 
 
-@query("window_node_pair_cap", f"WITH {CORR}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, node_pair ORDER BY score DESC, idx) AS rank FROM corr), n AS (SELECT pair_id, count(DISTINCT node_pair) AS n FROM corr GROUP BY pair_id) SELECT pair_id, node_pair, idx, rank FROM r JOIN n USING (pair_id) WHERE rank <= greatest(200 // n, 1)")
+@query("window_node_pair_cap", f"WITH {CORR}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, node_pair ORDER BY score DESC, idx) AS rank FROM corr), n AS (SELECT pair_id, count(DISTINCT node_pair) AS n FROM corr GROUP BY pair_id) SELECT pair_id, node_pair, idx, rank FROM r JOIN n USING (pair_id) WHERE rank <= greatest(1000 // n, 1)")
 def cap(spark, d):
     """WIN-03, WIN-16."""
-    return C.cap_per_node_pair(corr(spark, d), 200).select("pair_id", "node_pair", "idx", F.col("rank").cast("long").alias("rank"))
+    return C.cap_per_node_pair(corr(spark, d)).select("pair_id", "node_pair", "idx", F.col("rank").cast("long").alias("rank"))
 
 
 @query("window_prior_rescoring", f"""WITH {CORR}, p AS (SELECT pair_id, node_pair, avg(sx) AS prior FROM corr GROUP BY ALL), z AS (SELECT pair_id, node_pair, (prior - avg(prior) OVER w) / CASE WHEN stddev_pop(prior) OVER w < 1e-8 THEN 1 ELSE stddev_pop(prior) OVER w END AS z FROM p WINDOW w AS (PARTITION BY pair_id)),
    s AS (SELECT c.pair_id, c.node_pair, idx, CASE WHEN max(score) OVER v > 0 THEN score / max(score) OVER v ELSE 0 END * exp(z) AS weight FROM corr c JOIN z USING (pair_id, node_pair) WINDOW v AS (PARTITION BY c.pair_id, c.node_pair))
-   SELECT * FROM (SELECT pair_id, node_pair, idx, round(weight, 6) AS weight, row_number() OVER (PARTITION BY pair_id ORDER BY round(weight, 9) DESC, node_pair, idx) AS rank FROM s) WHERE rank <= 30""")
+   SELECT * FROM (SELECT pair_id, node_pair, idx, round(weight, 6) AS weight, row_number() OVER (PARTITION BY pair_id ORDER BY round(weight, 9) DESC, node_pair, idx) AS rank FROM s) WHERE rank <= 1000""")
 def rescoring(spark, d):
     """WIN-04, WIN-05."""
     c = corr(spark, d)
     prior = c.groupBy("pair_id", "node_pair").agg(F.avg("sx").alias("prior"))
-    return C.global_top(C.rescored(c, prior), 30).select("pair_id", "node_pair", "idx", rounded("weight").alias("weight"), F.col("rank").cast("long").alias("rank"))
+    return C.global_top(C.rescored(c, prior)).select("pair_id", "node_pair", "idx", rounded("weight").alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
 LENGTHS = "sqrt((a.sx - b.sx) ** 2 + (a.sy - b.sy) ** 2 + (a.sz - b.sz) ** 2) AS ds, sqrt((a.rx - b.rx) ** 2 + (a.ry - b.ry) ** 2 + (a.rz - b.rz) ** 2) AS dr"
 
 
-@query("join_compatibility_graph", f"WITH {CORR}, {TOP}, x AS (SELECT a.pair_id, a.idx AS a, b.idx AS b, {LENGTHS} FROM top a JOIN top b ON a.pair_id = b.pair_id AND a.idx < b.idx) SELECT pair_id, a, b, round(ds, 6) AS ds, round(dr, 6) AS dr FROM x WHERE abs(ds - dr) <= 0.0203 AND least(ds, dr) >= 0.5")
+@query("join_compatibility_graph", f"WITH {CORR}, {TOP}, x AS MATERIALIZED (SELECT a.pair_id, a.idx AS a, b.idx AS b, {LENGTHS} FROM top a JOIN top b ON a.pair_id = b.pair_id AND a.idx < b.idx), e AS (SELECT * FROM x WHERE abs(ds - dr) <= 0.0203 AND least(ds, dr) >= 0.5) SELECT pair_id, idx, count(*) AS degree, round(max(ds), 6) AS longest FROM (SELECT pair_id, a AS idx, ds FROM e UNION ALL SELECT pair_id, b, ds FROM e) GROUP BY ALL")
 def graph(spark, d):
-    """JOI-09."""
-    x = C.compatible_pairs(C.best_correspondences(corr(spark, d), 40), 0.0203, 0.5)
-    return x.withColumn("ds", rounded("ds")).withColumn("dr", rounded("dr"))
+    """JOI-09: the graph's degrees, and the longest edge of each correspondence."""
+    x = C.compatible_pairs(C.best_correspondences(corr(spark, d)), 0.0203, 0.5)
+    ends = x.select("pair_id", F.explode(F.array("a", "b")).alias("idx"), "ds")
+    return ends.groupBy("pair_id", "idx").agg(F.count("*").alias("degree"), F.max("ds").alias("longest")).withColumn("longest", rounded("longest"))
 
 
-@query("join_relative_compatibility", f"WITH {CORR}, {TOP}, x AS (SELECT a.pair_id, a.idx AS a, b.idx AS b, {LENGTHS} FROM top a JOIN top b ON a.pair_id = b.pair_id AND a.idx < b.idx) SELECT pair_id, count(*) AS edges, count(DISTINCT a) AS left_nodes FROM x WHERE abs(ds - dr) <= greatest(0.0203, 0.0173 * greatest(ds, dr)) AND least(ds, dr) >= 0.02 GROUP BY pair_id")
+@query("join_relative_compatibility", f"WITH {CORR}, {TOP}, x AS MATERIALIZED (SELECT a.pair_id, a.idx AS a, b.idx AS b, {LENGTHS} FROM top a JOIN top b ON a.pair_id = b.pair_id AND a.idx < b.idx) SELECT pair_id, count(*) AS edges, count(DISTINCT a) AS left_nodes FROM x WHERE abs(ds - dr) <= greatest(0.0203, 0.0173 * greatest(ds, dr)) AND least(ds, dr) >= 0.02 GROUP BY pair_id")
 def relative(spark, d):
     """JOI-10."""
-    x = C.compatible_pairs(C.best_correspondences(corr(spark, d), 40), 0.0203, 0.02, 0.0173)
+    x = C.compatible_pairs(C.best_correspondences(corr(spark, d)), 0.0203, 0.02, 0.0173)
     return x.groupBy("pair_id").agg(F.count("*").alias("edges"), F.count_distinct("a").alias("left_nodes"))
 
 

@@ -93,13 +93,14 @@ def meters(spark, d):
 @query("udf_ordered_clusters")
 def ordered(spark, d):
     """CLU-13, CLU-14: loop edges of a sequence that agree on their distance."""
+    edge_id = F.shiftleft(F.col("source").cast("long"), 32).bitwiseOR(F.col("target").cast("long"))
     e = T.loop_pairs(T.anchors(V.poses(spark, d).withColumn("t", se3.yaw_transform("yaw", "x", "y")), 3), 12, 1.25)
-    c = e.select("sequence_id", (F.col("source") * 1000 + F.col("target")).cast("long").alias("id"), "distance")
+    c = e.select("sequence_id", edge_id.alias("id"), "distance")
     a, b = c.select("sequence_id", F.col("id").alias("a"), F.col("distance").alias("da")), c.select("sequence_id", F.col("id").alias("b"), F.col("distance").alias("db"))
     near = a.join(b, "sequence_id").where("a < b AND abs(da - db) < 0.02").select("sequence_id", "a", "b")
     fresh = near.select(*[F.col(k).alias(k) for k in near.columns])
     other = T.loop_pairs(T.anchors(V.poses(spark, d).withColumn("t", se3.yaw_transform("yaw", "x", "y")), 3), 12, 1.25)
-    return D.ordered_clusters(other.select("sequence_id", (F.col("source") * 1000 + F.col("target")).cast("long").alias("id")), fresh, "sequence_id", most=3)
+    return D.ordered_clusters(other.select("sequence_id", edge_id.alias("id")), fresh, "sequence_id", most=3)
 
 
 @query("udf_hull_centres")

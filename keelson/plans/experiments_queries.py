@@ -113,11 +113,20 @@ def strata(spark, d):
     return E.strata(s, {"dispersed": 6, "near_boundary": 4, "high_margin": 3})
 
 
-@query("agg_paired_bootstrap")
+#: The resamples' draws in SQL: the same two rounds of 32-bit arithmetic as the operator's.
+BOOT = """m AS (SELECT dataset, pair_id, avg(rre) FILTER (WHERE arm = 'baseline') AS b, avg(rre) FILTER (WHERE arm = 'candidate') AS c FROM runs WHERE coverage IS NOT NULL GROUP BY ALL),
+   k AS (SELECT dataset, b, c, CAST('0x' || substr(md5(CAST(pair_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM m WHERE b IS NOT NULL AND c IS NOT NULL),
+   x0 AS (SELECT dataset, b, c, rep, xor(h, (rep * 2654435769) % 4294967296) AS x FROM k, range(10000) t(rep)), x1 AS (SELECT * REPLACE ((x * 1664525 + 1013904223) % 4294967296 AS x) FROM x0), x2 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM x1),
+   x3 AS (SELECT * REPLACE ((x * 22695477 + 1) % 4294967296 AS x) FROM x2), x4 AS (SELECT * REPLACE (xor(x, x >> 15) AS x) FROM x3),
+   p AS (SELECT dataset, rep, sum(w * c) AS sc, sum(w * b) AS sb FROM (SELECT dataset, rep, b, c, CASE WHEN x < 1580030168 THEN 0 WHEN x < 3160060337 THEN 1 WHEN x < 3950075421 THEN 2 WHEN x < 4213413783 THEN 3 WHEN x < 4279248373 THEN 4 WHEN x < 4292415291 THEN 5 WHEN x < 4294609777 THEN 6 ELSE 7 END AS w FROM x4) GROUP BY ALL),
+   g AS (SELECT dataset, quantile_cont(1 - sc / sb, 0.025) AS low, quantile_cont(1 - sc / sb, 0.975) AS high FROM p WHERE sb <> 0 GROUP BY dataset)"""
+
+
+@query("agg_paired_bootstrap", V.sql("runs", f"WITH {BOOT} SELECT dataset, count(*) AS n, round(1 - avg(c) / avg(b), 6) AS improvement, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, 1 - avg(c) / avg(b) >= 0.10 AND any_value(low) > 0 AS passed FROM k JOIN g USING (dataset) GROUP BY dataset"))
 def bootstrap(spark, d):
     """AGG-12."""
     r = V.runs(spark, d).where("coverage IS NOT NULL").groupBy("dataset", "pair_id").agg(F.avg(F.when(F.col("arm") == "baseline", F.col("rre"))).alias("base"), F.avg(F.when(F.col("arm") == "candidate", F.col("rre"))).alias("cand"))
-    out = E.paired_bootstrap(r, "base", "cand", "dataset", samples=200)
+    out = E.paired_bootstrap(r, "base", "cand", "dataset", "pair_id")
     return out.select("dataset", "n", *[rounded(c).alias(c) for c in ("improvement", "low", "high")], "passed")
 
 
@@ -128,9 +137,9 @@ def acceptance(spark, d):
     return E.gate(s, {"catastrophic": F.col("catastrophic") / F.col("requested") <= 0.2503, "coverage": F.col("mean_coverage") >= 0.5003, "median_rre": F.col("median_rre") <= 12.003, "precision": F.col("precision") >= 0.0503}).select("dataset", "failed_checks", "passed")
 
 
-@query("join_three_way_cycles", V.sql("workers", """WITH e AS (SELECT pair_id * 2 + replicate // 3 AS grp, replicate % 3 AS i, (replicate + 1) % 3 AS j, yaw, x, y FROM workers WHERE direction = 'forward' AND yaw < 10), n AS (SELECT grp, i FROM e UNION SELECT grp, j FROM e), t AS (SELECT grp FROM n GROUP BY grp HAVING count(*) = 3)
+@query("join_three_way_cycles", V.sql("workers", """WITH e AS (SELECT pair_id * 2 + replicate // 3 AS grp, replicate % 3 AS i, (replicate + 1) % 3 AS j, yaw, x, y FROM workers WHERE direction = 'forward'), n AS (SELECT grp, i FROM e UNION SELECT grp, j FROM e), t AS (SELECT grp FROM n GROUP BY grp HAVING count(*) = 3)
    SELECT grp, 0 AS a, 1 AS b, 2 AS c, p.grp IS NOT NULL AND q.grp IS NOT NULL AND r.grp IS NOT NULL AS available, round(abs(p.yaw + q.yaw + r.yaw), 4) AS dr FROM t LEFT JOIN (SELECT * FROM e WHERE i = 0) p USING (grp) LEFT JOIN (SELECT * FROM e WHERE i = 1) q USING (grp) LEFT JOIN (SELECT * FROM e WHERE i = 2) r USING (grp)"""))
 def cycles(spark, d):
     """JOI-23, CMP-20."""
-    e = V.workers(spark, d).where("direction = 'forward' AND yaw < 10").select(F.expr("pair_id * 2 + replicate div 3").alias("grp"), (F.col("replicate") % 3).alias("i"), ((F.col("replicate") + 1) % 3).alias("j"), F.col("transform").alias("t"))
+    e = V.workers(spark, d).where("direction = 'forward'").select(F.expr("pair_id * 2 + replicate div 3").alias("grp"), (F.col("replicate") % 3).alias("i"), ((F.col("replicate") + 1) % 3).alias("j"), F.col("transform").alias("t"))
     return E.three_way_cycles(e).select("grp", "a", "b", "c", "available", rounded("dr", 4).alias("dr"))

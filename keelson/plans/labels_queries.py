@@ -92,9 +92,16 @@ def paths(spark, d):
     return o.select("o_orderkey", audit.path_allowed(F.col("path"), "/root", ["1-URGENT"]).alias("allowed"))
 
 
-@query("validate_json_keys", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 AS banned FROM events")
+#: Events' properties, every second one with a forbidden key, as many as ten containers deep in arrays and objects.
+NESTED = """n AS (SELECT event_id, concat('{"id": ', event_id, ', "n": ', repeat('[{"inner": ', CAST(event_id % 6 AS INT)), CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 THEN replace(props, '"k"', '"Transform"') ELSE props END, repeat('}]', CAST(event_id % 6 AS INT)), '}') AS text FROM events)"""
+
+
+@query("validate_json_keys", f"""WITH {NESTED}, t AS (SELECT event_id, j.fullkey AS path FROM n, json_tree(n.text) j WHERE typeof(j.key) = 'VARCHAR' AND (lower(j.key) IN ('transform', 'pose') OR lower(j.key) LIKE 'gt%')),
+   p AS (SELECT event_id, list_sort(list(DISTINCT replace(path, '"', ''))) AS paths FROM t GROUP BY event_id) SELECT n.event_id, paths IS NOT NULL AS banned, coalesce(paths, CAST([] AS VARCHAR[])) AS paths FROM n LEFT JOIN p USING (event_id)""")
 def json_keys(spark, d):
-    """VAL-06, VAL-07, VAL-08: every second row's key is renamed."""
+    """VAL-06, VAL-07, VAL-08: every second row's key is renamed, and all are nested."""
     e = V.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    e = e.withColumn("props", F.when(F.col("k") % 2 == 0, F.regexp_replace("props", '"k"', '"Transform"')).otherwise(F.col("props")))
-    return e.select("event_id", audit.forbidden_keys(F.col("props"), ["transform"]).alias("banned"))
+    e = e.withColumn("props", F.when(F.col("k") % 2 == 0, F.replace("props", F.lit('"k"'), F.lit('"Transform"'))).otherwise(F.col("props")))
+    deep = (F.col("event_id") % 6).cast("int")
+    e = e.select("event_id", F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "n": '), F.repeat(F.lit('[{"inner": '), deep), "props", F.repeat(F.lit("}]"), deep), F.lit("}")).alias("text"))
+    return audit.forbidden_keys(e, "event_id", "text", ["transform", "pose"]).withColumnRenamed("key", "event_id")

@@ -1,5 +1,7 @@
 """Operators on small literal inputs, and grouped numerics against brute force."""
 
+import hashlib
+
 from itertools import combinations, permutations
 
 import numpy as np
@@ -251,8 +253,15 @@ def test_failed_rows_stay_in_denominators(spark):
 def test_bootstrap_covers_the_truth(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(10, 1, 200)
-    rows = [("g", float(b), float(b * 0.7 + n)) for b, n in zip(base, rng.normal(0, 0.3, 200))]
-    r = experiments.paired_bootstrap(spark.createDataFrame(rows, "grp string, b double, c double"), "b", "c", "grp", samples=400).first()
+    rows = [("g", k, float(b), float(b * 0.7 + n)) for k, (b, n) in enumerate(zip(base, rng.normal(0, 0.3, 200)))] + [("h", 1, None, 2.0), (None, 2, 1.0, 0.5), (None, 3, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "grp string, id long, b double, c double").repartition(3)
+    got = {r["grp"]: r for r in experiments.paired_bootstrap(df, "b", "c", "grp", "id", samples=400).collect()}
+    assert set(got) == {"g", None} and got[None]["n"] == 2
+    r = got["g"]
+    # the resamples drawn one by one
+    w = experiments.resample_weights(np.array([int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) for k in range(200)]), 400)
+    gains = [1 - sum(w[k, s] * rows[k][3] for k in range(200)) / sum(w[k, s] * rows[k][2] for k in range(200)) for s in range(400)]
+    assert np.allclose([r["low"], r["high"]], np.percentile(gains, [2.5, 97.5])) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
     assert r["low"] < r["improvement"] < r["high"] and r["high"] - r["low"] < 0.05 and abs(r["improvement"] - 0.3) < 0.02 and r["passed"]
 
 
@@ -283,7 +292,14 @@ def test_audit(spark):
     df = spark.createDataFrame([("/r/a/b",), ("/r/../x",), ("/r/GT/x",), ("/other/a",), (None,)], "p string")
     assert [r["ok"] for r in df.select(audit.path_allowed(F.col("p"), "/r", ["gt"]).alias("ok")).collect()] == [True, False, False, False, False]
     j = spark.createDataFrame([('{"a": 1, "Transform": 2}',), ('{"a": {"transform": 1}}',), ("no json",)], "j string")
-    assert [r["bad"] for r in j.select(audit.forbidden_keys(F.col("j"), ["transform"]).alias("bad")).collect()] == [True, False, False]
+    told = audit.forbidden_keys(j.withColumn("id", F.monotonically_increasing_id()), "id", "j", ["transform"])
+    assert [r["banned"] for r in told.orderBy("key").collect()] == [True, True, False]
+    deep = '{"a": 1, "b": ' + '[{"c": ' * 10 + '{"Transform": null, "x": [[{"GtPose": 2}], "transform"]}' + "}]" * 10 + "}"
+    rows = spark.createDataFrame([(1, deep), (2, "[1, 2"), (3, None), (4, "7"), (5, '{"a": "{\\"transform\\": 1}"}'), (6, "{}")], "id long, j string")
+    got = {r["key"]: r["paths"] for r in audit.forbidden_keys(rows, "id", "j", ["transform"]).collect()}
+    at = "$.b" + "[0].c" * 10
+    assert got == {1: [f"{at}.Transform", f"{at}.x[0][0].GtPose"], 2: [], 3: [], 4: [], 5: [], 6: []}
+    assert audit.nested_keys(rows.where("id = 1"), "id", "j").agg(F.max("depth")).first()[0] == 24
 
 
 def test_suppression_and_modes(spark):
