@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.vectors import rounded
 from keelson.operators import points as P
+from keelson.operators import surfaces as S
 from keelson.plans import views as V
 from keelson.plans.registry import query
 
@@ -152,3 +153,17 @@ def support(spark, d):
     """AGG-09."""
     out = P.spatial_support(P.object_statistics(V.points(spark, d)))
     return out.select("scan_id", "n", rounded("s1").alias("s1"), rounded("s2").alias("s2"))
+
+
+@query("points_normals")
+def point_normals(spark, d):
+    """EXT-19: the surface directions of all points of a scan."""
+    n = S.normals(V.points(spark, d), ["scan_id"])
+    return n.select("scan_id", "row_id", *[(rounded(c, 4) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query("points_histograms")
+def point_histograms(spark, d):
+    """EXT-19: 33 numbers a point."""
+    h = S.histograms(S.normals(V.points(spark, d), ["scan_id"]), ["scan_id"], 0.24)
+    return h.select("scan_id", "row_id", F.transform("v", lambda x: F.round(x, 3) + F.lit(0.0)).alias("v"))
