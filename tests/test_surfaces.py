@@ -78,6 +78,17 @@ def test_nearest_within_is_exact(spark):
             assert (got[k, i] is None) == (x > 0.11) and (x > 0.11 or abs(got[k, i] - x) < 1e-12)
 
 
+def test_nearest_within_on_cell_edges(spark):
+    """Coordinates at multiples of the radius: all distances of exactly one radius are found."""
+    p = np.array([[x, y, 0.0] for x in range(9) for y in range(9)]) * 0.1
+    a, b = frame(spark, {1: p}), frame(spark, {1: p + [0.1, 0, 0]})
+    got = {r["s"]: r["d"] for r in P.nearest_within(a, b, 0.1).collect()}
+    d = np.sqrt(((p[:, None] - (p + [0.1, 0, 0])[None]) ** 2).sum(axis=2))
+    assert all((got[i] is not None) == bool((d[i] <= 0.1).any()) for i in range(len(p)))
+    pairs = S.near_pairs(a, b, ["scan_id"], 0.1).count()
+    assert pairs == int((d <= 0.1).sum()) > 200
+
+
 def test_normals_and_histograms_against_brute_force(spark):
     clouds = {1: corner(1_500, 0.005), 2: corner(500, 0.005) * [1, 1, 0.5] - 5, 3: np.array([[0, 0, 0], [0.01, 0, 0], [9, 9, 9]])}
     oriented = S.normals(frame(spark, clouds), ["scan_id"], 0.16, 40)
