@@ -38,6 +38,12 @@ def direction(spark, d):
     return C.direction_cluster(V.workers(spark, d), KEYS, 5.0003, 0.10003, 3)
 
 
+@query("cluster_unique_quorum", V.sql("workers", f"WITH {cliques(5.0003, 0.15003)}, {VERDICT.format(rival=3, deg=5.0003, m=0.15003, quorum=3)}"))
+def unique_quorum(spark, d):
+    """CLU-04: no other clique may reach the quorum (here of 3: groups of four near records are rare)."""
+    return C.direction_cluster(V.workers(spark, d), KEYS, 5.0003, 0.15003, 3, rival=3)
+
+
 @query("cluster_accepted_consensus", V.sql("workers", f"WITH {cliques(5.0003, 0.15003)}, {VERDICT.format(rival=2, deg=5.0003, m=0.15003, quorum=2)}").replace("AS nth FROM orders)", "AS nth FROM orders) WHERE (o_orderstatus <> 'P' OR o_orderkey % 3 > 0)"))
 def accepted(spark, d):
     """CLU-03, CLU-05: accepted runs only, and no other clique of two."""

@@ -82,7 +82,14 @@ def best(spark, d):
     return T.best_edges(e).select("sequence_id", "source", "target", "pos", "reason")
 
 
-@query("udf_degree_capped_edges")
+#: Edges in order, one after the other; the state is the list of ends taken so far.
+CAPPED = f"""WITH RECURSIVE {LOOPS}, w AS (SELECT sequence_id, source, target, round(2 - distance, 3) AS weight FROM loops WHERE position <= 36), e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY weight DESC, least(source, target), greatest(source, target)) AS k FROM w),
+   t AS (SELECT sequence_id, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS source, NULL::BIGINT AS target, NULL::DOUBLE AS weight, CAST([] AS BIGINT[]) AS used, false AS accepted FROM (SELECT DISTINCT sequence_id FROM e) UNION ALL
+     SELECT sequence_id, k, source, target, weight, CASE WHEN ok THEN list_concat(used, CAST([source, target] AS BIGINT[])) ELSE used END, ok FROM (SELECT e.sequence_id, e.k, e.source, e.target, e.weight, t.used, len(list_filter(t.used, lambda x: x = e.source)) < 3 AND len(list_filter(t.used, lambda x: x = e.target)) < 3 AS ok FROM t JOIN e ON e.sequence_id = t.sequence_id AND e.k = t.k + 1))
+   SELECT sequence_id, source, target, weight, accepted FROM t WHERE k > 0"""
+
+
+@query("udf_degree_capped_edges", V.sql("poses", CAPPED))
 def capped(spark, d):
     """WIN-11."""
     e = _loops(spark, d).select("sequence_id", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), rounded(2 - F.col("distance"), 3).alias("weight"), F.lit("p").alias("provenance"))
