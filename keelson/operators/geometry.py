@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators import sparse
+
 SRC, REF = ["sx", "sy", "sz"], ["rx", "ry", "rz"]
 
 
@@ -162,9 +164,10 @@ def registered(clouds: DataFrame, key: str, reach: float = 0.20, iterations: int
         pdf = pdf.sort_values("row_id")
         a, b = (pdf.loc[pdf["side"] == side, ["x", "y", "z"]].to_numpy(float) for side in (0, 1))
         t, trace = np.eye(4), []
+        grid = sparse.Grid(b, reach)
         for _ in range(iterations if len(a) and len(b) else 0):
             now = moved(t, a)
-            index, d = nearest(now, b)
+            index, d = grid.nearest(now)
             on = d <= reach
             if on.sum() < least:
                 break
@@ -194,17 +197,17 @@ def registered_from(clouds: DataFrame, starts: DataFrame, key: str, reach: float
         sides = [points.loc[points["side"] == side, ["x", "y", "z"]].to_numpy(float) for side in (0, 1)]
         a, b = (p[rng.choice(len(p), most, replace=False)] if len(p) > most else p for p in sides)
         first = t = np.array(start["transform"].iloc[0], float).reshape(4, 4)
-        match = lambda: nearest(moved(t, a), b) if len(b) else (np.zeros(len(a), int), np.full(len(a), np.inf))
+        grid = sparse.Grid(b, reach)
         rounds = 0
         while rounds < iterations:
             rounds += 1
-            index, d = match()
+            index, d = grid.nearest(moved(t, a))
             on = d <= reach
             better = kabsch(a[on], b[index[on]]) if on.sum() >= least else None
             if better is None:
                 break
             t = better
-        d = match()[1]
+        d = grid.nearest(moved(t, a))[1]
         on = d <= reach
         deg, m = distance(t, first)[0], float(np.linalg.norm(t[:3, 3] - first[:3, 3]))
         row = (start[key].iloc[0], t.ravel().tolist(), bool(on.any()), float(on.mean()) if len(on) else 0.0, float(np.sqrt((d[on] ** 2).mean())) if on.any() else None, deg, m, rounds)
@@ -391,25 +394,25 @@ def optimised_poses(poses: DataFrame, edges: DataFrame, key: str, rounds: int =
         a, b = e["i"].map(at).to_numpy(int), e["j"].map(at).to_numpy(int)
         z = np.column_stack([np.radians(e["yaw"]), e["x"], e["y"]]).astype(float)
         w = e["weight"].to_numpy(float)
+        free = (a > 0) & (b > 0)
+        plan = sparse.elimination(len(x) - 1, a[free] - 1, b[free] - 1)
         for _ in range(rounds if len(x) > 1 and len(e) else 0):
             c, s = np.cos(x[a, 0]), np.sin(x[a, 0])
             dx, dy = x[b, 1] - x[a, 1], x[b, 2] - x[a, 2]
             r = np.column_stack([(x[b, 0] - x[a, 0] - z[:, 0] + np.pi) % (2 * np.pi) - np.pi, c * dx + s * dy - z[:, 1], -s * dx + c * dy - z[:, 2]])
             size = np.linalg.norm(r, axis=1)
             k = w * np.where(size > huber, huber / np.maximum(size, 1e-12), 1.0)
-            h, g = np.zeros((3 * len(x), 3 * len(x))), np.zeros(3 * len(x))
-            for n in range(len(e)):
-                ja = np.array([[-1, 0, 0], [-s[n] * dx[n] + c[n] * dy[n], -c[n], -s[n]], [-c[n] * dx[n] - s[n] * dy[n], s[n], -c[n]]])
-                jb = np.array([[1, 0, 0], [0, c[n], s[n]], [0, -s[n], c[n]]])
-                i, j = slice(3 * a[n], 3 * a[n] + 3), slice(3 * b[n], 3 * b[n] + 3)
-                h[i, i] += k[n] * ja.T @ ja
-                h[j, j] += k[n] * jb.T @ jb
-                h[i, j] += k[n] * ja.T @ jb
-                h[j, i] += k[n] * jb.T @ ja
-                g[i] += k[n] * ja.T @ r[n]
-                g[j] += k[n] * jb.T @ r[n]
-            step = np.linalg.solve(h[3:, 3:] + 1e-9 * np.eye(len(g) - 3), -g[3:])
-            x[1:] += step.reshape(-1, 3)
+            one = np.ones(len(e))
+            zero = one * 0
+            ja = np.array([[-one, zero, zero], [-s * dx + c * dy, -c, -s], [-c * dx - s * dy, s, -c]]).transpose(2, 0, 1)
+            jb = np.array([[one, zero, zero], [zero, c, s], [zero, -s, c]]).transpose(2, 0, 1)
+            h, g = np.zeros((len(x), 3, 3)), np.zeros((len(x), 3))
+            for end, j in ((a, ja), (b, jb)):
+                np.add.at(h, end, np.einsum("eki,e,ekj->eij", j, k, j))
+                np.add.at(g, end, np.einsum("eki,e,ek->ei", j, k, r))
+            cross = np.einsum("eki,e,ekj->eij", ja, k, jb)[free]
+            step = sparse.solved(plan, sparse.assembled(plan, h[1:] + 1e-9 * np.eye(3), cross), -g[1:])
+            x[1:] += step
             if np.abs(step).max() < 1e-10:
                 break
         return pd.DataFrame({key: p[key], "ordinal": p["ordinal"], "yaw": np.degrees(x[:, 0]), "x": x[:, 1], "y": x[:, 2]})

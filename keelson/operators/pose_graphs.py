@@ -1,6 +1,7 @@
 """EXT-09: pose graphs over rigid transforms, one sequence a group.
 
 A group is a sequence's anchors with their odometry and at most two loops each, so it is bounded by what a recording is.
+Its normal equations are 6 x 6 blocks of the edges that are there (:mod:`keelson.operators.sparse`), not a dense matrix.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators import sparse
 from keelson.operators import trajectories as T
 
 
@@ -72,6 +74,8 @@ def optimise(t0: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, scale:
     n, h = len(t0), 1e-6
     delta = np.zeros((n, 6))
     t, damping = t0, 1e-4
+    free = (a > 0) & (b > 0)
+    plan = sparse.elimination(n - 1, a[free] - 1, b[free] - 1)
     r = before = error(t[a], t[b])
     now = loss(r)
     for _ in range(rounds):
@@ -83,16 +87,18 @@ def optimise(t0: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, scale:
             jac[:, :, c] = (error(up[a], t[b]) - error(down[a], t[b])) / (2 * h)
             jac[:, :, 6 + c] = (error(t[a], up[b]) - error(t[a], down[b])) / (2 * h)
         w = np.minimum(1.0, huber / np.maximum(np.abs(r), 1e-300))
-        at = np.hstack([6 * a[:, None] + np.arange(6), 6 * b[:, None] + np.arange(6)])
-        normal, slope = np.zeros((6 * n, 6 * n)), np.zeros(6 * n)
-        np.add.at(normal, (at[:, :, None], at[:, None, :]), np.einsum("eki,ek,ekj->eij", jac, w, jac))
-        np.add.at(slope, at, np.einsum("eki,ek,ek->ei", jac, w, r))
+        weighted = np.einsum("eki,ek,ekj->eij", jac, w, jac)
+        diagonal, slope = np.zeros((n, 6, 6)), np.zeros((n, 6))
+        for end, s in ((a, slice(0, 6)), (b, slice(6, 12))):
+            np.add.at(diagonal, end, weighted[:, s, s])
+            np.add.at(slope, end, np.einsum("eki,ek,ek->ei", jac[:, :, s], w, r))
+        cross = weighted[free][:, :6, 6:]
         moved = False
         while not moved and damping < 1e12:
-            free = normal[6:, 6:]
-            move = np.linalg.solve(free + damping * np.diag(np.diag(free) + 1e-12), -slope[6:])
+            damped = diagonal[1:] + np.eye(6) * damping * (np.einsum("nii->ni", diagonal[1:]) + 1e-12)[:, :, None]
+            move = sparse.solved(plan, sparse.assembled(plan, damped, cross), -slope[1:])
             trial = delta.copy()
-            trial[1:] += move.reshape(-1, 6)
+            trial[1:] += move
             tt = shifted(t0, trial)
             rr = error(tt[a], tt[b])
             moved = loss(rr) <= now
