@@ -33,7 +33,7 @@ def fused_voxels(rays: DataFrame, keys: list[str], voxel: float, truncation: flo
     cell = lambda k: F.struct(*[F.floor((a + at(k) * b) / F.lit(voxel)).cast("long").alias(f"i{c}") for a, b, c in zip(o, d, AXES)])
     x = x.withColumn("_v", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), cell)))).select(*keys, *o, *d, "_far", "_v.*")
     along = sum(((_centre(F.col(f"i{c}"), voxel) - a) * b for c, a, b in zip(AXES, o, d)), F.lit(0.0))
-    x = x.select(*keys, *[f"i{c}" for c in AXES], F.round((F.col("_far") - along) / F.lit(truncation), 9).alias("_s")).where("_s >= -1")
+    x = x.select(*keys, *[f"i{c}" for c in AXES], ((F.col("_far") - along) / F.lit(truncation)).alias("_s")).where("round(_s, 9) >= -1")
     return x.groupBy(*keys, *[f"i{c}" for c in AXES]).agg(F.round(F.avg(F.least(F.col("_s"), F.lit(1.0))), 9).alias("tsdf"), F.count("*").alias("weight"))
 
 

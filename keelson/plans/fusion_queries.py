@@ -12,8 +12,8 @@ FUSED = f"""WITH {RAYS}, lengths AS (SELECT *, sqrt((x - ox) * (x - ox) + (y - o
   lines AS (SELECT scan_id, ray, ox, oy, oz, far, (x - ox) / far AS dx, (y - oy) / far AS dy, (z - oz) / far AS dz FROM lengths WHERE far > 0),
   met AS (SELECT DISTINCT scan_id, ray, ox, oy, oz, far, dx, dy, dz, CAST(floor((ox + (far + k * 0.025::DOUBLE) * dx) / 0.05::DOUBLE) AS BIGINT) AS ix, CAST(floor((oy + (far + k * 0.025::DOUBLE) * dy) / 0.05::DOUBLE) AS BIGINT) AS iy,
     CAST(floor((oz + (far + k * 0.025::DOUBLE) * dz) / 0.05::DOUBLE) AS BIGINT) AS iz FROM lines, range(-6, 7) t(k)),
-  signed AS (SELECT scan_id, ix, iy, iz, round((far - (0 + ((ix + 0.5::DOUBLE) * 0.05::DOUBLE - ox) * dx + ((iy + 0.5::DOUBLE) * 0.05::DOUBLE - oy) * dy + ((iz + 0.5::DOUBLE) * 0.05::DOUBLE - oz) * dz)) / 0.15::DOUBLE, 9) AS s FROM met),
-  voxels AS (SELECT scan_id, ix, iy, iz, round(avg(least(s, 1.0::DOUBLE)), 9) AS tsdf, count(*) AS weight FROM signed WHERE s >= -1 GROUP BY ALL)"""
+  signed AS (SELECT scan_id, ix, iy, iz, (far - (0 + ((ix + 0.5::DOUBLE) * 0.05::DOUBLE - ox) * dx + ((iy + 0.5::DOUBLE) * 0.05::DOUBLE - oy) * dy + ((iz + 0.5::DOUBLE) * 0.05::DOUBLE - oz) * dz)) / 0.15::DOUBLE AS s FROM met),
+  voxels AS MATERIALIZED (SELECT scan_id, ix, iy, iz, round(avg(least(s, 1.0::DOUBLE)), 9) AS tsdf, count(*) AS weight FROM signed WHERE round(s, 9) >= -1 GROUP BY ALL)"""
 
 
 def _voxels(spark, d):
@@ -21,10 +21,10 @@ def _voxels(spark, d):
     return U.fused_voxels(rays, ["scan_id"], VOXEL, TRUNCATION)
 
 
-@query("agg_fused_voxels", V.sql("points", FUSED + " SELECT scan_id, ix, iy, iz, round(tsdf, 6) + 0.0 AS tsdf, weight FROM voxels"))
+@query("agg_fused_voxels", V.sql("points", FUSED + " SELECT scan_id, ix, iy, iz, tsdf + 0.0 AS tsdf, weight FROM voxels"))
 def fused(spark, d):
     """EXT-18: the grid of truncated distances of each scan."""
-    return _voxels(spark, d).withColumn("tsdf", rounded("tsdf") + F.lit(0.0))
+    return _voxels(spark, d).withColumn("tsdf", F.col("tsdf") + F.lit(0.0))
 
 
 @query(
@@ -32,7 +32,9 @@ def fused(spark, d):
     V.sql(
         "points",
         FUSED
-        + """, edges AS (SELECT a.scan_id, k AS axis, a.ix, a.iy, a.iz, a.tsdf AS a, b.tsdf AS b FROM voxels a, range(0, 3) t(k), voxels b WHERE b.scan_id = a.scan_id AND b.ix = a.ix + (k = 0)::BIGINT AND b.iy = a.iy + (k = 1)::BIGINT AND b.iz = a.iz + (k = 2)::BIGINT AND (a.tsdf > 0) <> (b.tsdf > 0)),
+        + """, edges AS (SELECT a.scan_id, 0 AS axis, a.ix, a.iy, a.iz, a.tsdf AS a, b.tsdf AS b FROM voxels a JOIN voxels b ON b.scan_id = a.scan_id AND b.ix = a.ix + 1 AND b.iy = a.iy AND b.iz = a.iz WHERE (a.tsdf > 0) <> (b.tsdf > 0)
+    UNION ALL SELECT a.scan_id, 1, a.ix, a.iy, a.iz, a.tsdf, b.tsdf FROM voxels a JOIN voxels b ON b.scan_id = a.scan_id AND b.ix = a.ix AND b.iy = a.iy + 1 AND b.iz = a.iz WHERE (a.tsdf > 0) <> (b.tsdf > 0)
+    UNION ALL SELECT a.scan_id, 2, a.ix, a.iy, a.iz, a.tsdf, b.tsdf FROM voxels a JOIN voxels b ON b.scan_id = a.scan_id AND b.ix = a.ix AND b.iy = a.iy AND b.iz = a.iz + 1 WHERE (a.tsdf > 0) <> (b.tsdf > 0)),
   shares AS (SELECT *, a / (a - b) * 0.05::DOUBLE AS s FROM edges)
 SELECT scan_id, CAST(axis AS INT) AS axis, ix, iy, iz, round((ix + 0.5::DOUBLE) * 0.05::DOUBLE + CASE WHEN axis = 0 THEN s ELSE 0 END, 6) + 0.0 AS x, round((iy + 0.5::DOUBLE) * 0.05::DOUBLE + CASE WHEN axis = 1 THEN s ELSE 0 END, 6) + 0.0 AS y,
   round((iz + 0.5::DOUBLE) * 0.05::DOUBLE + CASE WHEN axis = 2 THEN s ELSE 0 END, 6) + 0.0 AS z FROM shares""",
