@@ -164,6 +164,24 @@ def replay_summary(responses: DataFrame) -> DataFrame:
     return responses.groupBy("sequence_id").agg(F.count("*").alias("frames"), F.count_if("tracked").alias("tracked"), F.median(ok).alias("median_latency"), F.percentile(ok, F.lit(0.95)).alias("p95_latency"))
 
 
+#: Rows of a replay without a null where one isn't defined.
+WHOLE = "sequence_id IS NOT NULL AND frame IS NOT NULL AND kind IS NOT NULL AND at_us IS NOT NULL"
+
+
+def replay_outcomes(rows: DataFrame, patience_us: int) -> DataFrame:
+    """STR-01: what became of each frame: ``sequence_id, frame, status, latency_us``. ``rows``: ``sequence_id, frame, kind`` (request or answer),
+    ``at_us, tracked``; a frame is asked for once, of several answers the earliest counts.
+
+    ``tracked`` or ``lost`` if the answer came within ``patience_us``, else ``timeout``; ``unasked`` for an answer without a request. Only
+    answered frames have a latency. Rows with a null id, frame, kind or time don't count."""
+    asked = F.max(F.when(F.col("kind") == "request", F.col("at_us"))).alias("asked")
+    first = F.min(F.when(F.col("kind") != "request", F.struct(F.col("at_us"), F.coalesce("tracked", F.lit(False)).alias("tracked")))).alias("answer")
+    x = rows.where(WHOLE).groupBy("sequence_id", "frame").agg(asked, first).withColumn("wait", F.col("answer.at_us") - F.col("asked"))
+    good = F.coalesce(F.col("wait").between(0, patience_us), F.lit(False))
+    status = F.when(F.col("asked").isNull(), "unasked").when(~good, "timeout").when(F.col("answer.tracked"), "tracked").otherwise("lost")
+    return x.select("sequence_id", "frame", status.alias("status"), F.when(good, F.col("wait")).alias("latency_us"))
+
+
 def running(df: DataFrame, value: str, n: int) -> DataFrame:
     """AGG-45: sum, mean, population deviation over the last n rows of a sequence."""
     w = Window.partitionBy("sequence_id").orderBy("ordinal").rowsBetween(-(n - 1), 0)

@@ -158,6 +158,22 @@ def replay(spark, d):
     return T.replay_summary(r).withColumn("median_latency", rounded("median_latency")).withColumn("p95_latency", rounded("p95_latency"))
 
 
+ANSWERS = """WITH asked AS (SELECT sequence_id, ordinal AS frame, timestamp_us AS t, frame_id, event_type FROM poses),
+  answers AS (SELECT sequence_id, frame + CASE WHEN frame_id % 50 = 7 THEN 1000000 ELSE 0 END AS frame, t + frame_id % 997 * 100 AS t, event_type <> 'error' AS tracked FROM asked WHERE frame_id % 20 <> 3),
+  both_ AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(a.frame, b.frame) AS frame, a.t AS asked, b.t - a.t AS wait, b.tracked FROM asked a FULL JOIN answers b ON a.sequence_id = b.sequence_id AND a.frame = b.frame)
+SELECT sequence_id, CAST(frame AS BIGINT) AS frame, CASE WHEN asked IS NULL THEN 'unasked' WHEN wait IS NULL OR wait > 90000 THEN 'timeout' WHEN tracked THEN 'tracked' ELSE 'lost' END AS status, CAST(CASE WHEN asked IS NOT NULL AND wait <= 90000 THEN wait END AS BIGINT) AS latency_us FROM both_"""
+
+
+@query("join_replay_outcomes", V.sql("poses", ANSWERS))
+def outcomes(spark, d):
+    """STR-01: frames that are asked for, and made-up answers: some late, some missing, some to frames never asked for."""
+    p = V.poses(spark, d).withColumn("frame", F.col("ordinal").cast("long"))
+    asked = p.select("sequence_id", "frame", F.lit("request").alias("kind"), F.col("timestamp_us").alias("at_us"), F.lit(None).cast("boolean").alias("tracked"))
+    frame = F.col("frame") + F.when(F.col("frame_id") % 50 == 7, 1000000).otherwise(0)
+    answers = p.where("frame_id % 20 <> 3").select("sequence_id", frame.alias("frame"), F.lit("answer").alias("kind"), (F.col("timestamp_us") + F.col("frame_id") % 997 * 100).alias("at_us"), (F.col("event_type") != "error").alias("tracked"))
+    return T.replay_outcomes(asked.unionByName(answers), 90_000)
+
+
 @query("window_running_meter", V.sql("poses", "SELECT sequence_id, ordinal, round(sum(x) OVER w, 6) AS sum, round(avg(x) OVER w, 6) AS mean, round(stddev_pop(x) OVER w, 6) AS std FROM poses WINDOW w AS (PARTITION BY sequence_id ORDER BY ordinal ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
 def meter(spark, d):
     """AGG-45."""
