@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["matching", "graphs", "points", "correspondences", "trajectories", "consensus", "experiments", "ledgers", "geometry", "hypotheses", "labels", "decisions", "sources", "fusion"]
+MODULES = ["matching", "graphs", "points", "correspondences", "trajectories", "consensus", "experiments", "ledgers", "geometry", "hypotheses", "labels", "decisions", "sources", "fusion", "training"]
 
 
 def query(name: str, sql: str | None = None):
