@@ -40,13 +40,16 @@ def leave_one_out(workers: DataFrame, keys: list[str]) -> DataFrame:
 
 def stability(workers: DataFrame, keys: list[str], deg: float = 5.0, m: float = 0.10, quorum: int = 4, drift_deg: float = 1.0, drift_m: float = 0.02, **cross) -> DataFrame:
     """CLU-08: a group is stable if it is usable, stays so (with one member less in the quorum) whichever record is
-    left out, and no scenario's transform drifts further than the bounds."""
-    full = stage_order(workers, keys, deg, m, quorum, **cross)
+    left out, and no scenario's transform drifts further than the bounds. A group of one record has one scenario, with
+    nothing left in it: not usable."""
+    full = stage_order(workers, keys, deg, m, quorum, **cross).select(*keys, F.col("transform").alias("whole"), "usable")
     jack = stage_order(leave_one_out(workers, keys).where("scenario <> 'all'"), [*keys, "scenario"], deg, m, quorum - 1, **cross)
-    x = jack.join(full.select(*keys, F.col("transform").alias("whole"), F.col("usable").alias("whole_usable")), keys)
+    x = jack.select(*keys, F.col("usable").alias("holds"), "transform").join(full.select(*keys, "whole"), keys)
     moved = (se3.rotation_distance("transform", "whole") <= drift_deg) & (se3.translation_distance("transform", "whole") <= drift_m)
-    s = x.groupBy(*keys).agg(F.count("*").alias("scenarios"), F.count_if("usable").alias("usable_scenarios"), F.count_if(F.coalesce(moved, F.lit(False))).alias("still"), F.first("whole_usable").alias("usable"))
-    return s.withColumn("stable", F.col("usable") & (F.col("usable_scenarios") == F.col("scenarios")) & (F.col("still") == F.col("scenarios")))
+    s = x.groupBy(*keys).agg(F.count_if("holds").alias("usable_scenarios"), F.count_if(F.coalesce(moved, F.lit(False))).alias("still"))
+    n = workers.groupBy(*keys).agg(F.count_distinct("direction", "replicate").alias("scenarios"))
+    x = full.select(*keys, "usable").join(n, keys).join(s, keys, "left").fillna(0, ["usable_scenarios", "still"])
+    return x.select(*keys, "scenarios", "usable_scenarios", "still", "usable", (F.col("usable") & (F.col("usable_scenarios") == F.col("scenarios")) & (F.col("still") == F.col("scenarios"))).alias("stable"))
 
 
 def policies(workers: DataFrame, keys: list[str], named: dict[str, dict]) -> DataFrame:

@@ -15,24 +15,39 @@ CROSS = {"cross_deg": 5.0003, "cross_m": 0.25003}
 BOUNDS = {"deg": 5.0003, "m": 0.10003}
 
 
-@query("decide_stage_order", V.sql("workers", f"WITH {cliques(5.0003, 0.10003)}, {VERDICT.format(rival=99, deg=5.0003, m=0.10003, quorum=2).replace('SELECT pair_id, direction, CAST(size AS INT)', ', dv AS (SELECT pair_id, direction, CAST(size AS INT)', 1)}), " + """
+def stage_sql(quorum, rival=99):
+    """The verdicts of both directions and of their medoids together, over ``workers``: ``pair_id, usable, reasons``, the forward
+    medoid's ``yaw, x, y``."""
+    direction = VERDICT.format(rival=rival, deg=5.0003, m=0.10003, quorum=quorum).replace("SELECT pair_id, direction, CAST(size AS INT)", ", dv AS (SELECT pair_id, direction, CAST(size AS INT)", 1)
+    return f"WITH {cliques(5.0003, 0.10003)}, {direction}), " + """
   d AS (SELECT dv.*, w.yaw, w.x, w.y FROM dv LEFT JOIN workers w ON w.pair_id = dv.pair_id AND w.direction = dv.direction AND w.replicate = dv.medoid), p AS (SELECT DISTINCT pair_id FROM workers),
-  j AS (SELECT p.pair_id, coalesce(list_transform(f.reasons, lambda r: 'forward:' || r), ['forward:missing']) AS fr, coalesce(list_transform(g.reasons, lambda r: 'reverse:' || r), ['reverse:missing']) AS rr, coalesce(f.usable, false) AND coalesce(g.usable, false) AS both_, abs(f.yaw + g.yaw) AS rot, sqrt((f.x + cos(radians(f.yaw)) * g.x - sin(radians(f.yaw)) * g.y) ** 2 + (f.y + sin(radians(f.yaw)) * g.x + cos(radians(f.yaw)) * g.y) ** 2) AS shift
+  j AS (SELECT p.pair_id, coalesce(list_transform(f.reasons, lambda r: 'forward:' || r), ['forward:missing']) AS fr, coalesce(list_transform(g.reasons, lambda r: 'reverse:' || r), ['reverse:missing']) AS rr, coalesce(f.usable, false) AND coalesce(g.usable, false) AS both_, abs(f.yaw + g.yaw) AS rot, sqrt((f.x + cos(radians(f.yaw)) * g.x - sin(radians(f.yaw)) * g.y) ** 2 + (f.y + sin(radians(f.yaw)) * g.x + cos(radians(f.yaw)) * g.y) ** 2) AS shift, f.yaw AS yaw, f.x AS x, f.y AS y
         FROM p LEFT JOIN (SELECT * FROM d WHERE direction = 'forward') f USING (pair_id) LEFT JOIN (SELECT * FROM d WHERE direction = 'reverse') g USING (pair_id)),
-  k AS (SELECT pair_id, list_concat(list_concat(fr, rr), CASE WHEN both_ THEN list_filter([CASE WHEN rot > 5.0003 THEN 'cross:rotation' END, CASE WHEN shift > 0.25003 THEN 'cross:translation' END], lambda r: r IS NOT NULL) ELSE [] END) AS reasons FROM j)
-  SELECT pair_id, len(reasons) = 0 AS usable, reasons FROM k"""))
+  k AS (SELECT pair_id, list_concat(list_concat(fr, rr), CASE WHEN both_ THEN list_filter([CASE WHEN rot > 5.0003 THEN 'cross:rotation' END, CASE WHEN shift > 0.25003 THEN 'cross:translation' END], lambda r: r IS NOT NULL) ELSE [] END) AS reasons, yaw, x, y FROM j)
+  SELECT pair_id, len(reasons) = 0 AS usable, reasons, yaw, x, y FROM k"""
+
+
+@query("decide_stage_order", V.sql("workers", f"SELECT pair_id, usable, reasons FROM ({stage_sql(2)})"))
 def stage(spark, d):
     """CLU-07, CLU-19, CLU-20."""
     return D.stage_order(V.workers(spark, d), ["pair_id"], **BOUNDS, quorum=2, **CROSS).select("pair_id", "usable", "reasons")
 
 
-@query("decide_jackknife_stability")
+#: A pair once for each of its records, without that one.
+LEFT_OUT = """SELECT w.* REPLACE (w.pair_id || ':' || o.direction || ':' || o.replicate AS pair_id), w.pair_id AS whole FROM base w JOIN base o ON w.pair_id = o.pair_id AND (w.direction <> o.direction OR w.replicate <> o.replicate)"""
+
+
+@query("decide_jackknife_stability", V.sql("workers", f"""WITH base AS (SELECT * FROM workers), whole AS ({stage_sql(2)}), jack AS (WITH workers AS ({LEFT_OUT}) SELECT * FROM ({stage_sql(1)})),
+  n AS (SELECT pair_id, count(*) AS scenarios FROM base GROUP BY pair_id),
+  k AS (SELECT whole.pair_id, count(*) FILTER (WHERE jack.usable) AS usable_scenarios, count(*) FILTER (WHERE jack.usable AND whole.usable AND abs(jack.yaw - whole.yaw) <= 2.0003 AND sqrt((jack.x - whole.x) ** 2 + (jack.y - whole.y) ** 2) <= 0.05003) AS still
+    FROM jack JOIN whole ON whole.pair_id = CAST(split_part(jack.pair_id, ':', 1) AS BIGINT) GROUP BY ALL)
+  SELECT pair_id, scenarios, coalesce(usable_scenarios, 0) AS usable_scenarios, coalesce(still, 0) AS still, usable, usable AND usable_scenarios = scenarios AND still = scenarios AS stable FROM whole JOIN n USING (pair_id) LEFT JOIN k USING (pair_id)"""))
 def stability(spark, d):
     """CLU-08, WIN-19."""
     return D.stability(V.workers(spark, d), ["pair_id"], **BOUNDS, quorum=2, drift_deg=2.0003, drift_m=0.05003, **CROSS)
 
 
-@query("decide_policy_comparison")
+@query("decide_policy_comparison", V.sql("workers", "SELECT policy, count(*) AS pairs, count(*) FILTER (WHERE usable) AS usable FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS policy, usable FROM ({stage_sql(*a)})" for p, a in {"pairs": (2,), "triples": (3,), "no_rival": (2, 2)}.items()) + ") GROUP BY policy"))
 def comparison(spark, d):
     """CLU-09: by policy, how many pairs are usable."""
     named = {"pairs": {"quorum": 2}, "triples": {"quorum": 3}, "no_rival": {"quorum": 2, "rival": 2}}
