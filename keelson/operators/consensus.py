@@ -89,15 +89,16 @@ def all_compatible(evidence: DataFrame, key: str, member: str, max_deg: float =
     return every.join(s, key, "left").select(key, "n", F.coalesce("ok", F.lit(True)).alias("accepted"), F.coalesce("best", "only").alias("medoid"))
 
 
-def forward_reverse(forward: DataFrame, reverse: DataFrame, key: str, max_deg: float = 5.0, max_m: float = 0.10, cap: int = 8) -> DataFrame:
+def forward_reverse(forward: DataFrame, reverse: DataFrame, key: str, max_deg: float = 5.0, max_m: float = 0.10, cap: int | None = 8) -> DataFrame:
     """JOI-24, JOI-25, AGG-50: forward records against inverted reverse ones within both bounds; order: the
-    larger share of the bounds, rotation, translation, ids; ``cap`` a pair; ``ambiguous`` if a record meets several."""
+    larger share of the bounds, rotation, translation, ids; ``cap`` a pair (None: all); ``ambiguous`` if a record meets several."""
     f = forward.select(key, F.col("signature").alias("f"), F.col("transform").alias("ft"))
     r = reverse.select(key, F.col("signature").alias("r"), se3.inverse("transform").alias("rt"))
     x = f.join(r, key).select(key, "f", "r", F.round(se3.rotation_distance("ft", "rt"), 6).alias("dr"), F.round(se3.translation_distance("ft", "rt"), 9).alias("dt")).where((F.col("dr") <= max_deg) & (F.col("dt") <= max_m))
     x = x.withColumn("ambiguous", (F.count("*").over(Window.partitionBy(key, "f")) > 1) | (F.count("*").over(Window.partitionBy(key, "r")) > 1))
     w = Window.partitionBy(key).orderBy(F.round(F.greatest(F.col("dr") / max_deg, F.col("dt") / max_m), 9), "dr", "dt", "f", "r")
-    return x.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap)
+    x = x.withColumn("position", F.row_number().over(w))
+    return x if cap is None else x.where(F.col("position") <= cap)
 
 
 def maximum_matching(edges: list[tuple]) -> dict:
@@ -122,10 +123,11 @@ def maximum_matching(edges: list[tuple]) -> dict:
 
 
 def direction_agreement(matches: DataFrame, key: str) -> DataFrame:
-    """JOI-26, JOI-27: ``key, f, r`` of a largest one-to-one matching; a group is one pair's few compatible records."""
+    """JOI-26, JOI-27: ``key, f, r`` of a largest one-to-one matching over all compatible records, forward ones in order and
+    each one's partners by rotation, translation and id; a group is one pair's few compatible records."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dr", "dt", "f", "r"])
+        pdf = pdf.sort_values(["f", "dr", "dt", "r"])
         got = maximum_matching(list(zip(pdf["f"], pdf["r"])))
         return pd.DataFrame([(pdf[key].iloc[0], f, r) for r, f in sorted(got.items(), key=lambda x: x[::-1])], columns=[key, "f", "r"])
 

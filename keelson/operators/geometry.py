@@ -275,10 +275,12 @@ def farthest_points(points: DataFrame, key: list[str], n: int = 512) -> DataFram
         p, ids = pdf[["x", "y", "z"]].to_numpy(float), pdf["row_id"].to_numpy()
         first = int(((p - p.mean(axis=0)) ** 2).sum(axis=1).argmin())
         order, d = [first], ((p - p[first]) ** 2).sum(axis=1)
+        d[first] = -1
         while len(order) < min(n, len(p)):
             at = int(d.argmax())
             order.append(at)
             d = np.minimum(d, ((p - p[at]) ** 2).sum(axis=1))
+            d[order] = -1  # a row counts once, also among rows in one place
         order = [order[i % len(order)] for i in range(n)]
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "place": range(n), "row_id": ids[order]})
 

@@ -76,9 +76,9 @@ def safe(spark, d):
 FR = """fr AS (SELECT f.pair_id, f.signature AS f, r.signature AS r, round(abs(f.yaw + r.yaw), 6) AS dr, round(sqrt((f.x + cos(radians(r.yaw)) * r.x + sin(radians(r.yaw)) * r.y) ** 2 + (f.y - sin(radians(r.yaw)) * r.x + cos(radians(r.yaw)) * r.y) ** 2), 9) AS dt FROM workers f JOIN workers r ON f.pair_id = r.pair_id AND f.direction = 'forward' AND r.direction = 'reverse')"""
 
 
-def _matches(spark, d):
+def _matches(spark, d, cap=8):
     w = V.workers(spark, d)
-    return C.forward_reverse(w.where("direction = 'forward'"), w.where("direction = 'reverse'"), "pair_id", 4.0003, 0.20003)
+    return C.forward_reverse(w.where("direction = 'forward'"), w.where("direction = 'reverse'"), "pair_id", 4.0003, 0.20003, cap)
 
 
 @query("join_forward_reverse", V.sql("workers", f"WITH {FR}, m AS (SELECT *, count(*) OVER (PARTITION BY pair_id, f) > 1 OR count(*) OVER (PARTITION BY pair_id, r) > 1 AS ambiguous FROM fr WHERE dr <= 4.0003 AND dt <= 0.20003), o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(greatest(dr / 4.0003, dt / 0.20003), 9), dr, dt, f, r) AS position FROM m) SELECT pair_id, f, r, round(dr, 4) AS dr, round(dt, 6) AS dt, ambiguous, position FROM o WHERE position <= 8"))
@@ -90,7 +90,7 @@ def pairing(spark, d):
 @query("udf_direction_agreement")
 def agreement(spark, d):
     """JOI-26, JOI-27."""
-    return C.direction_agreement(_matches(spark, d), "pair_id")
+    return C.direction_agreement(_matches(spark, d, None), "pair_id")
 
 
 @query("fun_bidirectional_discrepancy", V.sql("workers", "SELECT f.pair_id, f.replicate, round(abs(f.yaw + r.yaw), 4) AS deg, round(sqrt((f.x + cos(radians(f.yaw)) * r.x - sin(radians(f.yaw)) * r.y) ** 2 + (f.y + sin(radians(f.yaw)) * r.x + cos(radians(f.yaw)) * r.y) ** 2), 6) AS m FROM workers f JOIN workers r ON f.pair_id = r.pair_id AND f.replicate = r.replicate AND f.direction = 'forward' AND r.direction = 'reverse'"))
