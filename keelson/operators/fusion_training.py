@@ -135,6 +135,11 @@ def _losses(left, right, sums, n, v, widths) -> list[float]:
     return [float(x) for x in (*out, *value, *grad, *own)]
 
 
+def _array(form: str, at: list[tuple]):
+    """An array of one expression at many places, parsed at once: built one by one they cost more than an epoch's work."""
+    return F.expr(f"array({', '.join(form.format(*i) for i in at)})")
+
+
 def pair_losses(batches: Batches, theta: list[float]) -> DataFrame:
     """EXT-17: ``pair_id, held, n, losses`` of every pair with an anchor, at the fusion logits ``theta``;
     ``losses`` as :func:`_losses` lists them, for a batch of that one pair.
@@ -161,11 +166,11 @@ def pair_losses(batches: Batches, theta: list[float]) -> DataFrame:
     size = 4 * (1 + 2 * k)
     a = batches.anchored
     met = a.select("pair_id", "src", "ref").join(batches.rest.select("pair_id", "side", "u"), "pair_id").mapInPandas(sums, f"pair_id {key}, side INT, x ARRAY<DOUBLE>")
-    by_pair = met.groupBy("pair_id").agg(F.array(*[F.sum(F.when(F.col("side") == h, F.col("x")[i]).otherwise(0.0)) for h in (0, 1) for i in range(size)]).alias("sums"))
+    by_pair = met.groupBy("pair_id").agg(_array("sum(if(side = {}, x[{}], 0D))", [(h, i) for h in (0, 1) for i in range(size)]).alias("sums"))
     both = a.join(a.select("pair_id", F.col("src").alias("src2"), F.col("ref").alias("ref2")), "pair_id").join(by_pair, "pair_id", "left")
     both = both.withColumn("sums", F.coalesce("sums", F.array_repeat(F.lit(0.0), 2 * size))).select("pair_id", "held", "n", "src", "ref", "src2", "ref2", "sums")
     done = both.mapInPandas(losses, f"pair_id {key}, held BOOLEAN, n BIGINT, x ARRAY<DOUBLE>")
-    return done.groupBy("pair_id", "held", "n").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(1 + 3 * k + k * k)]).alias("losses"))
+    return done.groupBy("pair_id", "held", "n").agg(_array("sum(x[{}])", [(i,) for i in range(1 + 3 * k + k * k)]).alias("losses"))
 
 
 def combined(mean: np.ndarray, theta, align, contrast, zoom: float = 0.1) -> tuple[float, np.ndarray]:
@@ -214,7 +219,7 @@ def train_fusion(batches: Batches, folder: str, epochs: int, rate: float = 0.05,
     for epoch in range(first, epochs):
         theta, align, contrast = (p[i * k : i * k + k].tolist() for i in range(3))
         width = 1 + 3 * k + k * k
-        got = {r.held: (r.n, np.array(r.mean)) for r in pair_losses(batches, theta).groupBy("held").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("losses")[i]) for i in range(width)]).alias("mean")).collect()}
+        got = {r.held: (r.n, np.array(r.mean)) for r in pair_losses(batches, theta).groupBy("held").agg(F.count("*").alias("n"), _array("avg(losses[{}])", [(i,) for i in range(width)]).alias("mean")).collect()}
         train, valid = (combined(got[h][1], theta, align, contrast, zoom) if h in got else (None, np.zeros(3 * k)) for h in (False, True))
         if not np.isfinite(train[1]).all():
             raise ValueError(f"epoch {epoch}: the gradient isn't finite")
