@@ -16,15 +16,14 @@ FUSED = f"""WITH {RAYS}, lengths AS (SELECT *, sqrt((x - ox) * (x - ox) + (y - o
   voxels AS MATERIALIZED (SELECT scan_id, ix, iy, iz, round(avg(least(s, 1.0::DOUBLE)), 9) AS tsdf, count(*) AS weight FROM signed WHERE round(s, 9) >= -1 GROUP BY ALL)"""
 
 
-def _voxels(spark, d):
-    rays = V.points(spark, d).select("scan_id", (F.lit(0.5) * (F.col("label") % 5)).alias("ox"), F.lit(0.3).alias("oy"), F.lit(6.0).alias("oz"), "x", "y", "z")
-    return U.fused_voxels(rays, ["scan_id"], VOXEL, TRUNCATION)
+def _rays(spark, d):
+    return V.points(spark, d).select("scan_id", (F.lit(0.5) * (F.col("label") % 5)).alias("ox"), F.lit(0.3).alias("oy"), F.lit(6.0).alias("oz"), "x", "y", "z")
 
 
 @query("agg_fused_voxels", V.sql("points", FUSED + " SELECT scan_id, ix, iy, iz, tsdf + 0.0 AS tsdf, weight FROM voxels"))
 def fused(spark, d):
     """EXT-18: the grid of truncated distances of each scan."""
-    return _voxels(spark, d).withColumn("tsdf", F.col("tsdf") + F.lit(0.0))
+    return U.fused_voxels(_rays(spark, d), ["scan_id"], VOXEL, TRUNCATION).withColumn("tsdf", F.col("tsdf") + F.lit(0.0))
 
 
 @query(
@@ -42,5 +41,5 @@ SELECT scan_id, CAST(axis AS INT) AS axis, ix, iy, iz, round((ix + 0.5::DOUBLE)
 )
 def surface(spark, d):
     """EXT-18: points of the fused surface of each scan."""
-    s = U.surface_points(_voxels(spark, d), ["scan_id"], VOXEL)
+    s = U.fused_surface(_rays(spark, d), ["scan_id"], VOXEL, TRUNCATION)
     return s.select("scan_id", "axis", "ix", "iy", "iz", *[(rounded(c) + F.lit(0.0)).alias(c) for c in "xyz"])

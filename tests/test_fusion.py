@@ -65,3 +65,17 @@ def test_neighbours_of_few_rays_make_no_surface(spark):
     got = {(r["axis"], r["ix"], r["iy"], r["iz"]): (r["x"], r["y"], r["z"]) for r in U.surface_points(v, ["scan_id"], 1.0, 2).collect()}
     assert set(got) == {(0, 0, 0, 0), (1, 0, 5, 0)}
     assert got[0, 0, 0, 0] == (0.5 + 0.5 / 0.75, 0.5, 0.5) and got[1, 0, 5, 0] == (0.5, 6.5, 0.5)
+
+
+def test_voxels_and_surface_need_one_shuffle_of_rays(spark):
+    """A voxel never crosses the network: blocks of rays do, with a rim for the surface."""
+    rng = np.random.default_rng(5)
+    rows = [(k % 2, 0.0, 0.0, 3.0, float(x), float(y), 0.1 * float(np.sin(3 * x))) for k, (x, y) in enumerate(rng.uniform(-1.5, 1.5, (1500, 2)))]
+    rays = spark.createDataFrame(rows, "k long, ox double, oy double, oz double, x double, y double, z double")
+    voxels, surface = U.fused_voxels(rays, ["k"], 0.05, 0.15), U.fused_surface(rays, ["k"], 0.05, 0.15)
+    for df in (voxels, surface):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    key = lambda r: (r.k, r.axis, r.ix, r.iy, r.iz)
+    apart = U.surface_points(voxels, ["k"], 0.05).collect()
+    assert sorted(map(tuple, surface.collect())) == sorted(map(tuple, apart)) and len({key(r) for r in apart}) == len(apart) > 500
+    assert len({tuple(r)[:4] for r in voxels.collect()}) == voxels.count()
