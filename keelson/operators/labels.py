@@ -69,8 +69,9 @@ def kernel(descriptors: DataFrame) -> DataFrame:
 
 def geometry_gate(pairs: DataFrame) -> DataFrame:
     """FUN-10: a candidate summary against its baseline: safe if it keeps 85 % of the points and 80 % of the extent and
-    the conflict grows by at most 5 %; improved if moreover the conflict falls by 10 %."""
-    ratio = lambda c: F.col(f"cand_{c}") / F.greatest(F.col(f"base_{c}"), F.lit(1e-12))
+    the conflict grows by at most 5 %; improved if moreover the conflict falls by 10 %. Ratios are rounded to nine digits first: at a
+    bound, the order in which a sum was added up would decide."""
+    ratio = lambda c: F.round(F.col(f"cand_{c}") / F.greatest(F.col(f"base_{c}"), F.lit(1e-12)), 9)
     x = pairs.withColumn("points_ratio", ratio("points")).withColumn("extent_ratio", ratio("extent")).withColumn("conflict_ratio", ratio("conflict"))
     safe = (F.col("points_ratio") >= 0.85) & (F.col("extent_ratio") >= 0.80) & (F.col("conflict_ratio") <= 1.05)
     return x.withColumn("safe", F.coalesce(safe, F.lit(False))).withColumn("improved", F.col("safe") & (F.col("conflict_ratio") <= 0.90))

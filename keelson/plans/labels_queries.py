@@ -49,7 +49,7 @@ def kernel(spark, d):
     return L.kernel(o).withColumn("similarity", rounded("similarity"))
 
 
-@query("decide_geometry_gate", V.sql("runs", "WITH s AS (SELECT pair_id, sum(rre) FILTER (WHERE arm = 'baseline') AS bp, sum(rre) FILTER (WHERE arm = 'candidate') AS cp, max(rte) FILTER (WHERE arm = 'baseline') AS be, max(rte) FILTER (WHERE arm = 'candidate') AS ce, avg(coverage) FILTER (WHERE arm = 'baseline') AS bc, avg(coverage) FILTER (WHERE arm = 'candidate') AS cc FROM runs GROUP BY pair_id), r AS (SELECT pair_id, cp / greatest(bp, 1e-12) AS p, ce / greatest(be, 1e-12) AS e, cc / greatest(bc, 1e-12) AS c FROM s WHERE bp IS NOT NULL AND be IS NOT NULL AND bc IS NOT NULL) SELECT pair_id, coalesce(p >= 0.85 AND e >= 0.8 AND c <= 1.05, false) AS safe, coalesce(p >= 0.85 AND e >= 0.8 AND c <= 1.05, false) AND c <= 0.9 AS improved FROM r"))
+@query("decide_geometry_gate", V.sql("runs", "WITH s AS (SELECT pair_id, sum(rre) FILTER (WHERE arm = 'baseline') AS bp, sum(rre) FILTER (WHERE arm = 'candidate') AS cp, max(rte) FILTER (WHERE arm = 'baseline') AS be, max(rte) FILTER (WHERE arm = 'candidate') AS ce, avg(coverage) FILTER (WHERE arm = 'baseline') AS bc, avg(coverage) FILTER (WHERE arm = 'candidate') AS cc FROM runs GROUP BY pair_id), r AS (SELECT pair_id, round(cp / greatest(bp, 1e-12::DOUBLE), 9) AS p, round(ce / greatest(be, 1e-12::DOUBLE), 9) AS e, round(cc / greatest(bc, 1e-12::DOUBLE), 9) AS c FROM s WHERE bp IS NOT NULL AND be IS NOT NULL AND bc IS NOT NULL) SELECT pair_id, coalesce(p >= 0.85 AND e >= 0.8 AND c <= 1.05, false) AS safe, coalesce(p >= 0.85 AND e >= 0.8 AND c <= 1.05, false) AND c <= 0.9 AS improved FROM r"))
 def gate(spark, d):
     """FUN-10."""
     r = V.runs(spark, d)
