@@ -49,7 +49,7 @@ def registration(spark, d):
 @query("udf_greedy_cliques")
 def cliques(spark, d):
     """CLU-11, EXT-07."""
-    return G.greedy_cliques(C.compatible_pairs(C.best_correspondences(corr(spark, d), 1000), 0.0203, 0.5), "pair_id")
+    return G.compatible_cliques(_best(spark, d), "pair_id", 0.0203, 0.5)
 
 
 @query("udf_suppressed_sets")
@@ -82,9 +82,7 @@ def planes(spark, d):
 @query("udf_beam_hypotheses")
 def beam(spark, d):
     """CLU-12."""
-    c = C.best_correspondences(corr(spark, d), 1000)
-    other = C.best_correspondences(corr(spark, d), 1000)  # read anew: the two sides of a cogroup need columns of their own
-    return G.beam_hypotheses(c.select("pair_id", F.col("idx").alias("id"), F.col("rank").cast("long").alias("rank")), C.compatible_pairs(other, 0.0203, 0.5), "pair_id")
+    return G.compatible_beams(C.best_correspondences(corr(spark, d), 1000), "pair_id", 0.0203, 0.5)
 
 
 @query("udf_disjoint_modes")

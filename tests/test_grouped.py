@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.operators import geometry as G
 from keelson.operators import grouped
@@ -61,3 +62,53 @@ def test_modes_of_groups_of_several_sizes(spark):
             want.append((best, min(best, key=lambda i: (round(sum(cost(i, j) for j in best), 12), i))))  # noqa: B023
             left = [i for i in left if i not in best]
         assert [(r.members, r.medoid) for r in sorted((r for r in got if r.k == k), key=lambda r: r["mode"])] == want
+
+
+def _correspondences(spark, pairs=6, n=60):
+    rng = np.random.default_rng(11)
+    s = rng.integers(0, 5, (pairs, n, 3)) * 0.4
+    r = s + 0.3 + rng.integers(0, 3, (pairs, n, 3)) * 0.012
+    rows = [(p, int(i - i % 20 // 19), *s[p, i].tolist(), *r[p, i].tolist(), float(i % 7) / 7) for p in range(pairs) for i in range(n)]  # some ids come twice
+    return spark.createDataFrame(rows, "pair_id long, idx long, sx double, sy double, sz double, rx double, ry double, rz double, score double")
+
+
+def test_cliques_and_beams_need_no_row_an_edge(spark):
+    """The graph is made where a pair's rows are: the same sets as from its edges, and only the correspondences are shuffled."""
+    from keelson.operators import correspondences as C
+
+    corr = _correspondences(spark)
+    rank = corr.withColumn("rank", F.col("idx") + 1)
+    edges = C.compatible_pairs(corr, 0.0203, 0.5)
+    cliques, beams = G.compatible_cliques(corr, "pair_id", 0.0203, 0.5), G.compatible_beams(rank, "pair_id", 0.0203, 0.5)
+    want = G.greedy_cliques(edges, "pair_id")
+    fresh = rank.select(*[F.col(c).alias(c) for c in rank.columns])
+    wanted = G.beam_hypotheses(fresh.select("pair_id", F.col("idx").alias("id"), "rank").distinct(), edges, "pair_id")
+    assert sorted(map(tuple, cliques.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, beams.collect())) == sorted(map(tuple, wanted.collect()))
+    for df in (cliques, beams):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growths_together_are_growths_alone():
+    rng = np.random.default_rng(2)
+    for n, share in ((1, 0.5), (12, 0.5), (50, 0.3), (90, 0.8)):
+        near = np.triu(rng.random((n, n)) < share, 1)
+        near |= near.T
+        degree, best = near.sum(axis=1), []
+        for seed in sorted(range(n), key=lambda i: (-degree[i], i))[:64]:
+            got, free = [seed], near[seed].copy()
+            while free.any():
+                add = min(np.flatnonzero(free), key=lambda i: (-(near[i] & free).sum(), -degree[i], i))
+                got.append(int(add))
+                free &= near[add]
+            best = min([best, sorted(got)] if best else [sorted(got)], key=lambda g: (-len(g), g))
+        assert G.greedy_clique(near) == best
+
+
+def test_a_ratio_at_its_bound_does_not_hang_on_the_order_of_a_sum(spark):
+    from keelson.operators import labels as L
+
+    below = float(np.nextafter(0.85, 0))
+    rows = spark.createDataFrame([(1, 1.0, below, 1.0, 0.8, 1.0, float(np.nextafter(1.05, 2)))], "pair_id long, base_points double, cand_points double, base_extent double, cand_extent double, base_conflict double, cand_conflict double")
+    got = L.geometry_gate(rows).first()
+    assert got.safe and not got.improved
