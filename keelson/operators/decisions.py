@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import se3
 from keelson.operators import consensus as C
+from keelson.operators import grouped
 
 
 def stage_order(workers: DataFrame, keys: list[str], deg: float = 5.0, m: float = 0.10, quorum: int = 4, rival: int | None = None, cross_deg: float = 5.0, cross_m: float = 0.20) -> DataFrame:
@@ -154,38 +156,42 @@ def hull_vertices(p: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     d = int(np.abs((p - p[a]) @ np.cross(p[b] - p[a], p[c] - p[a])).argmax())
     inside = p[[a, b, c, d]].mean(axis=0)
 
-    def facet(i, j, k):
-        n = np.cross(p[j] - p[i], p[k] - p[i])
-        return (i, j, k) if n @ (p[i] - inside) > 0 else (i, k, j)
-
-    facets = {facet(*f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))}
+    def made(f):
+        """Facets turned outward, their normals, and of each the farthest point above it: its height and number."""
+        f = np.array(f)
+        n = np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]])
+        turn = (n * (p[f[:, 0]] - inside)).sum(axis=1) <= 0
+        f[turn], n[turn] = f[turn][:, [0, 2, 1]], -n[turn]
+        unit = n / np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        h = ((p - p[f[:, 0]][:, None]) @ unit[:, :, None])[:, :, 0]
+        far = h.argmax(axis=1)
+        return f, n, h[np.arange(len(f)), far], far
+
+    # a facet's highest point doesn't change, so only new facets are looked at
+    facets, n, height, far = made([(a, b, c), (a, b, d), (a, c, d), (b, c, d)])
     while True:
-        best = None
-        for f in facets:
-            n = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
-            n = n / max(np.linalg.norm(n), 1e-300)
-            h = (p - p[f[0]]) @ n
-            far = int(h.argmax())
-            if h[far] > tolerance * scale and (best is None or h[far] > best[0]):
-                best = (float(h[far]), far)
-        if best is None:
-            return np.array(sorted({i for f in facets for i in f}))
-        x = best[1]
-        seen = {f for f in facets if np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]]) @ (p[x] - p[f[0]]) > 0}
-        edges = [e for f in seen for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))]
-        facets -= seen
-        facets |= {facet(i, j, x) for i, j in edges if (j, i) not in edges}
+        top = int(height.argmax())
+        if height[top] <= tolerance * scale:
+            return np.unique(facets)
+        x = far[top]
+        seen = (n * (p[x] - p[facets[:, 0]])).sum(axis=1) > 0
+        edges = {e for f in facets[seen].tolist() for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
+        new = made([(i, j, x) for i, j in sorted(edges) if (j, i) not in edges])
+        facets, n, height, far = (np.concatenate([old[~seen], more]) for old, more in zip((facets, n, height, far), new))
 
 
 def hull_centres(points: DataFrame, key: list[str]) -> DataFrame:
     """EXT-11: the mean of an object's hull vertices (repeated positions count once)."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.unique(pdf[["x", "y", "z"]].to_numpy(float), axis=0)
-        v = p[hull_vertices(p)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "vertices": [len(v)], **{f"c{c}": [x] for c, x in zip("xyz", v.mean(axis=0))}})
+    def solve(rows, at):
+        every, found = grouped.numbers(rows, ["x", "y", "z"]), []
+        for low, high in zip(at[:-1], at[1:]):
+            p = np.unique(every[low:high], axis=0)
+            v = p[hull_vertices(p)]
+            found.append((len(v), *v.mean(axis=0).tolist()))
+        return {"group": range(len(found))} | dict(zip(("vertices", "cx", "cy", "cz"), zip(*found)))
 
-    return points.groupBy(*key).applyInPandas(one, ", ".join(f"{k} long" for k in key) + ", vertices int, cx double, cy double, cz double")
+    return grouped.whole_groups(points.select(*key, "x", "y", "z"), key, [], solve, "vertices int, cx double, cy double, cz double")
 
 
 def face_samples(triangles: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -193,19 +199,24 @@ def face_samples(triangles: DataFrame, key: str, n: int, seed: int = 0) -> DataF
     none; the stream of random numbers hangs on the seed and the key."""
     names = [f"{v}{c}" for v in "abc" for c in "xyz"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.sort_values(names)[names].to_numpy(float).reshape(-1, 3, 3)
-        area = np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1) / 2
-        if area.sum() <= 0:
-            return pd.DataFrame(columns=[key, "place", "x", "y", "z"])
-        rng = np.random.default_rng([seed, int(pdf[key].iloc[0])])
-        f = t[rng.choice(len(t), n, p=area / area.sum())]
-        u, v = rng.random((2, n))
-        u = np.sqrt(u)
-        q = (1 - u)[:, None] * f[:, 0] + (u * (1 - v))[:, None] * f[:, 1] + (u * v)[:, None] * f[:, 2]
-        return pd.DataFrame({key: pdf[key].iloc[0], "place": range(n), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
-
-    return triangles.groupBy(key).applyInPandas(one, f"{key} long, place int, x double, y double, z double")
+    def solve(rows, at):
+        every, keys = grouped.numbers(rows, names).reshape(-1, 3, 3), rows.column(key).take(pa.array(at[:-1])).to_pylist()
+        sizes = np.linalg.norm(np.cross(every[:, 1] - every[:, 0], every[:, 2] - every[:, 0]), axis=1) / 2
+        groups, found = [], []
+        for group, (k, low, high) in enumerate(zip(keys, at[:-1], at[1:])):
+            t, area = every[low:high], sizes[low:high]
+            if area.sum() <= 0:
+                continue
+            rng = np.random.default_rng([seed, int(k)])
+            f = t[rng.choice(len(t), n, p=area / area.sum())]
+            u, v = rng.random((2, n))
+            u = np.sqrt(u)
+            groups.append(group)
+            found.append((1 - u)[:, None] * f[:, 0] + (u * (1 - v))[:, None] * f[:, 1] + (u * v)[:, None] * f[:, 2])
+        q = np.concatenate(found) if found else np.zeros((0, 3))
+        return {"group": np.repeat(groups, n).astype(int), "place": np.tile(np.arange(n, dtype=np.int32), len(groups)), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]}
+
+    return grouped.whole_groups(triangles.select(key, *names), [key], names, solve, "place int, x double, y double, z double")
 
 
 def meter_means(rows: DataFrame, key: str, values: list[str]) -> DataFrame:

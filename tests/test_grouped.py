@@ -112,3 +112,17 @@ def test_a_ratio_at_its_bound_does_not_hang_on_the_order_of_a_sum(spark):
     rows = spark.createDataFrame([(1, 1.0, below, 1.0, 0.8, 1.0, float(np.nextafter(1.05, 2)))], "pair_id long, base_points double, cand_points double, base_extent double, cand_extent double, base_conflict double, cand_conflict double")
     got = L.geometry_gate(rows).first()
     assert got.safe and not got.improved
+
+
+def test_hulls_look_at_new_facets_only():
+    """Points on a lattice have hulls of many facets: each step costs its new facets, not all of them."""
+    import time
+
+    from keelson.operators.decisions import hull_vertices
+
+    rng, begun = np.random.default_rng(4), time.process_time()
+    for _ in range(20):
+        p = np.unique(rng.normal(size=(160, 3)) / 1.07, axis=0)
+        p /= np.linalg.norm(p, axis=1)[:, None]
+        assert len(hull_vertices(p)) == len(p)  # all lie on a sphere
+    assert time.process_time() - begun < 10
