@@ -137,3 +137,26 @@ class Grid:
                 index[who], dist[who] = place[near], best[near]
             low = high
         return index, dist
+
+    def pairs(self, points: np.ndarray):
+        """``(i, j)`` of points and grid points within the reach of each other, for stretches of points: ``most`` candidates or
+        one point's are held at once. ``points`` lie in the grid's cells."""
+        cells = np.floor(points / self.reach).astype(np.int64)
+        step = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        base = np.repeat(cells[:, None, :], 9, axis=1)
+        base[:, :, :2] += step
+        first, last = base.copy(), base
+        first[:, :, 2] -= 1
+        last[:, :, 2] += 1
+        start = np.searchsorted(self.keys, self._key(first))
+        count = np.searchsorted(self.keys, self._key(last), "right") - start
+        ends, low = np.cumsum(count.sum(axis=1)), 0
+        while low < len(points):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + self.most, "right")))
+            c, s = count[low:high].ravel(), start[low:high].ravel()
+            found = np.repeat(s - np.cumsum(c) + c, c) + np.arange(c.sum())
+            i = np.repeat(np.arange(low, high), count[low:high].sum(axis=1))
+            d = self.points[found] - points[i]
+            near = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) <= self.reach
+            yield i[near], self.order[found[near]]
+            low = high

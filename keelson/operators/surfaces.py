@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import se3
+from keelson.operators import grouped, sparse
 from keelson.sources.durable import drop_durable, durable
 
 BINS = 11
 #: Keys of more than one in so many rows meet their one row of facts by a broadcast: there are at most so many.
 HOT = 1000
+#: A block of points is so many radii wide; points within a radius of it are copied to it.
+BLOCK = 8
 
 
 def reaching(c: str, radius: float) -> Column:
@@ -88,16 +91,47 @@ def _smallest_axis(m: np.ndarray) -> np.ndarray:
 
 def normals(points: DataFrame, keys: list[str], radius: float = 0.16, most: int = 40) -> DataFrame:
     """EXT-19: ``keys, row_id, x, y, z, nx, ny, nz``: the axis of the least spread of the ``most`` nearest points within ``radius``, the
-    point included, turned away from the scan's centre. Null under three points."""
-    pairs = _nearest(near_pairs(points, points, keys, radius), keys, most)
-    prod = lambda a, b: F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(f"m{a}{b}")
-    moments = pairs.groupBy(*keys, "s").agg(F.count("*").alias("n"), *[F.sum(f"d{c}").alias(f"m{c}") for c in "xyz"], *[prod(a, b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
+    point included, turned away from the scan's centre. Null under three points. Points go to the block they lie in and to those within
+    ``radius`` (twice on average); pairs are made there and are rows of no table."""
     one = keys[0] if len(keys) == 1 else "_key"
-    p = points if len(keys) == 1 else points.withColumn(one, F.struct(*keys))
+    p = points.select(*keys, "row_id", "x", "y", "z")
+    p = p if len(keys) == 1 else p.withColumn(one, F.struct(*keys))
     centre = p.groupBy(one).agg(*[F.avg(c).alias(f"_c{c}") for c in "xyz"])
-    p = meet(p, centre, one).select(*keys, F.col("row_id").alias("s"), *[(F.col(c) - F.col(f"_c{c}")).alias(f"o{c}") for c in "xyz"])
-    found = _solved(moments.join(p, [*keys, "s"]), [*keys, "s"], _smallest_axis, "nx ny nz")
-    return points.select(*keys, "row_id", "x", "y", "z").join(found.withColumnRenamed("s", "row_id"), [*keys, "row_id"], "left")
+    p = meet(p, centre, one).select(*keys, "row_id", "x", "y", "z", *[(F.col(c) - F.col(f"_c{c}")).alias(f"o{c}") for c in "xyz"])
+    edge, reach = BLOCK * radius, radius * (1 + 1e-9)
+    block = lambda c: F.floor(c / edge).cast("long")
+    nothing = F.array(F.lit(0).cast("long"))
+    for c in "xyz":
+        p = p.withColumn(f"_b{c}", F.explode(F.coalesce(F.sequence(block(F.col(c) - reach), block(F.col(c) + reach)), nothing)))
+    inside = [F.coalesce(block(F.col(c)), F.lit(0)) == F.col(f"_b{c}") for c in "xyz"]
+    p = p.withColumn("_own", inside[0] & inside[1] & inside[2])
+
+    def solve(rows, at):
+        every, out = grouped.numbers(rows, ["x", "y", "z"]), grouped.numbers(rows, ["ox", "oy", "oz"])
+        own, axis, groups = rows.column("_own").to_numpy(), np.full((rows.num_rows, 3), np.nan), np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for low, high in zip(at[:-1], at[1:]):
+            there = low + np.flatnonzero(np.isfinite(every[low:high]).all(axis=1))
+            mine = there[own[there]]
+            if not len(mine):
+                continue
+            q = every[there]
+            for i, j in sparse.Grid(q, radius).pairs(every[mine]):
+                d = q[j] - every[mine[i]]
+                order = np.lexsort((j, np.round(np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]), 9), i))
+                i, d = i[order], d[order]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                few = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < most
+                i, d = i[few], d[few]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                products = np.stack([d[:, a] * d[:, b] for a, b in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))], axis=1)
+                sums = np.add.reduceat(np.concatenate([np.ones((len(i), 1)), d, products], axis=1), first, axis=0)
+                who = mine[i[first]]
+                axis[who] = _smallest_axis(np.concatenate([sums, out[who]], axis=1))
+        numbered = lambda v: pa.array(v[own], pa.float64(), from_pandas=True)
+        return {"group": groups[own], "row_id": rows.column("row_id").filter(rows.column("_own")).combine_chunks()} | {c: numbered(every[:, k]) for k, c in enumerate("xyz")} | {f"n{c}": numbered(axis[:, k]) for k, c in enumerate("xyz")}
+
+    found = grouped.whole_groups(p, [*keys, "_bx", "_by", "_bz"], ["row_id"], solve, grouped.kinds(points, ["row_id"]) + ", x double, y double, z double, nx double, ny double, nz double")
+    return found.drop("_bx", "_by", "_bz")
 
 
 def _bin(value: Column, low: float, width: float) -> Column:

@@ -126,3 +126,26 @@ def test_hulls_look_at_new_facets_only():
         p /= np.linalg.norm(p, axis=1)[:, None]
         assert len(hull_vertices(p)) == len(p)  # all lie on a sphere
     assert time.process_time() - begun < 10
+
+
+def test_normals_make_pairs_in_blocks(spark):
+    """One row a point also where ids repeat, over edges of blocks, with null coordinates; pairs are rows of no join."""
+    from keelson.operators import surfaces as S
+
+    rng = np.random.default_rng(6)
+    p = rng.uniform(-1.5, 1.5, (400, 3)) * [1, 1, 0.02]
+    rows = [(1, i if i else 1, *map(float, x)) for i, x in enumerate(p)] + [(1, 999, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "scan_id long, row_id long, x double, y double, z double")
+    got = S.normals(df, ["scan_id"], 0.3, 40).collect()
+    assert len(got) == 401 and [r.nx for r in got if r.x is None] == [None]
+    by = {(r.x, r.y): r for r in got}
+    for x in p[2:]:
+        d = np.linalg.norm(p - x, axis=1)
+        near = np.flatnonzero(d <= 0.3)
+        near = near[np.argsort(d[near], kind="stable")][:40]
+        r = by[float(x[0]), float(x[1])]
+        if len(near) < 3:
+            assert r.nx is None
+        else:
+            axis = np.linalg.eigh(np.cov((p[near] - x).T, bias=True))[1][:, 0]
+            assert abs(abs(axis @ [r.nx, r.ny, r.nz]) - 1) < 1e-6
