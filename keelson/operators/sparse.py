@@ -82,6 +82,43 @@ def solved(plan: Elimination, blocks: np.ndarray, right: np.ndarray) -> np.ndarr
     return x
 
 
+def solved_many(at: np.ndarray, diagonal: np.ndarray, a: np.ndarray, b: np.ndarray, cross: np.ndarray, right: np.ndarray, plans: dict[int, Elimination], dense: int = 32, most: int = 4_000_000) -> np.ndarray:
+    """x of the systems of many graphs at once: graph g has the nodes ``at[g]`` to ``at[g + 1]``, ``diagonal`` and ``right`` are by node,
+    ``cross`` by edge (a's rows, b's columns). Graphs of at most ``dense`` nodes are stacked, at most about ``most`` numbers at a time,
+    and those of like size solved in one call; larger ones go by block elimination, each for itself, whose orders are kept in ``plans``."""
+    k, x, size = right.shape[1], np.zeros_like(right), np.diff(at)
+    of = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(of[a], kind="stable")
+    a, b, cross = a[order], b[order], cross[order]
+    first = np.searchsorted(of[a], np.arange(len(size) + 1))
+    for g in np.flatnonzero(size > dense):
+        n, e = slice(at[g], at[g + 1]), slice(first[g], first[g + 1])
+        if g not in plans:
+            plans[g] = elimination(int(size[g]), a[e] - at[g], b[e] - at[g])
+        x[n] = solved(plans[g], assembled(plans[g], diagonal[n], cross[e]), right[n])
+    kinds = np.where((size > 0) & (size <= dense), -(-size // 4) * 4, 0)
+    for n in np.unique(kinds[kinds > 0]).tolist():
+        every = np.flatnonzero(kinds == n)
+        step = max(1, most // (n * k) ** 2)
+        for low in range(0, len(every), step):
+            some = every[low : low + step]
+            slot = np.full(len(size), -1)
+            slot[some] = np.arange(len(some))
+            m = np.zeros((len(some), n, n, k, k))
+            m[:, np.arange(n), np.arange(n)] = np.eye(k)
+            v = np.zeros((len(some), n, k))
+            node = np.flatnonzero(slot[of] >= 0)
+            where, place = slot[of[node]], node - at[of[node]]
+            m[where, place, place], v[where, place] = diagonal[node], right[node]
+            e = np.flatnonzero(slot[of[a]] >= 0)
+            where, i, j = slot[of[a[e]]], a[e] - at[of[a[e]]], b[e] - at[of[a[e]]]
+            np.add.at(m, (where, i, j), cross[e])
+            np.add.at(m, (where, j, i), cross[e].transpose(0, 2, 1))
+            got = np.linalg.solve(m.transpose(0, 1, 3, 2, 4).reshape(len(some), n * k, n * k), v.reshape(len(some), n * k, 1)).reshape(len(some), n, k)
+            x[node] = got[slot[of[node]], place]
+    return x
+
+
 class Grid:
     """Points sorted by cells of a reach's width, for the nearest within that reach."""
 

@@ -5,11 +5,13 @@ Poses: ``sequence_id, ordinal, frame_id, timestamp_us, t`` (a transform). Window
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import se3
+from keelson.operators import grouped
 
 
 def by_order():
@@ -82,23 +84,26 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("reason", F.when(F.row_number().over(w) > 1, "duplicate_pair"))
 
 
-def degree_capped(edges: DataFrame, degree: int) -> DataFrame:
-    """WIN-11: edges taken in order (weight down, ends, provenance) while both ends have fewer than ``degree``.
+def degree_capped(edges: DataFrame, degree: int, carry: list[str] | None = None) -> DataFrame:
+    """WIN-11: edges taken in order (weight down, ends, provenance) while both ends have fewer than ``degree``; columns ``carry`` come along.
 
     Each choice hangs on those before, so a graph is one group: its loop edges, which :func:`loop_pairs` caps."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(lo=pdf[["source", "target"]].min(axis=1), hi=pdf[["source", "target"]].max(axis=1), neg=-pdf["weight"]).sort_values(["neg", "lo", "hi", "provenance"], kind="stable")
-        used: dict[int, int] = {}
-        keep = []
-        for a, b in zip(pdf["source"], pdf["target"]):
-            ok = used.get(a, 0) < degree and used.get(b, 0) < degree
+    carry = carry or []
+    ends = [F.col(c).cast("int").alias(c) for c in ("source", "target")]
+    x = edges.select("sequence_id", *ends, F.col("weight").cast("double").alias("weight"), F.least("source", "target").alias("_lo"), F.greatest("source", "target").alias("_hi"), F.coalesce(-F.col("weight").cast("double"), F.lit(float("nan"))).alias("_neg"), F.col("provenance").isNull().alias("_none"), "provenance", *carry)
+
+    def solve(rows, at):
+        group, keep = np.repeat(np.arange(len(at) - 1), np.diff(at)), []
+        used: dict[tuple, int] = {}
+        for g, a, b in zip(group.tolist(), rows.column("source").to_pylist(), rows.column("target").to_pylist()):
+            ok = used.get((g, a), 0) < degree and used.get((g, b), 0) < degree
             keep.append(ok)
             if ok:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return pdf.assign(accepted=keep)[["sequence_id", "source", "target", "weight", "accepted"]]
+                used[g, a], used[g, b] = used.get((g, a), 0) + 1, used.get((g, b), 0) + 1
+        return {"group": group} | {c: rows.column(c) for c in ("source", "target", "weight", *carry)} | {"accepted": keep}
 
-    return edges.groupBy("sequence_id").applyInPandas(one, "sequence_id long, source int, target int, weight double, accepted boolean")
+    more = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for c in carry for f in [edges.schema[c]])
+    return grouped.whole_groups(x, ["sequence_id"], ["_neg", "_lo", "_hi", "_none", "provenance"], solve, f"source int, target int, weight double, {more}accepted boolean")
 
 
 def loop_weight(overlap: Column, span: Column) -> Column:
