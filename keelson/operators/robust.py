@@ -12,10 +12,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators import geometry as G
+from keelson.operators import grouped
 from keelson.sources.durable import drop_durable, durable
 
 SRC, REF = G.SRC, G.REF
@@ -29,36 +31,79 @@ def rotations(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> np.n
     return vt.transpose(0, 2, 1) @ flip @ u.transpose(0, 2, 1)
 
 
-def best_trial(s: np.ndarray, r: np.ndarray, triples: np.ndarray, inlier: float, alike: float, block: int = 256) -> tuple[int, float, int, np.ndarray] | None:
+def triangle_rotations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`rotations` of sets of three vectors that add up to zero: these lie in a plane, so it is the turn of one plane onto the other
+    and the best angle within it. Sets (almost) on a line are left to the general form."""
+    na, nb = np.cross(a[:, 0], a[:, 1]), np.cross(b[:, 0], b[:, 1])
+    sa, sb = np.sqrt((na**2).sum(axis=1)), np.sqrt((nb**2).sum(axis=1))
+    flat = (sa > 1e-4 * (a**2).sum(axis=(1, 2))) & (sb > 1e-4 * (b**2).sum(axis=(1, 2)))
+
+    def frames(p, n, size):
+        z, x = n / np.where(flat, size, 1.0)[:, None], p[:, 0]
+        x = x / np.where(flat, np.sqrt((x**2).sum(axis=1)), 1.0)[:, None]
+        return np.stack([x, np.cross(z, x), z], axis=1)
+
+    fa, fb = frames(a, na, sa), frames(b, nb, sb)
+    u, v = a @ fa.transpose(0, 2, 1), b @ fb.transpose(0, 2, 1)
+    angle = np.arctan2((u[:, :, 0] * v[:, :, 1] - u[:, :, 1] * v[:, :, 0]).sum(axis=1), (u[:, :, :2] * v[:, :, :2]).sum(axis=(1, 2)))
+    c, s = np.cos(angle), np.sin(angle)
+    turn = np.zeros((len(a), 3, 3))
+    turn[:, 0, 0], turn[:, 0, 1], turn[:, 1, 0], turn[:, 1, 1], turn[:, 2, 2] = c, -s, s, c, 1.0
+    out = fb.transpose(0, 2, 1) @ turn @ fa
+    if not flat.all():
+        out[~flat] = rotations(a[~flat], b[~flat])
+    return out
+
+
+def best_trial(s: np.ndarray, r: np.ndarray, triples: np.ndarray, inlier: float, alike: float, block: int = 1024) -> tuple[int, float, int, np.ndarray] | None:
     """``(inliers, rmse of these, place of the triple, transform)`` of the best triple: the most inliers, then the smallest rmse
     (rounded to 1e-9), then the first. A triple is fitted only if its three sides are alike in both clouds (the shorter at
-    least ``alike`` x the longer), and counted only if it fits its own three points within ``inlier``."""
-    best = None
-    ends = [(0, 1), (1, 2), (2, 0)]
+    least ``alike`` x the longer), and counted only if it fits its own three points within ``inlier``. One that misses more of the
+    first points than the best so far misses of all is not counted further, as it can't be the best."""
+    best, n = None, len(s)
+    ends, some = [(0, 1), (1, 2), (2, 0)], min(n, 24)
+
+    def squares(rot, shift, low, high):
+        m = len(rot)
+        d = (rot.reshape(3 * m, 3) @ s[low:high].T).reshape(m, 3, high - low)
+        d += shift[:, :, None]
+        d -= r[low:high].T
+        d *= d
+        return d[:, 0] + d[:, 1] + d[:, 2]
+
     for low in range(0, len(triples), block):
         t = triples[low : low + block]
         a, b = s[t], r[t]
-        la, lb = (np.stack([np.linalg.norm(p[:, i] - p[:, j], axis=1) for i, j in ends], axis=1) for p in (a, b))
-        at = np.flatnonzero(((np.minimum(la, lb) >= alike * np.maximum(la, lb)) & (np.minimum(la, lb) > 1e-9)).all(axis=1))
+        la, lb = (np.stack([np.sqrt(((p[:, i] - p[:, j]) ** 2).sum(axis=1)) for i, j in ends], axis=1) for p in (a, b))
+        short = np.minimum(la, lb)
+        at = np.flatnonzero(((short >= alike * np.maximum(la, lb)) & (short > 1e-9)).all(axis=1))
         if not len(at):
             continue
         a, b = a[at], b[at]
         ca, cb = a.mean(axis=1), b.mean(axis=1)
-        rot = rotations(a - ca[:, None], b - cb[:, None])
-        shift = cb - np.einsum("nij,nj->ni", rot, ca)
-        own = np.linalg.norm(a @ rot.transpose(0, 2, 1) + shift[:, None] - b, axis=2).max(axis=1) <= inlier
-        at, rot, shift = at[own], rot[own], shift[own]
+        a, b = a - ca[:, None], b - cb[:, None]
+        rot = triangle_rotations(a, b)
+        own = np.sqrt(((a @ rot.transpose(0, 2, 1) - b) ** 2).sum(axis=2)).max(axis=1) <= inlier
+        at, rot, shift = at[own], rot[own], (cb - np.einsum("nij,nj->ni", rot, ca))[own]
         if not len(at):
             continue
-        miss = np.linalg.norm(np.einsum("nij,mj->nmi", rot, s) + shift[:, None] - r, axis=2)
-        on = miss <= inlier
-        n = on.sum(axis=1)
-        rmse = np.round(np.sqrt(np.where(on, miss**2, 0).sum(axis=1) / np.maximum(n, 1)), 9)
-        k = np.lexsort((at, rmse, -n))[0]
-        if best is None or (-n[k], rmse[k], low + at[k]) < (-best[0], best[1], best[2]):
-            m = np.eye(4)
-            m[:3, :3], m[:3, 3] = rot[k], shift[k]
-            best = (int(n[k]), float(rmse[k]), int(low + at[k]), m)
+        first = squares(rot, shift, 0, some)
+        misses = (np.sqrt(first) > inlier).sum(axis=1)
+        for part in np.array_split(np.argsort(misses, kind="stable"), max(1, -(-len(at) // 128))):
+            if best is not None:
+                part = part[n - misses[part] >= best[0]]
+            if not len(part):
+                continue
+            miss = np.concatenate([first[part], squares(rot[part], shift[part], some, n)], axis=1)
+            on = np.sqrt(miss) <= inlier
+            count = on.sum(axis=1)
+            rmse = np.round(np.sqrt(np.where(on, miss, 0).sum(axis=1) / np.maximum(count, 1)), 9)
+            k = np.lexsort((part, rmse, -count))[0]
+            x = part[k]
+            if best is None or (-count[k], rmse[k], low + at[x]) < (-best[0], best[1], best[2]):
+                m = np.eye(4)
+                m[:3, :3], m[:3, 3] = rot[x], shift[x]
+                best = (int(count[k]), float(rmse[k]), int(low + at[x]), m)
     return best
 
 
@@ -76,19 +121,15 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
     """EXT-21: ``key, n, inliers, rmse, trials, transform`` from triples of correspondences (``key, idx, sx..rz``).
 
     Trials come in chunks of ``chunk``, each seeded by the context, the key and its number, so it doesn't matter where one is run. In a
-    round every open key has ``together`` chunks, then twice as many, and so on, each a task's group of its own; a key is closed when it
+    round every open key has ``together`` chunks, then twice as many, and so on, dealt over tasks (a key's apart from each other where keys are few); a key is closed when it
     has had ``trials`` or as many as its best share of inliers needs for ``confidence``. The best transform is fitted
     again to its inliers (kept if that loses none). Under three correspondences, or no triple with ``least`` inliers that passes the checks
     (sides alike, own points met): ``transform`` null, ``inliers`` 0. Rows with a null or infinite coordinate don't count; ties go to the earlier trial."""
-    kind = dict(corr.dtypes)[key]
     numbers = [F.col(c).cast("double").alias(c) for c in SRC + REF]
     finite = " AND ".join(f"abs({c}) < double('infinity')" for c in SRC + REF)
     rows = durable(corr.select(key, "idx", *numbers).where(finite), "consensus-rows")
-    state = f"`{key}` {kind}, n long, inliers long, rmse double, trial long, transform array<double>"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idx", *SRC, *REF])
-        k, c, n = pdf[key].iloc[0], int(pdf["_chunk"].iloc[0]), len(pdf)
+    def triples_of(k, c: int, n: int) -> np.ndarray:
         draw = _seeded(context, k, c).random((chunk, 3))
         # three different places: the second and third skip those before
         i, j = (draw[:, 0] * n).astype(int), (draw[:, 1] * (n - 1)).astype(int)
@@ -97,21 +138,32 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
         low, high = np.minimum(i, j), np.maximum(i, j)
         x += x >= low
         x += x >= high
-        best = best_trial(pdf[SRC].to_numpy(), pdf[REF].to_numpy(), np.column_stack([i, j, x])[: max(0, trials - c * chunk)], inlier, alike)
-        row = (k, n, 0, None, None, None) if best is None or best[0] < least else (k, n, best[0], best[1], c * chunk + best[2], best[3].ravel().tolist())
-        return pd.DataFrame([row], columns=[key, "n", "inliers", "rmse", "trial", "transform"])
+        return np.column_stack([i, j, x])[: max(0, trials - c * chunk)]
 
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idx", *SRC, *REF])
-        s, r, first = pdf[SRC].to_numpy(), pdf[REF].to_numpy(), pdf.iloc[0]
-        t, n = np.array(first["transform"], float).reshape(4, 4), int(first["inliers"])
-        on = np.linalg.norm(G.moved(t, s) - r, axis=1) <= inlier
-        fit = G.kabsch(s[on], r[on])
-        if fit is not None and (now := np.linalg.norm(G.moved(fit, s) - r, axis=1) <= inlier).sum() >= on.sum():
-            t, on = fit, now
-        miss = np.linalg.norm(G.moved(t, s) - r, axis=1)[on]
-        n = len(miss)
-        return pd.DataFrame([(first[key], n, float(np.sqrt((miss**2).mean())) if n else None, t.ravel().tolist())], columns=[key, "_inliers", "_rmse", "_transform"])
+    def tried(table, at):
+        s, r = grouped.numbers(table, SRC), grouped.numbers(table, REF)
+        firsts, lasts, names = (table.column(c).take(pa.array(at[:-1])).to_pylist() for c in ("_chunk", "_last", key))
+        out = []
+        for g, (k, c, last) in enumerate(zip(names, firsts, lasts)):
+            mine = slice(at[g], at[g + 1])
+            n = int(at[g + 1] - at[g])
+            best = best_trial(s[mine], r[mine], np.concatenate([triples_of(k, x, n) for x in range(c, last + 1)]), inlier, alike)
+            if best is not None and best[0] >= least:
+                out.append((g, best[0], best[1], c * chunk + best[2], best[3].ravel().tolist()))
+        return dict(zip(("group", "inliers", "rmse", "trial", "transform"), map(list, zip(*out)))) if out else {"group": [], "inliers": [], "rmse": [], "trial": [], "transform": []}
+
+    def again(table, at):
+        every_s, every_r, out = grouped.numbers(table, SRC), grouped.numbers(table, REF), []
+        for g, (first, inliers) in enumerate(zip(table.column("transform").take(pa.array(at[:-1])).to_pylist(), table.column("inliers").take(pa.array(at[:-1])).to_pylist())):
+            s, r = every_s[at[g] : at[g + 1]], every_r[at[g] : at[g + 1]]
+            t = np.array(first, float).reshape(4, 4)
+            on = np.linalg.norm(G.moved(t, s) - r, axis=1) <= inlier
+            fit = G.kabsch(s[on], r[on])
+            if fit is not None and (now := np.linalg.norm(G.moved(fit, s) - r, axis=1) <= inlier).sum() >= on.sum():
+                t, on = fit, now
+            miss = np.linalg.norm(G.moved(t, s) - r, axis=1)[on]
+            out.append((g, len(miss), float(np.sqrt((miss**2).mean())) if len(miss) else None, t.ravel().tolist()))
+        return dict(zip(("group", "_inliers", "_rmse", "_transform"), map(list, zip(*out))))
 
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
     now = durable(sizes.select(key, "n", F.lit(0).cast("long").alias("inliers"), F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("long").alias("trial"), F.lit(None).cast("array<double>").alias("transform"), (F.col("n") >= 3).alias("open"), F.lit(0).cast("long").alias("trials")), "consensus")
@@ -119,14 +171,17 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
     width = together
     while done * chunk < trials:
         upto = min(done + width, -(-trials // chunk))
-        chunks = F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("_chunk")
-        tasks = now.where("open").select(key, chunks)
-        if tasks.isEmpty():
+        many = now.where("open").count()
+        if not many:
             break
-        spread = G._dealt(rows.join(tasks, key), key, "_chunk")
-        found = spread.groupBy(key, "_chunk").applyInPandas(one, state).drop("n").where("transform IS NOT NULL").withColumn("trials", F.lit(0).cast("long"))
+        # a key's chunks are parted only where there are fewer keys than tasks can take
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = max(1, min(upto - done, (upto - done) * many // (8 * parts)))
+        tasks = now.where("open").select(key, F.explode(F.sequence(F.lit(done), F.lit(upto - 1), F.lit(each))).alias("_chunk"))
+        tasks = tasks.withColumn("_last", F.least(F.col("_chunk") + each, F.lit(upto)) - 1)
+        found = grouped.whole_groups(rows.join(tasks, key), [key, "_chunk"], ["idx", *SRC, *REF], tried, "inliers long, rmse double, trial long, transform array<double>")
         order = F.struct((-F.col("inliers")).alias("a"), F.col("rmse").alias("b"), F.col("trial").alias("c"))
-        both = now.where("transform IS NOT NULL").select(key, "inliers", "rmse", "trial", "transform").unionByName(found.drop("trials"))
+        both = now.where("transform IS NOT NULL").select(key, "inliers", "rmse", "trial", "transform").unionByName(found.drop("_chunk"))
         best = both.groupBy(key).agg(F.min_by(F.struct("inliers", "rmse", "trial", "transform"), order).alias("_b"))
         made = min(upto * chunk, trials)
         x = now.drop("inliers", "rmse", "trial", "transform").join(best, key, "left").withColumn("trials", F.when(F.col("open"), F.lit(made).cast("long")).otherwise(F.col("trials")))
@@ -135,7 +190,7 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
         before, now = now, durable(x, "consensus")
         drop_durable(before)
         done, width = upto, width * 2
-    fits = rows.join(now.where("transform IS NOT NULL").select(key, "inliers", "transform"), key).groupBy(key).applyInPandas(again, f"`{key}` {kind}, _inliers long, _rmse double, _transform array<double>")
+    fits = grouped.whole_groups(rows.join(now.where("transform IS NOT NULL").select(key, "inliers", "transform"), key), [key], ["idx", *SRC, *REF], again, "_inliers long, _rmse double, _transform array<double>")
     out = now.join(fits, key, "left")
     return out.select(key, "n", F.coalesce("_inliers", F.lit(0).cast("long")).alias("inliers"), F.col("_rmse").alias("rmse"), "trials", F.col("_transform").alias("transform"))
 

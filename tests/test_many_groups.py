@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from keelson.operators import pose_graphs as PG
+from keelson.operators import robust as R
 from keelson.operators import sparse
 from keelson.plans import registry
 
@@ -54,6 +55,42 @@ def test_many_pose_graphs_are_each_one():
     assert (after**2).sum() < (before**2).sum()
 
 
-@pytest.mark.parametrize("name", ["udf_pose_graph", "udf_pose_graph_se3"])
+@pytest.mark.parametrize("name", ["udf_pose_graph", "udf_pose_graph_se3", "udf_sampled_consensus"])
 def test_no_frame_a_group(spark, name):
     assert "GroupsInPandas" not in plan_of(registry.QUERIES[name](spark, SF))
+
+
+def test_triangles_turn_as_the_general_fit_does():
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(500, 3, 3)), rng.normal(size=(500, 3, 3))
+    b[:250] = a[:250] @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + rng.normal(0, 0.02, (250, 3, 3))
+    a[:5, 2], b[:5, 2] = 2 * a[:5, 1] - a[:5, 0], 2 * b[:5, 1] - b[:5, 0]  # on a line
+    a, b = a - a.mean(axis=1)[:, None], b - b.mean(axis=1)[:, None]
+    got, want = R.triangle_rotations(a, b), R.rotations(a, b)
+    loss = lambda t: ((a @ t.transpose(0, 2, 1) - b) ** 2).sum(axis=(1, 2))
+    assert np.allclose(loss(got), loss(want), atol=1e-9) and np.allclose(np.linalg.det(got), 1)
+    assert np.allclose(got[5:], want[5:], atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 1.0])
+def test_best_trial_counts_every_triple_that_may_win(share):
+    rng, n = np.random.default_rng(11), 90
+    s = rng.uniform(0, 3, (n, 3))
+    r = s @ R.rotations(rng.normal(size=(1, 3, 3)), rng.normal(size=(1, 3, 3)))[0].T + rng.normal(0, 0.02, (n, 3))
+    wrong = rng.random(n) > share
+    r[wrong] = rng.uniform(0, 3, (wrong.sum(), 3))
+    triples = np.array([rng.choice(n, 3, replace=False) for _ in range(2500)])
+    want = None
+    for place, t in enumerate(triples):
+        la, lb = (np.array([np.linalg.norm(p[i] - p[j]) for i, j in ((0, 1), (1, 2), (2, 0))]) for p in (s[t], r[t]))
+        if (np.minimum(la, lb) < 0.9 * np.maximum(la, lb)).any():
+            continue
+        ca, cb = s[t].mean(axis=0), r[t].mean(axis=0)
+        rot = R.rotations((s[t] - ca)[None], (r[t] - cb)[None])[0]
+        miss = np.linalg.norm((s - ca) @ rot.T + cb - r, axis=1)
+        if miss[t].max() <= 0.05:
+            row = (-int((miss <= 0.05).sum()), round(float(np.sqrt((miss[miss <= 0.05] ** 2).mean())), 9), place)
+            want = row if want is None or row < want else want
+    got = R.best_trial(s, r, triples, 0.05, 0.9)
+    assert want == (None if got is None else (-got[0], got[1], got[2]))
+    assert share < 0.5 or got[0] > 3
