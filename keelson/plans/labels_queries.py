@@ -25,7 +25,7 @@ def statistics(spark, d):
 @query("agg_label_audit", V.sql("points", f"WITH {STATS}, w AS (SELECT *, count(*) FILTER (WHERE label = 'positive') OVER (PARTITION BY pair_id, a) AS of_a, count(*) FILTER (WHERE label = 'positive') OVER (PARTITION BY pair_id, b) AS of_b FROM h) SELECT pair_id, count(*) FILTER (WHERE label = 'positive') AS positive, count(*) FILTER (WHERE label = 'negative') AS negative, count(*) FILTER (WHERE label = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE hard) AS hard, count(*) FILTER (WHERE label = 'positive' AND of_a = 1 AND of_b = 1) AS one_to_one, count(DISTINCT a) FILTER (WHERE label = 'positive' AND of_a > 1) AS split, count(DISTINCT b) FILTER (WHERE label = 'positive' AND of_b > 1) AS merged FROM w GROUP BY pair_id"))
 def audited(spark, d):
     """AGG-23."""
-    return L.label_audit(_labelled(spark, d))
+    return L.pair_audit(V.points(spark, d), 0.4, 0.3003, 0.1003)
 
 
 @query("agg_detection_scores", V.sql("runs", "WITH c AS (SELECT dataset, count(*) FILTER (WHERE coverage >= 0.4003 AND rre <= 8) AS tp, count(*) FILTER (WHERE coverage >= 0.4003 AND NOT rre <= 8) AS fp, count(*) FILTER (WHERE NOT coverage >= 0.4003 AND rre <= 8) AS fn FROM runs WHERE coverage IS NOT NULL GROUP BY dataset), p AS (SELECT *, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall FROM c) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from keelson.operators import consensus as C
+from keelson.operators import labels as L
 from keelson.operators import pose_graphs as PG
 from keelson.operators import robust as R
 from keelson.operators import sparse
@@ -130,3 +131,27 @@ def test_null_numbers_are_not_beyond_a_bound(spark):
     assert {(r["mask"], r["size"]) for r in C.maximal_cliques(df, ["grp"], 5.0, 0.1).collect()} == {(0b1011, 3), (0b1110, 3)}
     r = C.direction_cluster(df, ["grp"], 5.0, 0.1, 2).first()
     assert (r["size"], r["usable"], r["reasons"], r["medoid"]) == (3, False, ["largest_not_unique"], None)
+
+
+@pytest.mark.parametrize("name", ["join_object_pair_statistics", "agg_label_audit"])
+def test_pairs_of_objects_are_no_rows_of_a_shuffle(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_cells_in_stretches_and_audits(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(s), int(k), *map(float, p)) for s, k, p in zip(rng.choice([1, 2, 3, 7], 900), rng.integers(0, 6, 900), rng.uniform(-1, 1, (900, 3)))]
+    df = spark.createDataFrame(rows, "scan_id long, label long, x double, y double, z double")
+    cells = {}
+    for s, k, *p in rows:
+        cells.setdefault((s, k), set()).add(tuple(np.floor(np.array(p) / 0.4).astype(int)))
+    want = {(s, a, b): len(x & y) for (s, a), x in cells.items() for (u, b), y in cells.items() if u == s + 1 and x & y}
+    for block in (1, 60, 4_000_000):
+        got = L._shared_cells(df, 0.4, lambda c, n: {k: c[k] for k in ("group", "a", "b", "common", "na", "nb")}, "a long, b long, common long, na long, nb long", block).collect()
+        assert {(r.pair_id, r.a, r.b): r.common for r in got} == want and len(got) == len(want)
+        assert all((r.na, r.nb) == (len(cells[r.pair_id, r.a]), len(cells[r.pair_id + 1, r.b])) for r in got)
+    bounds = (0.6, 0.45, 0.8)
+    audit = lambda x: {r["pair_id"]: r.asDict() for r in x.collect()}
+    found = audit(L.pair_audit(df, 0.4, *bounds))
+    assert found == audit(L.label_audit(L.classified(L.pair_statistics(df, 0.4), *bounds))) and any(r["positive"] for r in found.values())
