@@ -151,7 +151,7 @@ def test_cells_in_stretches_and_audits(spark):
         got = L._shared_cells(df, 0.4, lambda c, n: {k: c[k] for k in ("group", "a", "b", "common", "na", "nb")}, "a long, b long, common long, na long, nb long", block).collect()
         assert {(r.pair_id, r.a, r.b): r.common for r in got} == want and len(got) == len(want)
         assert all((r.na, r.nb) == (len(cells[r.pair_id, r.a]), len(cells[r.pair_id + 1, r.b])) for r in got)
-    bounds = (0.6, 0.45, 0.8)
+    bounds = (0.2, 0.15, 0.7)
     audit = lambda x: {r["pair_id"]: r.asDict() for r in x.collect()}
     found = audit(L.pair_audit(df, 0.4, *bounds))
     assert found == audit(L.label_audit(L.classified(L.pair_statistics(df, 0.4), *bounds))) and any(r["positive"] for r in found.values())
