@@ -6,9 +6,13 @@ around it), never all pairs of a scan.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.operators import grouped, sparse
+
 
 def cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(size)).cast("long")
@@ -56,19 +60,32 @@ def voxel_iou(points: DataFrame, pairs: DataFrame, size: float = 0.05) -> DataFr
     return x.select("scan_id", "a", "b", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("iou"))
 
 
-def nearest_within(source: DataFrame, target: DataFrame, radius: float) -> DataFrame:
+def nearest_within(source: DataFrame, target: DataFrame, radius: float, block: int = 16) -> DataFrame:
     """JOI-13: every source point's distance to the nearest target point of its scan, null beyond ``radius``.
 
-    Cells are twice the radius, so a source point is copied to the one or two cells that the radius reaches on each axis
-    (three if its ends lie on edges): 3.4 on average."""
-    s = source.select("scan_id", F.col("row_id").alias("s"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    spread, reach = s, radius * (1 + 1e-9)
+    Points are shuffled by blocks ``block`` radii wide: a source point once, a target point also to the neighbours whose rim it lies in. Source rows
+    with one ``row_id`` all have the least of their distances."""
+    width, reach = block * radius, radius * (1 + 1e-9)
+    kind, axes = dict(source.dtypes)["row_id"], [F.col(c).cast("double").alias(c) for c in "xyz"]
+    s = source.select("scan_id", *[cell(F.col(c).cast("double"), width).alias(f"i{c}") for c in "xyz"], F.lit(0).alias("side"), F.col("row_id").alias("s"), *axes)
+    t = target.select("scan_id", *axes).where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
     for c in "xyz":
-        spread = spread.withColumn(f"i{c}", F.explode(F.sequence(cell(F.col(f"s{c}") - reach, 2 * radius), cell(F.col(f"s{c}") + reach, 2 * radius))))
-    t = target.select("scan_id", *[cell(c, 2 * radius).alias(f"i{c}") for c in "xyz"], *[F.col(c).alias(f"t{c}") for c in "xyz"])
-    d = F.sqrt(sum(((F.col(f"s{c}") - F.col(f"t{c}")) * (F.col(f"s{c}") - F.col(f"t{c}")) for c in "yz"), (F.col("sx") - F.col("tx")) * (F.col("sx") - F.col("tx"))))
-    best = spread.join(t, ["scan_id", "ix", "iy", "iz"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("scan_id", "s").agg(F.min("d").alias("d"))
-    return s.select("scan_id", "s").join(best, ["scan_id", "s"], "left")
+        t = t.withColumn(f"i{c}", F.explode(F.sequence(cell(F.col(c) - reach, width), cell(F.col(c) + reach, width))))
+    t = t.select("scan_id", "ix", "iy", "iz", F.lit(1).alias("side"), F.lit(None).cast(kind).alias("s"), *"xyz")
+
+    def solve(rows, at):
+        side, points = rows.column("side").to_numpy(), grouped.numbers(rows, ["x", "y", "z"])
+        mine = np.flatnonzero(side == 0)
+        d = np.full(len(side), np.inf)
+        for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
+            half = low + int(np.searchsorted(side[low:high], 1))
+            if low < half < high:
+                d[low:half] = sparse.Grid(points[half:high], radius).nearest(points[low:half])[1]
+        group = np.repeat(np.arange(len(at) - 1), np.diff(at))[mine]
+        return {"group": group, "s": rows.column("s").take(pa.array(mine)), "d": pa.array(d[mine], mask=~(d[mine] <= radius))}
+
+    found = grouped.whole_groups(s.unionByName(t), ["scan_id", "ix", "iy", "iz"], ["side"], solve, f"s {kind}, d double")
+    return found.select("scan_id", "s", F.min("d").over(Window.partitionBy("scan_id", "s")).alias("d"))
 
 
 def surface_metrics(forward: DataFrame, backward: DataFrame, threshold: float, trim: float = 0.9) -> DataFrame:

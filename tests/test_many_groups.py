@@ -7,6 +7,7 @@ import pytest
 
 from keelson.operators import consensus as C
 from keelson.operators import labels as L
+from keelson.operators import points as P
 from keelson.operators import pose_graphs as PG
 from keelson.operators import robust as R
 from keelson.operators import sparse
@@ -155,3 +156,21 @@ def test_cells_in_stretches_and_audits(spark):
     audit = lambda x: {r["pair_id"]: r.asDict() for r in x.collect()}
     found = audit(L.pair_audit(df, 0.4, *bounds))
     assert found == audit(L.label_audit(L.classified(L.pair_statistics(df, 0.4), *bounds))) and any(r["positive"] for r in found.values())
+
+
+def test_nearest_points_over_the_rims_of_blocks(spark):
+    """A source is in one block, whatever is near it beyond the rim is seen; a row number that comes twice, nulls and no number."""
+    rng = np.random.default_rng(19)
+    a, b = rng.uniform(-1.7, 1.7, (400, 3)), rng.uniform(-1.7, 1.7, (400, 3))
+    b[:100] = a[:100] + rng.normal(0, 0.05, (100, 3))
+    b[7] = float("nan")
+    rows = lambda p: [(1, i, *map(float, x)) for i, x in enumerate(p)]
+    frame = lambda p: spark.createDataFrame(p, "scan_id long, row_id long, x double, y double, z double")
+    found = P.nearest_within(frame([*rows(a), (1, 0, 9.0, 9.0, 9.0), (1, 900, None, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0)]), frame(rows(b)), 0.2, block=2)
+    assert "Join" not in plan_of(found)
+    got = found.collect()
+    d = np.sqrt(((a[:, None] - np.delete(b, 7, axis=0)[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert len(got) == 403 and [r.d for r in got if r.scan_id == 2 or r.s == 900] == [None, None]
+    for r in got:
+        if r.scan_id == 1 and r.s < 400:
+            assert (r.d is None) == bool(d[r.s] > 0.2) and (r.d is None or abs(r.d - d[r.s]) < 1e-12)
