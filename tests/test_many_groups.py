@@ -134,7 +134,7 @@ def test_null_numbers_are_not_beyond_a_bound(spark):
     assert (r["size"], r["usable"], r["reasons"], r["medoid"]) == (3, False, ["largest_not_unique"], None)
 
 
-@pytest.mark.parametrize("name", ["join_object_pair_statistics", "agg_label_audit"])
+@pytest.mark.parametrize("name", ["join_object_pair_statistics", "agg_label_audit", "window_node_pair_cap"])
 def test_pairs_of_objects_are_no_rows_of_a_shuffle(spark, name):
     plan = plan_of(registry.QUERIES[name](spark, SF))
     assert "Join" not in plan and "Window" not in plan
