@@ -1,4 +1,4 @@
-"""Sparse helpers of the grouped numerics: symmetric block systems of graphs, and nearest points within a reach."""
+"""Sparse helpers of the grouped numerics: symmetric block systems of graphs, and nearest points within a reach, also of many clouds."""
 
 from __future__ import annotations
 
@@ -156,6 +156,11 @@ class Grid:
         last[:, :, 2] = np.minimum(base[:, :, 2] + 1, self.low[2] + self.size[2] - 1)
         start = np.where(ok, np.searchsorted(self.keys, self._key(first)), 0)
         count = np.where(ok, np.searchsorted(self.keys, self._key(last), "right"), 0) - start
+        self._best(points, at, start, count, index, dist)
+        return index, dist
+
+    def _best(self, points: np.ndarray, at: np.ndarray, start: np.ndarray, count: np.ndarray, index: np.ndarray, dist: np.ndarray) -> None:
+        """Puts into ``index`` and ``dist`` what the points ``at`` find in their stretches of sorted points (rows of ``start`` and ``count``)."""
         total = count.sum(axis=1)
         ends = np.cumsum(total)
         low = 0
@@ -173,7 +178,6 @@ class Grid:
                 who = at[low:high][some][near]
                 index[who], dist[who] = place[near], best[near]
             low = high
-        return index, dist
 
     def pairs(self, points: np.ndarray):
         """``(i, j)`` of points and grid points within the reach of each other, for stretches of points: ``most`` candidates or
@@ -197,3 +201,46 @@ class Grid:
             near = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) <= self.reach
             yield i[near], self.order[found[near]]
             low = high
+
+
+class Grids(Grid):
+    """The same for many clouds at once: ``of`` is each point's cloud, of ``clouds``. Cells count from a cloud's own corner and are wider than
+    the reach in a cloud of over 2^14 of them a side, so keys stay short wherever a cloud lies. Points that aren't finite are near none."""
+
+    def __init__(self, points: np.ndarray, of: np.ndarray, clouds: int, reach: float, most: int = 2_000_000):
+        self.reach, self.most = reach, most
+        kept = np.flatnonzero(np.isfinite(points).all(axis=1))
+        p, of = points[kept], of[kept]
+        low, high = np.full((clouds, 3), np.inf), np.full((clouds, 3), -np.inf)
+        np.minimum.at(low, of, p)
+        np.maximum.at(high, of, p)
+        self.corner, extent = np.where(low <= high, low, 0.0), np.where(low <= high, high - low, -1.0)
+        self.width = np.maximum(reach * (1 + 1e-9), extent.max(axis=1) / 2**14)[:, None]  # wider by a hair: rounding parts no pair at the reach
+        self.size = np.where(low <= high, np.floor(extent / self.width).astype(np.int64) + 3, 0)  # with a rim of empty cells
+        self.base = np.r_[0, np.cumsum(self.size.prod(axis=1))[:-1]]
+        key = self._keys(np.floor((p - self.corner[of]) / self.width[of]).astype(np.int64) + 1, of)
+        order = np.argsort(key, kind="stable")
+        self.order, self.keys, self.points = kept[order], key[order], p[order]
+
+    def _keys(self, cells: np.ndarray, of: np.ndarray) -> np.ndarray:
+        size = self.size[of]
+        return self.base[of] + (cells[:, 0] * size[:, 1] + cells[:, 1]) * size[:, 2] + cells[:, 2]
+
+    def nearest(self, points: np.ndarray, of: np.ndarray, block: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`Grid.nearest`, each point in its own cloud."""
+        index, dist = np.full(len(points), -1), np.full(len(points), np.inf)
+        for begin in range(0, len(points) if len(self.points) else 0, block):
+            p, g = points[begin : begin + block], of[begin : begin + block]
+            finite = np.isfinite(p).all(axis=1)
+            cells = np.floor((np.where(finite[:, None], p, 0) - self.corner[g]) / self.width[g]) + 1
+            at = np.flatnonzero(finite & (cells >= 0).all(axis=1) & (cells < self.size[g]).all(axis=1))
+            cells, g = cells[at].astype(np.int64), g[at]
+            size, start, count = self.size[g], np.zeros((len(at), 9), np.int64), np.zeros((len(at), 9), np.int64)
+            for k, (i, j) in enumerate((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                c = cells + (i, j, 0)
+                ok = np.flatnonzero(((c[:, :2] >= 1) & (c[:, :2] < size[:, :2] - 1)).all(axis=1))
+                middle, z = self._keys(c[ok], g[ok]), cells[ok, 2]
+                start[ok, k] = np.searchsorted(self.keys, middle - (z > 0))
+                count[ok, k] = np.searchsorted(self.keys, middle + (z < size[ok, 2] - 1), "right") - start[ok, k]
+            self._best(points, at + begin, start, count, index, dist)
+        return index, dist

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from keelson.operators import consensus as C
+from keelson.operators import geometry as G
 from keelson.operators import labels as L
 from keelson.operators import points as P
 from keelson.operators import pose_graphs as PG
@@ -174,3 +175,63 @@ def test_nearest_points_over_the_rims_of_blocks(spark):
     for r in got:
         if r.scan_id == 1 and r.s < 400:
             assert (r.d is None) == bool(d[r.s] > 0.2) and (r.d is None or abs(r.d - d[r.s]) < 1e-12)
+
+
+def one_registration(a, b, reach, iterations, least):
+    """A pair's rounds, one after the other, against all points."""
+    t, trace = np.eye(4), []
+    for _ in range(iterations if len(a) and len(b) else 0):
+        now = G.moved(t, a)
+        d = np.linalg.norm(now[:, None] - b[None], axis=2)
+        index, near = d.argmin(axis=1), d.min(axis=1)
+        on = near <= reach
+        step = G.kabsch(now[on], b[index[on]]) if on.sum() >= least else None
+        if step is None:
+            break
+        after = np.linalg.norm(G.moved(step, now[on]) - b[index[on]], axis=1)
+        trace.append((np.sqrt((near[on] ** 2).mean()), np.sqrt((after**2).mean()), *G.distance(step, np.eye(4))))
+        t = step @ t
+    return t, np.array(trace).reshape(-1, 4)
+
+
+def test_many_registrations_are_each_one(spark):
+    rng, pairs = np.random.default_rng(11), {}
+    for k, n in enumerate((300, 40, 9, 0, 12, 80)):
+        b = rng.uniform(0, 2, (n, 3)) + (0 if k < 5 else 1e6)
+        pairs[k] = (b + rng.normal(0, 0.03, b.shape) - [0.05, -0.04, 0.03], b)
+    pairs[6] = (pairs[1][0], np.zeros((0, 3)))
+    pairs[7] = (rng.uniform(0, 1, (30, 1)) * [1.0, 2.0, 3.0], np.linspace(0, 1, 30)[:, None] * [1.0, 2.0, 3.0])  # on a line
+    far = np.array([[1e15, 0, 0], [-1e15, 3, 1e15]])
+    pairs[8] = (np.concatenate([far + 5, pairs[0][0]]), np.concatenate([pairs[0][1], far]))
+    rows = [(k, 1000 * side + i, side, *map(float, p)) for k, ab in pairs.items() for side in (0, 1) for i, p in enumerate(ab[side])]
+    rows += [(1, 5000, 1, None, 1.0, 1.0), (1, 5001, 0, 1.0, None, 1.0), (1, 5002, None, 1.0, 1.0, 1.0)]  # of no use to the pair
+    got = {r["k"]: r for r in G.registered(spark.createDataFrame(rows, "k long, row_id long, side int, x double, y double, z double"), "k").collect()}
+    assert set(got) == {k for k, ab in pairs.items() if len(ab[0]) + len(ab[1])}
+    for k, r in got.items():
+        t, trace = one_registration(*pairs[k], 0.2, 30, 10)
+        scale = 1 + np.abs(t).max()
+        assert np.allclose(np.array(r["transform"]).reshape(4, 4), t, atol=1e-9 * scale)
+        assert np.allclose(np.array([tuple(s) for s in r["trace"]]).reshape(-1, 4), trace, atol=1e-5 * scale)
+    assert len(got[0]["trace"]) == len(got[5]["trace"]) == 30 and got[2]["trace"] == got[7]["trace"] == []
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_nearest_in_many_clouds_is_brute_force(most):
+    rng = np.random.default_rng(12)
+    sizes = [(0, 3), (5, 0), (1, 1), (200, 150), (90, 200)]
+    of, at = (np.repeat(np.arange(5), [s[i] for s in sizes]) for i in (0, 1))
+    p, q = rng.normal(0, 0.5, (len(of), 3)), rng.normal(0, 0.5, (len(at), 3))
+    q[at == 4] *= 1e5
+    p[of == 4] = q[at == 4][:90] + 0.1
+    p[-1], q[0], q[6:8] = np.nan, np.nan, q[5]
+    mix = rng.permutation(len(p))
+    index, d = sparse.Grids(q, at, 5, 0.2, most).nearest(p[mix], of[mix], 64)
+    for x, g, i, near in zip(p[mix], of[mix], index, d):
+        every = np.where(at == g, np.linalg.norm(q - x, axis=1), np.nan)
+        best = np.nanmin(np.r_[every, np.inf])
+        assert (i, near) == ((np.flatnonzero(every == best)[0], best) if best <= 0.2 else (-1, np.inf))
+    assert (index >= 0).sum() > 150
+
+
+def test_registration_makes_no_frame_a_pair(spark):
+    assert "GroupsInPandas" not in plan_of(registry.QUERIES["udf_registration"](spark, SF))
