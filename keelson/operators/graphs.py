@@ -61,11 +61,13 @@ def bag_of_words(triples: DataFrame, vocabulary: DataFrame, key: str = "sub") ->
 
 def roots(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """AGG-03: a scan's most frequent edge end (ties: smallest id); without edges, or if that is no object, the first object."""
-    ends = edges.select("scan_id", F.col("sub").alias("object_id")).union(edges.select("scan_id", F.col("obj").alias("object_id")))
-    top = ends.groupBy("scan_id", "object_id").agg(F.count("*").alias("n")).groupBy("scan_id").agg(F.min(F.struct(-F.col("n"), F.col("object_id").alias("object_id")))["object_id"].alias("top"))
-    first = objects.groupBy("scan_id").agg(F.min("object_id").alias("first"))
-    known = top.join(objects.withColumnRenamed("object_id", "top"), ["scan_id", "top"], "left_semi")
-    return first.join(known, "scan_id", "left").select("scan_id", F.coalesce("top", "first").alias("root"))
+    ends = edges.select("scan_id", F.explode(F.array("sub", "obj")).alias("object_id"), F.lit(1).alias("end"))
+    marks = ends.union(objects.select("scan_id", "object_id", F.lit(0)))
+    seen = marks.groupBy("scan_id", "object_id").agg(F.sum("end").alias("n"), (F.min("end") == 0).alias("is_object"))
+    top = F.min(F.when(F.col("n") > 0, F.struct(-F.col("n"), F.col("object_id").alias("object_id"), "is_object")))
+    first = F.min(F.when(F.col("is_object"), F.col("object_id")))
+    scans = seen.groupBy("scan_id").agg(top.alias("top"), first.alias("first"), F.max("is_object").alias("known")).where("known")
+    return scans.select("scan_id", F.coalesce(F.when(F.col("top.is_object") & F.col("scan_id").isNotNull(), F.col("top.object_id")), F.col("first")).alias("root"))
 
 
 def anchors_by_global_id(source: DataFrame, reference: DataFrame) -> DataFrame:

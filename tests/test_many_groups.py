@@ -7,6 +7,7 @@ import pytest
 
 from keelson.operators import consensus as C
 from keelson.operators import geometry as G
+from keelson.operators import graphs as S
 from keelson.operators import labels as L
 from keelson.operators import points as P
 from keelson.operators import pose_graphs as PG
@@ -235,3 +236,28 @@ def test_nearest_in_many_clouds_is_brute_force(most):
 
 def test_registration_makes_no_frame_a_pair(spark):
     assert "GroupsInPandas" not in plan_of(registry.QUERIES["udf_registration"](spark, SF))
+
+
+def test_roots_read_relations_twice_over_many_tasks(spark):
+    plan = plan_of(registry.QUERIES["agg_root_object"](spark, SF))
+    assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") <= 2
+    parts = [int(line.rsplit(", ", 1)[1]) for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(parts) == 4 and min(parts) >= 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_roots_are_brute_force(spark):
+    rng = np.random.default_rng(13)
+    edges = [(int(s), *(None if x == 5 else int(x) for x in rng.integers(0, 6, 2))) for s in np.sort(rng.integers(0, 40, 150))]
+    edges += [(None, 1, 1), (50, 1, 1)]  # no scan; a scan without objects
+    objects = [(int(s), None if x == 5 else int(x)) for s, x in zip(rng.integers(0, 44, 120), rng.integers(0, 6, 120))] + [(60, None), (None, 3), (None, 1)]
+    want = {}
+    for s in {s for s, _ in objects}:
+        own = {o for t, o in objects if t == s and o is not None}
+        n = {}
+        for t, *ends in edges:
+            for e in ends if t == s and s is not None else []:
+                n[e] = n.get(e, 0) + 1
+        top = min(n, key=lambda e: (-n[e], e is not None, e or 0)) if n else None
+        want[s] = top if top in own else min(own, default=None)
+    got = S.roots(spark.createDataFrame(edges, "scan_id long, sub long, obj long"), spark.createDataFrame(objects, "scan_id long, object_id long")).collect()
+    assert len(got) == len(want) and {r["scan_id"]: r["root"] for r in got} == want
