@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keelson.functions.vectors import rounded
@@ -8,7 +9,7 @@ from keelson.operators import trajectories as T
 from keelson.plans import views as V
 from keelson.plans.correspondences_queries import corr
 from keelson.plans.registry import query
-from keelson.plans.trajectories_queries import _loops, _poses
+from keelson.plans.trajectories_queries import _poses
 
 
 def _best(spark, d):
@@ -93,13 +94,22 @@ def modes(spark, d):
 
 @query("udf_pose_graph")
 def graph(spark, d):
-    """EXT-09: odometry and loops of the anchors of a sequence."""
-    p = T.anchors(V.poses(spark, d), 5)
-    e = _loops(spark, d)
-    end = lambda c: V.poses(spark, d).select("sequence_id", F.col("ordinal").alias(c), *[F.coalesce(f"true_{k}", k).alias(f"{c}_{k}") for k in ("yaw", "x", "y")])
-    x = e.withColumnsRenamed({"source": "i", "target": "j"}).join(end("i"), ["sequence_id", "i"]).join(end("j"), ["sequence_id", "j"])
-    a = F.radians("i_yaw")
-    dx, dy = F.col("j_x") - F.col("i_x"), F.col("j_y") - F.col("i_y")
-    x = x.select("sequence_id", "i", "j", (F.col("j_yaw") - F.col("i_yaw")).alias("yaw"), (F.cos(a) * dx + F.sin(a) * dy).alias("x"), (F.cos(a) * dy - F.sin(a) * dx).alias("y"), F.lit(1.0).alias("weight"))
-    out = G.optimised_poses(p.select("sequence_id", "ordinal", "yaw", "x", "y"), x, "sequence_id")
+    """EXT-09: odometry between a sequence's anchors, and its loops between them made sparse (WIN-10, WIN-11: one a pair, two an anchor),
+    measured by the true poses where both are known, by FUN-09's weights."""
+    anchors = T.anchors(_poses(spark, d), 5).select("sequence_id", "ordinal", "yaw", "x", "y", "t")
+    true = lambda c: V.poses(spark, d).where("true_yaw IS NOT NULL").select("sequence_id", F.col("ordinal").alias(c), *[F.col(f"true_{k}").alias(f"{c}_{k}") for k in ("yaw", "x", "y")])
+
+    def seen(e):
+        """The second end of an edge as its first sees it."""
+        a, dx, dy = F.radians("i_yaw"), F.col("j_x") - F.col("i_x"), F.col("j_y") - F.col("i_y")
+        return e.select("sequence_id", "i", "j", (F.col("j_yaw") - F.col("i_yaw")).alias("yaw"), (F.cos(a) * dx + F.sin(a) * dy).alias("x"), (F.cos(a) * dy - F.sin(a) * dx).alias("y"), "weight")
+
+    loops = T.loop_pairs(anchors, 12, 1.25).where("source <> target").join(true("source"), ["sequence_id", "source"]).join(true("target"), ["sequence_id", "target"])
+    loops = loops.withColumns({"weight": T.loop_weight(1.25 - F.col("distance"), F.lit(0.0)), "provenance": F.lit("true"), "pos": F.col("position")})
+    ends = [f"{e}_{k}" for e in ("source", "target") for k in ("yaw", "x", "y")]
+    loops = T.degree_capped(T.best_edges(loops).where("reason IS NULL"), 2, ends).where("accepted")
+    loops = loops.withColumnsRenamed({"source": "i", "target": "j"} | {c: c.replace("source", "i").replace("target", "j") for c in ends})
+    w = Window.partitionBy("sequence_id").orderBy("ordinal")
+    odometry = anchors.select("sequence_id", F.col("ordinal").alias("i"), F.lead("ordinal").over(w).alias("j"), *[c for k in ("yaw", "x", "y") for c in (F.col(k).alias(f"i_{k}"), F.lead(k).over(w).alias(f"j_{k}"))], F.lit(1.0).alias("weight")).where("j IS NOT NULL")
+    out = G.optimised_poses(anchors, seen(odometry).unionByName(seen(loops)), "sequence_id")
     return out.select("sequence_id", "ordinal", *[rounded(c, 4).alias(c) for c in ("yaw", "x", "y")])
