@@ -11,7 +11,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,7 +201,9 @@ def graduated_rotation(a: np.ndarray, b: np.ndarray, bound: float, rounds: int =
     rot = np.eye(3)
     for _ in range(rounds):
         rot = rotations(a[None], b[None], w[None])[0]
-        r2 = ((a @ rot.T - b) ** 2).sum(axis=1)
+        miss = (a @ rot.T - b).T
+        miss *= miss
+        r2 = miss[0] + miss[1] + miss[2]
         if mu is None:
             top = 2 * r2.max() / bound**2 - 1
             if top <= 0:
@@ -213,6 +214,8 @@ def graduated_rotation(a: np.ndarray, b: np.ndarray, bound: float, rounds: int =
         if new.sum() < 1e-9 or (np.abs(new - w).max() < 1e-9 and mu > 1e4):
             w = new
             break
+        if ((new == w) & ((new == 0) | (new == 1))).all():
+            break  # the next fit is this one, and bounds that draw together leave weights of 0 and 1 as they are
         w, mu = new, mu * growth
     return rot, w > 0.5
 
@@ -240,8 +243,7 @@ def truncated_transform(s: np.ndarray, r: np.ndarray, bound: float, seeds: int =
     is found from the vectors between its members, the translation from what is left, axis by axis; the result is fitted to what it keeps."""
     if len(s) < 3:
         return None
-    gap = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
-    ls, lr = gap(s), gap(r)
+    ls, lr = G.lengths(s), G.lengths(r)
     near = (np.abs(ls - lr) <= 2 * bound) & (ls > 2 * bound)
     np.fill_diagonal(near, False)
     clique = np.array(G.greedy_clique(near, seeds))
@@ -270,19 +272,18 @@ def truncated_transform(s: np.ndarray, r: np.ndarray, bound: float, seeds: int =
 def truncated_fit(corr: DataFrame, key: str, bound: float = 0.05) -> DataFrame:
     """EXT-08: ``key, n, inliers, rmse, transform`` of :func:`truncated_transform`; ``transform`` and ``rmse`` null and ``inliers`` 0 where
     nothing agrees. Rows with a null or infinite coordinate don't count; the order of rows doesn't matter."""
-    kind = dict(corr.dtypes)[key]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idx", *SRC, *REF])
-        k = pdf[key].iloc[0]
-        pdf = pdf[np.isfinite(pdf[SRC + REF].to_numpy(float)).all(axis=1)]
-        s, r = pdf[SRC].to_numpy(float), pdf[REF].to_numpy(float)
-        found = truncated_transform(s, r, bound)
-        if found is None:
-            row = (k, len(s), 0, None, None)
-        else:
-            t, on = found
-            row = (k, len(s), int(on.sum()), float(np.sqrt(((G.moved(t, s[on]) - r[on]) ** 2).sum(axis=1).mean())), t.ravel().tolist())
-        return pd.DataFrame([row], columns=[key, "n", "inliers", "rmse", "transform"])
-
-    return G._dealt(corr.select(key, "idx", *SRC, *REF), key).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, inliers long, rmse double, transform array<double>")
+
+    def solve(rows, at):
+        every_s, every_r, found = grouped.numbers(rows, SRC), grouped.numbers(rows, REF), []
+        finite = np.isfinite(every_s).all(axis=1) & np.isfinite(every_r).all(axis=1)
+        for low, high in zip(at[:-1], at[1:]):
+            s, r = every_s[low:high][finite[low:high]], every_r[low:high][finite[low:high]]
+            got = truncated_transform(s, r, bound)
+            if got is None:
+                found.append((len(s), 0, None, None))
+            else:
+                t, on = got
+                found.append((len(s), int(on.sum()), float(np.sqrt(((G.moved(t, s[on]) - r[on]) ** 2).sum(axis=1).mean())), t.ravel().tolist()))
+        return {"group": range(len(found))} | dict(zip(("n", "inliers", "rmse", "transform"), zip(*found)))
+
+    return grouped.whole_groups(corr.select(key, "idx", *SRC, *REF), [key], ["idx", *SRC, *REF], solve, "n long, inliers long, rmse double, transform array<double>")
