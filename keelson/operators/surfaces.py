@@ -89,6 +89,16 @@ def _smallest_axis(m: np.ndarray) -> np.ndarray:
     return axis
 
 
+def in_blocks(p: DataFrame, edge: float, reach: float) -> DataFrame:
+    """Points in the block (of width ``edge``) that they lie in (``_own``) and in those within ``reach``: ``_bx, _by, _bz``."""
+    block = lambda c: F.floor(c / edge).cast("long")
+    nothing = F.array(F.lit(0).cast("long"))
+    for c in "xyz":
+        p = p.withColumn(f"_b{c}", F.explode(F.coalesce(F.sequence(block(F.col(c) - reach), block(F.col(c) + reach)), nothing)))
+    inside = [F.coalesce(block(F.col(c)), F.lit(0)) == F.col(f"_b{c}") for c in "xyz"]
+    return p.withColumn("_own", inside[0] & inside[1] & inside[2])
+
+
 def normals(points: DataFrame, keys: list[str], radius: float = 0.16, most: int = 40) -> DataFrame:
     """EXT-19: ``keys, row_id, x, y, z, nx, ny, nz``: the axis of the least spread of the ``most`` nearest points within ``radius``, the
     point included, turned away from the scan's centre. Null under three points. Points go to the block they lie in and to those within
@@ -98,13 +108,7 @@ def normals(points: DataFrame, keys: list[str], radius: float = 0.16, most: int
     p = p if len(keys) == 1 else p.withColumn(one, F.struct(*keys))
     centre = p.groupBy(one).agg(*[F.avg(c).alias(f"_c{c}") for c in "xyz"])
     p = meet(p, centre, one).select(*keys, "row_id", "x", "y", "z", *[(F.col(c) - F.col(f"_c{c}")).alias(f"o{c}") for c in "xyz"])
-    edge, reach = BLOCK * radius, radius * (1 + 1e-9)
-    block = lambda c: F.floor(c / edge).cast("long")
-    nothing = F.array(F.lit(0).cast("long"))
-    for c in "xyz":
-        p = p.withColumn(f"_b{c}", F.explode(F.coalesce(F.sequence(block(F.col(c) - reach), block(F.col(c) + reach)), nothing)))
-    inside = [F.coalesce(block(F.col(c)), F.lit(0)) == F.col(f"_b{c}") for c in "xyz"]
-    p = p.withColumn("_own", inside[0] & inside[1] & inside[2])
+    p = in_blocks(p, BLOCK * radius, radius * (1 + 1e-9))
 
     def solve(rows, at):
         every, out = grouped.numbers(rows, ["x", "y", "z"]), grouped.numbers(rows, ["ox", "oy", "oz"])
@@ -134,51 +138,100 @@ def normals(points: DataFrame, keys: list[str], radius: float = 0.16, most: int
     return found.drop("_bx", "_by", "_bz")
 
 
-def _bin(value: Column, low: float, width: float) -> Column:
-    return F.least(F.greatest(F.floor((value - low) / width * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
-
-
-def _angles(x: DataFrame) -> DataFrame:
-    """The three angles of two oriented points, seen from the one whose normal is nearer to the line between them: their bins."""
-    unit = [F.col(f"d{c}") / F.col("d") for c in "xyz"]
+def _bins(line: np.ndarray, d: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """The bins (3 x pairs) of the three angles of two oriented points, seen from the one whose normal is nearer to the line between them.
+    Points are columns (3 x pairs); ``line`` goes from the first to the second and is ``d`` long."""
     dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    n1, n2 = [F.col(f"n1{c}") for c in "xyz"], [F.col(f"n2{c}") for c in "xyz"]
-    x = x.withColumn("a1", F.round(dot(n1, unit), 12)).withColumn("a2", F.round(dot(n2, unit), 12)).withColumn("turn", F.abs("a1") < F.abs("a2"))
-    for c, k in zip("xyz", range(3)):
-        x = x.withColumn(f"u{c}", F.when(F.col("turn"), n2[k]).otherwise(n1[k])).withColumn(f"w{c}", F.when(F.col("turn"), n1[k]).otherwise(n2[k])).withColumn(f"l{c}", F.when(F.col("turn"), -unit[k]).otherwise(unit[k]))
-    u, other, line = ([F.col(f"{a}{c}") for c in "xyz"] for a in "uwl")
-    for c, v in zip("xyz", cross(line, u)):
-        x = x.withColumn(f"v{c}", v)
-    v = [F.col(f"v{c}") for c in "xyz"]
-    x = x.withColumn("size", F.sqrt(dot(v, v)))
-    v = [F.when(F.col("size") > 0, c / F.col("size")).otherwise(0.0) for c in v]
-    for c, value in zip("xyz", v):
-        x = x.withColumn(f"v{c}", value)
-    v = [F.col(f"v{c}") for c in "xyz"]
-    f1 = F.atan2(dot(cross(u, v), other), dot(u, other))
-    f3 = F.when(F.col("turn"), -F.col("a2")).otherwise(F.col("a1"))
-    rounded = lambda c: F.round(c, 9)  # noqa: E731  ties of bins go one way wherever the sums are made
-    return x.select("*", _bin(rounded(f1), -np.pi, 2 * np.pi).alias("b0"), _bin(rounded(dot(v, other)), -1.0, 2.0).alias("b1"), _bin(rounded(f3), -1.0, 2.0).alias("b2"))
+    cross = lambda a, b: np.stack([a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]])
+    line = line / d
+    a1, a2 = np.round(dot(n1, line), 12), np.round(dot(n2, line), 12)
+    turn = np.abs(a1) < np.abs(a2)
+    u, other = np.where(turn, n2, n1), np.where(turn, n1, n2)
+    v = cross(np.where(turn, -line, line), u)
+    size = np.sqrt(dot(v, v))
+    v = np.where(size > 0, v / np.where(size > 0, size, 1.0), 0.0)
+    angles = ((np.arctan2(dot(cross(u, v), other), dot(u, other)), -np.pi, 2 * np.pi), (dot(v, other), -1.0, 2.0), (np.where(turn, -a2, a1), -1.0, 2.0))
+    # rounded: ties of bins go one way wherever the sums are made
+    return np.stack([np.clip(np.floor((np.round(f, 9) - low) / width * BINS), 0, BINS - 1).astype(np.int64) for f, low, width in angles])
 
 
 def histograms(oriented: DataFrame, keys: list[str], radius: float = 0.40, most: int = 100) -> DataFrame:
     """EXT-19: ``keys, row_id, v``: 33 numbers a point. First, for each point, how the angles to its ``most`` nearest points within
     ``radius`` fall into 3 x 11 bins, in per cent; then, of those neighbours, the mean weighed by 1 / distance^2, each eleven scaled
-    to 100, plus the point's own. Points without a normal, and points that lie on one another, give nothing to each other."""
-    there = durable(oriented.where("nx IS NOT NULL"), "oriented")
-    pairs = _nearest(near_pairs(there, there, keys, radius).where("s <> t"), keys, most - 1).where("d > 0")
-    n = lambda p, end: there.select(*keys, F.col("row_id").alias(end), *[F.col(f"n{c}").alias(f"n{p}{c}") for c in "xyz"])
-    pairs = durable(_angles(pairs.join(n(1, "s"), [*keys, "s"]).join(n(2, "t"), [*keys, "t"])).select(*keys, "s", "t", "d", "b0", "b1", "b2"), "near-pairs")
-    share = [F.sum((F.col(f"b{g}") == k).cast("int")) * 100.0 / F.count("*") for g in range(3) for k in range(BINS)]
-    own = durable(pairs.groupBy(*keys, "s").agg(*[v.alias(f"h{k}") for k, v in enumerate(share)]), "own-histograms")
-    near = pairs.select(*keys, "s", "t", (1 / (F.col("d") * F.col("d"))).alias("w")).join(own.withColumnRenamed("s", "t"), [*keys, "t"])
-    sums = near.groupBy(*keys, "s").agg(*[F.sum(F.col("w") * F.col(f"h{k}")).alias(f"g{k}") for k in range(3 * BINS)])
-    x = own.join(sums, [*keys, "s"], "left")
-    totals = [sum((F.coalesce(F.col(f"g{g * BINS + k}"), F.lit(0.0)) for k in range(BINS)), F.lit(0.0)) for g in range(3)]
-    x = x.select("*", *[t.alias(f"total{g}") for g, t in enumerate(totals)])
-    value = lambda k: F.when(F.col(f"total{k // BINS}") > 0, F.coalesce(F.col(f"g{k}"), F.lit(0.0)) * 100.0 / F.col(f"total{k // BINS}")).otherwise(0.0) + F.col(f"h{k}")
-    return x.select(*keys, F.col("s").alias("row_id"), F.array(*[value(k) for k in range(3 * BINS)]).alias("v"))
+    to 100, plus the point's own. Points without a normal, and points that lie on one another, give nothing to each other. Points go to the block
+    they lie in and to those within two radii (twice on average), where their neighbours' own histograms are made too: pairs are rows of no table."""
+    reach, edge = radius * (1 + 1e-9), 2 * BLOCK * radius
+    p = in_blocks(oriented.where("nx IS NOT NULL").select(*keys, "row_id", "x", "y", "z", "nx", "ny", "nz"), edge, 2 * reach)
+
+    def neighbours(grid, p, at, ids):
+        """Pairs of points ``at`` with their ``most`` - 1 nearest others, and their distances, in stretches."""
+        for i, j in grid.pairs(p[at]):
+            i = at[i]
+            other = ids[i] != ids[j]
+            i, j = i[other], j[other]
+            line = p[j].T - p[i].T
+            d = np.sqrt(line[0] * line[0] + line[1] * line[1] + line[2] * line[2])
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            count = np.diff(np.r_[first, len(i)])
+            many = np.repeat(count >= most, count)
+            if many.any():  # the others need no order
+                few, m = np.flatnonzero(~many), np.flatnonzero(many)
+                m = m[np.lexsort((ids[j[m]], np.round(d[m], 9), i[m]))]
+                begin = np.flatnonzero(np.diff(i[m], prepend=-1))
+                m = m[np.arange(len(m)) - np.repeat(begin, np.diff(np.r_[begin, len(m)])) < most - 1]
+                kept = np.sort(np.r_[few, m])
+                i, j, d = i[kept], j[kept], d[kept]
+            apart = d > 0
+            yield i[apart], j[apart], d[apart]
+
+    def of_block(p, n, ids, own, low):
+        grid, size = sparse.Grid(p, radius, 500_000), 3 * BINS
+        seen = np.flatnonzero(((p >= low - reach) & (p <= low + edge + reach)).all(axis=1) | own)
+        place, held, total = np.full(len(p), -1), [], 0
+        place[seen] = np.arange(len(seen))
+        counts = np.zeros((len(seen), size))
+        for i, j, d in neighbours(grid, p, seen, ids):
+            if len(i):
+                base = place[i] * size
+                bins = _bins(p[j].T - p[i].T, d, n[i].T, n[j].T) + np.arange(3)[:, None] * BINS
+                at = place[i[0]]
+                part = np.bincount((base + bins).ravel() - at * size, minlength=size)
+                rows = -(-len(part) // size)
+                counts[at : at + rows].ravel()[: len(part)] += part
+                total += len(i)
+                mine = own[i]
+                held.append((i[mine], j[mine], d[mine]) if total < 8_000_000 else None)  # or found again below
+        number = counts[:, :BINS].sum(axis=1)
+        h = counts * 100.0 / np.maximum(number, 1)[:, None]
+        sums = np.zeros((len(p), size))
+        again = held if None not in held else neighbours(grid, p, np.flatnonzero(own), ids)
+        for i, j, d in again:
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            if len(first):
+                sums[i[first]] = np.add.reduceat(h[place[j]] * (1 / (d * d))[:, None], first, axis=0)
+        who = np.flatnonzero(own & (place >= 0))
+        who = who[number[place[who]] > 0]
+        g = sums[who].reshape(-1, 3, BINS)
+        whole = g.sum(axis=2, keepdims=True)
+        return who, np.where(whole > 0, g * 100.0 / np.where(whole > 0, whole, 1.0), 0.0).reshape(-1, size) + h[place[who]]
+
+    def solve(rows, at):
+        p, n, own = grouped.numbers(rows, ["x", "y", "z"]), grouped.numbers(rows, ["nx", "ny", "nz"]), rows.column("_own").to_numpy()
+        ids, corner = rows.column("row_id").to_numpy(), grouped.numbers(rows.take(pa.array(at[:-1])), ["_bx", "_by", "_bz"]) * edge
+        groups, places, values = [], [], [np.zeros((0, 3 * BINS))]
+        for g, (low, high) in enumerate(zip(at[:-1], at[1:])):
+            if own[low:high].any():
+                who, v = of_block(p[low:high], n[low:high], ids[low:high], own[low:high], corner[g])
+                groups.append(np.full(len(who), g))
+                places.append(low + who)
+                values.append(v)
+        flat = np.concatenate(values)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 3 * BINS, pa.int32()), pa.array(flat.ravel()))
+        places = np.concatenate([np.zeros(0, np.int64), *places])
+        return {"group": np.concatenate([np.zeros(0, np.int64), *groups]), "row_id": rows.column("row_id").take(pa.array(places)).combine_chunks(), "v": lists}
+
+    found = grouped.whole_groups(p, [*keys, "_bx", "_by", "_bz"], ["row_id", "x", "y", "z"], solve, grouped.kinds(oriented, ["row_id"]) + ", v array<double>")
+    return found.drop("_bx", "_by", "_bz")
 
 
 def _step(m: np.ndarray) -> np.ndarray:
