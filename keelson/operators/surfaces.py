@@ -255,14 +255,94 @@ def _step(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def plane_registered(source: DataFrame, target: DataFrame, starts: DataFrame, key: str, reach: float = 0.15, rounds: int = 40, least_deg: float = 1e-5, least_m: float = 1e-6) -> DataFrame:
+#: Clouds of at most so many points, both together, are registered where they are in one task; larger ones over all tasks.
+WHOLE = 100_000
+
+
+def _planes_of_pairs(start: np.ndarray, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, normal: np.ndarray, reach: float, rounds: int, least_deg: float, least_m: float) -> tuple[np.ndarray, ...]:
+    """The rounds of :func:`plane_registered` for many pairs at once (``ga``, ``gb``: the points' pairs, in order): transforms, rounds, which
+    converged, and each source point's distance at the end (infinite beyond the reach)."""
+    n, t = len(start), start.copy()
+    made, converged, going = np.zeros(n, np.int64), np.zeros(n, bool), np.ones(n, bool)
+    grid, (i, j) = sparse.Grids(b, gb, n, reach), np.triu_indices(6)
+    for _ in range(rounds):
+        if not going.any():
+            break
+        made += going
+        at = np.flatnonzero(going[ga])
+        now = np.einsum("nij,nj->ni", t[ga[at], :3, :3], a[at]) + t[ga[at], :3, 3]
+        index, _ = grid.nearest(now, ga[at])
+        on = np.flatnonzero(index >= 0)
+        g, p, to = ga[at[on]], now[on], index[on]
+        m = normal[to]
+        jac = np.concatenate([np.cross(p, m), m], axis=1)
+        miss = -((b[to] - p) * m).sum(axis=1)
+        first = np.flatnonzero(np.diff(g, prepend=-1))
+        who = g[first]
+        sums = np.concatenate([np.ones((len(g), 1)), jac[:, i] * jac[:, j], jac * miss[:, None]], axis=1)
+        sums = np.add.reduceat(sums, first, axis=0) if len(first) else np.zeros((0, 28))
+        step = _step(np.concatenate([sums, t[who].reshape(-1, 16)], axis=1))
+        good = ~np.isnan(step[:, 0])
+        who, step = who[good], step[good]
+        t[who] = step[:, :16].reshape(-1, 4, 4)
+        small = (step[:, 16] <= least_deg) & (step[:, 17] <= least_m)
+        converged[who[small]] = True
+        going[:] = False
+        going[who[~small]] = True
+    return t, made, converged, grid.nearest(np.einsum("nij,nj->ni", t[ga, :3, :3], a) + t[ga, :3, 3], ga)[1]
+
+
+def _registered_whole(source: DataFrame, onto: DataFrame, starts: DataFrame, key: str, reach: float, rounds: int, least_deg: float, least_m: float) -> DataFrame:
+    """:func:`plane_registered` of pairs that a task can hold, many at once: their points are shuffled once."""
+    row, nothing = dict(source.dtypes)["row_id"], F.lit(None)
+    numbers = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    none = lambda *names: [nothing.cast("double").alias(c) for c in names]
+    no_transform = nothing.cast("array<double>").alias("transform")
+    heads = starts.groupBy(key).agg(F.first("transform").alias("transform")).select(key, F.lit(-1).alias("_side"), nothing.cast(row).alias("row_id"), *none(*"xyz", "nx", "ny", "nz"), "transform")
+    p = source.select(key, F.lit(0).alias("_side"), "row_id", *numbers(*"xyz"), *none("nx", "ny", "nz"), no_transform)
+    q = onto.select(key, F.lit(1).alias("_side"), F.col("row_id").cast(row).alias("row_id"), *numbers(*"xyz", "nx", "ny", "nz"), no_transform)
+
+    def solve(rows, at):
+        side = rows.column("_side").to_numpy()
+        head = side[at[:-1]] < 0
+        groups, n = np.flatnonzero(head), int(head.sum())
+        start = np.asarray(rows.column("transform").take(pa.array(at[:-1][head])).combine_chunks().flatten(), float).reshape(-1, 4, 4)
+        of = np.repeat(np.where(head, np.cumsum(head) - 1, -1), np.diff(at))
+        xyz, normal = grouped.numbers(rows, ["x", "y", "z"]), grouped.numbers(rows, ["nx", "ny", "nz"])
+        s, r = np.flatnonzero((side == 0) & (of >= 0)), np.flatnonzero((side == 1) & (of >= 0))
+        t, made, converged, d = _planes_of_pairs(start, xyz[s], of[s], xyz[r], of[r], normal[r], reach, rounds, least_deg, least_m)
+        on = d <= reach
+        every, near = np.bincount(of[s], minlength=n), np.bincount(of[s[on]], minlength=n)
+        rmse = np.where(near > 0, np.sqrt(np.bincount(of[s[on]], d[on] ** 2, n) / np.maximum(near, 1)), np.nan)
+        return {"group": groups, "transform": t.reshape(n, 16).tolist(), "rounds": made, "converged": converged, "fitness": near / np.maximum(every, 1), "rmse": rmse}
+
+    found = grouped.whole_groups(heads.unionByName(p).unionByName(q), [key], ["_side", "row_id", "x", "y", "z"], solve, "transform array<double>, rounds int, converged boolean, fitness double, rmse double")
+    begun = starts.select(key, F.col("transform").alias("_start"))
+    return found.join(begun, key).select(key, "transform", "rounds", "converged", "fitness", "rmse", se3.rotation_distance("transform", "_start").alias("update_deg"), se3.translation_distance("transform", "_start").alias("update_m"))
+
+
+def plane_registered(source: DataFrame, target: DataFrame, starts: DataFrame, key: str, reach: float = 0.15, rounds: int = 40, least_deg: float = 1e-5, least_m: float = 1e-6, whole: int = WHOLE) -> DataFrame:
     """EXT-19, EXT-20: point-to-plane registration of ``source`` onto ``target`` (with normals) from ``starts`` (``key, transform``):
     ``key, transform, rounds, converged, fitness, rmse, update_deg, update_m`` (against the start).
 
     Each round matches the moved source points with their nearest target within ``reach`` and adds up the 6 x 6 normal equations
     of the distances to the target's planes. A pair stops when its update is small; under six matches, or where they leave
-    a direction free, it keeps what it has and doesn't converge."""
+    a direction free, it keeps what it has and doesn't converge. Pairs of at most ``whole`` points are solved many at a time, their points shuffled
+    once; larger ones use all tasks, a round a shuffle."""
     onto = durable(target.where("nx IS NOT NULL"), "planes")
+    starts = durable(starts.select(key, "transform").where("transform IS NOT NULL"), "starts")
+    size = source.select(key).unionAll(onto.select(key)).groupBy(key).agg(F.count("*").alias("_n"))
+    large = durable(size.where(F.col("_n") > whole).select(key), "large-clouds")
+    if large.isEmpty():
+        return _registered_whole(source, onto, starts, key, reach, rounds, least_deg, least_m)
+    # there are at most points / whole large ones
+    few = [x.join(F.broadcast(large), key, "left_anti") for x in (source, onto, starts)]
+    rest = [x.join(F.broadcast(large), key, "left_semi") for x in (source, onto, starts)]
+    return _registered_whole(*few, key, reach, rounds, least_deg, least_m).unionByName(_registered_over_tasks(*rest, key, reach, rounds, least_deg, least_m))
+
+
+def _registered_over_tasks(source: DataFrame, onto: DataFrame, starts: DataFrame, key: str, reach: float, rounds: int, least_deg: float, least_m: float) -> DataFrame:
+    """:func:`plane_registered` of pairs of any size."""
     kind = f"`{key}` {dict(starts.dtypes)[key]}, transform array<double>, rounds int, converged boolean, open boolean"
     now = durable(starts.select(key, "transform", F.lit(0).alias("rounds"), F.lit(False).alias("converged"), F.lit(True).alias("open")).where("transform IS NOT NULL"), "transforms")
     begun = now.select(key, F.col("transform").alias("_start"))
