@@ -30,79 +30,155 @@ def rotations(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> np.n
     return vt.transpose(0, 2, 1) @ flip @ u.transpose(0, 2, 1)
 
 
-def triangle_rotations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """:func:`rotations` of sets of three vectors that add up to zero: these lie in a plane, so it is the turn of one plane onto the other
-    and the best angle within it. Sets (almost) on a line are left to the general form."""
-    na, nb = np.cross(a[:, 0], a[:, 1]), np.cross(b[:, 0], b[:, 1])
-    sa, sb = np.sqrt((na**2).sum(axis=1)), np.sqrt((nb**2).sum(axis=1))
-    flat = (sa > 1e-4 * (a**2).sum(axis=(1, 2))) & (sb > 1e-4 * (b**2).sum(axis=(1, 2)))
-
-    def frames(p, n, size):
-        z, x = n / np.where(flat, size, 1.0)[:, None], p[:, 0]
-        x = x / np.where(flat, np.sqrt((x**2).sum(axis=1)), 1.0)[:, None]
-        return np.stack([x, np.cross(z, x), z], axis=1)
-
-    fa, fb = frames(a, na, sa), frames(b, nb, sb)
-    u, v = a @ fa.transpose(0, 2, 1), b @ fb.transpose(0, 2, 1)
-    angle = np.arctan2((u[:, :, 0] * v[:, :, 1] - u[:, :, 1] * v[:, :, 0]).sum(axis=1), (u[:, :, :2] * v[:, :, :2]).sum(axis=(1, 2)))
-    c, s = np.cos(angle), np.sin(angle)
-    turn = np.zeros((len(a), 3, 3))
-    turn[:, 0, 0], turn[:, 0, 1], turn[:, 1, 0], turn[:, 1, 1], turn[:, 2, 2] = c, -s, s, c, 1.0
-    out = fb.transpose(0, 2, 1) @ turn @ fa
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]])
+
+
+def triangle_turns(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`rotations` (3 x 3 x n) of n sets of three vectors (set's vector, coordinate, set) that add up to zero, and the largest squared miss
+    of a set's own vectors. These lie in a plane, so it is the turn of one plane onto the other and the best angle within it. Sets (almost) on a
+    line are left to the general form."""
+    na, nb = _cross(a[0], a[1]), _cross(b[0], b[1])
+    sa, sb = np.sqrt(_dot(na, na)), np.sqrt(_dot(nb, nb))
+    lengths = [[_dot(p[k], p[k]) for k in range(3)] for p in (a, b)]
+    flat = (sa > 1e-4 * (lengths[0][0] + lengths[0][1] + lengths[0][2])) & (sb > 1e-4 * (lengths[1][0] + lengths[1][1] + lengths[1][2]))
+    frames, inside = [], []
+    for p, normal, size, long in ((a, na, sa, lengths[0][0]), (b, nb, sb, lengths[1][0])):
+        z, x = normal / np.where(flat, size, 1.0), p[0] / np.where(flat, np.sqrt(long), 1.0)
+        y = _cross(z, x)
+        frames.append((x, y, z))
+        inside.append([(_dot(x, p[k]), _dot(y, p[k])) for k in range(3)])
+    u, v = inside
+    s = sum(u[k][0] * v[k][1] - u[k][1] * v[k][0] for k in range(3))
+    c = sum(u[k][0] * v[k][0] + u[k][1] * v[k][1] for k in range(3))
+    size = np.hypot(c, s)
+    some = size > 0
+    size = np.where(some, size, 1.0)
+    c, s = np.where(some, c / size, 1.0), s / size
+    worst = 0.0
+    for (ux, uy), (vx, vy) in zip(u, v):
+        dx, dy = c * ux - s * uy - vx, s * ux + c * uy - vy
+        worst = np.maximum(worst, dx * dx + dy * dy)
+    (xa, ya, za), (xb, yb, zb) = frames
+    p, q = c * xa - s * ya, s * xa + c * ya
+    out = xb[:, None] * p + yb[:, None] * q + zb[:, None] * za
     if not flat.all():
-        out[~flat] = rotations(a[~flat], b[~flat])
-    return out
+        left = np.flatnonzero(~flat)
+        pa_, pb = a[:, :, left].transpose(2, 0, 1), b[:, :, left].transpose(2, 0, 1)
+        turn = rotations(pa_, pb)
+        out[:, :, left] = turn.transpose(1, 2, 0)
+        worst[left] = ((pa_ @ turn.transpose(0, 2, 1) - pb) ** 2).sum(axis=2).max(axis=1)
+    return out, worst
+
+
+def triangle_rotations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rotations (n x 3 x 3) of :func:`triangle_turns` of sets of three vectors (n x 3 x 3)."""
+    return triangle_turns(a.transpose(1, 2, 0), b.transpose(1, 2, 0))[0].transpose(2, 0, 1)
 
 
-def best_trial(s: np.ndarray, r: np.ndarray, triples: np.ndarray, inlier: float, alike: float, block: int = 1024) -> tuple[int, float, int, np.ndarray] | None:
+def best_trial(s: np.ndarray, r: np.ndarray, triples: np.ndarray, inlier: float, alike: float, block: int = 4096) -> tuple[int, float, int, np.ndarray] | None:
     """``(inliers, rmse of these, place of the triple, transform)`` of the best triple: the most inliers, then the smallest rmse
     (rounded to 1e-9), then the first. A triple is fitted only if its three sides are alike in both clouds (the shorter at
-    least ``alike`` x the longer), and counted only if it fits its own three points within ``inlier``. One that misses more of the
-    first points than the best so far misses of all is not counted further, as it can't be the best."""
+    least ``alike`` x the longer), and counted only if it fits its own three points within ``inlier``. Not counted further, as they can't be the
+    best: one that misses more of the first points than the best so far misses of all; and, once a triple has all points, one whose
+    rmse of all points is larger: it is known from sums of products, and can't be less than that of the best turn with the shift that the lengths
+    from the triple's centre to the clouds' centres leave."""
     best, n = None, len(s)
-    ends, some = [(0, 1), (1, 2), (2, 0)], min(n, 24)
+    some, ends = min(n, 24), ((0, 1), (1, 2), (2, 0))
+    st, rt, sm, rm = np.ascontiguousarray(s.T), np.ascontiguousarray(r.T), s.mean(axis=0), r.mean(axis=0)
+    sc, rc = st - sm[:, None], rt - rm[:, None]
+    products, spread = rc @ sc.T, float((sc**2).sum() + (rc**2).sum())
+    u, size, vt = np.linalg.svd(products)
+    least = spread - 2 * (size[0] + size[1] + size[2] * np.sign(np.linalg.det(u @ vt)))
+
+    def sides(la, lb):
+        short = np.minimum(la, lb)
+        return (short >= alike * np.maximum(la, lb)) & (short > 1e-9)
+
+    known = sides(G.lengths(s), G.lengths(r)).ravel() if n * n <= 4 * len(triples) else None
 
     def squares(rot, shift, low, high):
         m = len(rot)
-        d = (rot.reshape(3 * m, 3) @ s[low:high].T).reshape(m, 3, high - low)
+        d = (rot.reshape(3 * m, 3) @ st[:, low:high]).reshape(m, 3, high - low)
         d += shift[:, :, None]
-        d -= r[low:high].T
+        d -= rt[:, low:high]
         d *= d
         return d[:, 0] + d[:, 1] + d[:, 2]
 
-    for low in range(0, len(triples), block):
-        t = triples[low : low + block]
-        a, b = s[t], r[t]
-        la, lb = (np.stack([np.sqrt(((p[:, i] - p[:, j]) ** 2).sum(axis=1)) for i, j in ends], axis=1) for p in (a, b))
-        short = np.minimum(la, lb)
-        at = np.flatnonzero(((short >= alike * np.maximum(la, lb)) & (short > 1e-9)).all(axis=1))
-        if not len(at):
-            continue
-        a, b = a[at], b[at]
-        ca, cb = a.mean(axis=1), b.mean(axis=1)
-        a, b = a - ca[:, None], b - cb[:, None]
-        rot = triangle_rotations(a, b)
-        own = np.sqrt(((a @ rot.transpose(0, 2, 1) - b) ** 2).sum(axis=2)).max(axis=1) <= inlier
-        at, rot, shift = at[own], rot[own], (cb - np.einsum("nij,nj->ni", rot, ca))[own]
+    def bound():
+        """The sum of squares of all points that may still be better than a triple that has all of them."""
+        return n * (best[1] + 2e-9) ** 2 + 1e-11 * spread if best is not None and best[0] == n else np.inf
+
+    # a first, smaller block finds something to compare with
+    cuts = np.unique(np.r_[0, np.arange(block // 4, len(triples), block), len(triples)]).tolist()
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        t = triples[low:high].T
+        if known is not None:
+            on = known[t[0] * n + t[1]] & known[t[1] * n + t[2]] & known[t[2] * n + t[0]]
+        else:
+            length = lambda p, i, j: np.sqrt(_dot(p[:, t[i]] - p[:, t[j]], p[:, t[i]] - p[:, t[j]]))  # noqa: B023, E731
+            on = np.logical_and.reduce([sides(length(st, i, j), length(rt, i, j)) for i, j in ends])
+        at = np.flatnonzero(on)
         if not len(at):
             continue
-        first = squares(rot, shift, 0, some)
-        misses = (np.sqrt(first) > inlier).sum(axis=1)
-        for part in np.array_split(np.argsort(misses, kind="stable"), max(1, -(-len(at) // 128))):
-            if best is not None:
-                part = part[n - misses[part] >= best[0]]
-            if not len(part):
+        a, b = (np.take(p, t[:, at].ravel(), axis=1).reshape(3, 3, -1).transpose(1, 0, 2) for p in (st, rt))
+        ca, cb = (a[0] + a[1] + a[2]) / 3, (b[0] + b[1] + b[2]) / 3
+        if bound() < np.inf:
+            da, db = ca - sm[:, None], cb - rm[:, None]
+            apart = np.sqrt(_dot(da, da)) - np.sqrt(_dot(db, db))
+            own = np.flatnonzero(least + n * apart * apart <= bound())
+            if not len(own):
                 continue
-            miss = np.concatenate([first[part], squares(rot[part], shift[part], some, n)], axis=1)
-            on = np.sqrt(miss) <= inlier
-            count = on.sum(axis=1)
-            rmse = np.round(np.sqrt(np.where(on, miss, 0).sum(axis=1) / np.maximum(count, 1)), 9)
-            k = np.lexsort((part, rmse, -count))[0]
+            at, a, b, ca, cb = at[own], a[:, :, own], b[:, :, own], ca[:, own], cb[:, own]
+        turn, worst = triangle_turns(a - ca, b - cb)
+        own = np.flatnonzero(np.sqrt(worst) <= inlier)
+        if not len(own):
+            continue
+        if len(own) < len(at):
+            at, turn, ca, cb = at[own], turn[:, :, own], ca[:, own], cb[:, own]
+        off = cb - rm[:, None] - (turn * (ca - sm[:, None])).sum(axis=1)
+        total = spread + n * _dot(off, off) - 2 * (turn * products[:, :, None]).sum(axis=(0, 1))
+        shift = (cb - (turn * ca).sum(axis=1)).T
+
+        def may(part):
+            """Those that may still be better than a triple that has all points."""
+            return part[total[part] <= bound()]  # noqa: B023
+
+        def count(part, first=None):
+            nonlocal best
+            rot, move = np.ascontiguousarray(turn[:, :, part].transpose(2, 0, 1)), shift[part]  # noqa: B023
+            miss = squares(rot, move, 0, n) if first is None else np.concatenate([first, squares(rot, move, some, n)], axis=1)
+            near = np.sqrt(miss) <= inlier
+            inliers = near.sum(axis=1)
+            rmse = np.round(np.sqrt(np.where(near, miss, 0).sum(axis=1) / np.maximum(inliers, 1)), 9)
+            k = np.lexsort((part, rmse, -inliers))[0]
             x = part[k]
-            if best is None or (-count[k], rmse[k], low + at[x]) < (-best[0], best[1], best[2]):
+            if best is None or (-inliers[k], rmse[k], low + at[x]) < (-best[0], best[1], best[2]):  # noqa: B023
                 m = np.eye(4)
-                m[:3, :3], m[:3, 3] = rot[x], shift[x]
-                best = (int(count[k]), float(rmse[k]), int(low + at[x]), m)
+                m[:3, :3], m[:3, 3] = rot[k], move[k]
+                best = (int(inliers[k]), float(rmse[k]), int(low + at[x]), m)  # noqa: B023
+
+        left, size = may(np.arange(len(at))), 8
+        if len(left) > size:
+            left = left[np.argpartition(total[left], size)]
+        while len(left) and (best is None or best[0] == n or size == 8):
+            count(left[:size])
+            left, size = may(left[size:]), 128
+        if len(left):  # no triple has all points so far
+            left = np.sort(left)
+            rot = np.ascontiguousarray(turn[:, :, left].transpose(2, 0, 1))
+            first = squares(rot, shift[left], 0, some)
+            misses = (np.sqrt(first) > inlier).sum(axis=1)
+            for part in np.array_split(np.argsort(misses, kind="stable"), max(1, -(-len(left) // 128))):
+                part = part[n - misses[part] >= best[0]]
+                if best[0] == n:
+                    part = part[np.isin(left[part], may(left[part]))]
+                if len(part):
+                    count(left[part], first[part])
     return best
 
 
@@ -128,8 +204,8 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
     finite = " AND ".join(f"abs({c}) < double('infinity')" for c in SRC + REF)
     rows = durable(corr.select(key, "idx", *numbers).where(finite), "consensus-rows")
 
-    def triples_of(k, c: int, n: int) -> np.ndarray:
-        draw = _seeded(context, k, c).random((chunk, 3))
+    def triples_of(k, chunks: range, n: int) -> np.ndarray:
+        draw = np.concatenate([_seeded(context, k, c).random((chunk, 3))[: max(0, trials - c * chunk)] for c in chunks])
         # three different places: the second and third skip those before
         i, j = (draw[:, 0] * n).astype(int), (draw[:, 1] * (n - 1)).astype(int)
         j += j >= i
@@ -137,7 +213,7 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
         low, high = np.minimum(i, j), np.maximum(i, j)
         x += x >= low
         x += x >= high
-        return np.column_stack([i, j, x])[: max(0, trials - c * chunk)]
+        return np.stack([i, j, x]).T
 
     def tried(table, at):
         s, r = grouped.numbers(table, SRC), grouped.numbers(table, REF)
@@ -146,7 +222,7 @@ def sampled_consensus(corr: DataFrame, key: str, context: str = "", inlier: floa
         for g, (k, c, last) in enumerate(zip(names, firsts, lasts)):
             mine = slice(at[g], at[g + 1])
             n = int(at[g + 1] - at[g])
-            best = best_trial(s[mine], r[mine], np.concatenate([triples_of(k, x, n) for x in range(c, last + 1)]), inlier, alike)
+            best = best_trial(s[mine], r[mine], triples_of(k, range(c, last + 1), n), inlier, alike)
             if best is not None and best[0] >= least:
                 out.append((g, best[0], best[1], c * chunk + best[2], best[3].ravel().tolist()))
         return dict(zip(("group", "inliers", "rmse", "trial", "transform"), map(list, zip(*out)))) if out else {"group": [], "inliers": [], "rmse": [], "trial": [], "transform": []}
