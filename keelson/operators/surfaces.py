@@ -21,7 +21,7 @@ BINS = 11
 #: Keys of more than one in so many rows meet their one row of facts by a broadcast: there are at most so many.
 HOT = 1000
 #: A block of points is so many radii wide; points within a radius of it are copied to it.
-BLOCK = 8
+BLOCK = 16
 
 
 def reaching(c: str, radius: float) -> Column:
@@ -107,11 +107,12 @@ def normals(points: DataFrame, keys: list[str], radius: float = 0.16, most: int
     p = points.select(*keys, "row_id", "x", "y", "z")
     p = p if len(keys) == 1 else p.withColumn(one, F.struct(*keys))
     centre = p.groupBy(one).agg(*[F.avg(c).alias(f"_c{c}") for c in "xyz"])
-    p = meet(p, centre, one).select(*keys, "row_id", "x", "y", "z", *[(F.col(c) - F.col(f"_c{c}")).alias(f"o{c}") for c in "xyz"])
+    p = meet(p, centre, one).select(*keys, "row_id", "x", "y", "z", *[F.col(f"_c{c}").alias(f"o{c}") for c in "xyz"])  # a centre repeats, and so takes few bytes
     p = in_blocks(p, BLOCK * radius, radius * (1 + 1e-9))
 
     def solve(rows, at):
-        every, out = grouped.numbers(rows, ["x", "y", "z"]), grouped.numbers(rows, ["ox", "oy", "oz"])
+        every = grouped.numbers(rows, ["x", "y", "z"])
+        out = every - grouped.numbers(rows, ["ox", "oy", "oz"])
         own, axis, groups = rows.column("_own").to_numpy(), np.full((rows.num_rows, 3), np.nan), np.repeat(np.arange(len(at) - 1), np.diff(at))
         for low, high in zip(at[:-1], at[1:]):
             there = low + np.flatnonzero(np.isfinite(every[low:high]).all(axis=1))
@@ -160,7 +161,7 @@ def histograms(oriented: DataFrame, keys: list[str], radius: float = 0.40, most:
     ``radius`` fall into 3 x 11 bins, in per cent; then, of those neighbours, the mean weighed by 1 / distance^2, each eleven scaled
     to 100, plus the point's own. Points without a normal, and points that lie on one another, give nothing to each other. Points go to the block
     they lie in and to those within two radii (twice on average), where their neighbours' own histograms are made too: pairs are rows of no table."""
-    reach, edge = radius * (1 + 1e-9), 2 * BLOCK * radius
+    reach, edge = radius * (1 + 1e-9), BLOCK * radius
     p = in_blocks(oriented.where("nx IS NOT NULL").select(*keys, "row_id", "x", "y", "z", "nx", "ny", "nz"), edge, 2 * reach)
 
     def neighbours(grid, p, at, ids):
